@@ -25,3 +25,350 @@ def query(sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation's first user text (a) and first assistant text (b)."""
+    t = table(spark, sf_dir, "conversations")
+    first = lambda role: F.min_by(F.when(F.col("role") == role, F.col("text")), F.when(F.col("role") == role, F.col("turn")))
+    out = t.groupBy("conv_id").agg(first("user").alias("a"), first("assistant").alias("b"))
+    return out.select("conv_id", F.coalesce("a", F.lit("")).alias("a"), F.coalesce("b", F.lit("")).alias("b"))
+
+
+PAIRS = """pairs AS (SELECT conv_id,
+  coalesce(arg_min(text, turn) FILTER (role = 'user'), '') AS a,
+  coalesce(arg_min(text, turn) FILTER (role = 'assistant'), '') AS b
+  FROM conversations GROUP BY conv_id)"""
+W = "[ \\t\\n\\r\\f\\x0B]+"
+
+
+@query(f"""SELECT doc_id, length(text)::INT AS n_char,
+  len(list_filter(string_split_regex(text, '{W}'), x -> x <> ''))::INT AS n_word,
+  len(string_split(text, chr(10)))::INT AS n_line FROM documents""")
+def text_counts(spark, sf_dir):
+    from ..functions.text import counts
+
+    return table(spark, sf_dir, "documents").select("doc_id", counts(F.col("text")).alias("c")).select("doc_id", "c.*")
+
+
+_SENTENCES = f"""s AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(regexp_replace(regexp_replace(text,
+  '([.!?])[ \\t\\r\\f\\x0B]+', '\\1' || chr(10), 'g'), '([다요]\\.)', '\\1' || chr(10), 'g'), chr(10)), x -> trim(x)), x -> x <> '')) AS x FROM documents)"""
+
+
+@query(f"""WITH {_SENTENCES} SELECT doc_id, count(*) AS n, round(avg(length(x)), 4) AS mean_len, quantile_cont(length(x), 0.5)::DOUBLE AS median_len,
+  min(length(x))::INT AS min_len, max(length(x))::INT AS max_len FROM s GROUP BY doc_id""")
+def sentence_length_stats(spark, sf_dir):
+    from ..functions.text import sentences
+
+    s = table(spark, sf_dir, "documents").select("doc_id", F.explode(sentences(F.col("text"))).alias("x"))
+    n = F.length("x")
+    return s.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(n), 4).alias("mean_len"), F.percentile(n, F.lit(0.5)).alias("median_len"),
+        F.min(n).alias("min_len"), F.max(n).alias("max_len"),
+    )
+
+
+@query(f"""WITH t AS (SELECT doc_id, regexp_replace(text, '{W}', '', 'g') AS w FROM documents),
+  g AS (SELECT doc_id, CASE WHEN w = '' THEN [] ELSE list_transform(range(1, greatest(length(w) - 2, 1) + 1), i -> substr(w, i, 3)) END AS g FROM t)
+  SELECT doc_id, len(g)::INT AS n_grams, len(list_distinct(g))::INT AS n_distinct FROM g""")
+def char_trigrams(spark, sf_dir):
+    from ..functions.text import char_ngrams
+
+    g = table(spark, sf_dir, "documents").select("doc_id", F.explode(char_ngrams(F.col("text"))).alias("g")).groupBy("doc_id")
+    out = g.agg(F.count(F.lit(1)).cast("int").alias("n_grams"), F.count_distinct("g").cast("int").alias("n_distinct"))
+    every = table(spark, sf_dir, "documents").select("doc_id")
+    return every.join(out, "doc_id", "left").select("doc_id", F.coalesce("n_grams", F.lit(0)).alias("n_grams"), F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"))
+
+
+@query("""SELECT page_id, md5(lower(trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[*_`#>|~]+', ' ', 'g'),
+  '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')))) AS form FROM pages""")
+def evidence_form(spark, sf_dir):
+    from ..functions.text import evidence_form as form
+
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(form(F.col("html"))).alias("form"))
+
+
+@query("""WITH t AS (SELECT doc_id, substr(text, 1, 4000) AS x FROM documents)
+  SELECT doc_id, len(regexp_extract_all(x, '[A-Za-zÀ-ɏ]'))::INT AS latin, len(regexp_extract_all(x, '[가-힣]'))::INT AS hangul,
+  len(regexp_extract_all(x, '[Ѐ-ӿ]'))::INT AS cyrillic, len(regexp_extract_all(x, '[一-鿿]'))::INT AS han, len(regexp_extract_all(x, '[฀-๿]'))::INT AS thai FROM t""")
+def script_shares(spark, sf_dir):
+    from ..functions.text import script_counts
+
+    return table(spark, sf_dir, "documents").select("doc_id", *[c.alias(k) for k, c in script_counts(F.col("text")).items()])
+
+
+@query("""WITH w AS (SELECT DISTINCT lower(unnest(string_split(p_name, ' '))) AS w FROM part UNION SELECT DISTINCT lower(unnest(string_split(text, ' '))) FROM benchmark)
+  SELECT w AS word, CASE WHEN NOT regexp_matches(w, '^[a-z]+$') THEN w
+    WHEN w LIKE '%ies' AND length(w) >= 4 THEN substr(w, 1, length(w) - 3) || 'y' WHEN w LIKE '%ves' AND length(w) >= 4 THEN substr(w, 1, length(w) - 3) || 'f'
+    WHEN w LIKE '%xes' AND length(w) >= 4 THEN substr(w, 1, length(w) - 3) || 'x' WHEN w LIKE '%ches' AND length(w) >= 4 THEN substr(w, 1, length(w) - 4) || 'ch'
+    WHEN w LIKE '%shes' AND length(w) >= 4 THEN substr(w, 1, length(w) - 4) || 'sh' WHEN w LIKE '%s' AND length(w) >= 3 THEN substr(w, 1, length(w) - 1) ELSE w END AS stem FROM w""")
+def english_stems(spark, sf_dir):
+    from ..functions.text import english_stem
+
+    w = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word"))
+    w = w.unionByName(table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("word"))).distinct()
+    return w.select("word", english_stem(F.col("word")).alias("stem"))
+
+
+@query("""WITH n AS (SELECT page_id, unnest(regexp_extract_all(html, '-?[0-9]+(?:,[0-9]{3})*(?:\\.[0-9]+)?')) AS x FROM pages)
+  SELECT page_id, count(*) AS n, round(sum(replace(x, ',', '')::DOUBLE), 2) AS total FROM n GROUP BY page_id""")
+def extract_numbers(spark, sf_dir):
+    from ..functions.numbers import numbers
+
+    n = table(spark, sf_dir, "pages").select("page_id", F.explode(numbers(F.col("html"), skip_dates=False)).alias("x"))
+    return n.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 2).alias("total"))
+
+
+@query("""WITH t AS (SELECT o_orderkey, lpad((o_orderkey * 7919)::VARCHAR, 16, '4') AS n FROM orders),
+  d AS (SELECT o_orderkey, n, list_transform(range(1, 17), i -> CASE WHEN i % 2 = 1 THEN 2 * substr(n, i, 1)::INT ELSE substr(n, i, 1)::INT END) AS d FROM t)
+  SELECT o_orderkey, list_sum(list_transform(d, x -> CASE WHEN x > 9 THEN x - 9 ELSE x END)) % 10 = 0 AS valid FROM d""")
+def valid_card(spark, sf_dir):
+    from ..functions.numbers import valid_card as valid
+
+    return table(spark, sf_dir, "orders").select("o_orderkey", valid(F.lpad((F.col("o_orderkey") * 7919).cast("string"), 16, "4")).alias("valid"))
+
+
+@query("""SELECT source, sum(length(text))::BIGINT AS chars, count(*) AS n,
+  greatest(12000, least(40000, ceil(sum(length(text)) / count(*))))::BIGINT AS budget FROM documents GROUP BY source""")
+def chunk_budgets(spark, sf_dir):
+    from ..functions.numbers import chunk_budget
+
+    t = table(spark, sf_dir, "documents").groupBy("source").agg(F.sum(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("n"))
+    return t.withColumn("budget", chunk_budget(F.col("chars"), F.col("n")))
+
+
+@query("""SELECT doc_id FROM documents WHERE ('0x' || substr(sha256('eval:' || doc_id::VARCHAR), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616 < 0.2""")
+def sampled_documents(spark, sf_dir):
+    from ..functions.numbers import sampled
+
+    return table(spark, sf_dir, "documents").where(sampled(F.col("doc_id"), 0.2, "eval")).select("doc_id")
+
+
+@query("""SELECT event_id, CASE WHEN value < 10 THEN 'low' WHEN value BETWEEN 10 AND 50 THEN 'mid' WHEN value > 50 THEN 'high' END AS band FROM events""")
+def threshold_bands(spark, sf_dir):
+    from ..functions.numbers import compare_threshold as is_
+
+    v = F.col("value")
+    band = F.when(is_(v, "lt", 10), "low").when(is_(v, "between", low=10, high=50), "mid").when(is_(v, "gt", 50), "high")
+    return table(spark, sf_dir, "events").select("event_id", band.alias("band"))
+
+
+@query(f"""WITH {PAIRS}, ga AS (SELECT conv_id, unnest(list_transform(range(1, greatest(length(a) - 2, 1) + 1), i -> substr(a, i, 3))) AS g FROM (SELECT conv_id, regexp_replace(a, '{W}', '', 'g') AS a FROM pairs) WHERE a <> ''),
+  gb AS (SELECT conv_id, unnest(list_transform(range(1, greatest(length(b) - 2, 1) + 1), i -> substr(b, i, 3))) AS g FROM (SELECT conv_id, regexp_replace(b, '{W}', '', 'g') AS b FROM pairs) WHERE b <> ''),
+  ca AS (SELECT conv_id, g, count(*) AS n FROM ga GROUP BY ALL), cb AS (SELECT conv_id, g, count(*) AS n FROM gb GROUP BY ALL),
+  j AS (SELECT conv_id, sum(least(coalesce(ca.n, 0), coalesce(cb.n, 0))) AS i, sum(greatest(coalesce(ca.n, 0), coalesce(cb.n, 0))) AS u FROM ca FULL JOIN cb USING (conv_id, g) GROUP BY conv_id)
+  SELECT conv_id, coalesce(round(i / u, 4), 1.0)::DOUBLE AS similarity FROM pairs LEFT JOIN j USING (conv_id)""")
+def pair_similarity(spark, sf_dir):
+    from ..operators.scores import pair_similarity as similarity
+
+    return similarity(_pairs(spark, sf_dir), "conv_id", "a", "b")
+
+
+def _chrf_sql() -> str:
+    parts = []
+    for n in range(1, 7):
+        grams = lambda c: f"SELECT conv_id, unnest(list_transform(range(1, length({c}) - {n - 1} + 1), i -> substr({c}, i, {n}))) AS g FROM p WHERE length(a) >= {n} AND length(b) >= {n}"  # noqa: E731,B023
+        parts.append(f"""SELECT conv_id, sum(least(x, y)) / sum(x) AS p, sum(least(x, y)) / sum(y) AS r FROM (SELECT conv_id, g, count(*) FILTER (s = 0) AS x, count(*) FILTER (s = 1) AS y
+          FROM (SELECT *, 0 AS s FROM ({grams('a')}) UNION ALL SELECT *, 1 AS s FROM ({grams('b')})) GROUP BY conv_id, g) GROUP BY conv_id""")
+    return f"""WITH {PAIRS}, p AS (SELECT conv_id, regexp_replace(a, '{W}', '', 'g') AS a, regexp_replace(b, '{W}', '', 'g') AS b FROM pairs),
+      m AS (SELECT conv_id, avg(p) AS p, avg(r) AS r FROM ({' UNION ALL '.join(parts)}) GROUP BY conv_id)
+      SELECT conv_id, coalesce(round(CASE WHEN m.p + m.r = 0 THEN 0.0 ELSE 5 * m.p * m.r / (4 * m.p + m.r) END, 4), 0.0)::DOUBLE AS chrf FROM pairs LEFT JOIN m USING (conv_id)"""
+
+
+@query(_chrf_sql())
+def chrf(spark, sf_dir):
+    from ..operators.scores import chrf as score
+
+    return score(_pairs(spark, sf_dir), "conv_id", "a", "b")
+
+
+@query(f"""WITH {PAIRS}, w AS (SELECT conv_id, unnest(string_split(a, ' ')) AS w, 1 AS d FROM pairs UNION ALL SELECT conv_id, unnest(string_split(b, ' ')), -1 FROM pairs),
+  s AS (SELECT conv_id, w AS word, sum(d)::INT AS d FROM w GROUP BY ALL HAVING sum(d) <> 0) SELECT conv_id, word, greatest(d, 0)::BIGINT AS missing, greatest(-d, 0)::BIGINT AS added FROM s""")
+def multiset_diff(spark, sf_dir):
+    from ..operators.scores import multiset_diff as diff
+
+    p = _pairs(spark, sf_dir)
+    side = lambda c: p.select("conv_id", F.explode(F.split(c, " ")).alias("word"))
+    return diff(side("a"), side("b"), "conv_id", "word")
+
+
+@query("""WITH p AS (SELECT doc_id, source, CASE WHEN text LIKE '%***%' THEN 0 ELSE 1 END AS v FROM documents), m AS (SELECT source, v = quality AS hit, v, quality FROM p LEFT JOIN labels USING (doc_id)),
+  c AS (SELECT source, count(*) FILTER (hit) AS tp, count(*) FILTER (hit IS NOT TRUE) AS fp, count(*) FILTER (quality IS NOT NULL AND hit IS NOT TRUE) AS fn FROM m GROUP BY ROLLUP (source))
+  SELECT source, tp, fp, fn, CASE WHEN tp + fp = 0 THEN 0.0 ELSE round(tp / (tp + fp), 4) END::DOUBLE AS "precision", CASE WHEN tp + fn = 0 THEN 0.0 ELSE round(tp / (tp + fn), 4) END::DOUBLE AS recall,
+  CASE WHEN tp = 0 THEN 0.0 ELSE round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 4) END::DOUBLE AS f1 FROM c""")
+def extraction_scores(spark, sf_dir):
+    from ..operators.scores import extraction_scores as scores
+
+    d = table(spark, sf_dir, "documents")
+    predicted = d.select("doc_id", "source", F.when(F.col("text").contains("***"), 0).otherwise(1).alias("value"))
+    gold = table(spark, sf_dir, "labels").join(d.select("doc_id", "source"), "doc_id").select("doc_id", "source", F.col("quality").alias("value"))
+    return scores(predicted, gold, ["doc_id"], "source")
+
+
+@query("""SELECT event_type, count(*) AS n, count(*) FILTER (value > 1) AS n_ok, count(*) FILTER (value > 1 AND value <= 60) AS n_within, round(quantile_cont(value, 0.5), 2) AS p50,
+  round(quantile_cont(value, 0.95), 2) AS p95, round(max(value), 2) AS max_s, count(*) = count(*) FILTER (value > 1 AND value <= 60) AS passed FROM events GROUP BY ROLLUP (event_type)""")
+def request_summary(spark, sf_dir):
+    from ..operators.scores import request_summary as summary
+
+    return summary(table(spark, sf_dir, "events"), "event_type", "value", F.col("value") > 1, 60)
+
+
+@query("""SELECT l_orderkey, l_linenumber, (l_linenumber % 3 + 1)::INT AS i_page, (row_number() OVER p - 1)::INT AS i_chunk_on_page,
+  count(*) OVER (PARTITION BY l_orderkey, l_linenumber % 3) AS n_chunk_of_page, (max(l_linenumber % 3) OVER (PARTITION BY l_orderkey) + 1)::INT AS n_page
+  FROM lineitem WINDOW p AS (PARTITION BY l_orderkey, l_linenumber % 3 ORDER BY l_linenumber)""")
+def page_fields(spark, sf_dir):
+    from ..operators.ordered import page_fields as fields
+
+    t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_linenumber") % 3).alias("section"))
+    return fields(t, "l_orderkey", "l_linenumber", "section").drop("section")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN text END AS v FROM conversations)
+  SELECT conv_id, turn, md5(coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  first_value(v IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))) AS filled FROM t""")
+def fill_both_ways(spark, sf_dir):
+    from ..operators.ordered import fill_both_ways as fill
+
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.col("text")).alias("v"))
+    return fill(t, "conv_id", "turn", "v", "f").select("conv_id", "turn", F.md5("f").alias("filled"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, role, text, lag(role) OVER w AS r, lag(text) OVER w AS p FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+  SELECT conv_id, count(*) AS turns, count(*) FILTER (r <> role) AS changes, min(turn) FILTER (role = 'assistant') AS first_answer, count(*) FILTER (length(text) < length(p)) AS shorter FROM t GROUP BY conv_id""")
+def scenario_turns(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    t = table(spark, sf_dir, "conversations").withColumns({"r": F.lag("role").over(w), "p": F.lag("text").over(w)})
+    return t.groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("turns"), F.count_if(F.col("r") != F.col("role")).alias("changes"),
+        F.min(F.when(F.col("role") == "assistant", F.col("turn"))).alias("first_answer"), F.count_if(F.length("text") < F.length("p")).alias("shorter"),
+    )
+
+
+@query("""SELECT l_orderkey, l_linenumber, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag)::INT AS k,
+  dense_rank() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber)::INT AS j FROM lineitem""")
+def renumber_groups(spark, sf_dir):
+    from pyspark.sql import Window
+
+    k = Window.partitionBy("l_orderkey")
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.dense_rank().over(k.orderBy("l_returnflag")).alias("k"),
+        F.dense_rank().over(Window.partitionBy("l_orderkey", "l_returnflag").orderBy("l_linenumber")).alias("j"),
+    )
+
+
+@query("""WITH a AS (SELECT l_orderkey, l_linenumber, round(l_discount, 3) AS v FROM lineitem),
+  b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY v DESC, l_linenumber) AS r, count(*) OVER (PARTITION BY l_orderkey) AS c FROM a),
+  d AS (SELECT *, max(v) FILTER (r = least(3, c)) OVER (PARTITION BY l_orderkey) AS cut FROM b),
+  e AS (SELECT *, count(*) FILTER (v > cut) OVER (PARTITION BY l_orderkey) AS above, row_number() OVER (PARTITION BY l_orderkey, v ORDER BY l_linenumber) - 1 AS i, count(*) OVER (PARTITION BY l_orderkey, v) AS n FROM d),
+  f AS (SELECT *, least(3 - above, n) AS need FROM e)
+  SELECT l_orderkey, l_linenumber FROM f WHERE v > cut OR (v = cut AND list_contains(list_transform(range(0, need), s -> ((2 * s + 1) * n) // (2 * need)), i))""")
+def select_spread(spark, sf_dir):
+    from ..operators.ordered import select_spread as spread
+
+    t = table(spark, sf_dir, "lineitem")
+    return spread(t, "l_orderkey", "l_linenumber", F.col("l_discount"), 3).select("l_orderkey", "l_linenumber")
+
+
+@query("""WITH m AS (SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC, event_type) AS place FROM m)
+  SELECT user_id, event_type, event_id, place::INT AS place FROM r WHERE place <= 2""")
+def keep_last(spark, sf_dir):
+    from ..operators.ordered import keep_last as last
+
+    return last(table(spark, sf_dir, "events"), "user_id", "event_type", "event_id", 2)
+
+
+@query("""WITH r AS (SELECT user_id, ts, event_id AS v FROM events WHERE event_type = 'purchase'), l AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click')
+  SELECT event_id, coalesce((SELECT arg_min(v, (ts, v)) FROM r WHERE r.user_id = l.user_id AND r.ts >= l.ts), (SELECT arg_max(v, (ts, v)) FROM r WHERE r.user_id = l.user_id AND r.ts < l.ts)) AS effective FROM l""")
+def effective_event(spark, sf_dir):
+    from ..operators.ordered import next_at_or_after
+
+    t = table(spark, sf_dir, "events")
+    right = t.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("v"))
+    left = t.where("event_type = 'click'").select("event_id", "user_id", "ts")
+    return next_at_or_after(left, right, "user_id", "ts", "v", "effective").select("event_id", "effective")
+
+
+@query("""SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS "first", count(*) OVER (PARTITION BY text) AS n_same FROM documents""")
+def first_of_equal(spark, sf_dir):
+    from ..operators.ordered import first_of_equal as first
+
+    return first(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("""SELECT conv_id, md5(string_agg('**Q' || (turn + 1) || '. ' || role || '**' || chr(10) || text, chr(10) || chr(10) ORDER BY turn)) AS doc FROM conversations GROUP BY conv_id""")
+def rows_to_markdown(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations")
+    line = F.concat(F.lit("**Q"), (F.col("turn") + 1).cast("string"), F.lit(". "), F.col("role"), F.lit("**\n"), F.col("text"))
+    rows = F.sort_array(F.collect_list(F.struct("turn", line.alias("x"))))
+    return t.groupBy("conv_id").agg(F.md5(F.array_join(F.transform(rows, lambda r: r["x"]), "\n\n")).alias("doc"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents)
+  SELECT doc_id, count(*) FILTER (regexp_matches(x, '^#{1,6} ')) AS headings, count(*) FILTER (x LIKE '%|%') AS table_rows, count(*) FILTER (x LIKE '```%') AS fences,
+  max(length(x) - length(replace(x, '|', '')))::INT AS max_bars FROM l GROUP BY doc_id""")
+def structure_fingerprint(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("x"))
+    x = F.col("x")
+    return lines.groupBy("doc_id").agg(
+        F.count_if(x.rlike("^#{1,6} ")).alias("headings"), F.count_if(x.contains("|")).alias("table_rows"), F.count_if(x.startswith("```")).alias("fences"),
+        F.max(F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit("")))).alias("max_bars"),
+    )
+
+
+PII = {"email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}", "ipv4": "[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}", "phone": "[0-9]{2,4}-[0-9]{3,4}-[0-9]{4}", "masked": "[0-9*-]*\\*[0-9*-]*\\*[0-9*-]*"}
+
+
+@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS category, len(regexp_extract_all(text, '{v}'))::INT AS n FROM documents" for k, v in PII.items()) + ") WHERE n > 0")
+def pii_counts(spark, sf_dir):
+    found = F.array(*[F.struct(F.lit(k).alias("category"), F.regexp_count("text", F.lit(v)).alias("n")) for k, v in PII.items()])
+    return table(spark, sf_dir, "documents").select("doc_id", F.inline(found)).where("n > 0")
+
+
+@query("""WITH t AS (SELECT DISTINCT p_brand AS term, p_size FROM part), w AS (SELECT DISTINCT item_id, lower(unnest(string_split(text, ' '))) AS w FROM benchmark), g AS (SELECT DISTINCT lower(unnest(string_split(text, ' '))) AS w FROM documents WHERE lang = 'en')
+  SELECT item_id, count(*) AS n_terms, count(g.w) AS applied, coalesce(round(count(g.w) / nullif(count(*), 0), 4), 1.0)::DOUBLE AS compliance FROM w LEFT JOIN g USING (w) GROUP BY item_id""")
+def glossary_compliance(spark, sf_dir):
+    w = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.split(F.lower("text"), " ")).alias("w")).distinct()
+    g = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(F.split(F.lower("text"), " ")).alias("w")).distinct().withColumn("hit", F.lit(1))
+    n, hit = F.count(F.lit(1)), F.count("hit")
+    return w.join(g, "w", "left").groupBy("item_id").agg(n.alias("n_terms"), hit.alias("applied"), F.coalesce(F.round(hit / F.nullif(n, F.lit(0)), 4), F.lit(1.0)).alias("compliance"))
+
+
+@query("""WITH m AS (SELECT source, avg((n_chars > 1000)::INT) AS a, avg((text LIKE '%***%')::INT) AS b FROM documents GROUP BY source), u AS (SELECT source, 'long' AS metric, a AS v, 0.3 AS target, true AS up FROM m UNION ALL SELECT source, 'symbols', b, 0.1, false FROM m)
+  SELECT source, CASE WHEN count(*) FILTER (NOT CASE WHEN up THEN v >= target ELSE v <= target END) > 0 THEN 'fail' ELSE 'pass' END AS verdict, count(*) FILTER (CASE WHEN up THEN v >= target ELSE v <= target END) AS n_passed FROM u GROUP BY source""")
+def suite_verdicts(spark, sf_dir):
+    m = table(spark, sf_dir, "documents").groupBy("source").agg(
+        F.avg((F.col("n_chars") > 1000).cast("int")).alias("long"), F.avg(F.col("text").contains("***").cast("int")).alias("symbols")
+    )
+    u = m.unpivot("source", ["long", "symbols"], "metric", "v")
+    targets = spark.createDataFrame([("long", 0.3, True), ("symbols", 0.1, False)], "metric string, target double, up boolean")
+    u = u.join(targets, "metric")
+    ok = F.when(F.col("up"), F.col("v") >= F.col("target")).otherwise(F.col("v") <= F.col("target"))
+    return u.groupBy("source").agg(F.when(F.count_if(~ok) > 0, "fail").otherwise("pass").alias("verdict"), F.count_if(ok).alias("n_passed"))
+
+
+@query("""SELECT user_id, epoch_us(min(ts) FILTER (event_type = 'purchase')) - epoch_us(min(ts)) AS us_to_purchase FROM events GROUP BY user_id""")
+def time_to_first(spark, sf_dir):
+    first = F.min(F.when(F.col("event_type") == "purchase", F.col("ts")))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg((F.unix_micros(first.cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))).alias("us_to_purchase"))
+
+
+@query("""WITH c AS (SELECT source, count(*) AS n, row_number() OVER (ORDER BY source) - 1 AS i FROM documents GROUP BY source)
+  SELECT source, greatest(1, 50 // count(*) OVER () + CASE WHEN i < 50 % count(*) OVER () THEN 1 ELSE 0 END)::BIGINT AS quota FROM c""")
+def plan_quota(spark, sf_dir):
+    from pyspark.sql import Window
+
+    c = table(spark, sf_dir, "documents").select("source").distinct()  # one row a source
+    i, n = F.row_number().over(Window.orderBy("source")) - 1, F.count(F.lit(1)).over(Window.partitionBy())
+    quota = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(50) / n) + F.when(i < F.lit(50) % n, 1).otherwise(0))
+    return c.select("source", quota.cast("long").alias("quota"))
+
+
+@query("""SELECT doc_id, CASE WHEN source <> 'src0' AND n_chars < 200 THEN 'candidate' WHEN ('0x' || substr(sha256('gate:' || doc_id::VARCHAR), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616 < 0.1 THEN 'sampled' ELSE 'screened_out' END AS gate FROM documents""")
+def judge_gate(spark, sf_dir):
+    from ..functions.numbers import sampled
+
+    low = (F.col("source") != "src0") & (F.col("n_chars") < 200)
+    gate = F.when(low, "candidate").when(sampled(F.col("doc_id"), 0.1, "gate"), "sampled").otherwise("screened_out")
+    return table(spark, sf_dir, "documents").select("doc_id", gate.alias("gate"))
