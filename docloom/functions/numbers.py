@@ -15,11 +15,11 @@ def strip_dates(text: Column) -> Column:
     return text
 
 
-def numbers(text: Column, skip_dates: bool = True) -> Column:
+def numbers(text: Column, skip_dates: bool = True, kind: str = "double") -> Column:
     """Numbers in order, thousands commas taken out, sign kept."""
     text = strip_dates(text) if skip_dates else text
     found = F.regexp_extract_all(text, F.lit("-?[0-9]+(?:,[0-9]{3})*(?:\\.[0-9]+)?"), F.lit(0))
-    return F.transform(found, lambda x: F.regexp_replace(x, ",", "").cast("double"))
+    return F.transform(found, lambda x: F.regexp_replace(x, ",", "").cast(kind))
 
 
 def canonical_date(token: Column) -> Column:

@@ -35,20 +35,32 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(cut, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is worked out once, not again for each use or element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def char_ngrams(text: Column, size: int = 3, keep_spaces: bool = False) -> Column:
     """Contiguous character n-grams; a shorter text is its own gram, an empty one has none."""
     whole = text if keep_spaces else F.regexp_replace(text, WS, "")
-    n = F.length(whole)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1))), lambda i: F.substring(whole, i, F.lit(size)))
-    return F.when(n > 0, grams).otherwise(F.array().cast("array<string>"))
+
+    def grams(chars):
+        at = F.sequence(F.lit(1), F.greatest(F.size(chars) - (size - 1), F.lit(1)))
+        return F.when(F.size(chars) > 0, F.transform(at, lambda i: F.array_join(F.slice(chars, i, size), "")))
+
+    # an array of characters: substring would walk the text from its start for each gram
+    return F.coalesce(let(F.filter(F.split(whole, ""), lambda c: c != ""), grams), F.array().cast("array<string>"))
 
 
 def word_ngrams(text: Column, size: int = 2) -> Column:
     """Contiguous n-grams of lower-case words without punctuation; shorter texts are one gram."""
-    w = words(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}_ \\t\\n\\r\\f\\x0B]", " "))
-    n = F.size(w)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, size), " "))
-    return F.when(n > 0, grams).otherwise(F.array().cast("array<string>"))
+
+    def grams(w):
+        at = F.sequence(F.lit(1), F.greatest(F.size(w) - (size - 1), F.lit(1)))
+        return F.when(F.size(w) > 0, F.transform(at, lambda i: F.array_join(F.slice(w, i, size), " ")))
+
+    plain = words(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}_ \\t\\n\\r\\f\\x0B]", " "))
+    return F.coalesce(let(plain, grams), F.array().cast("array<string>"))
 
 
 def evidence_form(text: Column) -> Column:
@@ -82,10 +94,9 @@ def english_stem(word: Column) -> Column:
 SCRIPTS = {"latin": "[A-Za-zÀ-ɏ]", "hangul": "[가-힣]", "cyrillic": "[Ѐ-ӿ]", "han": "[一-鿿]", "thai": "[฀-๿]"}
 
 
-def script_counts(text: Column, sample: int = 4000) -> dict[str, Column]:
-    """Characters of each script among the first ``sample``."""
-    head = F.substring(text, 1, sample)
-    return {k: F.regexp_count(head, F.lit(v)) for k, v in SCRIPTS.items()}
+def script_counts(text: Column) -> dict[str, Column]:
+    """Characters of each script."""
+    return {k: F.regexp_count(text, F.lit(v)) for k, v in SCRIPTS.items()}
 
 
 def running_key(text: Column) -> Column:

@@ -38,7 +38,7 @@ def _gram_counts(pairs: DataFrame, key: str, a: str, b: str, size: int) -> DataF
         return pairs.select(key, F.explode(char_ngrams(F.col(c), size)).alias("gram"), F.lit(i).alias("side"))
 
     both = side(a, 0).unionByName(side(b, 1))
-    return both.groupBy(key, "gram").agg(F.count_if("side = 0").alias("na"), F.count_if("side = 1").alias("nb"))
+    return both.groupBy(key, "gram").agg(F.count_if(F.col("side") == 0).alias("na"), F.count_if(F.col("side") == 1).alias("nb"))
 
 
 def pair_similarity(pairs: DataFrame, key: str, a: str, b: str, size: int = 3) -> DataFrame:

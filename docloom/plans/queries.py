@@ -43,7 +43,7 @@ W = "[ \\t\\n\\r\\f\\x0B]+"
 
 
 @query(f"""SELECT doc_id, length(text)::INT AS n_char,
-  len(list_filter(string_split_regex(text, '{W}'), x -> x <> ''))::INT AS n_word,
+  len(list_filter(string_split_regex(text, '{W}'), lambda x: x <> ''))::INT AS n_word,
   len(string_split(text, chr(10)))::INT AS n_line FROM documents""")
 def text_counts(spark, sf_dir):
     from ..functions.text import counts
@@ -52,7 +52,7 @@ def text_counts(spark, sf_dir):
 
 
 _SENTENCES = f"""s AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(regexp_replace(regexp_replace(text,
-  '([.!?])[ \\t\\r\\f\\x0B]+', '\\1' || chr(10), 'g'), '([다요]\\.)', '\\1' || chr(10), 'g'), chr(10)), x -> trim(x)), x -> x <> '')) AS x FROM documents)"""
+  '([.!?])[ \\t\\r\\f\\x0B]+', '\\1' || chr(10), 'g'), '([다요]\\.)', '\\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS x FROM documents)"""
 
 
 @query(f"""WITH {_SENTENCES} SELECT doc_id, count(*) AS n, round(avg(length(x)), 4) AS mean_len, quantile_cont(length(x), 0.5)::DOUBLE AS median_len,
@@ -69,7 +69,7 @@ def sentence_length_stats(spark, sf_dir):
 
 
 @query(f"""WITH t AS (SELECT doc_id, regexp_replace(text, '{W}', '', 'g') AS w FROM documents),
-  g AS (SELECT doc_id, CASE WHEN w = '' THEN [] ELSE list_transform(range(1, greatest(length(w) - 2, 1) + 1), i -> substr(w, i, 3)) END AS g FROM t)
+  g AS (SELECT doc_id, CASE WHEN w = '' THEN [] ELSE list_transform(range(1, greatest(length(w) - 2, 1) + 1), lambda i: substr(w, i, 3)) END AS g FROM t)
   SELECT doc_id, len(g)::INT AS n_grams, len(list_distinct(g))::INT AS n_distinct FROM g""")
 def char_trigrams(spark, sf_dir):
     from ..functions.text import char_ngrams
@@ -88,7 +88,7 @@ def evidence_form(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(form(F.col("html"))).alias("form"))
 
 
-@query("""WITH t AS (SELECT doc_id, substr(text, 1, 4000) AS x FROM documents)
+@query("""WITH t AS (SELECT doc_id, text AS x FROM documents)
   SELECT doc_id, len(regexp_extract_all(x, '[A-Za-zÀ-ɏ]'))::INT AS latin, len(regexp_extract_all(x, '[가-힣]'))::INT AS hangul,
   len(regexp_extract_all(x, '[Ѐ-ӿ]'))::INT AS cyrillic, len(regexp_extract_all(x, '[一-鿿]'))::INT AS han, len(regexp_extract_all(x, '[฀-๿]'))::INT AS thai FROM t""")
 def script_shares(spark, sf_dir):
@@ -111,17 +111,17 @@ def english_stems(spark, sf_dir):
 
 
 @query("""WITH n AS (SELECT page_id, unnest(regexp_extract_all(html, '-?[0-9]+(?:,[0-9]{3})*(?:\\.[0-9]+)?')) AS x FROM pages)
-  SELECT page_id, count(*) AS n, round(sum(replace(x, ',', '')::DOUBLE), 2) AS total FROM n GROUP BY page_id""")
+  SELECT page_id, count(*) AS n, sum(replace(x, ',', '')::DECIMAL(38, 6))::VARCHAR AS total FROM n GROUP BY page_id""")
 def extract_numbers(spark, sf_dir):
     from ..functions.numbers import numbers
 
-    n = table(spark, sf_dir, "pages").select("page_id", F.explode(numbers(F.col("html"), skip_dates=False)).alias("x"))
-    return n.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 2).alias("total"))
+    n = table(spark, sf_dir, "pages").select("page_id", F.explode(numbers(F.col("html"), skip_dates=False, kind="decimal(28,6)")).alias("x"))
+    return n.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.sum("x").cast("decimal(38,6)").cast("string").alias("total"))
 
 
 @query("""WITH t AS (SELECT o_orderkey, lpad((o_orderkey * 7919)::VARCHAR, 16, '4') AS n FROM orders),
-  d AS (SELECT o_orderkey, n, list_transform(range(1, 17), i -> CASE WHEN i % 2 = 1 THEN 2 * substr(n, i, 1)::INT ELSE substr(n, i, 1)::INT END) AS d FROM t)
-  SELECT o_orderkey, list_sum(list_transform(d, x -> CASE WHEN x > 9 THEN x - 9 ELSE x END)) % 10 = 0 AS valid FROM d""")
+  d AS (SELECT o_orderkey, n, list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 1 THEN 2 * substr(n, i, 1)::INT ELSE substr(n, i, 1)::INT END) AS d FROM t)
+  SELECT o_orderkey, list_sum(list_transform(d, lambda x: CASE WHEN x > 9 THEN x - 9 ELSE x END)) % 10 = 0 AS valid FROM d""")
 def valid_card(spark, sf_dir):
     from ..functions.numbers import valid_card as valid
 
@@ -153,8 +153,8 @@ def threshold_bands(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", band.alias("band"))
 
 
-@query(f"""WITH {PAIRS}, ga AS (SELECT conv_id, unnest(list_transform(range(1, greatest(length(a) - 2, 1) + 1), i -> substr(a, i, 3))) AS g FROM (SELECT conv_id, regexp_replace(a, '{W}', '', 'g') AS a FROM pairs) WHERE a <> ''),
-  gb AS (SELECT conv_id, unnest(list_transform(range(1, greatest(length(b) - 2, 1) + 1), i -> substr(b, i, 3))) AS g FROM (SELECT conv_id, regexp_replace(b, '{W}', '', 'g') AS b FROM pairs) WHERE b <> ''),
+@query(f"""WITH {PAIRS}, ga AS (SELECT conv_id, unnest(list_transform(range(1, greatest(length(a) - 2, 1) + 1), lambda i: substr(a, i, 3))) AS g FROM (SELECT conv_id, regexp_replace(a, '{W}', '', 'g') AS a FROM pairs) WHERE a <> ''),
+  gb AS (SELECT conv_id, unnest(list_transform(range(1, greatest(length(b) - 2, 1) + 1), lambda i: substr(b, i, 3))) AS g FROM (SELECT conv_id, regexp_replace(b, '{W}', '', 'g') AS b FROM pairs) WHERE b <> ''),
   ca AS (SELECT conv_id, g, count(*) AS n FROM ga GROUP BY ALL), cb AS (SELECT conv_id, g, count(*) AS n FROM gb GROUP BY ALL),
   j AS (SELECT conv_id, sum(least(coalesce(ca.n, 0), coalesce(cb.n, 0))) AS i, sum(greatest(coalesce(ca.n, 0), coalesce(cb.n, 0))) AS u FROM ca FULL JOIN cb USING (conv_id, g) GROUP BY conv_id)
   SELECT conv_id, coalesce(round(i / u, 4), 1.0)::DOUBLE AS similarity FROM pairs LEFT JOIN j USING (conv_id)""")
@@ -167,7 +167,7 @@ def pair_similarity(spark, sf_dir):
 def _chrf_sql() -> str:
     parts = []
     for n in range(1, 7):
-        grams = lambda c: f"SELECT conv_id, unnest(list_transform(range(1, length({c}) - {n - 1} + 1), i -> substr({c}, i, {n}))) AS g FROM p WHERE length(a) >= {n} AND length(b) >= {n}"  # noqa: E731,B023
+        grams = lambda c: f"SELECT conv_id, unnest(list_transform(range(1, length({c}) - {n - 1} + 1), lambda i: substr({c}, i, {n}))) AS g FROM p WHERE length(a) >= {n} AND length(b) >= {n}"  # noqa: E731,B023
         parts.append(f"""SELECT conv_id, sum(least(x, y)) / sum(x) AS p, sum(least(x, y)) / sum(y) AS r FROM (SELECT conv_id, g, count(*) FILTER (s = 0) AS x, count(*) FILTER (s = 1) AS y
           FROM (SELECT *, 0 AS s FROM ({grams('a')}) UNION ALL SELECT *, 1 AS s FROM ({grams('b')})) GROUP BY conv_id, g) GROUP BY conv_id""")
     return f"""WITH {PAIRS}, p AS (SELECT conv_id, regexp_replace(a, '{W}', '', 'g') AS a, regexp_replace(b, '{W}', '', 'g') AS b FROM pairs),
@@ -263,7 +263,7 @@ def renumber_groups(spark, sf_dir):
   d AS (SELECT *, max(v) FILTER (r = least(3, c)) OVER (PARTITION BY l_orderkey) AS cut FROM b),
   e AS (SELECT *, count(*) FILTER (v > cut) OVER (PARTITION BY l_orderkey) AS above, row_number() OVER (PARTITION BY l_orderkey, v ORDER BY l_linenumber) - 1 AS i, count(*) OVER (PARTITION BY l_orderkey, v) AS n FROM d),
   f AS (SELECT *, least(3 - above, n) AS need FROM e)
-  SELECT l_orderkey, l_linenumber FROM f WHERE v > cut OR (v = cut AND list_contains(list_transform(range(0, need), s -> ((2 * s + 1) * n) // (2 * need)), i))""")
+  SELECT l_orderkey, l_linenumber FROM f WHERE v > cut OR (v = cut AND list_contains(list_transform(range(0, need), lambda s: ((2 * s + 1) * n) // (2 * need)), i))""")
 def select_spread(spark, sf_dir):
     from ..operators.ordered import select_spread as spread
 
