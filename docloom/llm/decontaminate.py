@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import let, materialize, words_of
+from .shared import KEY, let, materialize, row_key, words_of
 
 NGRAM, CONTAINED = 5, 0.8
 #: Min-hashes a item. One that is contained at 0.8 misses them all with probability 0.2^16, under 1e-11.
@@ -69,7 +69,7 @@ def contained_items(
     tests = materialize(
         tests.where((F.size("words") > 0) & F.col("item_id").isNotNull())
         .select("item_id", _strings(F.col("words")).alias("shingles"), F.array_distinct(_hashes(F.col("words"))).alias("hashes"))
-        .dropDuplicates(["item_id"])
+        .dropDuplicates(["item_id", "shingles"])
         .withColumn("class", F.floor(F.log2(F.size("shingles"))).cast("int")),
         "items",
     )
@@ -94,10 +94,12 @@ def contained_items(
     )
     # whole numbers, so that 4 of 5 is exactly 0.8
     enough = 1000 * F.col("n_shared") >= round(1000 * threshold) * F.col("n_shingles")
-    return found.where(enough).groupBy("doc_id", "item_id").agg(F.max("n_shingles").alias("n_shingles"), F.max("n_shared").alias("n_shared"))
+    best = F.max(F.struct("n_shared", "n_shingles")).alias("best")
+    return found.where(enough).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.n_shingles", "best.n_shared")
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those that hold an item, columns as they were. Rows with a null id stay."""
-    found = contained_items(docs, items, id_col, text_col).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, docs[id_col].cast("long") == F.col("_found"), "left_anti")
+    """``docs`` without those that hold an item, columns as they were. Rows without an id are told apart by their texts."""
+    keyed = docs.withColumn(KEY, row_key(docs[id_col], docs[text_col]))
+    found = contained_items(keyed, items, KEY, text_col).select(F.col("doc_id").alias(KEY)).distinct()
+    return keyed.join(found, KEY, "left_anti").select(*docs.columns)

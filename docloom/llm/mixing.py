@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, mix64, prefix_sums, words_of
+from .shared import KEY, materialize, mix64, prefix_sums, row_key, words_of
 
 WEIGHTS, EXPAND, REPEAT = (5, 2, 1), 1.5, 2
 #: Words a block; a source has at least so many blocks if it has the words for them.
@@ -82,7 +82,7 @@ def mix(
     shards: int = SHARDS,
     seed: int = SEED,
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, pieces): which words of each document the mix takes.
+    """(doc_id, source, size, start, source_size, target, pieces): which words of each document the mix takes.
 
     A source's texts, in id order, are one string of words cut into equal
     blocks (the last may be shorter). Its target in words is a number of slots,
@@ -149,7 +149,7 @@ def mix(
     pieces = met.groupBy("doc_id", "s", "start").agg(F.sort_array(F.collect_list("p")).alias("pieces"))
     p, n = pieces.alias("p"), named.alias("n")
     same = F.col("n.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("n.s") == F.col("p.s")) & (F.col("n.start") == F.col("p.start")) & (F.col("n.size") > 0)
-    return n.join(p, same, "left").select("n.doc_id", "n.source", "n.size", "n.source_size", "n.target", "p.pieces")
+    return n.join(p, same, "left").select("n.doc_id", "n.source", "n.size", "n.start", "n.source_size", "n.target", "p.pieces")
 
 
 def mix_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
@@ -157,12 +157,27 @@ def mix_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     Documents of which nothing is taken go; neighbouring ranges stay one text;
     other ranges follow each other on a line of their own. A row's length
-    column is set to the new length. Ids are expected to be distinct.
+    column, if it has one, is set to the new length. Rows without an id are
+    told apart by their texts. Of rows that repeat an id, each that the mix
+    takes words of gives a row, with the text of one row of that id, source and
+    number of words.
     """
-    taken = mix(docs, id_col, text_col, source_col).where(F.size("pieces") > 0).select(F.col("doc_id").alias("_id"), "pieces")
-    joined = docs.join(taken, docs[id_col].cast("long") == F.col("_id"))
-    ranges = F.sort_array(F.transform("pieces", lambda x: F.struct(x["from"].alias("from"), x["to"].alias("to"), x["slot"].alias("slot"))))
-    return joined.withColumn(text_col, _cut(F.col(text_col), ranges)).drop("_id", "pieces").withColumn(chars_col, F.length(text_col).cast("long"))
+    own = [F.col(c) for c in docs.columns]
+    keyed = docs.select(
+        *own, row_key(docs[id_col], docs[text_col]).alias(KEY),
+        F.size(words_of(docs[text_col].cast("string"))).cast("long").alias(f"{KEY}_size"), docs[source_col].cast("string").alias(f"{KEY}_source"),
+    )
+    taken = mix(keyed, KEY, text_col, source_col).where(F.size("pieces") > 0)
+    taken = taken.select(*[F.col(c).alias(f"{KEY}_{c}_taken") for c in ("doc_id", "source", "size", "start", "pieces")])
+    # beside the id, differences and not equalities: the rows stay dealt by id alone
+    same = (F.col(f"{KEY}_size") - F.col(f"{KEY}_size_taken") == 0) & ~(F.coalesce(f"{KEY}_source", F.lit("")) != F.coalesce(f"{KEY}_source_taken", F.lit("")))
+    joined = keyed.join(taken, (keyed[KEY] == F.col(f"{KEY}_doc_id_taken")) & same)
+    joined = joined.dropDuplicates([KEY, f"{KEY}_source_taken", f"{KEY}_start_taken"])
+    ranges = F.sort_array(F.transform(f"{KEY}_pieces_taken", lambda x: F.struct(x["from"].alias("from"), x["to"].alias("to"), x["slot"].alias("slot"))))
+    joined = joined.withColumn(text_col, _cut(F.col(text_col).cast("string"), ranges))
+    if chars_col in docs.columns:
+        joined = joined.withColumn(chars_col, F.length(text_col).cast("long"))
+    return joined.select(*own)
 
 
 @F.pandas_udf("string")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, text_bytes
+from .shared import drop, materialize, text_bytes
 
 FEATURES, SEED, RIDGE, BANDWIDTH = 128, 7, 1.0, 4.0
 BINS, LOW, HIGH = 400, -0.5, 1.5
@@ -159,6 +160,17 @@ def fit(labelled: DataFrame) -> Model:
     return model
 
 
+def fit_labels(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[Model, DataFrame]:
+    """The model, and the statistics of all documents (materialized)."""
+    stats = materialize(document_statistics(docs, id_col, text_col), "statistics")
+    marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label_col).alias("label"))
+    marks = marks.withColumn("fold", fold_of(F.col("_id"))).where("fold <> 0")
+    labelled = materialize(stats.join(marks, stats.doc_id == marks["_id"]).select("doc_id", "stats", "label", "fold"), "labelled")
+    model = fit(labelled)
+    drop(labelled)
+    return model, stats
+
+
 def classify(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"
 ) -> DataFrame:
@@ -169,11 +181,8 @@ def classify(
     labels are none. Null and empty texts get the score of a text without
     words. An empty table gives an empty table.
     """
-    stats = materialize(document_statistics(docs, id_col, text_col), "statistics")
-    marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label_col).alias("label"))
-    marks = marks.withColumn("fold", fold_of(F.col("_id"))).where("fold <> 0")
-    labelled = materialize(stats.join(marks, stats.doc_id == marks["_id"]).select("doc_id", "stats", "label", "fold"), "labelled")
-    model = docs.sparkSession.sparkContext.broadcast(fit(labelled))
+    model, stats = fit_labels(docs, labels, id_col, text_col, label_col)
+    model = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -185,7 +194,18 @@ def classify(
     )
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows the classifier rejects; columns as they were. Null ids are judged by their own text only together."""
-    bad = classify(docs, labels, id_col, text_col).where("predicted = 0").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """``docs`` without the rows the classifier rejects; columns as they were.
+
+    Each row is judged by its own text, whatever its id.
+    """
+    model, stats = fit_labels(docs, labels, id_col, text_col, label_col)
+    drop(stats)
+    model = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        found = [statistics(t.encode() if isinstance(t, str) else b"") for t in texts]
+        return pd.Series(model.value.score(np.array(found).reshape(-1, N_STATS)))
+
+    return docs.where(score(F.col(text_col).cast("string")) >= THRESHOLD)

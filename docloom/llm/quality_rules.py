@@ -83,6 +83,7 @@ def score_rules(
     base = base.withColumn("lines", lines)
     n_lines = F.size("lines")
     counts = base.select(
+        F.monotonically_increasing_id().alias("row"),
         "doc_id",
         "host",
         F.size("words").cast("long").alias("n_words"),
@@ -96,13 +97,13 @@ def score_rules(
         ).alias("lines"),
     )
     table = materialize(counts, "rule-counts")
-    lined = table.select("doc_id", "host", F.explode("lines").alias("x")).select("doc_id", "host", "x.line", "x.n")
-    once = table.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"), "doc_id")
-    ids = once.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"))
+    lined = table.select("row", "host", F.explode("lines").alias("x")).select("row", "host", "x.line", "x.n")
+    once = table.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"), F.struct("doc_id").alias("doc"))
+    ids = once.groupBy("host", "line").agg(F.count_distinct("doc").alias("n_docs"))
     often = ids.where(F.col("n_docs") > max_docs).select(F.col("host").alias("h"), F.col("line").alias("l"))
     removed = lined.join(often, lined.host.eqNullSafe(often.h) & (lined.line == often.l), "left_semi")
-    removed = removed.groupBy("doc_id").agg(F.sum("n").alias("gone")).select(F.col("doc_id").alias("d"), "gone")
-    joined = table.drop("lines").join(removed, F.col("doc_id").eqNullSafe(F.col("d")), "left")
+    removed = removed.groupBy("row").agg(F.sum("n").alias("gone"))
+    joined = table.drop("lines").join(removed, "row", "left")
     gone = F.coalesce("gone", F.lit(0))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     depleted = 100 * (F.col("n_words") - gone) < min_kept * F.col("n_words")

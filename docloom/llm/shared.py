@@ -70,6 +70,16 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Name of the column that operators add to a table for the time of a join.
+KEY = "_docloom_key"
+
+
+def row_key(row_id: Column, text: Column) -> Column:
+    """An id as a long; a row without one gets a number of 2^62 or more that follows from its text."""
+    by_text = F.shiftrightunsigned(F.xxhash64(text), 2).bitwiseOR(F.lit(1 << 62))
+    return F.coalesce(row_id.cast("long"), by_text)
+
+
 def prefix_sums(df: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
     """Add ``out``: the sum of ``value`` over all rows of the group before this one, in ``order``.
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import drop, materialize, text_bytes
+from .shared import KEY, drop, materialize, row_key, text_bytes
 
 BITS, RADIUS, SEED = 64, 3, 42
 #: A bucket of up to so many fingerprints is compared as a whole; a larger one is split by further masks.
@@ -212,9 +212,9 @@ def hex_fingerprint(fp):
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one of smallest id. Columns stay as they are.
 
-    Of rows that share that id one stays; rows with a null id stay only if
-    their whole group has no id, one for each group's fingerprint.
+    Of rows that share that id one stays. A row without an id stays if no row
+    with one is in its group, and of several such rows one does.
     """
-    keep = near_duplicates(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("_keep"))
-    kept = docs.join(keep.distinct(), docs[id_col].cast("long") == F.col("_keep"), "left_semi")
-    return kept.dropDuplicates([id_col])
+    keyed = docs.withColumn(KEY, row_key(docs[id_col], docs[text_col]))
+    keep = near_duplicates(keyed, KEY, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(KEY)).distinct()
+    return keyed.join(keep, KEY, "left_semi").dropDuplicates([KEY]).select(*docs.columns)
