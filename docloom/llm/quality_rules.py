@@ -35,7 +35,8 @@ def _repeat_words(words):
         def gaps(p):
             nxt = F.concat(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), F.array(F.lit(None).cast("int")))
             steps = F.zip_with(p, nxt, lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)))
-            return F.aggregate(steps, F.lit(0).cast("long"), lambda acc, x: acc + x)
+            total = F.aggregate(steps, F.lit(0).cast("long"), lambda acc, x: acc + x)
+            return F.when(F.size(p) == 0, F.lit(0).cast("long")).otherwise(total)
 
         return let(at, gaps)
 
