@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
 from .shared import KEY, materialize, mix64, prefix_sums, row_key, words_of
 
@@ -51,7 +52,7 @@ def shard_counts(quotas: list[int], shards: int, seed: int = SEED) -> np.ndarray
     return out
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def permuted(at: pd.Series, size: pd.Series, key: pd.Series) -> pd.Series:
     """Place ``at`` of a pseudorandom permutation of 0 .. size-1, one for each key: Feistel rounds, walked into range."""
     x, n = at.to_numpy(np.uint64), size.to_numpy(np.uint64)
@@ -180,7 +181,7 @@ def mix_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     return joined.select(*own)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _cut(texts: pd.Series, ranges: pd.Series) -> pd.Series:
     """The given word ranges of each text; ranges of the first round, in order, then those of later rounds."""
     import re
