@@ -18,7 +18,9 @@ DIGIT, BUCKETS = 32, 256
 VOCAB = DIGIT * DIGIT
 EDGE = VOCAB
 OFFSETS = (-2, -1, 1, 2)
-WIDTH, BATCH, RATE, SEED, ROUNDS = 24, 8192, 0.15, 3, 2
+WIDTH, RATE, SEED, ROUNDS = 24, 0.15, 3, 2
+#: Words in a training step, and in a step of scoring.
+STEP, BATCH = 2048, 8192
 #: Distinct words a task counts before it hands them on, and parameters that one row carries.
 COUNTED, CHUNK = 500_000, 4096
 
@@ -162,8 +164,8 @@ def _train_round(network, words):
 
     def step(net: Network, held: list) -> int:
         context, target = _contexts(held)
-        for at in range(0, len(target), BATCH):
-            net.train(context[at : at + BATCH], target[at : at + BATCH])
+        for at in range(0, len(target), STEP):
+            net.train(context[at : at + STEP], target[at : at + STEP])
         return len(target)
 
     return run

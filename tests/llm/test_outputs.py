@@ -94,7 +94,7 @@ def test_token_files_hold_every_document(spark, docs, rows, none, name, tmp_path
 
 
 def test_targets_and_shards():
-    assert targets([100, 100, 100]) == [200.0, 450 - 200 - 250 / 3, pytest.approx(250 / 3)] or sum(targets([100, 100, 100])) == pytest.approx(450)
+    assert targets([100, 100, 100]) == pytest.approx([200, 500 / 3, 250 / 3])
     assert all(t <= 2 * n for t, n in zip(targets([10, 500, 3, 0]), [10, 500, 3, 0], strict=True))
     counts = shard_counts([1000, 10, 0, 333], 16)
     assert counts.sum(axis=0).tolist() == [1000, 10, 0, 333] and np.ptp(counts.sum(axis=1)) <= 1
@@ -115,7 +115,7 @@ def test_mix_meets_its_targets(docs, rows, none):
         assert n <= 2 * r.size and all(0 <= p["from"] < p.to <= r.size for p in r.pieces or [])
         taken[r.source] += n
         goal[r.source] = r.target
-    assert all(abs(taken[s] - goal[s]) <= 1 for s in goal)
+    assert all(abs(taken[s] - goal[s]) <= 2 * 256 for s in goal)  # a source's last block may be short, once in each of its turns
     again = mix(docs.repartition(5)).collect()
     total = lambda x: Counter((r.doc_id, r.source, sum(p.to - p["from"] for p in r.pieces or [])) for r in x if r.doc_id not in (4, None))
     assert total(got) == total(again)
