@@ -51,6 +51,26 @@ def _anchors(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return at, hashes[at]
 
 
+class _Answers:
+    """Gathers (doc, position) over a task's buckets and hands them on packed by document group."""
+
+    def __init__(self, groups: int):
+        self.groups, self.parts, self.n = groups, [], 0
+
+    def add(self, doc: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(doc):
+            self.parts.append((doc, at))
+            self.n += len(doc)
+            if self.n >= FLUSH:
+                yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.n:
+            doc, at = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+            self.parts, self.n = [], 0
+            yield from _respond(doc, at, self.groups)
+
+
 class _Out:
     """Gathers (hash, doc, position) and hands them on packed by bucket: a row for each bucket and flush."""
 
@@ -181,7 +201,7 @@ def _found_anchors(docs: DataFrame, shared: DataFrame, window: int, buckets: int
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a bucket's shared anchors come first (order 0), then one packed row of occurrences after the other
-        now, known = None, np.zeros(0, np.uint32)
+        now, known, answers = None, np.zeros(0, np.uint32), _Answers(groups)
         for b in batches:
             for bucket, docs_, data in zip(*(c.to_pylist() for c in b.columns[:3]), strict=True):
                 if bucket != now:
@@ -192,8 +212,8 @@ def _found_anchors(docs: DataFrame, shared: DataFrame, window: int, buckets: int
                     doc = np.frombuffer(docs_, np.int64)
                     low, at = np.frombuffer(data, np.uint32).reshape(2, -1)
                     hit = known[np.minimum(np.searchsorted(known, low), len(known) - 1)] == low
-                    if hit.any():
-                        yield from _respond(doc[hit], at[hit], groups)
+                    yield from answers.add(doc[hit], at[hit])
+        yield from answers.flush()
 
     sent = docs.mapInArrow(send, PACKED).withColumn("turn", F.lit(1))
     both = shared.withColumn("turn", F.lit(0)).unionByName(sent)
@@ -254,6 +274,7 @@ def _repeated_windows(texts: DataFrame, window: int, buckets: int, groups: int)
             yield _packed(rows[i : i + 64])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        answers = _Answers(groups)
         for bucket, docs_, data in _by_bucket(batches):
             if bucket < 0:  # answers already; on to their document group
                 for i in range(0, len(data), 64):
@@ -267,8 +288,8 @@ def _repeated_windows(texts: DataFrame, window: int, buckets: int, groups: int)
             second, doc, at = second[order], doc[order], at[order]
             fresh = np.r_[True, second[1:] != second[:-1]]
             lowest = doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-            if (doc > lowest).any():
-                yield from _respond(doc[doc > lowest], at[doc > lowest], groups)
+            yield from answers.add(doc[doc > lowest], at[doc > lowest])
+        yield from answers.flush()
 
     sent = texts.mapInArrow(send, PACKED)
     return _dealt(_dealt(sent).mapInArrow(meet, PACKED)).mapInArrow(_per_doc, "doc long, spots binary")
@@ -317,7 +338,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     chars = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # about 6 bytes a word, 3 anchors for 7 words
-    buckets = groups = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), chars // (14 * PER_BUCKET) + 1)
+    tasks, least = int(spark.conf.get("spark.sql.shuffle.partitions")), chars // (14 * PER_BUCKET) + 1
+    buckets, groups = max(4 * tasks, least), max(tasks, least)
     shared = materialize(shared_anchors(texts, window, buckets), "shared-anchors")
     found = materialize(_found_anchors(texts, shared, window, buckets, groups), "found-anchors")
     drop(shared)
