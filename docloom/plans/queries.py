@@ -372,3 +372,13 @@ def judge_gate(spark, sf_dir):
     low = (F.col("source") != "src0") & (F.col("n_chars") < 200)
     gate = F.when(low, "candidate").when(sampled(F.col("doc_id"), 0.1, "gate"), "sampled").otherwise("screened_out")
     return table(spark, sf_dir, "documents").select("doc_id", gate.alias("gate"))
+
+
+@query("""WITH g AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 21600000000, true)::INT AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+  SELECT user_id, epoch_us(min(ts)) AS started, epoch_us(max(ts)) AS ended, count(*) AS n FROM s GROUP BY user_id, k""")
+def event_sessions(spark, sf_dir):
+    from ..streaming.ordered import sessions
+
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias(c)
+    return sessions(table(spark, sf_dir, "events"), "user_id", "ts", "6 hours").select("user_id", us("started"), us("ended"), "n")
