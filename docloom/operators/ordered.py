@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def page_fields(chunks: DataFrame, doc: str, order: str, section: str) -> DataFrame:
@@ -87,3 +91,28 @@ def first_of_equal(rows: DataFrame, key: str, same: str) -> DataFrame:
     mark = F.sha2(same, 256)
     groups = rows.groupBy(mark.alias("_h")).agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n_same"))
     return rows.select(key, mark.alias("_h")).join(groups, "_h").select(key, "first", "n_same")
+
+
+def scan(rows: DataFrame, keys: list[str], order: list[str | Column], out: str, kind: str, start: Callable, step: Callable, used: list[str]) -> DataFrame:
+    """``rows`` with ``out``: what ``step`` gives along each key's rows in order.
+
+    ``step(state, *values of used)`` returns (new state, value); ``start()``
+    is the state at a key's first row. For rules that no window frame can
+    say. Rows are sorted and streamed, and only one state is held, so the
+    size of a key doesn't matter for memory.
+    """
+    schema = StructType([*rows.schema.fields, *StructType.fromDDL(f"`{out}` {kind}").fields])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = None, None
+        for frame in frames:
+            values = []
+            for x in zip(*[frame[c] for c in (*keys, *used)], strict=True):
+                key = tuple(None if v != v else v for v in x[: len(keys)])
+                if key != at:
+                    at, state = key, start()
+                state, value = step(state, *x[len(keys) :])
+                values.append(value)
+            yield frame.assign(**{out: values})
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

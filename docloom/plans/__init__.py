@@ -1 +1,6 @@
+"""Queries of the library's operators, by name."""
 
+from . import documents, queries  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docloom.functions import numbers as N
 from docloom.functions import text as T
 from docloom.operators import ordered, scores
-from docloom.plans.queries import ORACLES, QUERIES
+from docloom.plans import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -30,7 +30,7 @@ def plain(x):
     return x
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, db, name):
     out = QUERIES[name](spark, SF)
     found = db.execute(ORACLES[name])
