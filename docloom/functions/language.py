@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import english_stem
+from .text import english_stem, let
 
 # The letters that tell Vietnamese from other Latin script, and the code blocks of the other scripts.
 VIETNAMESE = "ăâđêôơưĂÂĐÊÔƠƯáàảãạắằẳẵặấầẩẫậéèẻẽẹếềểễệíìỉĩịóòỏõọốồổỗộớờởỡợúùủũụứừửữựýỳỷỹỵ"
@@ -14,7 +14,7 @@ LETTERS = {
     "th": "[\\u0E00-\\u0E7F]",
     "ru": "[\\u0400-\\u052F]",
     "zh": "[\\u4E00-\\u9FFF\\u3400-\\u4DBF\\uF900-\\uFAFF]",
-    "en": f"[\\p{{IsLatin}}&&\\p{{L}}&&[^{VIETNAMESE}]]",
+    "en": "\\p{IsLatin}",
     "vi": f"[{VIETNAMESE}]",
 }
 
@@ -34,24 +34,27 @@ MARKS, SAME_MARKS = "，、；：。！？／｜ㆍ・•‧（）「」『』
 AGREEING = {"을": "를", "이": "가", "은": "는", "과": "와", "으로": "로", "으로써": "로써", "이라": "라"}
 
 
-def letters(text: Column, sample: int = 4000) -> dict[str, Column]:
-    """Letters of each language's script in the first ``sample`` characters; Latin ones are Vietnamese if any is marked so."""
-    head = F.substring(text, 1, sample)
-    n = {k: F.regexp_count(head, F.lit(v)) for k, v in LETTERS.items()}
-    return n | {"vi": F.when(n["vi"] > 0, n["vi"] + n["en"]).otherwise(0), "en": F.when(n["vi"] > 0, 0).otherwise(n["en"])}
+def detect(text: Column, sample: int = 4000) -> Column:
+    """Struct (code, share): the language with the most letters of its script in the first ``sample`` characters.
 
+    Latin letters are Vietnamese if any of them is marked so, else English. On
+    ties the script met first stands, Vietnamese last. A text without letters,
+    or null, gives ('', 0).
+    """
+    none = F.struct(F.lit("").alias("code"), F.lit(0.0).alias("share"))
 
-def detect(text: Column, sample: int = 4000) -> Column:
-    """Struct (code, share): the language with the most letters, the one met first on ties; ('', 0) without letters."""
-    head, n = F.substring(text, 1, sample), letters(text, sample)
-    found = [
-        F.struct(c.alias("n"), (F.lit(-sample - 1) if k == "vi" else -F.regexp_instr(head, F.lit(LETTERS[k]))).alias("place"), F.lit(k).alias("code"))
-        for k, c in n.items()
-    ]
-    top, total = F.array_max(F.array(*found)), sum(n.values(), F.lit(0))
-    return F.when(total > 0, F.struct(top["code"].alias("code"), F.round(top["n"] / total, 4).alias("share"))).otherwise(
-        F.struct(F.lit("").alias("code"), F.lit(0.0).alias("share"))
-    )
+    def count(head: Column) -> Column:
+        n = {k: F.length(F.regexp_replace(head, f"[^{c.strip('[]')}]+", "")) for k, c in LETTERS.items()}
+        return F.struct(head.alias("head"), *[c.alias(k) for k, c in n.items()])
+
+    def pick(c: Column) -> Column:
+        marked = c["vi"] > 0
+        n = {k: c[k] for k in LETTERS} | {"vi": F.when(marked, c["en"]).otherwise(0), "en": F.when(marked, 0).otherwise(c["en"])}
+        place = {k: F.lit(-sample - 1) if k == "vi" else -F.regexp_instr(c["head"], F.lit(shape)) for k, shape in LETTERS.items()}
+        top = F.array_max(F.array(*[F.struct(n[k].alias("n"), F.when(n[k] > 0, place[k]).alias("place"), F.lit(k).alias("code")) for k in LETTERS]))
+        return F.when(sum(n.values(), F.lit(0)) > 0, F.struct(top["code"].alias("code"), F.round(top["n"] / sum(n.values(), F.lit(0)), 4).alias("share")))
+
+    return F.coalesce(let(let(F.substring(text, 1, sample), count), pick), none)
 
 
 def strip_particle(word: Column, least: int = 2) -> Column:
@@ -78,9 +81,18 @@ def is_mark(token: Column) -> Column:
     return ~token.rlike("[\\p{L}\\p{N}\\p{M}]")
 
 
+def raw_tokens(text: Column) -> Column:
+    """Script runs, numbers and marks of a text in order, as they stand."""
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+
+
+def plain(token: Column) -> Column:
+    """A token in lower case, an ASCII word in singular, a mark in one form."""
+    return F.translate(english_stem(token), MARKS, SAME_MARKS)
+
+
 def tokens(text: Column) -> Column:
-    """Script runs, numbers and marks of a text in order; ASCII words in singular, marks in one form."""
-    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.translate(english_stem(t), MARKS, SAME_MARKS))
+    return F.transform(raw_tokens(text), plain)
 
 
 def same_word(found: Column, term: Column, after_digit: Column) -> Column:

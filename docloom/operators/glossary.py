@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.language import is_mark, same_word, strip_ending, strip_particle, tokens, verb_stems
+from ..functions.language import is_mark, plain, raw_tokens, same_word, strip_ending, strip_particle, tokens, verb_stems
 from ..functions.text import let
 from .ordered import scan
 
@@ -61,10 +61,11 @@ def match_terms(texts: DataFrame, key: str, text: str, terms: DataFrame, term: s
         at = F.when(F.size(t) > 0, F.sequence(F.lit(0), F.size(t) - 1))
         return F.filter(F.transform(at, lambda i: F.struct(i.alias("start"), F.slice(t, i + 1, F.lit(REACH)).alias("w"))), lambda x: ~is_mark(F.get(x["w"], F.lit(0))))
 
-    rows = texts.select(F.col(key), F.inline(let(tokens(F.col(text)), windows)))
-    head = F.get("w", F.lit(0))
+    rows = texts.select(F.col(key), F.inline(let(raw_tokens(F.col(text)), windows))).withColumn("_head", plain(F.get("w", F.lit(0))))
+    head = F.col("_head")
     keys = F.array_distinct(F.concat(F.array(head, strip_particle(head), strip_ending(head)), verb_stems(head)))
-    met = rows.withColumn("_first", F.explode(keys)).join(index, "_first").select(key, "start", "term", _length(F.col("w"), F.col("_parts")).alias("n"))
+    near = F.transform(F.slice("w", F.lit(1), F.size("_parts")), plain)  # only where the first word fits
+    met = rows.withColumn("_first", F.explode(keys)).join(index, "_first").select(key, "start", "term", let(near, lambda w: _length(w, F.col("_parts"))).alias("n"))
     found = met.where("n > 0").distinct().select(key, "start", "n", "term")
     out = scan(found, [key], ["start", F.desc("n"), "term"], "_kept", "boolean", lambda: (-1, None), _longest, ["start", "n"])
     return out.where("_kept").drop("_kept")
