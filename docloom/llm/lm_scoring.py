@@ -8,21 +8,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_bytes
+from .shared import drop, materialize, text_bytes
 
 #: Ids are pairs of digits of DIGIT each: frequent words first, then BUCKETS ids that rarer words share by hash.
-DIGIT, BUCKETS = 32, 256
+#: The hash is Spark's ``xxhash64``, so that both sides of the join agree on a word's bucket.
+DIGIT, BUCKETS, HASH_SEED = 32, 256, 42
 VOCAB = DIGIT * DIGIT
 EDGE = VOCAB
 OFFSETS = (-2, -1, 1, 2)
 WIDTH, RATE, SEED, ROUNDS = 24, 0.15, 3, 2
 #: Words in a training step, and in a step of scoring.
 STEP, BATCH = 2048, 8192
-#: Distinct words a task counts before it hands them on, and parameters that one row carries.
+#: Distinct words a task counts before it hands them on (or keeps the ids of), and parameters that one row carries.
 COUNTED, CHUNK = 500_000, 4096
+#: A row's part of a word's log-probability is summed as a whole number of these, so that sums don't depend on their order.
+UNIT = 1e-9
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -47,19 +51,26 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 class Encoder:
-    """Texts to ids: the given words in order, others hashed into the last BUCKETS ids."""
+    """Texts to words and ids: the given words in order, others hashed into the last BUCKETS ids."""
 
     def __init__(self, words: list[str]):
-        self.ids = {w.encode(): i for i, w in enumerate(words)}
+        self.ids = _Ids((w.encode(), i) for i, w in enumerate(words))
 
     def __call__(self, text: bytes) -> np.ndarray:
-        words, get = text.lower().split(), self.ids.get
-        ids = np.fromiter((-1 if (i := get(w)) is None else i for w in words), np.int64, count=len(words))
-        rare = np.flatnonzero(ids < 0)
-        if len(rare):
-            hashes = np.fromiter((xxhash.xxh3_64_intdigest(words[i]) for i in rare.tolist()), np.uint64, count=len(rare))
-            ids[rare] = VOCAB - BUCKETS + (hashes % np.uint64(BUCKETS)).astype(np.int64)
-        return ids
+        return self.encode(text.lower().split())
+
+    def encode(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.ids.__getitem__, words), np.int64, count=len(words))
+
+
+class _Ids(dict):
+    """Ids of the given words; those of other words are kept as they are met, COUNTED of them at most."""
+
+    def __missing__(self, word: bytes) -> int:
+        i = VOCAB - BUCKETS + xxhash.xxh64_intdigest(word, HASH_SEED) % BUCKETS
+        if len(self) < COUNTED:
+            self[word] = i
+        return i
 
 
 SHAPES = {
@@ -183,18 +194,19 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(total / w).astype(np.float32).tobytes()], pa.binary())], ["k", "part"])
 
 
-def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Vocabulary and parameters from all texts of (doc_id, text).
+def train(docs: DataFrame, counts: DataFrame) -> tuple[list[str], np.ndarray, DataFrame]:
+    """Vocabulary and parameters from all texts of (doc_id, text), and (word, share) of every word beyond the vocabulary.
 
-    Words are counted over the whole corpus. Documents are dealt by hash into
-    ``ROUNDS`` parts; in each round every task runs through its share of one
-    part from the same start, and the results are averaged, weighted by words,
-    so every word is trained on once. The driver holds the vocabulary and one
-    set of parameters (about 100,000 numbers), whatever the corpus.
+    ``counts`` holds the words of the whole corpus. Documents are dealt by hash
+    into ``ROUNDS`` parts; in each round every task runs through its share of
+    one part from the same start, and the results are averaged, weighted by
+    words, so every word is trained on once. The driver holds the vocabulary
+    and one set of parameters (about 100,000 numbers), whatever the corpus; the
+    shares stay a table, which grows with the corpus's distinct words.
     """
     spark = docs.sparkSession
-    top = count_words(docs).orderBy(F.desc("n"), "word").limit(VOCAB - BUCKETS)
-    words = [r.word for r in top.collect()]
+    top = counts.orderBy(F.desc("n"), "word").limit(VOCAB - BUCKETS).collect()
+    words = [r.word for r in top]
     shared = spark.sparkContext.broadcast(words)
     flat = Network().flat()
     for r in range(ROUNDS):
@@ -203,26 +215,33 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
         rows = sent.repartition("k").sortWithinPartitions("k", "weight", "part").mapInArrow(_average, "k int, part binary").collect()
         if rows:
             flat = np.concatenate([np.frombuffer(x.part, np.float32) for x in sorted(rows, key=lambda x: x.k)])
-    return words, flat
+    return words, flat, _shares(counts, top)
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, log_likelihood, mean_log_likelihood): one row a row of ``docs``.
+def _shares(counts: DataFrame, top: list) -> DataFrame:
+    """(word, share): the log of a word's part of its bucket's running words; words after ``top`` only."""
+    least, last = (top[-1].n, top[-1].word) if top else (0, "")
+    rare = counts.where((F.col("n") < least) | ((F.col("n") == least) & (F.col("word") > last)))
+    rare = rare.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)))
+    sums = rare.groupBy("bucket").agg(F.sum("n").alias("all"))  # BUCKETS rows
+    return rare.join(sums, "bucket").select("word", F.log(F.col("n") / F.col("all")).alias("share"))
 
-    Each word's log-probability given both its sides, summed over the whole
-    text. Null and empty texts have no words, sum 0 and a null mean. Rows that
-    repeat are scored each, and weigh in training each. An empty table gives an
-    empty table.
-    """
-    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    words, flat = train(kept)
-    spark = docs.sparkSession
-    words, flat = spark.sparkContext.broadcast(words), spark.sparkContext.broadcast(flat)
+
+def _score(network, words):
+    """Each row's words, the sum over them of the network's log-probabilities, and the counts of words that share an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, encode = Network(flat.value), Encoder(words.value)
+        net, encode, key = Network(network.value), Encoder(words.value), TaskContext.get().partitionId() << 40
         for b in batches:
-            texts, sizes, sums = [encode(x) for x in text_bytes(b.column(1))], [], []
+            texts, sizes, sums, rare, often, ends_of = [], [], [], [], [], [0]
+            for x in text_bytes(b.column(1)):
+                split = x.lower().split()
+                ids = encode.encode(split)
+                texts.append(ids)
+                found = Counter(map(split.__getitem__, np.flatnonzero(ids >= VOCAB - BUCKETS).tolist()))
+                rare += found.keys()
+                often += found.values()
+                ends_of.append(len(rare))
             group, held = [], 0
             for i, ids in enumerate(texts):
                 group.append(ids)
@@ -235,10 +254,45 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     sums += (totals[ends] - totals[np.r_[0, ends[:-1]]]).tolist()
                     sizes += [len(x) for x in group]
                     group, held = [], 0
-            mean = [s / n if n else None for s, n in zip(sums, sizes, strict=True)]
+            at = pa.array(ends_of, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(mean, pa.float64())],
-                ["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"],
+                [
+                    pa.array(range(key, key + len(texts)), pa.int64()), b.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()),
+                    pa.ListArray.from_arrays(at, pa.array(rare, pa.binary()).cast(pa.string())), pa.ListArray.from_arrays(at, pa.array(often, pa.int64())),
+                ],
+                ["key", "doc_id", "n_words", "known", "rare", "often"],
             )
+            key += len(texts)
 
-    return kept.mapInArrow(run, "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double")
+    return run
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_words, log_likelihood, mean_log_likelihood): one row a row of ``docs``.
+
+    Each word's log-probability given both its sides, summed over the whole
+    text. A word of the network's vocabulary has the network's probability; any
+    other has its bucket's, times its own part of the bucket's running words in
+    the corpus, so that the probabilities of all words of the corpus add up to
+    1. Those parts come from a table of all words by a join: a word beyond the
+    V most frequent is at most a (V + 1)th of all running words, so that no key
+    of it is hot. Null and empty texts have no words, sum 0 and a null mean.
+    Rows that repeat are scored each, and weigh in training each. An empty
+    table gives an empty table.
+    """
+    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    counts = materialize(count_words(kept), "words")
+    words, flat, shares = train(kept, counts)
+    spark = docs.sparkSession
+    run = _score(spark.sparkContext.broadcast(flat), spark.sparkContext.broadcast(words))
+    scored = materialize(kept.mapInArrow(run, "key long, doc_id long, n_words long, known double, rare array<string>, often array<long>"), "scored")
+    pairs = scored.select("key", F.inline(F.arrays_zip(F.col("rare").alias("word"), F.col("often").alias("n"))))
+    part = F.round(F.col("n") * F.col("share") / UNIT).cast("long")
+    parts = pairs.join(shares, "word").groupBy("key").agg(F.sum(part).alias("part"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("n_words", "long"), ("known", "double"))]
+    both = scored.select("key", "doc_id", "n_words", "known", F.lit(None).cast("long").alias("part")).unionByName(parts.select("key", *none, "part"))
+    sums = both.groupBy("key").agg(*[F.max(c).alias(c) for c in ("doc_id", "n_words", "known", "part")])
+    total = F.col("known") + F.coalesce(F.col("part"), F.lit(0)) * UNIT
+    out = materialize(sums.select("doc_id", "n_words", total.alias("log_likelihood"), F.nullif("n_words", F.lit(0)).alias("_n")), "likelihood")
+    drop(counts, scored)
+    return out.select("doc_id", "n_words", "log_likelihood", (F.col("log_likelihood") / F.col("_n")).alias("mean_log_likelihood"))

@@ -1,5 +1,6 @@
 """Rules, classifier, token files, mixing, chats, language model, decontamination and the pipeline."""
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -173,6 +174,27 @@ def test_language_model_prefers_seen_order(spark, none):
     assert score_documents(none).count() == 0
 
 
+def test_rare_words_have_their_own_probability(spark):
+    from collections import defaultdict
+
+    import xxhash
+
+    from docloom.llm.lm_scoring import BUCKETS
+
+    bucket, by_bucket = lambda w: xxhash.xxh64_intdigest(w.encode(), 42) % BUCKETS, defaultdict(list)
+    for i in range(3000):
+        by_bucket[bucket(f"rare{i}")].append(f"rare{i}")
+    often, once = next(ws for ws in by_bucket.values() if len(ws) > 1)[:2]
+    known = " ".join(f"known{i}" for i in range(VOCAB - BUCKETS))
+    rows = [(i, known) for i in range(60)] + [(100, f"known1 {often} known2"), (101, f"known1 {once} known2"), (None, f"known1 {once} known2"), (102, (often + " ") * 48), (103, "")]
+    got = {(r.doc_id, r.n_words): r for r in score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
+    gap = got[100, 3].log_likelihood - got[101, 3].log_likelihood
+    assert gap == pytest.approx(math.log(49 / 2), abs=1e-5)  # both have one bucket: only their counts tell them apart
+    assert got[None, 3].log_likelihood == pytest.approx(got[101, 3].log_likelihood, abs=1e-5) and len(got) == 65
+    hashed = spark.createDataFrame([(w,) for w in ("a", "ü", "日本", "x" * 99)], "w string").select("w", F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b"))
+    assert all(r.b == bucket(r.w) for r in hashed.collect())
+
+
 def shingles(text):
     w = WORDS.findall((text or "").lower())
     return {" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
