@@ -34,8 +34,8 @@ MARKS, SAME_MARKS = "，、；：。！？／｜ㆍ・•‧（）「」『』
 AGREEING = {"을": "를", "이": "가", "은": "는", "과": "와", "으로": "로", "으로써": "로써", "이라": "라"}
 
 
-def detect(text: Column, sample: int = 4000) -> Column:
-    """Struct (code, share): the language with the most letters of its script in the first ``sample`` characters.
+def detect(text: Column, sample: int | None = None) -> Column:
+    """Struct (code, share): the language with the most letters of its script, in the first ``sample`` characters if given.
 
     Latin letters are Vietnamese if any of them is marked so, else English. On
     ties the script met first stands, Vietnamese last. A text without letters,
@@ -50,11 +50,11 @@ def detect(text: Column, sample: int = 4000) -> Column:
     def pick(c: Column) -> Column:
         marked = c["vi"] > 0
         n = {k: c[k] for k in LETTERS} | {"vi": F.when(marked, c["en"]).otherwise(0), "en": F.when(marked, 0).otherwise(c["en"])}
-        place = {k: F.lit(-sample - 1) if k == "vi" else -F.regexp_instr(c["head"], F.lit(shape)) for k, shape in LETTERS.items()}
+        place = {k: -F.length(c["head"]) - 1 if k == "vi" else -F.regexp_instr(c["head"], F.lit(shape)) for k, shape in LETTERS.items()}
         top = F.array_max(F.array(*[F.struct(n[k].alias("n"), F.when(n[k] > 0, place[k]).alias("place"), F.lit(k).alias("code")) for k in LETTERS]))
         return F.when(sum(n.values(), F.lit(0)) > 0, F.struct(top["code"].alias("code"), F.round(top["n"] / sum(n.values(), F.lit(0)), 4).alias("share")))
 
-    return F.coalesce(let(let(F.substring(text, 1, sample), count), pick), none)
+    return F.coalesce(let(let(text if sample is None else F.substring(text, 1, sample), count), pick), none)
 
 
 def strip_particle(word: Column, least: int = 2) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .queries import PAIRS, W, _pairs
-from .registry import query, table
+from .registry import ORACLES, query, table
 
 VI = "[ăâđêôơưĂÂĐÊÔƠƯáàảãạắằẳẵặấầẩẫậéèẻẽẹếềểễệíìỉĩịóòỏõọốồổỗộớờởỡợúùủũụứừửữựýỳỷỹỵ]"
 SENTENCES = "list_filter(list_transform(string_split(regexp_replace(regexp_replace({0}, '([.!?])[ \\t\\r\\f\\x0B]+', '\\1' || chr(10), 'g'), '([다요]\\.)', '\\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '')"
@@ -26,6 +26,13 @@ def _lines(spark, sf_dir) -> DataFrame:
 def detect_language(spark, sf_dir):
     from ..functions.language import detect
 
+    return table(spark, sf_dir, "documents").select("doc_id", detect(F.col("text"), 4000).alias("d")).select("doc_id", "d.*")
+
+
+@query(ORACLES["detect_language"].replace("substr(text, 1, 4000)", "text"))
+def detect_language_whole(spark, sf_dir):
+    from ..functions.language import detect
+
     return table(spark, sf_dir, "documents").select("doc_id", detect(F.col("text")).alias("d")).select("doc_id", "d.*")
 
 
