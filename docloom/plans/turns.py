@@ -85,3 +85,33 @@ def turn_fallback_rate(spark, sf_dir):
 
     lines = lambda c: F.size(F.split(c, "\n"))
     return fallback_rate(turn_pairs(spark, sf_dir).select(lines("a").alias("i"), lines("b").alias("o"), (F.col("b") == "").alias("f")), "i", "o", "f")
+
+
+@query(f"""WITH {TURN_PAIRS}, t AS (SELECT pair, split_part(pair, '/', 1) AS conv, split_part(pair, '/', 2)::BIGINT AS turn, trim(a) AS a, trim(b) AS b, length(b) % 3 > 0 AS ok, regexp_replace(lower(a), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS q FROM pairs),
+  f AS (SELECT *, min(turn) FILTER (ok AND q <> '' AND a <> '' AND b <> '') OVER (PARTITION BY conv, q) AS first FROM t)
+  SELECT pair, CASE WHEN a = '' OR b = '' THEN 'schema' WHEN q = '' OR turn > first THEN 'duplicate' WHEN NOT ok THEN 'ungrounded' END AS reason FROM f""")
+def turn_adopted_items(spark, sf_dir):
+    """Whole user turns as questions, the assistant's as answers; duplicates are found within a conversation."""
+    from ..operators.guards import adopt
+
+    part = lambda i: F.split_part("pair", F.lit("/"), F.lit(i))
+    t = turn_pairs(spark, sf_dir).select("pair", part(1).alias("conv"), part(2).cast("long").alias("turn"), F.col("a").alias("question"), F.col("b").alias("answer"), F.col("b").alias("evidence"))
+    return adopt(t.withColumn("ok", F.length("answer") % 3 > 0), "conv", "turn", "ok").select("pair", "reason")
+
+
+@query(ORACLES["verb_stems"].replace(" WHERE lang = 'en'", ""))
+def verb_stems_all(spark, sf_dir):
+    """``verb_stems`` over documents of any language or none."""
+    from ..functions.language import verb_stems
+
+    words = lambda t: table(spark, sf_dir, t).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    return words("benchmark").unionByName(words("documents")).distinct().select("word", F.array_join(verb_stems(F.col("word")), " ").alias("stems"))
+
+
+@query(ORACLES["glossary_compliance"].replace(" WHERE lang = 'en'", ""))
+def glossary_compliance_all(spark, sf_dir):
+    """``glossary_compliance`` against documents of any language or none."""
+    words = lambda t, *key: table(spark, sf_dir, t).select(*key, F.explode(F.split(F.lower("text"), " ")).alias("w")).distinct()
+    n, hit = F.count(F.lit(1)), F.count("hit")
+    met = words("benchmark", "item_id").join(words("documents").withColumn("hit", F.lit(1)), "w", "left")
+    return met.groupBy("item_id").agg(n.alias("n_terms"), hit.alias("applied"), F.coalesce(F.round(hit / F.nullif(n, F.lit(0)), 4), F.lit(1.0)).alias("compliance"))
