@@ -19,6 +19,8 @@ from .shared import KEY, drop, materialize, row_key, text_bytes
 BITS, RADIUS, SEED = 64, 3, 42
 #: A bucket of up to so many fingerprints is compared as a whole; a larger one is split by further masks.
 BUCKET = 512
+#: Name of the column that holds a text's hash while rows are chosen.
+HASH = "_docloom_hash"
 LEVELS = 4
 
 
@@ -65,16 +67,19 @@ def fingerprint(text: bytes, ngram: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 3) -> DataFrame:
-    """(doc_id, fp): one row a row of ``docs``, fp the SimHash as a signed long. Null and blank texts give 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 3, more: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, more, fp): one row a row of ``docs``, fp the SimHash as a signed long. Null and blank texts give 0.
+
+    ``more`` are long columns to keep.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(x, ngram) for x in text_bytes(b.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
+            fps = np.array([fingerprint(x, ngram) for x in text_bytes(b.column(b.num_columns - 1))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps)], ["doc_id", *more, "fp"])
 
-    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return kept.mapInArrow(run, "doc_id long, fp long")
+    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), *more, F.col(text_col).cast("string").alias("text"))
+    return kept.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", *more, "fp")))
 
 
 def _components_of(fps: np.ndarray) -> np.ndarray:
@@ -157,26 +162,17 @@ def _link_buckets(last: bool):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of ``docs``: texts whose fingerprints chain within 3 bits.
+def _linked(prints: DataFrame) -> DataFrame:
+    """(node, component): fingerprints that chain within 3 bits with others, and the smallest of their chain.
 
-    Equal fingerprints count as one node from the start (a copy group of any
-    size is one row), named by its smallest doc_id. Fifteen masks put each node
-    in fifteen buckets; every pair within three bits meets in one of them. A
-    bucket of over ``BUCKET`` nodes is passed on row by row, never held, and
-    split by a further covering family on top of its mask, until at the last
-    level so few free bits remain that a bucket is small by construction.
-    Within a bucket only the links of a spanning forest are kept.
-
-    Null or blank texts have fingerprint 0 and are linked like any other; rows
-    with the same doc_id stay separate rows; a null doc_id never names a
-    component unless its whole component has none, then component_id is null.
-    An empty table gives an empty table.
+    Fifteen masks put each node in fifteen buckets; every pair within three
+    bits meets in one of them. A bucket of over ``BUCKET`` nodes is passed on
+    row by row, never held, and split by a further covering family on top of
+    its mask, until at the last level so few free bits remain that a bucket is
+    small by construction. Within a bucket only the links of a spanning forest
+    are kept.
     """
-    prints = materialize(fingerprints(docs, id_col, text_col, ngram), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    named = nodes.where("rep is not null")
-    rows = named.select(F.lit(0).cast("long").alias("mask"), "fp", "rep")
+    rows = prints.select("fp").distinct().select(F.lit(0).cast("long").alias("mask"), "fp", F.col("fp").alias("rep"))
     found, spent = None, []
     for level in range(LEVELS):
         masks = F.array(*[F.lit(m).cast("long") for m in covering_masks(level)])
@@ -198,8 +194,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
     groups = connected_components(found)
     drop(*spent)
-    classes = nodes.join(groups, nodes.rep == groups.node, "left").select(
-        F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id")
+    return groups
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 3) -> DataFrame:
+    """(doc_id, fp, component_id) for each row of ``docs``: texts whose fingerprints chain within 3 bits.
+
+    Each fingerprint is one node from the start (a copy group of any size is
+    one row); a component has the name of its smallest doc_id. Null or blank
+    texts have fingerprint 0 and are linked like any other; rows with the same
+    doc_id stay separate rows, and join no components. A row without doc_id is
+    linked like any other; component_id is null only if its whole component
+    has none. An empty table gives an empty table.
+    """
+    prints = materialize(fingerprints(docs, id_col, text_col, ngram), "fingerprints")
+    groups = _linked(prints)
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    met = nodes.join(groups, nodes.fp == groups.node).select("fp", "rep", "component")
+    names = met.groupBy("component").agg(F.min("rep").alias("name"))
+    named = met.join(names, "component").select(F.col("fp").alias("_node"), F.col("name"), F.lit(True).alias("_met"))
+    classes = nodes.join(named, nodes.fp == F.col("_node"), "left").select(
+        F.col("fp").alias("_fp"), F.when(F.col("_met"), F.col("name")).otherwise(F.col("rep")).alias("component_id")
     )
     return prints.join(classes, prints.fp == F.col("_fp")).select("doc_id", "fp", "component_id")
 
@@ -212,9 +227,14 @@ def hex_fingerprint(fp):
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one of smallest id. Columns stay as they are.
 
-    Of rows that share that id one stays. A row without an id stays if no row
-    with one is in its group, and of several such rows one does.
+    Of rows of a group that share that id the one of smallest text hash stays;
+    rows of one id in different groups are chosen apart. A row without an id
+    stays if no row with one is in its group, and of several such rows one does.
     """
-    keyed = docs.withColumn(KEY, row_key(docs[id_col], docs[text_col]))
-    keep = near_duplicates(keyed, KEY, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(KEY)).distinct()
-    return keyed.join(keep, KEY, "left_semi").dropDuplicates([KEY]).select(*docs.columns)
+    text = F.col(text_col).cast("string")
+    keyed = docs.withColumns({KEY: row_key(docs[id_col], docs[text_col]), HASH: F.xxhash64(text)})
+    prints = materialize(fingerprints(keyed, KEY, text_col, more=(HASH,)), "fingerprints")
+    groups = _linked(prints)
+    rows = prints.join(groups, prints.fp == groups.node, "left").groupBy(F.coalesce("component", "fp").alias("_group"))
+    keep = rows.agg(F.min(F.struct(F.col("doc_id").alias(KEY), HASH)).alias("k")).select("k.*")
+    return keyed.join(keep, [KEY, HASH], "left_semi").dropDuplicates([KEY, HASH]).select(*docs.columns)

@@ -151,3 +151,18 @@ def test_digest_matches_text(docs):
 
     r = remove_repeats(docs).select("kept_text", F.sha2("kept_text", 256).alias("d")).first()
     assert r.d == hashlib.sha256(r.kept_text.encode()).hexdigest()
+
+
+def test_nodes_are_fingerprints_not_ids(spark, monkeypatch):
+    import docloom.llm.simhash as module
+
+    rows = [(1, 0b0), (None, 0b111), (2, 0b111111), (7, 1 << 40 | 0xFFFF << 20), (7, 0xFFFFFFF << 30), (None, 0xFFFFFF << 8)]
+    table = spark.createDataFrame(rows, "doc_id long, fp long")
+    with monkeypatch.context() as m:
+        m.setattr(module, "fingerprints", lambda *a: table)
+        got = sorted(((r.doc_id or 0, r.fp), r.component_id) for r in near_duplicates(table).collect())
+    want = {0b0: 1, 0b111: 1, 0b111111: 1, 1 << 40 | 0xFFFF << 20: 7, 0xFFFFFFF << 30: 7, 0xFFFFFF << 8: None}
+    assert got == sorted(((i or 0, f), want[f]) for i, f in rows)
+    texts = [" ".join(f"{p}{i}" for i in range(80)) for p in "abc"]
+    docs = spark.createDataFrame([(1, texts[0]), (5, texts[0]), (5, texts[1]), (5, texts[2]), (5, texts[2])], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in deduplicate(docs).collect()) == [(1, texts[0]), (5, texts[1]), (5, texts[2])]
