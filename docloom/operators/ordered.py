@@ -87,8 +87,9 @@ def first_of_equal(rows: DataFrame, key: str, same: str) -> DataFrame:
     """Each row's representative (smallest key of rows with equal ``same``) and how many there are.
 
     Groups are found on a hash of the value, and sums come before the shuffle.
+    Null values are one group.
     """
-    mark = F.sha2(same, 256)
+    mark = F.coalesce(F.sha2(same, 256), F.lit(""))
     groups = rows.groupBy(mark.alias("_h")).agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n_same"))
     return rows.select(key, mark.alias("_h")).join(groups, "_h").select(key, "first", "n_same")
 

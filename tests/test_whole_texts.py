@@ -3,9 +3,15 @@
 from pyspark.sql import functions as F
 
 from docloom.functions import language as L
+from docloom.operators import ordered
 
 
 def test_languages_of_whole_texts(spark):
     row = spark.createDataFrame([("word " * 1000 + "한글 " * 4000,)], "x string")
     got = row.select(L.detect(F.col("x")).alias("d"), L.detect(F.col("x"), 4000).alias("h")).first()
     assert (got.d.code, got.d.share) == ("ko", 0.6667) and got.h.code == "en"
+
+
+def test_null_texts_are_a_group(spark):
+    rows = spark.createDataFrame([(1, None), (2, "a"), (3, None), (4, "")], "id long, x string")
+    assert sorted(map(tuple, ordered.first_of_equal(rows, "id", "x").collect())) == [(1, 1, 2), (2, 2, 1), (3, 1, 2), (4, 4, 1)]
