@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,10 +18,17 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset a session on one machine takes a folder of its own; on a
+    cluster, where executors would each write to their own disk, that is an
+    error.
+    """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="docloom-")
         sc.setCheckpointDir(base)
     return base.rstrip("/")
@@ -45,8 +54,7 @@ def materialize(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(*by) if by else writer).parquet(path)
     finally:
-        if before is not None:
-            spark.conf.set(CLEANUP, before)
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -106,6 +114,23 @@ def prefix_sums(df: DataFrame, group: list[str], order: list[str], value: str, o
     )
 
 
+#: Bytes of text that a task turns into Python objects at once; a longer text comes alone.
+SLICE = 1 << 21
+
+
+def slices(batch, column: int, limit: int = SLICE) -> Iterator:
+    """An Arrow batch in pieces of at most ``limit`` bytes of the given text column, one row at least."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        done = int(ends[at - 1]) if at else 0
+        to = max(int(np.searchsorted(ends, done + limit, "right")), at + 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def text_bytes(column) -> list[bytes]:
     """An Arrow string column as bytes; nulls are empty."""
     import pyarrow as pa

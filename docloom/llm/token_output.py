@@ -8,22 +8,56 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, scratch_path
+from .shared import materialize, scratch_path, slices
 
 SEQUENCE, ROWS, END_ID = 2048, 256, 2
-#: Words kept per worker process: id bytes of those met so far, in two generations of so many each.
-CACHE = 600_000
+#: Bytes of text that one file is meant to hold.
+PER_FILE = 32 << 20
+#: Words whose ids a task keeps (about 30 bytes each), and characters of a text that are cut into words at once.
+KEPT, PIECE = 1 << 20, 1 << 20
 
 #: Unicode White_Space, which is what \s means to the tokenizer (Python's \s also takes 1C to 1F).
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+_CUT = re.compile(f"(?<=[^{_WS}]) (?=[^{_WS}])")
 _SPACES = frozenset(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _RARE = re.compile("[\\t\\x0b-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 
 
+class _Known:
+    """Ids of words met so far, in arrays: a sorted 64-bit hash, 64 more bits to be sure, and a place among the ids."""
+
+    def __init__(self, dtype: np.dtype):
+        self.hash, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, dtype)
+
+    def find(self, hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """Places of the words, -1 for those not met."""
+        if not len(self.hash):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
+        return np.where((self.hash[at] == hashes) & (self.check[at] == checks), at, -1)
+
+    def add(self, hashes: np.ndarray, checks: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        if len(self.hash) + len(hashes) > KEPT:
+            self.__init__(self.ids.dtype)
+        self.hash, self.check = np.r_[self.hash, hashes], np.r_[self.check, checks]
+        self.start = np.r_[self.start, len(self.ids) + np.cumsum(sizes) - sizes]
+        self.size, self.ids = np.r_[self.size, sizes.astype(np.int32)], np.r_[self.ids, ids]
+        order = np.argsort(self.hash, kind="stable")
+        self.hash, self.check, self.start, self.size = (x[order] for x in (self.hash, self.check, self.start, self.size))
+
+
+def _gather(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs ``ids[start : start + size]`` one after the other."""
+    ends = np.cumsum(sizes)
+    return ids[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Encoder:
     """A byte-level BPE of the tokenizers library, with its results kept word by word.
 
@@ -31,7 +65,8 @@ class Encoder:
     non-spaces with the one space before it), so the ids of a text are those of
     its words and space runs in order, and a word met before need not be
     encoded again. Texts that hold an added token's string, and tokenizers of
-    another kind, are encoded whole.
+    another kind, are encoded whole. An encoder belongs to one task and keeps
+    at most ``KEPT`` words.
     """
 
     def __init__(self, path: str):
@@ -49,31 +84,30 @@ class Encoder:
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known = _Known(self.dtype)
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.dtype).tobytes() for x in found]
+        return [np.array(x.ids, self.dtype) for x in found]
 
-    def _unseen(self, words: list[str]) -> list[bytes]:
-        """Ids of words: joined by newlines, which no word holds and which are a token each, then cut there."""
-        out: list[bytes] = []
+    def _unseen(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of words: joined by newlines, which no word holds and which are a token each, then cut there."""
+        sizes, every = [np.zeros(0, np.int64)], [np.zeros(0, self.dtype)]
         for at in range(0, len(words), 5000):
             some = words[at : at + 5000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, self.dtype)
+            ids = self._whole(["\n".join(some)])[0]
             cuts = np.flatnonzero(ids == self.newline[0]) if len(self.newline) == 1 else ()
             if len(cuts) == len(some) - 1:
-                raw, size = ids.tobytes(), self.dtype.itemsize
-                out += [raw[a * size : b * size] for a, b in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True)]
+                sizes.append(np.diff(np.r_[-1, cuts, len(ids)]) - 1)
+                every.append(np.delete(ids, cuts))
             else:
-                out += self._whole(some)
-        return out
+                found = self._whole(some)
+                sizes.append(np.array([len(x) for x in found], np.int64))
+                every += found
+        return np.concatenate(sizes), np.concatenate(every)
 
     def _words(self, text: str) -> list[str] | None:
         """Keys of a text's pieces: NUL + a word with no space before it, a word with one, or a space run."""
-        if "\0" in text or any(x in text for x in self.added):
-            return None
         if not text:
             return []
         plain = not (text[0].isspace() or text[-1].isspace() or "  " in text or " \n" in text or "\n " in text)
@@ -81,30 +115,60 @@ class Encoder:
             return ("\0" + text.replace("\n", " \n \0")).split(" ")
         return [x[1:] if x[0] == " " and len(x) > 1 and x[1] not in _SPACES else x if x[0] in _SPACES else "\0" + x for x in _CHUNK.findall(text)]
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian bytes of ``dtype``."""
-        keys = [self._words(x) if self.by_word else None for x in texts]
-        if len(self.new) > CACHE:
-            self.old, self.new = self.new, {}
-        missing = set().union(*(k for k in keys if k)).difference(self.new)
-        known = {w: self.old[w] for w in missing if w in self.old} if self.old else {}
-        self.new.update(known)
-        unseen = [w for w in missing if w not in known]
-        spaces = [w for w in unseen if w[0] in _SPACES]
-        unseen = [w for w in unseen if w[0] not in _SPACES]
-        self.new.update(zip(spaces, self._whole(spaces), strict=True))
-        self.new.update(zip(unseen, self._unseen([w[1:] if w[0] == "\0" else " " + w for w in unseen]), strict=True))
-        get = self.new.__getitem__
-        return [self._whole([x])[0] if k is None else b"".join(map(get, k)) for x, k in zip(texts, keys, strict=True)]
-
-
-_ENCODERS: dict[str, Encoder] = {}
+    def _ids_of(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of the pieces with these keys."""
+        both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, keys)), np.uint64).reshape(-1, 2)
+        hashes, first, places = np.unique(both[:, 0], return_index=True, return_inverse=True)
+        checks = both[first, 1]
+        at = self.known.find(hashes, checks)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            words = [keys[i] for i in first[new].tolist()]
+            space = np.array([w[0] in _SPACES for w in words])
+            some = self._whole([w for w, s in zip(words, space, strict=True) if s])
+            sizes, ids = self._unseen([w[1:] if w[0] == "\0" else " " + w for w, s in zip(words, space, strict=True) if not s])
+            order = np.r_[np.flatnonzero(~space), np.flatnonzero(space)]
+            sizes = np.r_[sizes, np.array([len(x) for x in some], np.int64)]
+            self.known.add(hashes[new][order], checks[new][order], sizes, np.concatenate([ids, *some]))
+            at = self.known.find(hashes, checks)
+            if (at < 0).any():  # older words made room
+                return self._ids_of(keys)
+        at = at[places]
+        return self.known.size[at], _gather(self.known.ids, self.known.start[at], self.known.size[at].astype(np.int64))
+
+    def encode(self, text: str) -> list[np.ndarray]:
+        return self.encode_batch([text])[0]
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        out: list = [None] * len(texts)
+        keys, owners = [], []
+        for i, text in enumerate(texts):
+            if not self.by_word or "\0" in text or any(x in text for x in self.added):
+                out[i] = self._whole([text])[0]
+            elif len(text) > PIECE:
+                out[i] = np.concatenate([self._ids_of(self._words(x))[1] for x in _pieces(text)])
+            else:
+                words = self._words(text)
+                keys += words
+                owners.append((i, len(words)))
+        sizes, ids = self._ids_of(keys) if keys else (np.zeros(0, np.int32), np.zeros(0, self.dtype))
+        ends = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+        at = 0
+        for i, n in owners:
+            out[i] = ids[ends[at] : ends[at + n]]
+            at += n
+        return out
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def _pieces(text: str) -> Iterator[str]:
+    """A long text in pieces that end before a single space between two words."""
+    at = 0
+    while at < len(text):
+        found = _CUT.search(text, at + PIECE)
+        to = found.start() if found else len(text)
+        yield text[at:to]
+        at = to
 
 
 def _file(uri: str):
@@ -115,11 +179,12 @@ def _file(uri: str):
 
 def _schema(dtype: np.dtype, length: int) -> pa.Schema:
     ids = pa.list_(pa.from_numpy_dtype(dtype), length)
-    return pa.schema([("input_ids", ids), ("mask", pa.list_(pa.bool_(), length))])
+    # a byte an item: bits couldn't be handed out as a numpy view
+    return pa.schema([("input_ids", ids), ("mask", pa.list_(pa.uint8(), length))])
 
 
 class SequenceWriter:
-    """Appends id arrays to a stream file, cut into sequences; only the last may be padded (mask false)."""
+    """Appends id arrays to a stream file, cut into sequences; only the last may be padded (mask 0)."""
 
     def __init__(self, sink, dtype: np.dtype, length: int, rows: int):
         self.schema, self.dtype, self.length, self.rows = _schema(dtype, length), dtype, length, rows
@@ -138,7 +203,7 @@ class SequenceWriter:
             self.held = len(self.parts[0])
 
     def _batch(self, ids: np.ndarray, real: int) -> None:
-        mask = np.arange(len(ids)) < real
+        mask = (np.arange(len(ids)) < real).astype(np.uint8)
         arrays = [
             pa.FixedSizeListArray.from_arrays(pa.array(x), type=t)
             for x, t in ((np.ascontiguousarray(ids, self.dtype), self.schema.types[0]), (mask, self.schema.types[1]))
@@ -153,11 +218,12 @@ class SequenceWriter:
 
 
 class Sequences:
-    """Random access to a written file: ``s[i]`` is (ids, mask) of sequence i, a view of the mapped file.
+    """Random access to a written file: ``s[i]`` is (ids, mask) of sequence i, both views of the mapped file.
 
     All batches but the last hold the same number of sequences, so a
-    sequence's batch follows from its number. Local files are memory mapped;
-    others are read through their file system.
+    sequence's batch follows from its number. Local files are memory mapped,
+    so only what is asked for is read; a file of another file system, which
+    holds about ``PER_FILE`` bytes of text, is read whole.
     """
 
     def __init__(self, uri: str):
@@ -165,14 +231,30 @@ class Sequences:
         source = pa.memory_map(path) if filesystem.type_name == "local" else filesystem.open_input_file(path)
         self.batches = list(pa.ipc.open_stream(source))
         self.rows = self.batches[0].num_rows if self.batches else 1
+        self.length = self.batches[0].schema.types[0].list_size if self.batches else 1
+        self.flat = [tuple(b.column(i).flatten().to_numpy() for i in range(2)) for b in self.batches]
 
     def __len__(self) -> int:
         return sum(b.num_rows for b in self.batches)
 
     def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        batch, at = self.batches[i // self.rows], i % self.rows
-        ids, mask = batch.column(0)[at].values, batch.column(1)[at].values
-        return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
+        if not 0 <= i < len(self):
+            raise IndexError(i)
+        at = i % self.rows * self.length
+        return tuple(x[at : at + self.length] for x in self.flat[i // self.rows])
+
+    def n_tokens(self) -> int:
+        """Ids that aren't padding, by the masks."""
+        return sum(int(mask.sum(dtype=np.int64)) for _, mask in self.flat)
+
+    def tokens(self, start: int, stop: int) -> Iterator[np.ndarray]:
+        """Ids ``start`` to ``stop`` of the file in views, one for each batch they touch."""
+        block = self.rows * self.length
+        while start < stop:
+            k, at = divmod(start, block)
+            to = min(at + stop - start, block)
+            yield self.flat[k][0][at:to]
+            start += to - at
 
 
 def _write(folder: str, path: str, end_id: int, length: int, rows: int):
@@ -182,7 +264,7 @@ def _write(folder: str, path: str, end_id: int, length: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, context = encoder(path), TaskContext.get()
+        encode, context = Encoder(path), TaskContext.get()
         part, end = context.partitionId(), np.array([end_id], encode.dtype)
         filesystem, base = _file(folder)
         filesystem.create_dir(base, recursive=True)
@@ -194,10 +276,10 @@ def _write(folder: str, path: str, end_id: int, length: int, rows: int):
             index = pa.ipc.new_stream(index_sink, index_schema)
             for b in batches:
                 sizes = []
-                for at in range(0, b.num_rows, 512):
-                    for raw in encode.encode_batch([x or "" for x in b.column(1).slice(at, 512).to_pylist()]):
-                        ids = np.frombuffer(raw, encode.dtype)
-                        writer.write(np.concatenate([ids, end]))
+                for part_of in slices(b, 1):
+                    for ids in encode.encode_batch([x or "" for x in part_of.column(1).to_pylist()]):
+                        writer.write(ids)
+                        writer.write(end)
                         sizes.append(len(ids) + 1)
                 columns = [b.column(0).cast(pa.int64()), pa.array(sizes, pa.int64())]
                 index.write_batch(pa.RecordBatch.from_arrays(columns, schema=index_schema))
@@ -231,15 +313,18 @@ def write_tokens(
     ``rows`` sequences, two fixed-size-list columns of ``length`` items each,
     ``input_ids`` and ``mask``, plus a small index file with each document's
     id and length. Files are written under a task's own name and then renamed,
-    so a retried task leaves one whole file. The manifest (path, n_docs,
-    n_tokens, base: tokens in all files before) holds one row a file.
+    so a retried task leaves one whole file. A file is made of about
+    ``PER_FILE`` bytes of text, so that the manifest (path, n_docs, n_tokens,
+    base: tokens in all files before) is one small row for each 32 MB; only
+    over it the running sum is taken, in one task.
 
     Null and empty texts are the end id alone. Null ids come first. Rows with
     the same id are all written, in no fixed order. An empty table gives an
     empty manifest.
     """
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    dealt = kept.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    chars = kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = kept.repartitionByRange(chars // PER_FILE + 1, "doc_id").sortWithinPartitions("doc_id")
     written = dealt.mapInArrow(
         _write(folder, tokenizer, end_id, length, rows), "part long, path string, n_docs long, n_tokens long"
     )
@@ -251,46 +336,34 @@ def write_tokens(
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
     for b in batches:
-        for path, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            filesystem, place = _file(path + ".arrow")
-            local = filesystem.type_name == "local"
-            source = pa.memory_map(place) if local else filesystem.open_input_stream(place)
-            ids_left = _ids(pa.ipc.open_stream(source))
+        for path, base, total in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            sequences, at = Sequences(path + ".arrow"), 0
+            if sequences.n_tokens() != total:
+                raise ValueError(f"{path} holds {sequences.n_tokens()} ids, not {total}")
             filesystem, place = _file(path + ".index")
-            held = np.zeros(0, np.uint16)
             with filesystem.open_input_stream(place) as index_source:
                 for index in pa.ipc.open_stream(index_source):
-                    sizes, crcs = index.column(1).to_pylist(), []
-                    for size in sizes:
+                    sizes = index.column(1).to_numpy()
+                    starts, crcs = at + np.cumsum(sizes) - sizes, []
+                    for start, size in zip(starts.tolist(), sizes.tolist(), strict=True):
                         crc = 0
-                        while size:
-                            if not len(held):
-                                held = next(ids_left)
-                            piece, held = held[:size], held[size:]
-                            crc = zlib.crc32(piece.astype("<u4").tobytes(), crc)
-                            size -= len(piece)
+                        for piece in sequences.tokens(start, start + size):
+                            crc = zlib.crc32(piece.astype("<u4"), crc)
                         crcs.append(crc)
-                    starts = base + np.cumsum([0, *sizes])[:-1]
-                    base += sum(sizes)
-                    columns = [index.column(0), pa.array(starts, pa.int64()), index.column(1), pa.array(crcs, pa.int64())]
+                    at += int(sizes.sum())
+                    columns = [index.column(0), pa.array(base + starts), index.column(1), pa.array(crcs, pa.int64())]
                     yield pa.RecordBatch.from_arrays(columns, names)
 
 
-def _ids(stream) -> Iterator[np.ndarray]:
-    """The real ids of each batch of a file, one after the other."""
-    for batch in stream:
-        ids = batch.column(0).flatten().to_numpy()
-        mask = batch.column(1).flatten()
-        n = mask.true_count
-        if n:
-            yield ids[:n]
-
-
 def read_tokens(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document, read back from the files of a manifest."""
-    spark = manifest.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    files = manifest.select("path", "base").repartition(n, "path")
+    """(doc_id, start, n_tokens, ids_crc32) of each document, read back from the files of a manifest.
+
+    A document's ids are looked up by their place in the file's sequences,
+    through ``Sequences``. A file whose masks don't count as many ids as its
+    index is an error. Null ids come back null; an empty manifest gives an
+    empty table.
+    """
+    files = manifest.select("path", "base", "n_tokens").repartition(max(manifest.count(), 1), "path")
     return files.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
