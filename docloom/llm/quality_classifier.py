@@ -5,16 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import drop, materialize, text_bytes
+from .shared import drop, materialize, slices, text_bytes
 
 FEATURES, SEED, RIDGE, BANDWIDTH = 128, 7, 1.0, 4.0
 BINS, LOW, HIGH = 400, -0.5, 1.5
 THRESHOLD, FOLDS = 0.3, 5
+#: Labelled documents that a fit takes at most (16 bytes each are broadcast): those of least hash of their id.
+MAX_LABELLED = 100_000
 
 _CLASSES = [b"#*$%&|<>", b"|", b"!", b"?", b".", b",", b"\n", b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"@", b"/:_=;", b"()[]{}\"'"]
 _MASKS = np.array([[c in bytes(k) for c in range(256)] for k in _CLASSES] + [[c >= 128 for c in range(256)]], np.float64)
@@ -46,17 +47,21 @@ def statistics(text: bytes) -> np.ndarray:
     return np.r_[np.sqrt(shares / n), rest]
 
 
-def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, stats): the statistics of each row of ``docs``."""
+def _all_statistics(texts: list[bytes]) -> np.ndarray:
+    return np.array([statistics(t) for t in texts]).reshape(-1, N_STATS)
+
+
+def document_statistics(docs: DataFrame) -> DataFrame:
+    """(doc_id, stats, label, fold): the statistics of each row of (doc_id, text, label, fold)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.array([statistics(t) for t in text_bytes(b.column(1))]).reshape(-1, N_STATS)
-            stats = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * N_STATS, pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), stats], ["doc_id", "stats"])
+        for batch in batches:
+            for b in slices(batch, 1):
+                x = _all_statistics(text_bytes(b.column(1)))
+                stats = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * N_STATS, pa.int32()), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0), stats, *b.columns[2:]], ["doc_id", "stats", "label", "fold"])
 
-    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return kept.mapInArrow(run, "doc_id long, stats array<double>")
+    return docs.mapInArrow(run, "doc_id long, stats array<double>, label double, fold long")
 
 
 def fold_of(doc_id: Column, folds: int = FOLDS) -> Column:
@@ -160,15 +165,36 @@ def fit(labelled: DataFrame) -> Model:
     return model
 
 
-def fit_labels(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[Model, DataFrame]:
-    """The model, and the statistics of all documents (materialized)."""
-    stats = materialize(document_statistics(docs, id_col, text_col), "statistics")
-    marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label_col).alias("label"))
-    marks = marks.withColumn("fold", fold_of(F.col("_id"))).where("fold <> 0")
-    labelled = materialize(stats.join(marks, stats.doc_id == marks["_id"]).select("doc_id", "stats", "label", "fold"), "labelled")
+def fit_labels(
+    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_labelled: int = MAX_LABELLED
+) -> Model:
+    """The model fitted on the labelled documents outside fold 0.
+
+    At most ``max_labelled`` ids take part, chosen by a hash of the id, so their
+    table is broadcast at a known size and only their texts are read into
+    statistics; texts aren't shuffled.
+    """
+    marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label_col).cast("double").alias("_label"))
+    marks = marks.where("_id is not null").withColumn("_fold", fold_of(F.col("_id"))).where("_fold <> 0")
+    marks = materialize(marks.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled), "marks")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    met = texts.join(F.broadcast(marks), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_label", "_fold")
+    labelled = materialize(document_statistics(met), "labelled")
     model = fit(labelled)
-    drop(labelled)
-    return model, stats
+    drop(labelled, marks)
+    return model
+
+
+def score_of(model: Model, text: Column) -> Column:
+    """The model's score of a text, worked out batch by batch; null and empty texts have that of a text without words."""
+    shared = SparkSession.getActiveSession().sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        parts = [shared.value.score(_all_statistics(text_bytes(b.column(0)))) for b in slices(pa.RecordBatch.from_arrays([texts], ["t"]), 0)]
+        return pa.array(np.concatenate([np.zeros(0), *parts]))
+
+    return score(text.cast("string"))
 
 
 def classify(
@@ -178,34 +204,25 @@ def classify(
 
     Scores depend on the text alone. Labels of documents whose crc32 modulo 5
     is 0 are never read; a document labelled twice takes its higher label; null
-    labels are none. Null and empty texts get the score of a text without
-    words. An empty table gives an empty table.
+    labels are none, as are labels of a null id. Rows that repeat an id or a
+    text are scored each, and weigh in the fit each. Null and empty texts get
+    the score of a text without words; a text of any length is read whole.
+    Columns of other names are ignored. An empty table gives an empty table;
+    without labels every score is 0.5.
     """
-    model, stats = fit_labels(docs, labels, id_col, text_col, label_col)
-    model = docs.sparkSession.sparkContext.broadcast(model)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.value.score(_matrix(b, 1)))], ["doc_id", "score"])
-
-    scored = stats.mapInArrow(score, "doc_id long, score double")
-    return scored.select(
-        "doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
-    )
+    model = fit_labels(docs, labels, id_col, text_col, label_col)
+    ids = F.col(id_col).cast("long")
+    scored = docs.select(ids.alias("doc_id"), (fold_of(ids) == 0).alias("held_out"), score_of(model, F.col(text_col)).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """``docs`` without the rows the classifier rejects; columns as they were.
+    """``docs`` without the rows the classifier rejects (score under 0.3); columns as they were.
 
-    Each row is judged by its own text, whatever its id.
+    Each row is judged by its own text, whatever its id, so repeated rows stay
+    or go together and a null or repeated id changes nothing. Null and empty
+    texts are judged as a text without words. An empty table stays empty;
+    without labels nothing goes.
     """
-    model, stats = fit_labels(docs, labels, id_col, text_col, label_col)
-    drop(stats)
-    model = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        found = [statistics(t.encode() if isinstance(t, str) else b"") for t in texts]
-        return pd.Series(model.value.score(np.array(found).reshape(-1, N_STATS)))
-
-    return docs.where(score(F.col(text_col).cast("string")) >= THRESHOLD)
+    model = fit_labels(docs, labels, id_col, text_col, label_col)
+    return docs.where(score_of(model, docs[text_col]) >= THRESHOLD)

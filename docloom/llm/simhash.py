@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import KEY, drop, materialize, row_key, text_bytes
+from .shared import KEY, drop, materialize, row_key, slices, text_bytes
 
 BITS, RADIUS, SEED = 64, 3, 42
 #: A bucket of up to so many fingerprints is compared as a whole; a larger one is split by further masks.
@@ -74,9 +74,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = np.array([fingerprint(x, ngram) for x in text_bytes(b.column(b.num_columns - 1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps)], ["doc_id", *more, "fp"])
+        for batch in batches:
+            for b in slices(batch, batch.num_columns - 1):
+                fps = np.array([fingerprint(x, ngram) for x in text_bytes(b.columns[-1])], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps)], ["doc_id", *more, "fp"])
 
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), *more, F.col(text_col).cast("string").alias("text"))
     return kept.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", *more, "fp")))
