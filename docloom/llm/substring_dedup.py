@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,14 +10,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop, materialize, mix64, text_bytes
+from .shared import drop, materialize, mix64, slices, text_bytes
 
 WINDOW = 13
 #: A difference cover modulo 7: any two positions are both in the cover after one of 7 common shifts.
 PERIOD, COVER = 7, (0, 1, 3)
 #: Anchors that one bucket is meant to hold, and that a task gathers before it hands them on.
-PER_BUCKET, FLUSH = 1 << 20, 1 << 21
-PACKED = "bucket long, docs binary, data binary"
+PER_BUCKET, FLUSH = 1 << 20, 1 << 20
+PACKED = "bucket long, rows binary, data binary, sure binary"
 
 
 def _word_hashes(text: bytes) -> np.ndarray:
@@ -51,252 +50,203 @@ def _anchors(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return at, hashes[at]
 
 
-class _Answers:
-    """Gathers (doc, position) over a task's buckets and hands them on packed by document group."""
+def _packed(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, rows, data, sure) in batches."""
+    types = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    for at in range(0, len(rows), 64):
+        some = rows[at : at + 64]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], t) for i, t in enumerate(types)], ["bucket", "rows", "data", "sure"])
 
-    def __init__(self, groups: int):
-        self.groups, self.parts, self.n = groups, [], 0
 
-    def add(self, doc: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(doc):
-            self.parts.append((doc, at))
-            self.n += len(doc)
-            if self.n >= FLUSH:
-                yield from self.flush()
+def _edges(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin in sorted columns, and the end."""
+    n = len(keys[0])
+    if not n:
+        return np.zeros(1, np.int64)
+    change = np.zeros(n - 1, bool)
+    for k in keys:
+        change |= k[1:] != k[:-1]
+    return np.r_[0, np.flatnonzero(change) + 1, n]
 
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        if self.n:
-            doc, at = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-            self.parts, self.n = [], 0
-            yield from _respond(doc, at, self.groups)
 
+def _respond(row: np.ndarray, at: np.ndarray, groups: int) -> list[tuple]:
+    """(row, position) answers packed by group of rows, under negative bucket numbers, so that they pass other buckets by."""
+    key = (mix64(row.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+    order = np.argsort(key, kind="stable")
+    key, row, at = key[order], row[order], at[order].astype(np.uint32)
+    edges = _edges(key)
+    return [(-1 - int(key[a]), row[a:b].tobytes(), at[a:b].tobytes(), b"") for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
-class _Out:
-    """Gathers (hash, doc, position) and hands them on packed by bucket: a row for each bucket and flush."""
 
-    def __init__(self, buckets: int, pack: Callable):
-        self.buckets, self.pack, self.parts, self.n = buckets, pack, [], 0
-
-    def add(self, key: np.ndarray, doc: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(key):
-            self.parts.append((key, np.full(len(key), doc, np.int64), *columns))
-            self.n += len(key)
-            if self.n >= FLUSH:
-                yield from self.flush()
-
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        if not self.n:
-            return
-        key, *columns = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        self.parts, self.n = [], 0
-        buckets = (key % np.uint64(self.buckets)).astype(np.int64)
-        order = np.argsort(buckets, kind="stable")
-        buckets, key, columns = buckets[order], key[order], [x[order] for x in columns]
-        edges = np.r_[np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]]), len(buckets)]
-        rows = [(int(buckets[a]), *self.pack(key[a:b], *(x[a:b] for x in columns))) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        for at in range(0, len(rows), 64):
-            yield _packed(rows[at : at + 64])
-
-
-def _packed(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["bucket", "docs", "data"])
-
-
-def _low(key: np.ndarray, buckets: int) -> np.ndarray:
-    """32 bits of what a bucket leaves of a hash: within it one in some thousand keys may meet another's."""
-    return (key // np.uint64(buckets)).astype(np.uint32)
-
-
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list]]:
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list, list]]:
     """Rows that come sorted by bucket, a bucket at a time."""
-    now, docs, data = None, [], []
+    now, held = None, ([], [], [])
     for b in batches:
-        for k, d, x in zip(*(c.to_pylist() for c in b.columns[:3]), strict=True):
+        for k, *parts in zip(*(c.to_pylist() for c in b.columns[:4]), strict=True):
             if k != now:
-                if data:
-                    yield now, docs, data
-                now, docs, data = k, [], []
-            docs.append(d)
-            data.append(x)
-    if data:
-        yield now, docs, data
+                if now is not None:
+                    yield now, *held
+                now, held = k, ([], [], [])
+            for x, part in zip(held, parts, strict=True):
+                x.append(part)
+    if now is not None:
+        yield now, *held
 
 
-def _dealt(df: DataFrame) -> DataFrame:
-    return df.repartition("bucket").sortWithinPartitions("bucket")
+def _dealt(df: DataFrame, tasks: int) -> DataFrame:
+    return df.repartition(tasks, "bucket").sortWithinPartitions("bucket")
 
 
-def shared_anchors(docs: DataFrame, window: int, buckets: int) -> DataFrame:
-    """(bucket, data): the anchors that occur in two texts or more, sorted, 32 bits each.
+def _exchange(texts: DataFrame, gather: Callable, flush: Callable, settle: Callable, tasks: int, groups: int) -> DataFrame:
+    """(row, spots): the positions of each row that ``flush`` or ``settle`` answers.
 
-    Each flush of a task sends an anchor once, or twice if it met it in two
-    texts, so a passage that a third of all texts hold is a few rows a task.
+    Each task runs ``gather`` over its texts, which gives equally long arrays
+    for a text, and every ``FLUSH`` of them ``flush``, which answers what the
+    task can tell by itself and sends on the rest, packed by bucket: what many
+    texts hold is a few entries for each flush, however many texts hold it.
+    ``settle`` answers the entries of a whole bucket. Answers are dealt by
+    group of rows and brought together.
     """
 
-    def pack(key: np.ndarray, doc: np.ndarray) -> tuple:
-        low = _low(key, buckets)
-        order = np.lexsort((doc, low))
-        low, doc = low[order], doc[order]
-        fresh = np.r_[True, low[1:] != low[:-1]]
-        other = np.r_[False, (low[1:] == low[:-1]) & (doc[1:] != doc[:-1])]
-        return b"", np.sort(np.r_[low[fresh], np.unique(low[other])]).tobytes()
-
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _Out(buckets, pack)
-        for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), strict=True):
-                yield from out.add(_anchors(_word_hashes(text), window)[1], doc)
-        yield from out.flush()
+        held, n = [], 0
+        for batch in batches:
+            for b in slices(batch, 1):
+                for args in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), *(c.to_pylist() for c in b.columns[2:]), strict=True):
+                    found = gather(*args)
+                    if len(found[0]):
+                        held.append(found)
+                        n += len(found[0])
+                    if n >= FLUSH:
+                        yield from _packed(flush(*(np.concatenate(x) for x in zip(*held, strict=True))))
+                        held, n = [], 0
+        if held:
+            yield from _packed(flush(*(np.concatenate(x) for x in zip(*held, strict=True))))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, _, data in _by_bucket(batches):
-            keys, n = np.unique(np.frombuffer(b"".join(data), np.uint32), return_counts=True)
-            if (n > 1).any():
-                yield _packed([(bucket, b"", keys[n > 1].tobytes())])
-
-    return _dealt(docs.mapInArrow(send, PACKED)).mapInArrow(meet, PACKED)
-
-
-def _group_key(doc: np.ndarray, groups: int) -> np.ndarray:
-    return mix64(doc.astype(np.int64).view(np.uint64)) % np.uint64(groups)
-
-
-def _respond(doc: np.ndarray, at: np.ndarray, groups: int) -> Iterator[pa.RecordBatch]:
-    """(doc, position) pairs packed by document group."""
-    key = _group_key(doc, groups)
-    order = np.lexsort((doc, key))
-    key, doc, at = key[order], doc[order], at[order]
-    edges = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
-    rows = [(int(key[a]), doc[a:b].tobytes(), at[a:b].astype(np.uint32).tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    for i in range(0, len(rows), 64):
-        yield _packed(rows[i : i + 64])
-
-
-def _per_doc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Responses of a document group to one row a document: its positions, sorted, as 32-bit integers."""
-    for _, docs, data in _by_bucket(batches):
-        doc, at = np.frombuffer(b"".join(docs), np.int64), np.frombuffer(b"".join(data), np.uint32)
-        order = np.lexsort((at, doc))
-        doc, at = doc[order], at[order]
-        edges = np.r_[np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]), len(doc)]
-        spots = [at[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[edges[:-1]]), pa.array(spots, pa.binary())], ["doc", "spots"])
+        held, n = [], 0
+        for bucket, rows, data, sure in _by_bucket(batches):
+            if bucket < 0:  # an answer already
+                yield from _packed([(bucket, r, d, b"") for r, d in zip(rows, data, strict=True)])
+                continue
+            found = settle(rows, data, sure)
+            if len(found[0]):
+                held.append(found)
+                n += len(found[0])
+            if n >= FLUSH:
+                yield from _packed(_respond(*(np.concatenate(x) for x in zip(*held, strict=True)), groups))
+                held, n = [], 0
+        if held:
+            yield from _packed(_respond(*(np.concatenate(x) for x in zip(*held, strict=True)), groups))
 
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows, data, _ in _by_bucket(batches):
+            row, at = np.frombuffer(b"".join(rows), np.int64), np.frombuffer(b"".join(data), np.uint32)
+            order = np.lexsort((at, row))
+            row, at = row[order], at[order]
+            edges = _edges(row)
+            spots = [np.unique(at[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(row[edges[:-1]]), pa.array(spots, pa.binary())], ["row", "spots"])
 
-def _found_anchors(docs: DataFrame, shared: DataFrame, window: int, buckets: int, groups: int) -> DataFrame:
-    """(doc, spots): where in each text a shared anchor stands."""
+    answers = _dealt(texts.mapInArrow(send, PACKED), tasks).mapInArrow(meet, PACKED)
+    return _dealt(answers, tasks).mapInArrow(join, "row long, spots binary")
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pack(key, doc, at):
-            low = _low(key, buckets)
-            return doc.tobytes(), low.tobytes() + at.astype(np.uint32).tobytes()
 
-        out = _Out(buckets, pack)
-        for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), strict=True):
-                at, key = _anchors(_word_hashes(text), window)
-                yield from out.add(key, doc, at)
-        yield from out.flush()
+def shared_anchors(texts: DataFrame, window: int, buckets: int, groups: int, tasks: int) -> DataFrame:
+    """(row, spots): where in each of (row, text) an anchor stands that two rows or more hold.
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a bucket's shared anchors come first (order 0), then one packed row of occurrences after the other
-        now, known, answers = None, np.zeros(0, np.uint32), _Answers(groups)
-        for b in batches:
-            for bucket, docs_, data in zip(*(c.to_pylist() for c in b.columns[:3]), strict=True):
-                if bucket != now:
-                    now, known = bucket, np.zeros(0, np.uint32)
-                if not docs_:
-                    known = np.frombuffer(data, np.uint32)
-                elif len(known):
-                    doc = np.frombuffer(docs_, np.int64)
-                    low, at = np.frombuffer(data, np.uint32).reshape(2, -1)
-                    hit = known[np.minimum(np.searchsorted(known, low), len(known) - 1)] == low
-                    yield from answers.add(doc[hit], at[hit])
-        yield from answers.flush()
-
-    sent = docs.mapInArrow(send, PACKED).withColumn("turn", F.lit(1))
-    both = shared.withColumn("turn", F.lit(0)).unionByName(sent)
-    both = both.repartition("bucket").sortWithinPartitions("bucket", "turn")
-    return _dealt(both.mapInArrow(meet, PACKED)).mapInArrow(_per_doc, "doc long, spots binary")
-
-
-def _repeated_windows(texts: DataFrame, window: int, buckets: int, groups: int) -> DataFrame:
-    """(doc, spots): windows whose words also start in a text of smaller id, of (doc_id, text, spots: anchors).
-
-    Only windows that hold a shared anchor are compared, by a 64-bit hash
-    within buckets of an independent one. A task sends the smallest id of each
-    window in a flush with every position; what a flush itself settles, it
-    answers itself, so a window that many texts hold is at most a few rows for
-    each task in the exchange.
+    Anchors are compared by 32 bits within a bucket, so that one in some
+    thousand may be marked for nothing; what follows compares whole windows.
     """
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for b in batches:
-            for doc, text, spots in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
-                words = _word_hashes(text)
-                marks = np.zeros(len(words) + 1, np.int64)
-                anchors = np.frombuffer(spots, np.uint32).astype(np.int64)
-                anchors = anchors[anchors < len(words)]
-                np.add.at(marks, np.maximum(anchors - PERIOD + 1, 0), 1)
-                np.add.at(marks, anchors + 1, -1)
-                at = np.flatnonzero(np.cumsum(marks)[: max(len(words) - window + 1, 0)])
-                if len(at):
-                    first = _window_hashes(words, window, 0xC2B2AE3D27D4EB4F)[at]
-                    second = _window_hashes(words, window, 0x165667B19E3779F9)[at]
-                    held.append((first, second, np.full(len(at), doc, np.int64), at))
-                    n += len(at)
-                    if n >= FLUSH:
-                        yield from flush(held)
-                        held, n = [], 0
-        if held:
-            yield from flush(held)
-
-    def flush(held: list) -> Iterator[pa.RecordBatch]:
-        first, second, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
-        bucket = (first % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((at, doc, second, bucket))
-        bucket, second, doc, at = bucket[order], second[order], doc[order], at[order]
-        fresh = np.r_[True, (bucket[1:] != bucket[:-1]) | (second[1:] != second[:-1])]
-        lowest = doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-        settled = doc > lowest
-        # bucket -1 - group: answers for a document group, already known here
-        if settled.any():
-            for x in _respond(doc[settled], at[settled], groups):
-                yield x.set_column(0, "bucket", pa.array(-1 - x.column(0).to_numpy()))
-        bucket, second, doc, at = (x[~settled] for x in (bucket, second, doc, at))
-        edges = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)]
-        rows = []
+    def gather(row: int, text: bytes):
+        at, key = _anchors(_word_hashes(text), window)
+        return key, np.full(len(at), row, np.int64), at.astype(np.uint32)
+
+    def flush(key, row, at):
+        order = np.lexsort((row, key))
+        key, row, at = key[order], row[order], at[order]
+        edges = _edges(key)
+        many = row[edges[:-1]] != row[edges[1:] - 1]  # in two rows of this flush
+        met = np.repeat(many, np.diff(edges))
+        out = _respond(row[met], at[met], groups)
+        sure, one = key[edges[:-1]][many], (key[~met], row[~met], at[~met])
+        bucket = np.r_[one[0], sure] % np.uint64(buckets)
+        low = (np.r_[one[0], sure] // np.uint64(buckets)).astype(np.uint32)
+        order = np.argsort(bucket, kind="stable")  # a bucket's single entries come before its sure ones
+        edges = _edges(bucket[order])
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            rows.append((int(bucket[a]), doc[a:b].tobytes(), second[a:b].tobytes() + at[a:b].astype(np.uint32).tobytes()))
-        for i in range(0, len(rows), 64):
-            yield _packed(rows[i : i + 64])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        answers = _Answers(groups)
-        for bucket, docs_, data in _by_bucket(batches):
-            if bucket < 0:  # answers already; on to their document group
-                for i in range(0, len(data), 64):
-                    yield _packed([(-1 - bucket, d, x) for d, x in zip(docs_[i : i + 64], data[i : i + 64], strict=True)])
-                continue
-            doc = np.frombuffer(b"".join(docs_), np.int64)
-            sizes = [len(x) // 12 for x in data]
-            second = np.concatenate([np.frombuffer(x, np.uint64, n) for x, n in zip(data, sizes, strict=True)])
-            at = np.concatenate([np.frombuffer(x, np.uint32, n, 8 * n) for x, n in zip(data, sizes, strict=True)])
-            order = np.lexsort((doc, second))
-            second, doc, at = second[order], doc[order], at[order]
-            fresh = np.r_[True, second[1:] != second[:-1]]
-            lowest = doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-            yield from answers.add(doc[doc > lowest], at[doc > lowest])
-        yield from answers.flush()
+            i = order[a:b]
+            k = i[i < len(one[0])]
+            out.append((int(bucket[i[0]]), one[1][k].tobytes(), low[k].tobytes() + one[2][k].tobytes(), low[i[len(k) :]].tobytes()))
+        return out
+
+    def settle(rows, data, sure):
+        row = np.frombuffer(b"".join(rows), np.int64)
+        pairs = [np.frombuffer(x, np.uint32).reshape(2, -1) for x in data]
+        low, at = np.concatenate(pairs, axis=1)
+        known = np.unique(np.frombuffer(b"".join(sure), np.uint32))
+        order = np.lexsort((row, low))
+        low, row, at = low[order], row[order], at[order]
+        edges = _edges(low)
+        if not len(low):
+            return row, at
+        keys = low[edges[:-1]]
+        hit = (row[edges[:-1]] != row[edges[1:] - 1]) | np.isin(keys, known, assume_unique=True)
+        hit = np.repeat(hit, np.diff(edges))
+        return row[hit], at[hit]
+
+    return _exchange(texts, gather, flush, settle, tasks, groups)
+
+
+def extended(texts: DataFrame, window: int, buckets: int, groups: int, tasks: int) -> DataFrame:
+    """(row, spots): windows whose words also start in a row of smaller id, of (row, text, doc_id, spots: shared anchors).
+
+    From each shared anchor a match is extended to both sides, to every run of
+    ``window`` words that holds the anchor: any long match shares an aligned
+    anchor, so none is missed. An extension is compared by a 64-bit hash of its
+    words within buckets of an independent one.
+    """
 
-    sent = texts.mapInArrow(send, PACKED)
-    return _dealt(_dealt(sent).mapInArrow(meet, PACKED)).mapInArrow(_per_doc, "doc long, spots binary")
+    def gather(row: int, text: bytes, doc: int, spots: bytes):
+        words = _word_hashes(text)
+        marks = np.zeros(len(words) + 1, np.int64)
+        anchors = np.frombuffer(spots, np.uint32).astype(np.int64)
+        np.add.at(marks, np.maximum(anchors - PERIOD + 1, 0), 1)
+        np.add.at(marks, anchors + 1, -1)
+        at = np.flatnonzero(np.cumsum(marks)[: max(len(words) - window + 1, 0)])
+        first, second = (_window_hashes(words, window, f)[at] for f in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+        return first % np.uint64(buckets), second, np.full(len(at), doc, np.int64), np.full(len(at), row, np.int64), at.astype(np.uint32)
+
+    def lowest(edges, doc, row):
+        """Whether each entry of a run of equal windows has a larger id than the run's first; a row without an id is odd."""
+        n = np.diff(edges)
+        least, odd = np.repeat(doc[edges[:-1]], n), np.repeat(row[edges[:-1]] & 1, n)
+        return (doc > least) | ((doc == least) & (row & 1 > odd))
+
+    def flush(bucket, second, doc, row, at):
+        order = np.lexsort((at, row & 1, doc, second, bucket))
+        bucket, second, doc, row, at = (x[order] for x in (bucket, second, doc, row, at))
+        gone = lowest(_edges(bucket, second), doc, row)
+        out = _respond(row[gone], at[gone], groups)
+        bucket, second, doc, row, at = (x[~gone] for x in (bucket, second, doc, row, at))
+        edges = _edges(bucket)
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            out.append((int(bucket[a]), row[a:b].tobytes(), second[a:b].tobytes() + doc[a:b].tobytes() + at[a:b].tobytes(), b""))
+        return out
 
+    def settle(rows, data, sure):
+        sizes = [len(x) // 8 for x in rows]
+        row = np.frombuffer(b"".join(rows), np.int64)
+        second = np.concatenate([np.frombuffer(x, np.uint64, n) for x, n in zip(data, sizes, strict=True)])
+        doc = np.concatenate([np.frombuffer(x, np.int64, n, 8 * n) for x, n in zip(data, sizes, strict=True)])
+        at = np.concatenate([np.frombuffer(x, np.uint32, n, 16 * n) for x, n in zip(data, sizes, strict=True)])
+        order = np.lexsort((row & 1, doc, second))
+        second, doc, row, at = (x[order] for x in (second, doc, row, at))
+        gone = lowest(_edges(second), doc, row)
+        return row[gone], at[gone]
 
-def _digest(words: list[bytes]) -> str:
-    return hashlib.sha256(b" ".join(words)).hexdigest()
+    return _exchange(texts, gather, flush, settle, tasks, groups)
 
 
 def _cut(text: bytes, spots: bytes | None, window: int) -> tuple[int, list[bytes]]:
@@ -318,65 +268,63 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A window is ``window`` (at least 7) consecutive words; it is repeated if its
     words also start in a document with a smaller id. Windows are judged on the
-    input. Anchors stand at cover positions only (3 of 7); anchors found in two
-    texts mark candidate windows, and these are compared whole (hash of all
-    words). What passes between stages is packed arrays, dealt by hash, so no
-    pairs of documents are formed.
-
-    Null and empty texts have no words and an empty kept_text. An id names one
-    text: rows that repeat it don't remove one another's words, and if their
-    texts differ a place that goes in one goes in all. A null id counts as larger than
-    any: it keeps words only if no document has them. An empty table gives an
-    empty table. Kept words are joined by one space, whatever stood between.
+    input. Anchors, hashes of ``window - 6`` words, stand at cover positions
+    only (3 of 7); one found in two rows is extended to the windows around it,
+    which are compared as a whole. What passes between stages is packed arrays,
+    dealt by hash, so no pairs of documents are formed.
+
+    Null and empty texts have no words and an empty kept_text. Rows that repeat
+    an id are separate: they don't remove one another's words, and each loses
+    what smaller ids hold. A null id is larger than any, and rows without an id
+    are no repeats of one another. An empty table gives an empty table. Kept
+    words are joined by one space, whatever stood between. Columns of other
+    names are ignored.
     """
     if window < PERIOD:
         raise ValueError(f"window must be at least {PERIOD}")
-    top = (1 << 63) - 1
     spark = docs.sparkSession
-    texts = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(top)).alias("doc_id"), F.col(text_col).cast("string").alias("text")
-    )
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # equal rows may share a key: they lose the same words; its last bit marks a null id
+    key = F.xxhash64("doc_id", "text").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("doc_id").isNull().cast("long"))
+    texts = texts.withColumn("row", key)
     chars = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # about 6 bytes a word, 3 anchors for 7 words
-    tasks, least = int(spark.conf.get("spark.sql.shuffle.partitions")), chars // (14 * PER_BUCKET) + 1
-    buckets, groups = max(4 * tasks, least), max(tasks, least)
-    shared = materialize(shared_anchors(texts, window, buckets), "shared-anchors")
-    found = materialize(_found_anchors(texts, shared, window, buckets, groups), "found-anchors")
-    drop(shared)
-    first = materialize(texts.join(found, texts.doc_id == found.doc, "left").mapInArrow(_first_cut(window), FIRST), "candidates")
+    least = chars // (14 * PER_BUCKET) + 1
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), least)
+    buckets = max(4 * tasks, least)
+    found = materialize(shared_anchors(texts.select("row", "text"), window, buckets, tasks, tasks), "shared-anchors")
+    joined = texts.join(found.withColumnRenamed("row", "_row"), F.col("row") == F.col("_row"), "left").select("row", "text", "doc_id", "spots")
+    first = materialize(joined.mapInArrow(_first_cut, FIRST), "candidates")
     drop(found)
-    again = first.where("spots is not null").select("doc_id", "text", "spots")
-    repeated = materialize(_repeated_windows(again, window, buckets, groups), "repeated-windows")
-    second = again.select("doc_id", "text").join(repeated, again.doc_id == repeated.doc, "left")
+    again = first.where("spots is not null").select("row", "text", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("order"), "spots")
+    repeated = materialize(extended(again, window, buckets, tasks, tasks), "repeated-windows")
+    second = first.where("spots is not null").select("row", "text", "doc_id").join(repeated.withColumnRenamed("row", "_row"), F.col("row") == F.col("_row"), "left")
     second = second.select("doc_id", "text", repeated.spots).mapInArrow(_last_cut(window), LAST)
     done = first.where("spots is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("text").alias("kept_text"))
-    return done.unionByName(second).withColumn("doc_id", F.nullif("doc_id", F.lit(top)))
+    return done.unionByName(second)
 
 
-FIRST = "doc_id long, text string, spots binary, n_words long"
+FIRST = "row long, text string, doc_id long, spots binary, n_words long"
 LAST = "doc_id long, n_words long, n_removed long, kept_text string"
 
 
-def _first_cut(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, sizes = [], []
-            for text, spots in zip(text_bytes(b.column(1)), b.column(3).to_pylist(), strict=True):
-                words = text.split()
-                sizes.append(len(words))
-                texts.append(b" ".join(words))
-            columns = [b.column(0), pa.array(texts, pa.binary()).cast(pa.string()), b.column(3), pa.array(sizes, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "spots", "n_words"])
-
-    return run
+def _first_cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as their words joined by spaces, and how many they are."""
+    for batch in batches:
+        for b in slices(batch, 1):
+            words = [x.split() for x in text_bytes(b.column(1))]
+            texts = pa.array([b" ".join(w) for w in words], pa.binary()).cast(pa.string())
+            sizes = pa.array(map(len, words), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), texts, b.column(2), b.column(3), sizes], ["row", "text", "doc_id", "spots", "n_words"])
 
 
 def _last_cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cuts = [_cut(t, s, window) for t, s in zip(text_bytes(b.column(1)), b.column(2).to_pylist(), strict=True)]
-            texts = pa.array([b" ".join(k) for _, k in cuts], pa.binary()).cast(pa.string())
-            n, gone = [c for c, _ in cuts], [c - len(k) for c, k in cuts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), texts], ["doc_id", "n_words", "n_removed", "kept_text"])
+        for batch in batches:
+            for b in slices(batch, 1):
+                cuts = [_cut(t, s, window) for t, s in zip(text_bytes(b.column(1)), b.column(2).to_pylist(), strict=True)]
+                texts = pa.array([b" ".join(k) for _, k in cuts], pa.binary()).cast(pa.string())
+                n, gone = [c for c, _ in cuts], [c - len(k) for c, k in cuts]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), texts], ["doc_id", "n_words", "n_removed", "kept_text"])
 
     return run
