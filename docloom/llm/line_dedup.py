@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialize
+
 #: A line that over this share of a site's pages holds is boilerplate there, if at least so many pages hold it.
 MAX_RATIO, MIN_PAGES = 0.3, 3
+#: Boilerplate lines of all hosts (a host name and 8 bytes each, under 50 MB) up to which they are broadcast.
+BROADCAST_LINES = 500_000
 
 
 def host_of(url: Column) -> Column:
@@ -28,32 +32,46 @@ def line_dedup(
     lines: Column | None = None,
     max_ratio: float = MAX_RATIO,
     min_pages: int = MIN_PAGES,
+    broadcast_lines: int = BROADCAST_LINES,
 ) -> DataFrame:
     """(page_id, host, n_lines, n_removed, kept_text): lines go that too many pages of the host hold.
 
     A line's pages are counted once a page, over (host, line hash), and divided
     by the host's pages; a ratio above ``max_ratio`` on at least ``min_pages``
-    pages is boilerplate. A host can have at most (mean lines a page /
-    max_ratio) such lines, so they fit one row a host whatever its size, and
-    each page meets them in one join on the host, where a host that holds a
-    third of all pages is split like any skewed key.
+    pages is boilerplate (on a host of one or two pages every line is on over
+    0.3 of them). A host can have at most (mean lines a page / max_ratio) such
+    lines, whatever its size. All hosts' boilerplate is counted: up to
+    ``BROADCAST_LINES`` lines it is broadcast, an array a host, and pages never
+    move; beyond that the (page, line hash) pairs meet it on (host, line hash),
+    and what each page loses joins the pages by row, so that no host's texts
+    meet in one task.
 
     Null and empty pages have no lines. A null URL or one without a host is a
-    host of its own. Repeated rows count as pages of their own. An empty table
-    gives an empty table. Kept lines are joined by line feeds.
+    host of its own. Repeated rows count as pages of their own. A ratio equal
+    to ``max_ratio`` stays. An empty table gives an empty table. Kept lines are
+    joined by line feeds.
     """
     lines = html_lines(F.col("html")) if lines is None else lines
     table = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), lines.alias("lines"))
-    hashed = table.select("host", F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x))).alias("hashes"))
+    table = table.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x)))
+    hashed = table.select("host", F.array_distinct("hashes").alias("hashes"))
     totals = hashed.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).select(F.col("host").alias("th"), "pages")
-    counts = hashed.select("host", F.explode_outer("hashes").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    counts = hashed.select("host", F.explode("hashes").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.where(F.col("n") >= min_pages)
     often = counts.join(totals, F.col("host").eqNullSafe(F.col("th"))).where(F.col("n") > max_ratio * F.col("pages"))
-    often = often.groupBy("host").agg(F.collect_list("line").alias("drop")).select(F.col("host").alias("bh"), "drop")
-    joined = table.join(often, F.col("host").eqNullSafe(F.col("bh")), "left")
-    drop = F.coalesce("drop", F.array().cast("array<bigint>"))
-    kept = F.filter("lines", lambda x: ~F.array_contains(drop, F.xxhash64(x)))
-    joined = joined.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"))
+    often = materialize(often.select(F.col("host").alias("bh"), "line"), "often")
+    if often.count() <= broadcast_lines:
+        drops = often.groupBy("bh").agg(F.collect_list("line").alias("all"))
+        joined = table.join(F.broadcast(drops), F.col("host").eqNullSafe(F.col("bh")), "left")
+        joined = joined.withColumn("drop", F.array_intersect("hashes", F.coalesce("all", F.array().cast("array<bigint>"))))
+    else:
+        table = materialize(table.withColumn("row", F.monotonically_increasing_id()), "page-lines")
+        pairs = table.select("row", "host", F.explode(F.array_distinct("hashes")).alias("h"))
+        hits = pairs.join(often, (F.col("h") == F.col("line")) & F.col("host").eqNullSafe(F.col("bh")), "left_semi")
+        hits = hits.groupBy("row").agg(F.collect_list("h").alias("some"))
+        joined = table.join(hits, "row", "left").withColumn("drop", F.coalesce("some", F.array().cast("array<bigint>")))
+    kept = F.filter(F.arrays_zip(F.col("lines").alias("x"), F.col("hashes").alias("h")), lambda x: ~F.array_contains(F.col("drop"), x["h"]))
+    joined = joined.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), F.transform(kept, lambda x: x["x"]).alias("kept"))
     return joined.select(
         "page_id", "host", "n_lines",
         (F.col("n_lines") - F.size("kept")).alias("n_removed"),
