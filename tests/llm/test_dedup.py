@@ -101,30 +101,35 @@ def test_one_row_of_each_group_stays(docs, rows):
 
 
 def brute_force_repeats(rows, size=13):
+    """Rows in any number an id; None is larger than any id."""
+    order = lambda k: (k is None, k or 0)
     first = {}
-    words = {r[0]: WORDS.findall(r[1] or "") for r in rows}
-    for k, w in words.items():
+    words = [(k, WORDS.findall(t or "")) for k, t in rows]
+    for k, w in words:
         for i in range(len(w) - size + 1):
             g = tuple(w[i : i + size])
-            first[g] = min(first.get(g, k), k)
-    out = {}
-    for k, w in words.items():
+            first[g] = min(first.get(g, order(k)), order(k))
+    out = Counter()
+    for k, w in words:
         gone = set()
         for i in range(len(w) - size + 1):
-            if first[tuple(w[i : i + size])] < k:
+            if first[tuple(w[i : i + size])] < order(k):
                 gone |= set(range(i, i + size))
-        out[k] = (len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone))
+        out[k, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)] += 1
     return out
 
 
 def test_repeats_equal_brute_force(docs, rows):
-    top = 1 << 62
-    want = brute_force_repeats([(r[0], r[1]) for r in rows if r[0] is not None])
-    got = [r for r in remove_repeats(docs).collect() if r.doc_id is not None]
-    assert len(got) == sum(r[0] is not None for r in rows)
-    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in got} == want
-    without_id = [r for r in remove_repeats(docs).collect() if r.doc_id is None]
-    assert sorted(r.n_removed > 0 for r in without_id) == [True, True] and top
+    assert Counter(tuple(r) for r in remove_repeats(docs).collect()) == brute_force_repeats([(r[0], r[1]) for r in rows])
+
+
+def test_rows_of_one_id_keep_their_own_words(spark):
+    said = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    a, b, c = said("a", 30), said("b", 60), said("c", 13)
+    top = (1 << 63) - 1
+    rows = [(None, a), (None, b + " " + a), (7, b), (7, a + " " + c), (7, "x"), (7, c + " " + b), (top, c), (None, c), (9, said("d", 12)), (3, said("d", 12)), (7, b), (None, None)]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert Counter(tuple(r) for r in got.collect()) == brute_force_repeats(rows)
 
 
 def test_line_dedup_equals_brute_force(spark):
@@ -138,6 +143,15 @@ def test_line_dedup_equals_brute_force(spark):
     assert got[20].n_removed == 0 and got[21].kept_text.split("\n") == [nav, "Story 1 of the day", foot]
     assert got[22].n_lines == 0 and got[23].kept_text == ""
     assert line_dedup(df).count() == len(pages) and line_dedup(df.limit(0)).count() == 0
+    joined = line_dedup(df, broadcast_lines=0)
+    assert sorted(map(tuple, joined.collect()), key=str) == sorted(map(tuple, line_dedup(df).collect()), key=str)
+
+
+def test_line_at_the_ratio_stays_and_long_pages_are_whole(spark):
+    pages = [(i, "http://h/x", f"<p>{'edge' if i < 3 else i}</p><p>{'over' if i < 4 else -i}</p>" + "<p>w</p>" * (50_000 if i == 9 else 0)) for i in range(10)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r for r in line_dedup(df).collect()}
+    assert got[0].kept_text == "edge" and got[3].kept_text == "3" and got[9].n_lines == 50_002 and got[9].n_removed == 0
 
 
 def test_empty_tables(none):
