@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +13,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop, materialize, text_bytes
+from .shared import drop, materialize, slices, text_bytes
 
 #: Ids are pairs of digits of DIGIT each: frequent words first, then BUCKETS ids that rarer words share by hash.
+#: A rarer word then has its own part of its bucket, so no two words share a probability but by their counts.
 #: The hash is Spark's ``xxhash64``, so that both sides of the join agree on a word's bucket.
 DIGIT, BUCKETS, HASH_SEED = 32, 256, 42
 VOCAB = DIGIT * DIGIT
@@ -24,7 +26,11 @@ WIDTH, RATE, SEED, ROUNDS = 24, 0.15, 3, 2
 #: Words in a training step, and in a step of scoring.
 STEP, BATCH = 2048, 8192
 #: Distinct words a task counts before it hands them on (or keeps the ids of), and parameters that one row carries.
-COUNTED, CHUNK = 500_000, 4096
+COUNTED, CHUNK = 250_000, 4096
+#: Words beyond the vocabulary whose parts are broadcast (under 50 bytes each); the others meet theirs in a join.
+FREQUENT = 1 << 16
+#: Tasks' parameters are averaged in so many lanes first.
+LANES = 64
 #: A row's part of a word's log-probability is summed as a whole number of these, so that sums don't depend on their order.
 UNIT = 1e-9
 
@@ -38,12 +44,13 @@ def count_words(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays(arrays, ["word", "n"])
 
         counts: Counter = Counter()
-        for b in batches:
-            for text in text_bytes(b.column(1)):
-                counts.update(text.lower().split())
-                if len(counts) > COUNTED:
-                    yield out()
-                    counts.clear()
+        for batch in batches:
+            for b in slices(batch, 1):
+                for text in text_bytes(b.column(1)):
+                    counts.update(text.lower().split())
+                    if len(counts) > COUNTED:
+                        yield out()
+                        counts.clear()
         if counts:
             yield out()
 
@@ -60,7 +67,7 @@ class Encoder:
         return self.encode(text.lower().split())
 
     def encode(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.ids.__getitem__, words), np.int64, count=len(words))
+        return np.fromiter(map(self.ids.__getitem__, words), np.int32, count=len(words))
 
 
 class _Ids(dict):
@@ -100,26 +107,28 @@ class Network:
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in SHAPES])
 
-    def forward(self, context: np.ndarray, target: np.ndarray) -> tuple:
-        p = self.p
-        pre = p["bias"] + sum(p["words"][k][context[:, k]] for k in range(len(OFFSETS)))
-        h = np.tanh(pre)
+    def forward(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """The log-probability of each target between its neighbours."""
+        return self._run(context, target)[0]
+
+    def _run(self, context: np.ndarray, target: np.ndarray) -> tuple:
+        p, rows = self.p, np.arange(len(target))
+        h = p["bias"] + sum(p["words"][k][context[:, k]] for k in range(len(OFFSETS)))
+        np.tanh(h, out=h)
         first, second = target // DIGIT, target % DIGIT
-        a = _log_softmax(h @ p["high"] + p["high_bias"])
         h2 = h + p["digit"][first]
-        b = _log_softmax(h2 @ p["low"] + p["low_bias"])
-        rows = np.arange(len(target))
-        return a[rows, first] + b[rows, second], (h, h2, a, b, first, second)
+        a, da = _softmax(h @ p["high"] + p["high_bias"], rows, first)
+        b, db = _softmax(h2 @ p["low"] + p["low_bias"], rows, second)
+        return a + b, (h, h2, da, db, first, second)
 
     def train(self, context: np.ndarray, target: np.ndarray) -> None:
         """One Adagrad step on a batch."""
-        p, n = self.p, np.float32(len(target))
-        _, (h, h2, a, b, first, second) = self.forward(context, target)
-        rows = np.arange(len(target))
-        da, db = np.exp(a), np.exp(b)
+        p, n, rows = self.p, np.float32(len(target)), np.arange(len(target))
+        _, (h, h2, da, db, first, second) = self._run(context, target)
         da[rows, first] -= 1
         db[rows, second] -= 1
-        da, db = da / n, db / n
+        da /= n
+        db /= n
         dh2 = db @ p["low"].T
         dpre = (da @ p["high"].T + dh2) * (1 - h * h)
         grads = {
@@ -132,13 +141,18 @@ class Network:
             p[k] -= np.float32(RATE) * g / np.sqrt(self.seen[k])
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _softmax(x: np.ndarray, rows: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The log-probability of each row's target, and all probabilities."""
+    x -= x.max(1, keepdims=True)
+    picked = x[rows, target]
+    np.exp(x, out=x)
+    total = x.sum(1, keepdims=True)
+    x /= total
+    return picked - np.log(total[:, 0]), x
 
 
 def _sum_by(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    order = np.argsort(index, kind="stable")
+    order = np.argsort(index.astype(np.uint16), kind="stable")  # 16 bits sort by radix
     ordered = index[order]
     starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(index) else np.zeros(0, np.int64)
     out = np.zeros((size, values.shape[1]), np.float32)
@@ -147,62 +161,83 @@ def _sum_by(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _contexts(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Neighbours (n, 4) and targets (n,) of texts; beyond a text's ends stands EDGE."""
-    edge = np.full(2, EDGE, np.int64)
+def _contexts(ids: list[np.ndarray], step: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Neighbours (n, 4) and targets (n,) of texts, ``step`` at a time; beyond a text's ends stands EDGE."""
+    edge = np.full(2, EDGE, np.int32)
     every = np.concatenate([x for i in ids for x in (edge, i)] + [edge])
     target = np.flatnonzero(every != EDGE)
-    return np.stack([every[target + o] for o in OFFSETS], axis=1), every[target]
+    for at in range(0, len(target), step):
+        some = target[at : at + step]
+        yield np.stack([every[some + o] for o in OFFSETS], axis=1), every[some]
 
 
 def _train_round(network, words):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, encode, held, n, seen = Network(network.value), Encoder(words.value), [], 0, 0
-        for b in batches:
-            for text in text_bytes(b.column(1)):
-                ids = encode(text)
-                held.append(ids)
-                n += len(ids)
-                if n >= 4 * BATCH:
-                    seen += step(net, held)
-                    held, n = [], 0
+        for batch in batches:
+            for b in slices(batch, 1):
+                for text in text_bytes(b.column(1)):
+                    ids = encode(text)
+                    held.append(ids)
+                    n += len(ids)
+                    if n >= 4 * BATCH:
+                        seen += step(net, held)
+                        held, n = [], 0
         if n:
             seen += step(net, held)
         if seen:
-            flat = net.flat()
+            flat, lane = net.flat(), TaskContext.get().partitionId() % LANES
             for k in range(0, len(flat), CHUNK):
-                yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK], pa.int32()), pa.array([flat[k : k + CHUNK].tobytes()], pa.binary()), pa.array([float(seen)])], ["k", "part", "weight"])
+                row = [pa.array([lane], pa.int32()), pa.array([k // CHUNK], pa.int32()), pa.array([flat[k : k + CHUNK].tobytes()], pa.binary()), pa.array([float(seen)])]
+                yield pa.RecordBatch.from_arrays(row, PARTS)
 
     def step(net: Network, held: list) -> int:
-        context, target = _contexts(held)
-        for at in range(0, len(target), STEP):
-            net.train(context[at : at + STEP], target[at : at + STEP])
-        return len(target)
+        n = 0
+        for context, target in _contexts(held, STEP):
+            net.train(context, target)
+            n += len(target)
+        return n
 
     return run
 
 
+PARTS = ["lane", "k", "part", "weight"]
+PARTS_DDL = "lane int, k int, part binary, weight double"
+
+
 def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Weighted means of the parts of each chunk."""
-    sums: dict[int, list] = {}
+    """Weighted means of the parts of each lane and chunk, with the sums of their weights."""
+    sums: dict[tuple, list] = {}
     for b in batches:
-        for k, part, w in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            x = sums.setdefault(k, [0.0, 0.0])
+        for lane, k, part, w in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            x = sums.setdefault((lane, k), [0.0, 0.0])
             x[0] = x[0] + w * np.frombuffer(part, np.float32).astype(np.float64)
             x[1] += w
-    for k, (total, w) in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(total / w).astype(np.float32).tobytes()], pa.binary())], ["k", "part"])
+    for (lane, k), (total, w) in sums.items():
+        row = [pa.array([lane], pa.int32()), pa.array([k], pa.int32()), pa.array([(total / w).astype(np.float32).tobytes()], pa.binary()), pa.array([w])]
+        yield pa.RecordBatch.from_arrays(row, PARTS)
+
 
+class Model(NamedTuple):
+    """Vocabulary, network parameters, parts of frequent words beyond the vocabulary, and the table of the other words' parts."""
 
-def train(docs: DataFrame, counts: DataFrame) -> tuple[list[str], np.ndarray, DataFrame]:
-    """Vocabulary and parameters from all texts of (doc_id, text), and (word, share) of every word beyond the vocabulary.
+    words: list[str]
+    flat: np.ndarray
+    frequent: dict[str, float]
+    shares: DataFrame
+
+
+def train(docs: DataFrame, counts: DataFrame) -> Model:
+    """The model of all texts of (doc_id, text).
 
     ``counts`` holds the words of the whole corpus. Documents are dealt by hash
     into ``ROUNDS`` parts; in each round every task runs through its share of
     one part from the same start, and the results are averaged, weighted by
-    words, so every word is trained on once. The driver holds the vocabulary
-    and one set of parameters (about 100,000 numbers), whatever the corpus; the
-    shares stay a table, which grows with the corpus's distinct words.
+    words, in lanes and then over the lanes, so every word is trained on once.
+    How rows are dealt to tasks therefore shows in the parameters. The driver
+    holds the vocabulary, one set of parameters (about 100,000 numbers) and
+    the parts of ``FREQUENT`` words, whatever the corpus; the other words' parts
+    stay a table, which grows with the corpus's distinct words.
     """
     spark = docs.sparkSession
     top = counts.orderBy(F.desc("n"), "word").limit(VOCAB - BUCKETS).collect()
@@ -211,88 +246,115 @@ def train(docs: DataFrame, counts: DataFrame) -> tuple[list[str], np.ndarray, Da
     flat = Network().flat()
     for r in range(ROUNDS):
         part = docs.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == r)
-        sent = part.mapInArrow(_train_round(spark.sparkContext.broadcast(flat), shared), "k int, part binary, weight double")
-        rows = sent.repartition("k").sortWithinPartitions("k", "weight", "part").mapInArrow(_average, "k int, part binary").collect()
+        sent = part.mapInArrow(_train_round(spark.sparkContext.broadcast(flat), shared), PARTS_DDL)
+        lanes = sent.repartition("lane", "k").sortWithinPartitions("lane", "k", "weight", "part").mapInArrow(_average, PARTS_DDL)
+        lanes = lanes.select(F.lit(0).alias("lane"), "k", "part", "weight")
+        rows = lanes.repartition("k").sortWithinPartitions("k", "weight", "part").mapInArrow(_average, PARTS_DDL).collect()
         if rows:
             flat = np.concatenate([np.frombuffer(x.part, np.float32) for x in sorted(rows, key=lambda x: x.k)])
-    return words, flat, _shares(counts, top)
+    return Model(words, flat, *_shares(counts, top))
+
 
+def _shares(counts: DataFrame, top: list) -> tuple[dict[str, float], DataFrame]:
+    """The log of a word's part of its bucket's running words, for words after ``top``: at most FREQUENT of them, and a table of the rest.
 
-def _shares(counts: DataFrame, top: list) -> DataFrame:
-    """(word, share): the log of a word's part of its bucket's running words; words after ``top`` only."""
+    Words are frequent from a level on (a quarter of a power of two of their
+    count) that leaves no more than FREQUENT.
+    """
     least, last = (top[-1].n, top[-1].word) if top else (0, "")
     rare = counts.where((F.col("n") < least) | ((F.col("n") == least) & (F.col("word") > last)))
-    rare = rare.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)))
+    rare = rare.withColumns({"bucket": F.pmod(F.xxhash64("word"), F.lit(BUCKETS)), "level": F.floor(4 * F.log2("n")).cast("int")})
     sums = rare.groupBy("bucket").agg(F.sum("n").alias("all"))  # BUCKETS rows
-    return rare.join(sums, "bucket").select("word", F.log(F.col("n") / F.col("all")).alias("share"))
+    shares = rare.join(F.broadcast(sums), "bucket").select("word", F.log(F.col("n") / F.col("all")).alias("share"), "level")
+    level, total = 1 << 30, 0
+    for r in sorted(rare.groupBy("level").agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True):
+        total += r.words
+        if total > FREQUENT:
+            break
+        level = r.level
+    frequent = {r.word: r.share for r in shares.where(F.col("level") >= level).collect()}
+    return frequent, shares.where(F.col("level") < level).select("word", "share")
 
 
-def _score(network, words):
-    """Each row's words, the sum over them of the network's log-probabilities, and the counts of words that share an id."""
+def _score(network, words, frequent):
+    """Each row's words, the sum over them of the log-probabilities, and the counts of words whose part is still to come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, encode, key = Network(network.value), Encoder(words.value), TaskContext.get().partitionId() << 40
-        for b in batches:
-            texts, sizes, sums, rare, often, ends_of = [], [], [], [], [], [0]
-            for x in text_bytes(b.column(1)):
-                split = x.lower().split()
-                ids = encode.encode(split)
-                texts.append(ids)
-                found = Counter(map(split.__getitem__, np.flatnonzero(ids >= VOCAB - BUCKETS).tolist()))
-                rare += found.keys()
-                often += found.values()
-                ends_of.append(len(rare))
-            group, held = [], 0
-            for i, ids in enumerate(texts):
-                group.append(ids)
-                held += len(ids)
-                if held >= 8 * BATCH or i == len(texts) - 1:
-                    context, target = _contexts(group)
-                    logs = [net.forward(context[a : a + BATCH], target[a : a + BATCH])[0] for a in range(0, len(target), BATCH)]
-                    ends = np.cumsum([len(x) for x in group])
-                    totals = np.r_[0.0, np.cumsum(np.concatenate([*logs, np.zeros(0)]), dtype=np.float64)]
-                    sums += (totals[ends] - totals[np.r_[0, ends[:-1]]]).tolist()
-                    sizes += [len(x) for x in group]
-                    group, held = [], 0
-            at = pa.array(ends_of, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(range(key, key + len(texts)), pa.int64()), b.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()),
-                    pa.ListArray.from_arrays(at, pa.array(rare, pa.binary()).cast(pa.string())), pa.ListArray.from_arrays(at, pa.array(often, pa.int64())),
-                ],
-                ["key", "doc_id", "n_words", "known", "rare", "often"],
-            )
-            key += len(texts)
+        shares = {w.encode(): s for w, s in frequent.value.items()}
+        for batch in batches:
+            for b in slices(batch, 1):
+                yield score(net, encode, shares, b, key)
+                key += b.num_rows
+
+    def score(net: Network, encode: Encoder, shares: dict, b: pa.RecordBatch, key: int) -> pa.RecordBatch:
+        texts, known, rare, often, ends_of = [], [], [], [], [0]
+        for x in text_bytes(b.column(1)):
+            split = x.lower().split()
+            ids = encode.encode(split)
+            texts.append(ids)
+            part = 0.0
+            for w, n in Counter(map(split.__getitem__, np.flatnonzero(ids >= VOCAB - BUCKETS).tolist())).items():
+                if (share := shares.get(w)) is not None:
+                    part += n * share
+                else:
+                    rare.append(w)
+                    often.append(n)
+            known.append(part)
+            ends_of.append(len(rare))
+        logs = [net.forward(context, target) for context, target in _contexts(texts, BATCH)]
+        totals = np.r_[0.0, np.cumsum(np.concatenate([*logs, np.zeros(0)]), dtype=np.float64)]
+        sizes = np.array([len(x) for x in texts], np.int64)
+        ends, at = np.cumsum(sizes), pa.array(ends_of, pa.int32())
+        sums = totals[ends] - totals[ends - sizes] + known
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(range(key, key + len(texts)), pa.int64()), b.column(0), pa.array(sizes), pa.array(sums),
+                pa.ListArray.from_arrays(at, pa.array(rare, pa.binary()).cast(pa.string())), pa.ListArray.from_arrays(at, pa.array(often, pa.int64())),
+            ],
+            ["key", "doc_id", "n_words", "known", "rare", "often"],
+        )
 
     return run
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, log_likelihood, mean_log_likelihood): one row a row of ``docs``.
+    """(doc_id, n_words, log_likelihood, mean_log_likelihood): one row a row of ``docs``, under a model of all of them.
 
     Each word's log-probability given both its sides, summed over the whole
-    text. A word of the network's vocabulary has the network's probability; any
-    other has its bucket's, times its own part of the bucket's running words in
-    the corpus, so that the probabilities of all words of the corpus add up to
-    1. Those parts come from a table of all words by a join: a word beyond the
-    V most frequent is at most a (V + 1)th of all running words, so that no key
-    of it is hot. Null and empty texts have no words, sum 0 and a null mean.
-    Rows that repeat are scored each, and weigh in training each. An empty
-    table gives an empty table.
+    text. A word of the network's vocabulary (the 768 most frequent) has the
+    network's probability; any other has its bucket's, times its own part of
+    the bucket's running words in the corpus, so that the probabilities of all
+    words of the corpus add up to 1. As a neighbour a word beyond the
+    vocabulary stands for its bucket. Null and empty texts have no words, sum 0
+    and a null mean. Rows that repeat an id or a text are scored each, and
+    weigh in training each. A text of any length is scored whole. Columns of
+    other names are ignored. An empty table gives an empty table.
     """
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     counts = materialize(count_words(kept), "words")
-    words, flat, shares = train(kept, counts)
-    spark = docs.sparkSession
-    run = _score(spark.sparkContext.broadcast(flat), spark.sparkContext.broadcast(words))
+    out = score(kept, train(kept, counts))
+    drop(counts)
+    return out
+
+
+def score(kept: DataFrame, model: Model) -> DataFrame:
+    """The scores of (doc_id, text) under a model.
+
+    Parts of words beyond the frequent ones come from a table of all words by a
+    join. Such a word is at most one in ``FREQUENT`` of all running words or
+    tied with others in its level, so that no key of the join is hot.
+    """
+    spark = kept.sparkSession
+    run = _score(*map(spark.sparkContext.broadcast, (model.flat, model.words, model.frequent)))
     scored = materialize(kept.mapInArrow(run, "key long, doc_id long, n_words long, known double, rare array<string>, often array<long>"), "scored")
     pairs = scored.select("key", F.inline(F.arrays_zip(F.col("rare").alias("word"), F.col("often").alias("n"))))
     part = F.round(F.col("n") * F.col("share") / UNIT).cast("long")
-    parts = pairs.join(shares, "word").groupBy("key").agg(F.sum(part).alias("part"))
+    parts = pairs.join(model.shares, "word").groupBy("key").agg(F.sum(part).alias("part"))
     none = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("n_words", "long"), ("known", "double"))]
     both = scored.select("key", "doc_id", "n_words", "known", F.lit(None).cast("long").alias("part")).unionByName(parts.select("key", *none, "part"))
     sums = both.groupBy("key").agg(*[F.max(c).alias(c) for c in ("doc_id", "n_words", "known", "part")])
     total = F.col("known") + F.coalesce(F.col("part"), F.lit(0)) * UNIT
     out = materialize(sums.select("doc_id", "n_words", total.alias("log_likelihood"), F.nullif("n_words", F.lit(0)).alias("_n")), "likelihood")
-    drop(counts, scored)
+    drop(scored)
     return out.select("doc_id", "n_words", "log_likelihood", (F.col("log_likelihood") / F.col("_n")).alias("mean_log_likelihood"))
