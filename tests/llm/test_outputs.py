@@ -7,13 +7,14 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from docloom.llm.chat_format import format_chats, read_loss, read_turns
 from docloom.llm.decontaminate import contained_items, remove_contaminated
 from docloom.llm.lm_scoring import OFFSETS, VOCAB, Network, score_documents
 from docloom.llm.mixing import mix, mix_texts, permute, permuted, plan_source, shard_counts, targets
-from docloom.llm.quality_classifier import classify, isotonic, keep_good
+from docloom.llm.quality_classifier import BINS, FEATURES, HIGH, LOW, RIDGE, Model, classify, fit_labels, isotonic, keep_good, statistics
 from docloom.llm.quality_rules import score_rules
 from docloom.llm.shared import words_of
 from docloom.llm.token_output import Sequences, read_tokens, write_tokens
@@ -60,6 +61,49 @@ def test_classifier_on_held_out_rows(spark, sf_dir, none):
     assert {r.score for r in classify(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_scores_equal_a_fit_in_one_process(spark, sf_dir):
+    """The normal equations, the solution and the calibration once more, over all labelled rows at once."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    marks = {}
+    for r in labels.collect():
+        if r.doc_id is not None and r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            marks[r.doc_id] = max(marks.get(r.doc_id, 0), r.quality)
+    ids = sorted(marks)
+    stats, y = np.array([statistics(texts[i]) for i in ids]), np.array([float(marks[i]) for i in ids])
+    fold = np.array([zlib.crc32(str(i).encode()) % 5 for i in ids])
+    model = Model(stats.mean(0), stats.std(0) + 1e-6)
+    z = model.features(stats)
+    fitted = fold != 1
+    penalty = np.diag([RIDGE] * FEATURES + [1e-9])
+    model.weights = np.linalg.solve(z[fitted].T @ z[fitted] + penalty, z[fitted].T @ y[fitted])
+    bins = np.minimum((model.raw(stats[~fitted]) - LOW) / (HIGH - LOW) * BINS, BINS - 1).astype(int)
+    places = sorted(set(bins))
+    model.at = LOW + (np.array(places) + 0.5) * (HIGH - LOW) / BINS
+    model.value = isotonic(np.array([y[~fitted][bins == b].sum() for b in places]), np.array([float((bins == b).sum()) for b in places]))
+    for r in classify(docs, labels).collect():
+        assert r.score == pytest.approx(model.score(statistics(texts[r.doc_id])[None])[0], abs=1e-6)
+
+
+def test_classifier_on_awkward_rows(spark, docs, rows, none):
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(40)] + [(None, 1), (7, None), (3, 1), (3, 0)], "doc_id long, quality int")
+    got = Counter((r.doc_id, round(r.score, 9)) for r in classify(docs, labels).collect())
+    assert sum(got.values()) == len(rows)
+    by_text = {}
+    for r in docs.select("doc_id", "text").join(classify(docs, labels).where("doc_id <> 4").distinct(), "doc_id").collect():
+        assert by_text.setdefault((r.text or "").strip(), r.score) == r.score  # equal texts, equal scores
+    kept = keep_good(docs, labels)
+    assert kept.columns == docs.columns and keep_good(none, labels).count() == 0
+    texts = Counter(r.text for r in kept.collect())
+    assert all(n == sum(r[1] == t for r in rows) for t, n in texts.items())
+
+
+def test_fit_takes_a_bounded_sample(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    some = [fit_labels(docs.repartition(n), labels, "doc_id", "text", "quality", max_labelled=50).weights for n in (2, 5)]
+    assert np.allclose(*some) and np.any(some[0])
+
+
 def test_isotonic_pools_violators():
     assert isotonic(np.array([1.0, 0, 3]), np.array([1.0, 1, 3])).tolist() == [0.5, 0.5, 1.0]
 
@@ -91,6 +135,13 @@ def test_token_files_hold_every_document(spark, docs, rows, none, name, tmp_path
         assert all(len(s[i][0]) == 64 for i in range(len(s)))
         real += sum(int(s[i][1].sum()) for i in range(len(s)))
     assert real == start
+    first = manifest.orderBy("part").first()
+    sequences = Sequences(first.path + ".arrow")
+    ids, mask = sequences[0]
+    assert ids.base is not None and mask.base is not None and not mask.flags.owndata and len(ids) == len(mask) == 64
+    assert sequences.n_tokens() == first.n_tokens and list(sequences[len(sequences) - 1][1]).count(1) == (first.n_tokens - 1) % 64 + 1
+    with pytest.raises(IndexError):
+        sequences[len(sequences)]
     assert read_tokens(write_tokens(none, path, f"file://{tmp_path}/e")).count() == 0
 
 
@@ -190,13 +241,13 @@ def test_long_chats(spark):
 def test_network_gradient_and_normalisation():
     net, rng = Network(), np.random.default_rng(1)
     context = rng.integers(0, VOCAB, (1, len(OFFSETS)))
-    logs = net.forward(np.repeat(context, VOCAB, axis=0), np.arange(VOCAB))[0]
+    logs = net.forward(np.repeat(context, VOCAB, axis=0), np.arange(VOCAB))
     assert np.exp(logs.astype(float)).sum() == pytest.approx(1, abs=1e-3)
     context, target = rng.integers(0, 50, (512, len(OFFSETS))), rng.integers(0, 9, 512)
-    before = net.forward(context, target)[0].mean()
+    before = net.forward(context, target).mean()
     for _ in range(30):
         net.train(context, target)
-    assert net.forward(context, target)[0].mean() > before + 1
+    assert net.forward(context, target).mean() > before + 1
 
 
 def test_language_model_prefers_seen_order(spark, none):
@@ -215,11 +266,44 @@ def test_language_model_prefers_seen_order(spark, none):
     assert score_documents(none).count() == 0
 
 
+@pytest.mark.parametrize("frequent", [0, 100, 1 << 16])
+def test_scores_equal_a_plain_forward_pass(spark, docs, rows, monkeypatch, frequent):
+    """Each word by itself, its neighbours looked up one by one, its part counted over all words."""
+    import docloom.llm.lm_scoring as lm
+
+    monkeypatch.setattr(lm, "FREQUENT", frequent)
+    kept = docs.select("doc_id", "text").where("doc_id is not null and doc_id not in (4, 47)")
+    counts = lm.materialize(lm.count_words(kept), "words")
+    model = lm.train(kept, counts)
+    got = {r.doc_id: r for r in lm.score(kept, model).collect()}
+    lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    texts = {r[0]: WORDS.findall(lower(r[1])) for r in rows if r[0] not in (None, 4, 47)}
+    every = Counter(w for ws in texts.values() for w in ws)
+    bucket = lambda w: lm.VOCAB - lm.BUCKETS + xxhash.xxh64_intdigest(w.encode(), 42) % lm.BUCKETS
+    ids = {w: model.words.index(w) if w in model.words else bucket(w) for w in every}
+    in_bucket = Counter()
+    for w, n in every.items():
+        in_bucket[ids[w]] += n
+    p, at = {}, 0
+    for name, shape in lm.SHAPES.items():
+        p[name] = model.flat[at : at + int(np.prod(shape))].reshape(shape).astype(float)
+        at += int(np.prod(shape))
+    log_p = lambda x, i: x[i] - math.log(sum(math.exp(v) for v in x))
+    for k, ws in texts.items():
+        total = 0.0
+        for i, w in enumerate(ws):
+            near = [ids[ws[i + o]] if 0 <= i + o < len(ws) else lm.EDGE for o in lm.OFFSETS]
+            h = np.tanh(p["bias"] + sum(p["words"][j][x] for j, x in enumerate(near)))
+            first, second = divmod(ids[w], lm.DIGIT)
+            total += log_p(h @ p["high"] + p["high_bias"], first) + log_p((h + p["digit"][first]) @ p["low"] + p["low_bias"], second)
+            total += 0 if w in model.words else math.log(every[w] / in_bucket[ids[w]])
+        assert got[k].n_words == len(ws) and got[k].log_likelihood == pytest.approx(total, rel=1e-4, abs=1e-3)
+    assert len(got) == len(texts) and len(model.frequent) <= frequent
+
+
 def test_rare_words_have_their_own_probability(spark):
     from collections import defaultdict
 
-    import xxhash
-
     from docloom.llm.lm_scoring import BUCKETS
 
     bucket, by_bucket = lambda w: xxhash.xxh64_intdigest(w.encode(), 42) % BUCKETS, defaultdict(list)
