@@ -19,6 +19,8 @@ from docloom.llm.quality_rules import score_rules
 from docloom.llm.shared import words_of
 from docloom.llm.token_output import Sequences, read_tokens, write_tokens
 
+from test_dedup import chained, simhash_of
+
 WORDS = re.compile("[^\\x20\\x09-\\x0D]+")
 
 
@@ -61,12 +63,10 @@ def test_classifier_on_held_out_rows(spark, sf_dir, none):
     assert {r.score for r in classify(docs, labels.limit(0)).collect()} == {0.5}
 
 
-def test_scores_equal_a_fit_in_one_process(spark, sf_dir):
+def plain_model(texts, labels):
     """The normal equations, the solution and the calibration once more, over all labelled rows at once."""
-    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
     marks = {}
-    for r in labels.collect():
+    for r in labels:
         if r.doc_id is not None and r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
             marks[r.doc_id] = max(marks.get(r.doc_id, 0), r.quality)
     ids = sorted(marks)
@@ -81,6 +81,13 @@ def test_scores_equal_a_fit_in_one_process(spark, sf_dir):
     places = sorted(set(bins))
     model.at = LOW + (np.array(places) + 0.5) * (HIGH - LOW) / BINS
     model.value = isotonic(np.array([y[~fitted][bins == b].sum() for b in places]), np.array([float((bins == b).sum()) for b in places]))
+    return model
+
+
+def test_scores_equal_a_fit_in_one_process(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    model = plain_model(texts, labels.collect())
     for r in classify(docs, labels).collect():
         assert r.score == pytest.approx(model.score(statistics(texts[r.doc_id])[None])[0], abs=1e-6)
 
@@ -176,18 +183,15 @@ def test_mix_meets_its_targets(docs, rows, none):
     assert mix(none).count() == 0
 
 
-def test_mix_equals_a_plain_draw(docs, rows):
-    """The same slots drawn one after the other over each source's words laid out as a list."""
-    unique = [r for r in dict.fromkeys(rows) if r[0] not in (None, 4)]
-    block, repeat, seed, shards = 16, 2, 3, 8
-    got = {r.doc_id: sorted(tuple(p) for p in r.pieces or []) for r in mix(docs.where("doc_id is not null and doc_id <> 4").distinct(), block=block, seed=seed, shards=shards).collect()}
-    by_source = {}
-    for r in sorted(unique, key=lambda r: (r[0], len(WORDS.findall(r[1] or "")))):
-        by_source.setdefault(r[3], []).extend([(r[0], i) for i in range(len(WORDS.findall(r[1] or "")))])
+def plain_mix(rows, block, seed, shards, repeat=2):
+    """{id: pieces} of rows (id, source, text): slots drawn one after the other over each source's words laid out as a list."""
+    by_source, size = {}, lambda r: len(WORDS.findall(r[2] or ""))
+    for r in sorted(rows, key=lambda r: (r[0], size(r))):
+        by_source.setdefault(r[1], []).extend([(r[0], i) for i in range(size(r))])
     names = sorted(by_source, key=lambda s: (s is None, s or ""))
     goal = targets([len(by_source[s]) for s in names])
     plans = [plan_source(i, len(by_source[s]), goal[i], block, repeat, seed) for i, s in enumerate(names)]
-    counts, want = shard_counts([p["slots"] for p in plans], shards, seed), {r[0]: [] for r in unique}
+    counts, want = shard_counts([p["slots"] for p in plans], shards, seed), {r[0]: [] for r in rows}
     for i, s in enumerate(names):
         words, left, shard_of = by_source[s], round(goal[i]), np.repeat(np.arange(shards), counts[:, i])
         blocks = [words[k : k + block] for k in range(0, len(words), block)]
@@ -203,7 +207,13 @@ def test_mix_equals_a_plain_draw(docs, rows):
             for d, ws in spans.items():
                 want[d].append((int(shard_of[slot]), slot, ws[0], ws[-1] + 1))
         assert left == 0
-    assert got == {d: sorted(x) for d, x in want.items()}
+    return {d: sorted(x) for d, x in want.items()}
+
+
+def test_mix_equals_a_plain_draw(docs, rows):
+    unique = [(r[0], r[3], r[1]) for r in dict.fromkeys(rows) if r[0] not in (None, 4)]
+    got = mix(docs.where("doc_id is not null and doc_id <> 4").distinct(), block=16, seed=3, shards=8).collect()
+    assert {r.doc_id: sorted(tuple(p) for p in r.pieces or []) for r in got} == plain_mix(unique, 16, 3, 8)
 
 
 def test_mixed_texts_hold_the_words_taken(docs, none):
@@ -359,3 +369,49 @@ def test_pipeline_stages(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir).collect()
     assert sorted(r.doc_id for r in out) == sorted(kept["mixing"])
     assert sum(r.n_tokens for r in out) == max(r.start + r.n_tokens for r in out)
+
+
+def test_pipeline_equals_brute_force(spark, sf_dir):
+    """All five stages in plain Python over the same tables."""
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rows = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    texts = {i: (r.text or "").encode() for i, r in rows.items()}
+    model = plain_model(texts, spark.read.parquet(f"{sf_dir}/labels.parquet").collect())
+    left = [i for i in sorted(rows) if model.score(statistics(texts[i])[None])[0] >= 0.3]
+    prints = [(i, simhash_of(rows[i].text)) for i in left]
+    left = [i for (i, _), c in zip(prints, chained(prints), strict=True) if i == c]
+    tests = [shingles(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect() if r.item_id is not None]
+    left = [i for i in left if not any(t and 10 * len(t & shingles(rows[i].text)) >= 8 * len(t) for t in tests)]
+    pieces = plain_mix([(i, rows[i].source, rows[i].text) for i in left], 256, 11, 64)
+    tokenizer, start, want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0, []
+    for i in left:
+        text, rounds = rows[i].text or "", []
+        places = [m.span() for m in WORDS.finditer(text)]
+        for a, b in sorted((a, b) for _, _, a, b in pieces[i]):  # neighbouring ranges follow one another in the first round they fit
+            at = next((r for r in rounds if r[-1][1] <= a), None)
+            if at is None:
+                rounds.append([(a, b)])
+            elif at[-1][1] == a:
+                at[-1] = (at[-1][0], b)
+            else:
+                at.append((a, b))
+        if rounds:
+            mixed = "\n".join(text[places[a][0] : places[b - 1][1]] for r in rounds for a, b in r)
+            ids = [*tokenizer.encode(mixed, add_special_tokens=False).ids, 2]
+            want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+            start += len(ids)
+    assert sorted(tuple(r) for r in corpus_pipeline.run(spark, sf_dir).collect()) == want and len(want) > 50
+
+
+def test_pipeline_of_no_documents(spark, sf_dir, tmp_path):
+    import shutil
+
+    import corpus_pipeline
+
+    for name in ("labels", "benchmark"):
+        shutil.copytree(f"{sf_dir}/{name}.parquet", tmp_path / f"{name}.parquet")
+    spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
