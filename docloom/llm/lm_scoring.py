@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop, materialize, slices, text_bytes
+from .shared import drop, lean, materialize, slices, text_bytes
 
 #: Ids are pairs of digits of DIGIT each: frequent words first, then BUCKETS ids that rarer words share by hash.
 #: A rarer word then has its own part of its bucket, so no two words share a probability but by their counts.
@@ -54,7 +54,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         if counts:
             yield out()
 
-    return docs.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(lean(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Encoder:
@@ -246,7 +246,7 @@ def train(docs: DataFrame, counts: DataFrame) -> Model:
     flat = Network().flat()
     for r in range(ROUNDS):
         part = docs.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == r)
-        sent = part.mapInArrow(_train_round(spark.sparkContext.broadcast(flat), shared), PARTS_DDL)
+        sent = part.mapInArrow(lean(_train_round(spark.sparkContext.broadcast(flat), shared)), PARTS_DDL)
         lanes = sent.repartition("lane", "k").sortWithinPartitions("lane", "k", "weight", "part").mapInArrow(_average, PARTS_DDL)
         lanes = lanes.select(F.lit(0).alias("lane"), "k", "part", "weight")
         rows = lanes.repartition("k").sortWithinPartitions("k", "weight", "part").mapInArrow(_average, PARTS_DDL).collect()
@@ -347,7 +347,7 @@ def score(kept: DataFrame, model: Model) -> DataFrame:
     """
     spark = kept.sparkSession
     run = _score(*map(spark.sparkContext.broadcast, (model.flat, model.words, model.frequent)))
-    scored = materialize(kept.mapInArrow(run, "key long, doc_id long, n_words long, known double, rare array<string>, often array<long>"), "scored")
+    scored = materialize(kept.mapInArrow(lean(run), "key long, doc_id long, n_words long, known double, rare array<string>, often array<long>"), "scored")
     pairs = scored.select("key", F.inline(F.arrays_zip(F.col("rare").alias("word"), F.col("often").alias("n"))))
     part = F.round(F.col("n") * F.col("share") / UNIT).cast("long")
     parts = pairs.join(model.shares, "word").groupBy("key").agg(F.sum(part).alias("part"))

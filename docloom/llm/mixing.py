@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
-from .shared import KEY, materialize, mix64, prefix_sums, row_key, slices, words_of
+from .shared import KEY, materialize, mix64, prefix_sums, release, row_key, slices, words_of
 
 WEIGHTS, EXPAND, REPEAT = (5, 2, 1), 1.5, 2
 #: Words a block, and output shards.
@@ -218,6 +218,7 @@ def _cut(texts: pa.Array, ranges: pa.Array) -> pa.Array:
     out: list[str] = []
     for b in slices(pa.RecordBatch.from_arrays([texts, ranges], ["text", "ranges"]), 0):
         out += map(_cut_one, b.column(0).to_pylist(), b.column(1).to_pylist())
+    release()
     return pa.array(out, pa.string())
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import drop, materialize, slices, text_bytes
+from .shared import drop, lean, materialize, release, slices, text_bytes
 
 FEATURES, SEED, RIDGE, BANDWIDTH = 128, 7, 1.0, 4.0
 BINS, LOW, HIGH = 400, -0.5, 1.5
@@ -61,7 +61,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
                 stats = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * N_STATS, pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0), stats, *b.columns[2:]], ["doc_id", "stats", "label", "fold"])
 
-    return docs.mapInArrow(run, "doc_id long, stats array<double>, label double, fold long")
+    return docs.mapInArrow(lean(run), "doc_id long, stats array<double>, label double, fold long")
 
 
 def fold_of(doc_id: Column, folds: int = FOLDS) -> Column:
@@ -192,6 +192,7 @@ def score_of(model: Model, text: Column) -> Column:
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
         parts = [shared.value.score(_all_statistics(text_bytes(b.column(0)))) for b in slices(pa.RecordBatch.from_arrays([texts], ["t"]), 0)]
+        release()
         return pa.array(np.concatenate([np.zeros(0), *parts]))
 
     return score(text.cast("string"))

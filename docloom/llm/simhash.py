@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import KEY, drop, materialize, row_key, slices, text_bytes
+from .shared import KEY, drop, lean, materialize, row_key, slices, text_bytes
 
 BITS, RADIUS, SEED = 64, 3, 42
 #: A bucket of up to so many fingerprints is compared as a whole; a larger one is split by further masks.
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps)], ["doc_id", *more, "fp"])
 
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), *more, F.col(text_col).cast("string").alias("text"))
-    return kept.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", *more, "fp")))
+    return kept.mapInArrow(lean(run), ", ".join(f"{c} long" for c in ("doc_id", *more, "fp")))
 
 
 def _components_of(fps: np.ndarray) -> np.ndarray:
@@ -185,7 +185,7 @@ def _linked(prints: DataFrame) -> DataFrame:
         dealt = dealt.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("bucket"), "fp", "rep")
         dealt = dealt.repartition("mask", "bucket").sortWithinPartitions("mask", "bucket", "rep")
         step = materialize(
-            dealt.mapInArrow(_link_buckets(level == LEVELS - 1), "a long, b long, mask long, fp long, rep long"), "links"
+            dealt.mapInArrow(lean(_link_buckets(level == LEVELS - 1)), "a long, b long, mask long, fp long, rep long"), "links"
         )
         spent.append(step)
         links = step.where("a is not null").select("a", "b")

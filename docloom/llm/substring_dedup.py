@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop, materialize, mix64, slices, text_bytes
+from .shared import drop, lean, materialize, mix64, slices, text_bytes
 
 WINDOW = 13
 #: A difference cover modulo 7: any two positions are both in the cover after one of 7 common shifts.
@@ -148,8 +148,8 @@ def _exchange(texts: DataFrame, gather: Callable, flush: Callable, settle: Calla
             spots = [np.unique(at[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(row[edges[:-1]]), pa.array(spots, pa.binary())], ["row", "spots"])
 
-    answers = _dealt(texts.mapInArrow(send, PACKED), tasks).mapInArrow(meet, PACKED)
-    return _dealt(answers, tasks).mapInArrow(join, "row long, spots binary")
+    answers = _dealt(texts.mapInArrow(lean(send), PACKED), tasks).mapInArrow(lean(meet), PACKED)
+    return _dealt(answers, tasks).mapInArrow(lean(join), "row long, spots binary")
 
 
 def shared_anchors(texts: DataFrame, window: int, buckets: int, groups: int, tasks: int) -> DataFrame:
@@ -294,12 +294,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = max(4 * tasks, least)
     found = materialize(shared_anchors(texts.select("row", "text"), window, buckets, tasks, tasks), "shared-anchors")
     joined = texts.join(found.withColumnRenamed("row", "_row"), F.col("row") == F.col("_row"), "left").select("row", "text", "doc_id", "spots")
-    first = materialize(joined.mapInArrow(_first_cut, FIRST), "candidates")
+    first = materialize(joined.mapInArrow(lean(_first_cut), FIRST), "candidates")
     drop(found)
     again = first.where("spots is not null").select("row", "text", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("order"), "spots")
     repeated = materialize(extended(again, window, buckets, tasks, tasks), "repeated-windows")
     second = first.where("spots is not null").select("row", "text", "doc_id").join(repeated.withColumnRenamed("row", "_row"), F.col("row") == F.col("_row"), "left")
-    second = second.select("doc_id", "text", repeated.spots).mapInArrow(_last_cut(window), LAST)
+    second = second.select("doc_id", "text", repeated.spots).mapInArrow(lean(_last_cut(window)), LAST)
     done = first.where("spots is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("text").alias("kept_text"))
     return done.unionByName(second)
 

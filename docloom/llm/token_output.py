@@ -12,13 +12,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, scratch_path, slices
+from .shared import lean, materialize, scratch_path, slices
 
 SEQUENCE, ROWS, END_ID = 2048, 256, 2
 #: Bytes of text that one file is meant to hold.
 PER_FILE = 32 << 20
-#: Words whose ids a task keeps (about 30 bytes each), and characters of a text that are cut into words at once.
-KEPT, PIECE = 1 << 20, 1 << 20
+#: Words whose ids a task keeps (about 35 bytes each), and characters of a text that are cut into words at once.
+KEPT, PIECE = 3 << 18, 1 << 18
 
 #: Unicode White_Space, which is what \s means to the tokenizer (Python's \s also takes 1C to 1F).
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -326,7 +326,7 @@ def write_tokens(
     chars = kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     dealt = kept.repartitionByRange(chars // PER_FILE + 1, "doc_id").sortWithinPartitions("doc_id")
     written = dealt.mapInArrow(
-        _write(folder, tokenizer, end_id, length, rows), "part long, path string, n_docs long, n_tokens long"
+        lean(_write(folder, tokenizer, end_id, length, rows)), "part long, path string, n_docs long, n_tokens long"
     )
     manifest = materialize(written, "manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -364,7 +364,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     empty table.
     """
     files = manifest.select("path", "base", "n_tokens").repartition(max(manifest.count(), 1), "path")
-    return files.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(lean(_read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFrame:
