@@ -93,8 +93,8 @@ class Encoder:
     def _unseen(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Sizes and ids of words: joined by newlines, which no word holds and which are a token each, then cut there."""
         sizes, every = [np.zeros(0, np.int64)], [np.zeros(0, self.dtype)]
-        for at in range(0, len(words), 5000):
-            some = words[at : at + 5000]
+        for at in range(0, len(words), 500):
+            some = words[at : at + 500]
             ids = self._whole(["\n".join(some)])[0]
             cuts = np.flatnonzero(ids == self.newline[0]) if len(self.newline) == 1 else ()
             if len(cuts) == len(some) - 1:
