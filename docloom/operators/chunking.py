@@ -108,18 +108,18 @@ def long_text(text: str, limit: int, overlap: int) -> list[str]:
             out.append(held)
             held = ""
         if len(s) > limit:
-            out += [s[i : i + limit] for i in range(0, max(len(s) - overlap, 1), limit - overlap)]
+            out += [s[i : i + limit] for i in range(0, max(len(s) - overlap, 1), max(limit - overlap, 1))]
         else:
             held = f"{held} {s}".strip()
     return [*out, held] if held else out
 
 
 def tail(text: str, size: int) -> str:
-    """The last ``size`` characters, from the first sentence that starts in them; none if no sentence does."""
+    """The last ``size`` characters, from the first sentence that starts in them; all of them if no sentence does."""
     if len(text) <= size:
         return text
     cut = re.search(r"[.!?]\s+|[다요]\.\s*|\n", text[-size:])
-    return text[-size:][cut.end() :] if cut else ""
+    return text[-size:][cut.end() if cut else 0 :]
 
 
 def pack_blocks(blocks: pd.DataFrame, limit: int = 1000, overlap: int = 100, least: int = 40) -> list[tuple]:

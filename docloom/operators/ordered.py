@@ -40,9 +40,9 @@ def heading_trail(blocks: DataFrame, doc: str, order: str, level: str, label: st
 
 def fill_both_ways(rows: DataFrame, key: str, order: str, value: str, out: str) -> DataFrame:
     """Nulls take the last value before them, or at the head the first after."""
-    w = Window.partitionBy(key).orderBy(order)
-    down = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    up = F.first(value, ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # both frames grow with the row, the second over rows in reverse; one that shrinks would be summed anew for each row
+    so_far = lambda by: F.last(value, ignorenulls=True).over(Window.partitionBy(key).orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    down, up = so_far(order), so_far(F.desc(order))
     return rows.withColumn(out, F.coalesce(down, up))
 
 
@@ -77,9 +77,9 @@ def next_at_or_after(left: DataFrame, right: DataFrame, key: str, at: str, value
     l = left.withColumns({"_side": F.lit(0), "_v": F.lit(None).cast(dict(right.dtypes)[value])})
     r = right.select(key, F.col(at), F.col(value).alias("_v")).withColumn("_side", F.lit(1))
     both = l.unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(F.col(at), F.col("_side"), F.col("_v"))
-    after = F.first("_v", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    before = F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    # both frames end before the row and grow with it, the second over rows in reverse
+    last = lambda *by: F.last("_v", ignorenulls=True).over(Window.partitionBy(key).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1))
+    after, before = last(F.desc(at), F.desc("_side"), F.desc("_v")), last(at, "_side", "_v")
     return both.withColumn(out, F.coalesce(after, before)).where("_side = 0").select(*cols, out)
 
 

@@ -44,14 +44,35 @@ def _paragraphs(root, section: int) -> Iterator[tuple[int, str, str]]:
     def text(node) -> str:
         return "".join(x.text or "" for x in node.iter() if _tag(x) == "t").strip()
 
+    def pieces(node) -> Iterator:
+        """What a paragraph holds in order: text of its runs, and the tables among them."""
+        for child in node:
+            if _tag(child) == "tbl":
+                yield child
+            elif _tag(child) == "t":
+                yield "".join(child.itertext())
+            else:
+                yield from pieces(child)
+
+    def table(node) -> tuple[int, str, str]:
+        rows = [[text(c) for c in r if _tag(c) == "tc"] for r in node if _tag(r) == "tr"]
+        return section, "table", "\n".join(" | ".join(r) for r in rows)
+
     def walk(node):
         for child in node:
             if _tag(child) == "tbl":
-                rows = [[text(c) for c in r if _tag(c) == "tc"] for r in child if _tag(r) == "tr"]
-                yield section, "table", "\n".join(" | ".join(r) for r in rows)
-            elif _tag(child) == "p" and not any(_tag(x) == "tbl" for x in child.iter()):
-                if t := text(child):
-                    yield section, "paragraph", t
+                yield table(child)
+            elif _tag(child) == "p":
+                said = ""
+                for x in [*pieces(child), None]:
+                    if isinstance(x, str):
+                        said += x
+                        continue
+                    if said.strip():
+                        yield section, "paragraph", said.strip()
+                    said = ""
+                    if x is not None:
+                        yield table(x)
             else:
                 yield from walk(child)
 
