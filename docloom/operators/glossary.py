@@ -48,22 +48,46 @@ def _longest(state: tuple, start: int, n: int) -> tuple:
     return state, (start, n) == best
 
 
+#: Forms of first words that are looked for by value inside each text; with more of them every word is joined.
+HEADS = 10_000
+
+
+def _first_forms(head: Column) -> Column:
+    """The keys under which a word may begin a term."""
+    return F.array_distinct(F.concat(F.array(head, strip_particle(head), strip_ending(head)), verb_stems(head)))
+
+
+def _heads(texts: DataFrame, text: str, index: DataFrame) -> list[str] | None:
+    """Words of the texts that may begin a term, or None if they are more than HEADS.
+
+    The texts' distinct words, summed before the shuffle, meet the terms' first
+    words; only those that match reach the driver.
+    """
+    words = texts.select(F.explode(raw_tokens(F.col(text))).alias("w")).select(plain(F.col("w")).alias("head")).distinct()
+    keyed = words.withColumn("_first", F.explode(_first_forms(F.col("head"))))
+    met = keyed.join(index.select("_first").distinct(), "_first", "left_semi").select("head").distinct()
+    rows = met.limit(HEADS + 1).collect()
+    return None if len(rows) > HEADS else [r.head for r in rows]
+
+
 def match_terms(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str = "term") -> DataFrame:
     """(key, start, n, term): terms in each text by token place, longest first, none inside another.
 
-    Terms that match the same tokens are all given. Only matches of one text
-    come together in a task. Null texts and null terms have no matches; equal
+    Terms that match the same tokens are all given. Places whose word begins no
+    term are left out before anything is carried along with a place; only
+    matches of one text come together in a task. Null texts and null terms have no matches; equal
     terms count once.
     """
     index = index_terms(terms.select(F.col(term).alias("term")).distinct(), "term")
+    heads = _heads(texts, text, index)
 
     def windows(t: Column) -> Column:
         at = F.when(F.size(t) > 0, F.sequence(F.lit(0), F.size(t) - 1))
-        return F.filter(F.transform(at, lambda i: F.struct(i.alias("start"), F.slice(t, i + 1, F.lit(REACH)).alias("w"))), lambda x: ~is_mark(F.get(x["w"], F.lit(0))))
+        begins = lambda i: ~is_mark(F.get(t, i)) if heads is None else plain(F.get(t, i)).isin(heads) & ~is_mark(F.get(t, i))
+        return F.transform(F.filter(at, begins), lambda i: F.struct(i.alias("start"), F.slice(t, i + 1, F.lit(REACH)).alias("w")))
 
     rows = texts.select(F.col(key), F.inline(let(raw_tokens(F.col(text)), windows))).withColumn("_head", plain(F.get("w", F.lit(0))))
-    head = F.col("_head")
-    keys = F.array_distinct(F.concat(F.array(head, strip_particle(head), strip_ending(head)), verb_stems(head)))
+    keys = _first_forms(F.col("_head"))
     near = F.transform(F.slice("w", F.lit(1), F.size("_parts")), plain)  # only where the first word fits
     met = rows.withColumn("_first", F.explode(keys)).join(index, "_first").select(key, "start", "term", let(near, lambda w: _length(w, F.col("_parts"))).alias("n"))
     found = met.where("n > 0").distinct().select(key, "start", "n", "term")

@@ -31,35 +31,37 @@ def extraction_scores(predicted: DataFrame, gold: DataFrame, key: list[str], by:
     return out.select(by, "tp", "fp", "fn", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
-def _gram_counts(pairs: DataFrame, key: str, a: str, b: str, size: int) -> DataFrame:
-    """Counts of each gram on both sides of a pair, by one aggregation over both."""
+def _gram_counts(pairs: DataFrame, key: str, a: str, b: str, sizes: range, keep_spaces: bool = False) -> DataFrame:
+    """(key, n, gram, na, nb): how often each character n-gram stands on each side, of the sizes both sides reach (or of a single size).
 
-    def side(c: str, i: int) -> DataFrame:
-        return pairs.select(key, F.explode(char_ngrams(F.col(c), size)).alias("gram"), F.lit(i).alias("side"))
+    Pairs are dealt by key once, before they turn into grams; the counts and
+    whatever is summed over a key afterwards stay where they are.
+    """
+    clean = pairs.select(key, *[(F.col(c) if keep_spaces else F.regexp_replace(c, WS, "")).alias(c) for c in (a, b)]).repartition(key)
+
+    def grams(c: str, side: int) -> Column:
+        def of(n: int) -> Column:
+            found = F.transform(char_ngrams(F.col(c), n, True), lambda g: F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), g.alias("gram")))
+            return found if len(sizes) == 1 else F.when((F.length(a) >= n) & (F.length(b) >= n), found)
+
+        return F.flatten(F.array_compact(F.array(*map(of, sizes))))
 
-    both = side(a, 0).unionByName(side(b, 1))
-    return both.groupBy(key, "gram").agg(F.count_if(F.col("side") == 0).alias("na"), F.count_if(F.col("side") == 1).alias("nb"))
+    both = clean.select(key, F.inline(F.concat(grams(a, 0), grams(b, 1))))
+    return both.groupBy(key, "n", "gram").agg(F.count_if(F.col("side") == 0).alias("na"), F.count_if(F.col("side") == 1).alias("nb"))
 
 
 def pair_similarity(pairs: DataFrame, key: str, a: str, b: str, size: int = 3) -> DataFrame:
     """(key, similarity): multiset Jaccard of character n-grams; 1 if both are empty."""
-    sums = _gram_counts(pairs, key, a, b, size).groupBy(key).agg(F.sum(F.least("na", "nb")).alias("i"), F.sum(F.greatest("na", "nb")).alias("u"))
+    sums = _gram_counts(pairs, key, a, b, range(size, size + 1)).groupBy(key).agg(F.sum(F.least("na", "nb")).alias("i"), F.sum(F.greatest("na", "nb")).alias("u"))
     out = pairs.select(key).join(sums, key, "left")
     return out.select(key, F.coalesce(F.round(F.col("i") / F.col("u"), 4), F.lit(1.0)).alias("similarity"))
 
 
 def chrf(pairs: DataFrame, key: str, candidate: str, reference: str, max_n: int = 6, beta: float = 2.0) -> DataFrame:
     """(key, chrf): character n-gram F-score, orders 1 to ``max_n`` that both sides have, precision and recall averaged."""
-    parts = None
-    plain = pairs.select(key, *[F.regexp_replace(c, WS, "").alias(c) for c in (candidate, reference)])
-    for n in range(1, max_n + 1):
-        long = plain.where((F.length(candidate) >= n) & (F.length(reference) >= n))
-        one = _gram_counts(long, key, candidate, reference, n).groupBy(key).agg(
-            F.sum(F.least("na", "nb")).alias("m"), F.sum("na").alias("a"), F.sum("nb").alias("b")
-        )
-        one = one.select(key, (F.col("m") / F.col("a")).alias("p"), (F.col("m") / F.col("b")).alias("r"))
-        parts = one if parts is None else parts.unionByName(one)
-    means = parts.groupBy(key).agg(F.avg("p").alias("p"), F.avg("r").alias("r"))
+    counts = _gram_counts(pairs, key, candidate, reference, range(1, max_n + 1)).groupBy(key, "n")
+    sums = counts.agg(F.sum(F.least("na", "nb")).alias("m"), F.sum("na").alias("a"), F.sum("nb").alias("b"))
+    means = sums.groupBy(key).agg(F.avg(F.col("m") / F.col("a")).alias("p"), F.avg(F.col("m") / F.col("b")).alias("r"))
     b2 = beta * beta
     f = F.when(F.col("p") + F.col("r") == 0, 0.0).otherwise((1 + b2) * F.col("p") * F.col("r") / (b2 * F.col("p") + F.col("r")))
     out = pairs.select(key).join(means, key, "left")
