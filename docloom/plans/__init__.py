@@ -1,6 +1,6 @@
 """Queries of the library's operators, by name."""
 
-from . import documents, queries, turns  # noqa: F401
+from . import audits, documents, queries, turns  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -215,3 +215,19 @@ def test_sessions_and_json(spark):
     assert value(spark, C.entry_texts(F.col("x")), x=" a; b ;a;;") == ["a", "b"]
     assert value(spark, C.dig(F.col("x"), "a.b"), x='{"a": {"b": 1}}') == "1"
     assert value(spark, C.upgrade(F.lit(1), F.lit(None).cast("array<string>"), F.col("x")), x="h") == ["h"]
+
+
+def test_tail_keeps_what_has_no_sentence_end():
+    from docloom.operators.chunking import long_text, tail
+
+    assert tail("abc def", 3) == "def" and tail("one. two", 5) == "two" and tail("ab", 5) == "ab"
+    assert long_text("x" * 10, 4, 4)[0] == "xxxx"
+
+
+def test_text_beside_a_table_stays():
+    import xml.etree.ElementTree as ET
+
+    from docloom.sources.documents import _paragraphs
+
+    root = ET.fromstring("<s><p><t>before</t><r><tbl><tr><tc><p><t>a</t></p></tc><tc><p><t>b</t></p></tc></tr></tbl></r><r><t>af</t><t>ter</t></r></p><p><t>next</t></p></s>")
+    assert list(_paragraphs(root, 0)) == [(0, "paragraph", "before"), (0, "table", "a | b"), (0, "paragraph", "after"), (0, "paragraph", "next")]
