@@ -23,12 +23,12 @@ VOCAB = DIGIT * DIGIT
 EDGE = VOCAB
 OFFSETS = (-2, -1, 1, 2)
 WIDTH, RATE, SEED, ROUNDS = 24, 0.15, 3, 2
-#: Words in a training step, and in a step of scoring.
+#: Running words in a training step, and in a step of scoring.
 STEP, BATCH = 2048, 8192
 #: Distinct words a task counts before it hands them on (or keeps the ids of), and parameters that one row carries.
 COUNTED, CHUNK = 250_000, 4096
 #: Words beyond the vocabulary whose parts are broadcast (under 50 bytes each); the others meet theirs in a join.
-FREQUENT = 1 << 16
+FREQUENT = 1 << 18
 #: Tasks' parameters are averaged in so many lanes first.
 LANES = 64
 #: A row's part of a word's log-probability is summed as a whole number of these, so that sums don't depend on their order.
@@ -57,27 +57,38 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(lean(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Encoder:
-    """Texts to words and ids: the given words in order, others hashed into the last BUCKETS ids."""
+class Encoder(dict):
+    """Codes of words: the given words in order, then VOCAB + 1 and on for others as they are met.
 
-    def __init__(self, words: list[str]):
-        self.ids = _Ids((w.encode(), i) for i, w in enumerate(words))
+    ``buckets`` and ``rare`` hold the id and the word of each such other word;
+    ``fresh`` forgets them when they are over COUNTED.
+    """
 
-    def __call__(self, text: bytes) -> np.ndarray:
-        return self.encode(text.lower().split())
+    def __init__(self, words: list[str]):
+        super().__init__((w.encode(), i) for i, w in enumerate(words))
+        self.words, self.rare, self.buckets = words, [], []
 
-    def encode(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.ids.__getitem__, words), np.int32, count=len(words))
+    def __missing__(self, word: bytes) -> int:
+        self.rare.append(word)
+        self.buckets.append(VOCAB - BUCKETS + xxhash.xxh64_intdigest(word, HASH_SEED) % BUCKETS)
+        self[word] = code = VOCAB + len(self.rare)
+        return code
 
+    def fresh(self) -> bool:
+        if len(self.rare) > COUNTED:
+            self.clear()
+            self.__init__(self.words)
+            return True
+        return False
 
-class _Ids(dict):
-    """Ids of the given words; those of other words are kept as they are met, COUNTED of them at most."""
+    def codes(self, text: bytes) -> np.ndarray:
+        words = text.lower().split()
+        return np.fromiter(map(self.__getitem__, words), np.int32, count=len(words))
 
-    def __missing__(self, word: bytes) -> int:
-        i = VOCAB - BUCKETS + xxhash.xxh64_intdigest(word, HASH_SEED) % BUCKETS
-        if len(self) < COUNTED:
-            self[word] = i
-        return i
+    def ids(self, codes: np.ndarray) -> np.ndarray:
+        """What the network knows the words by: other words share ids by hash."""
+        table = np.r_[np.arange(VOCAB + 1), self.buckets].astype(np.int32)
+        return table[codes]
 
 
 SHAPES = {
@@ -102,53 +113,103 @@ class Network:
             start = np.zeros(shape) if "bias" in name else rng.normal(0, 0.1, shape)
             self.p[name] = (start if flat is None else flat[at : at + size].reshape(shape)).astype(np.float32)
             at += size
+        # a word's four vectors side by side: running text then looks each word up once
+        self.p["words"] = np.ascontiguousarray(self.p["words"].transpose(1, 0, 2)).reshape(VOCAB + 1, -1)
         self.seen = {k: np.full(v.shape, 1e-2, np.float32) for k, v in self.p.items()}
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.p[k].ravel() for k in SHAPES])
+        words = self.p["words"].reshape(VOCAB + 1, len(OFFSETS), WIDTH).transpose(1, 0, 2)
+        return np.concatenate([(words if k == "words" else self.p[k]).ravel() for k in SHAPES])
 
     def forward(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """The log-probability of each target between its neighbours."""
-        return self._run(context, target)[0]
+        h = self.p["bias"] + sum(self.p["words"][context[:, k], _block(k)] for k in range(len(OFFSETS)))
+        return self._predict(np.tanh(h), target)[0]
+
+    def train(self, context: np.ndarray, target: np.ndarray) -> None:
+        """One Adagrad step on a batch."""
+        h = self.p["bias"] + sum(self.p["words"][context[:, k], _block(k)] for k in range(len(OFFSETS)))
+        self._learn(np.tanh(h), target, len(target), lambda d: np.hstack([_sum_by(context[:, k], d, VOCAB + 1) for k in range(len(OFFSETS))]))
+
+    def along(self, ids: np.ndarray) -> np.ndarray:
+        """Log-probabilities of the words of running text but its two first and last; those of EDGE are left out."""
+        target = ids[2:-2]
+        real = target != EDGE
+        return self._predict(self._between(ids), np.where(real, target, 0))[0][real]
+
+    def train_along(self, ids: np.ndarray) -> int:
+        """One Adagrad step on running text; its two first and last words are neighbours only. Returns the words learned."""
+        target = ids[2:-2]
+        real = target != EDGE
+        n = int(real.sum())
+
+        def spread(d: np.ndarray) -> np.ndarray:
+            every = np.zeros((len(ids), len(OFFSETS) * WIDTH), np.float32)
+            for k, o in enumerate(OFFSETS):
+                every[2 + o : 2 + o + len(d), _block(k)] = d
+            return _sum_by(ids, every, VOCAB + 1)
+
+        if n:
+            self._learn(self._between(ids), np.where(real, target, 0), n, spread, real)
+        return n
 
-    def _run(self, context: np.ndarray, target: np.ndarray) -> tuple:
+    def _between(self, ids: np.ndarray) -> np.ndarray:
+        """Hidden layer of each word of running text but the two first and last."""
+        every, n = self.p["words"][ids], len(ids) - 4
+        h = every[:n, _block(0)] + self.p["bias"]
+        for k, o in enumerate(OFFSETS[1:], 1):
+            h += every[2 + o : 2 + o + n, _block(k)]
+        return np.tanh(h, out=h)
+
+    def _predict(self, h: np.ndarray, target: np.ndarray) -> tuple:
         p, rows = self.p, np.arange(len(target))
-        h = p["bias"] + sum(p["words"][k][context[:, k]] for k in range(len(OFFSETS)))
-        np.tanh(h, out=h)
         first, second = target // DIGIT, target % DIGIT
         h2 = h + p["digit"][first]
         a, da = _softmax(h @ p["high"] + p["high_bias"], rows, first)
         b, db = _softmax(h2 @ p["low"] + p["low_bias"], rows, second)
-        return a + b, (h, h2, da, db, first, second)
+        return a + b, (h2, da, db, first, second)
 
-    def train(self, context: np.ndarray, target: np.ndarray) -> None:
-        """One Adagrad step on a batch."""
-        p, n, rows = self.p, np.float32(len(target)), np.arange(len(target))
-        _, (h, h2, da, db, first, second) = self._run(context, target)
+    def _learn(self, h: np.ndarray, target: np.ndarray, n: int, words, real: np.ndarray | None = None) -> None:
+        """``words`` turns the gradient at the hidden layer into that of the word vectors; rows that aren't ``real`` count for nothing."""
+        p, rows = self.p, np.arange(len(target))
+        _, (h2, da, db, first, second) = self._predict(h, target)
         da[rows, first] -= 1
         db[rows, second] -= 1
-        da /= n
-        db /= n
+        if real is not None:
+            da[~real] = 0
+            db[~real] = 0
+        da /= np.float32(n)
+        db /= np.float32(n)
         dh2 = db @ p["low"].T
         dpre = (da @ p["high"].T + dh2) * (1 - h * h)
         grads = {
             "high": h.T @ da, "high_bias": da.sum(0), "low": h2.T @ db, "low_bias": db.sum(0),
-            "bias": dpre.sum(0), "digit": _sum_by(first, dh2, DIGIT),
-            "words": np.stack([_sum_by(context[:, k], dpre, VOCAB + 1) for k in range(len(OFFSETS))]),
+            "bias": dpre.sum(0), "digit": _sum_by(first, dh2, DIGIT), "words": words(dpre),
         }
         for k, g in grads.items():
-            self.seen[k] += g * g
-            p[k] -= np.float32(RATE) * g / np.sqrt(self.seen[k])
+            root = g * g
+            self.seen[k] += root
+            np.sqrt(self.seen[k], out=root)
+            g *= np.float32(RATE)
+            g /= root
+            p[k] -= g
+
+
+def _block(k: int) -> slice:
+    return slice(k * WIDTH, (k + 1) * WIDTH)
+
+
+_ONES = np.ones(DIGIT, np.float32)
 
 
 def _softmax(x: np.ndarray, rows: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The log-probability of each row's target, and all probabilities."""
-    x -= x.max(1, keepdims=True)
+    np.clip(x, -60, 60, out=x)  # far beyond what weights of this size give; keeps the powers finite and above zero
     picked = x[rows, target]
     np.exp(x, out=x)
-    total = x.sum(1, keepdims=True)
-    x /= total
-    return picked - np.log(total[:, 0]), x
+    total = x @ _ONES
+    x /= total[:, None]
+    return picked - np.log(total), x
 
 
 def _sum_by(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
@@ -161,30 +222,22 @@ def _sum_by(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _contexts(ids: list[np.ndarray], step: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Neighbours (n, 4) and targets (n,) of texts, ``step`` at a time; beyond a text's ends stands EDGE."""
+def _running(ids: list[np.ndarray], step: int) -> Iterator[np.ndarray]:
+    """Texts one after the other, two EDGE around each, in pieces of ``step`` words with two more on both sides."""
     edge = np.full(2, EDGE, np.int32)
     every = np.concatenate([x for i in ids for x in (edge, i)] + [edge])
-    target = np.flatnonzero(every != EDGE)
-    for at in range(0, len(target), step):
-        some = target[at : at + step]
-        yield np.stack([every[some + o] for o in OFFSETS], axis=1), every[some]
+    for at in range(0, len(every) - 4, step):
+        yield every[at : at + step + 4]
 
 
 def _train_round(network, words):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, encode, held, n, seen = Network(network.value), Encoder(words.value), [], 0, 0
+        net, encode, seen = Network(network.value), Encoder(words.value), 0
         for batch in batches:
             for b in slices(batch, 1):
-                for text in text_bytes(b.column(1)):
-                    ids = encode(text)
-                    held.append(ids)
-                    n += len(ids)
-                    if n >= 4 * BATCH:
-                        seen += step(net, held)
-                        held, n = [], 0
-        if n:
-            seen += step(net, held)
+                encode.fresh()
+                codes = [encode.codes(text) for text in text_bytes(b.column(1))]
+                seen += step(net, np.split(encode.ids(np.concatenate(codes)), np.cumsum([len(x) for x in codes])[:-1]))
         if seen:
             flat, lane = net.flat(), TaskContext.get().partitionId() % LANES
             for k in range(0, len(flat), CHUNK):
@@ -192,11 +245,7 @@ def _train_round(network, words):
                 yield pa.RecordBatch.from_arrays(row, PARTS)
 
     def step(net: Network, held: list) -> int:
-        n = 0
-        for context, target in _contexts(held, STEP):
-            net.train(context, target)
-            n += len(target)
-        return n
+        return sum(net.train_along(x) for x in _running(held, STEP))
 
     return run
 
@@ -282,35 +331,36 @@ def _score(network, words, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, encode, key = Network(network.value), Encoder(words.value), TaskContext.get().partitionId() << 40
         shares = {w.encode(): s for w, s in frequent.value.items()}
+        parts = np.zeros(0)  # of the encoder's other words; not a number where it is still to come
         for batch in batches:
             for b in slices(batch, 1):
-                yield score(net, encode, shares, b, key)
+                if encode.fresh():
+                    parts = np.zeros(0)
+                codes = [encode.codes(x) for x in text_bytes(b.column(1))]
+                parts = np.r_[parts, [shares.get(w, np.nan) for w in encode.rare[len(parts) :]]]
+                yield score(net, encode, parts, codes, b, key)
                 key += b.num_rows
 
-    def score(net: Network, encode: Encoder, shares: dict, b: pa.RecordBatch, key: int) -> pa.RecordBatch:
-        texts, known, rare, often, ends_of = [], [], [], [], [0]
-        for x in text_bytes(b.column(1)):
-            split = x.lower().split()
-            ids = encode.encode(split)
-            texts.append(ids)
-            part = 0.0
-            for w, n in Counter(map(split.__getitem__, np.flatnonzero(ids >= VOCAB - BUCKETS).tolist())).items():
-                if (share := shares.get(w)) is not None:
-                    part += n * share
-                else:
-                    rare.append(w)
-                    often.append(n)
-            known.append(part)
-            ends_of.append(len(rare))
-        logs = [net.forward(context, target) for context, target in _contexts(texts, BATCH)]
+    def score(net: Network, encode: Encoder, parts: np.ndarray, texts: list, b: pa.RecordBatch, key: int) -> pa.RecordBatch:
+        codes, sizes = np.concatenate(texts), np.array([len(x) for x in texts], np.int64)
+        ends, n_texts = np.cumsum(sizes), len(texts)
+        # each text's other words, once, with how often they stand in it
+        other, owner = codes - VOCAB - 1, np.repeat(np.arange(n_texts), sizes)
+        both = owner[other >= 0] * (len(parts) + 1) + other[other >= 0]
+        pairs, often = np.unique(both, return_counts=True)
+        owner, other = np.divmod(pairs, len(parts) + 1)
+        part = parts[other]
+        open_ = np.isnan(part)
+        known = np.bincount(owner[~open_], weights=(often * part)[~open_], minlength=n_texts)
+        rare = pa.array([encode.rare[i] for i in other[open_].tolist()], pa.binary()).cast(pa.string())
+        at = pa.array(np.r_[0, np.cumsum(np.bincount(owner[open_], minlength=n_texts))], pa.int32())
+        logs = [net.along(x) for x in _running(np.split(encode.ids(codes), ends[:-1]), BATCH)]
         totals = np.r_[0.0, np.cumsum(np.concatenate([*logs, np.zeros(0)]), dtype=np.float64)]
-        sizes = np.array([len(x) for x in texts], np.int64)
-        ends, at = np.cumsum(sizes), pa.array(ends_of, pa.int32())
         sums = totals[ends] - totals[ends - sizes] + known
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(range(key, key + len(texts)), pa.int64()), b.column(0), pa.array(sizes), pa.array(sums),
-                pa.ListArray.from_arrays(at, pa.array(rare, pa.binary()).cast(pa.string())), pa.ListArray.from_arrays(at, pa.array(often, pa.int64())),
+                pa.array(range(key, key + n_texts), pa.int64()), b.column(0), pa.array(sizes), pa.array(sums),
+                pa.ListArray.from_arrays(at, rare), pa.ListArray.from_arrays(at, pa.array(often[open_].astype(np.int64))),
             ],
             ["key", "doc_id", "n_words", "known", "rare", "often"],
         )
