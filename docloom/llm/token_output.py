@@ -179,8 +179,8 @@ def _file(uri: str):
 
 def _schema(dtype: np.dtype, length: int) -> pa.Schema:
     ids = pa.list_(pa.from_numpy_dtype(dtype), length)
-    # a byte an item: bits couldn't be handed out as a numpy view
-    return pa.schema([("input_ids", ids), ("mask", pa.list_(pa.uint8(), length))])
+    # a byte an item, as Arrow's bits can't be handed out as a numpy view; nearly all masks are the same one, so a dictionary holds them
+    return pa.schema([("input_ids", ids), ("mask", pa.dictionary(pa.int32(), pa.list_(pa.uint8(), length)))])
 
 
 class SequenceWriter:
@@ -203,11 +203,14 @@ class SequenceWriter:
             self.held = len(self.parts[0])
 
     def _batch(self, ids: np.ndarray, real: int) -> None:
-        mask = (np.arange(len(ids)) < real).astype(np.uint8)
-        arrays = [
-            pa.FixedSizeListArray.from_arrays(pa.array(x), type=t)
-            for x, t in ((np.ascontiguousarray(ids, self.dtype), self.schema.types[0]), (mask, self.schema.types[1]))
-        ]
+        n, last = len(ids) // self.length, real - (len(ids) - self.length)
+        padded = last < self.length
+        masks = (np.arange(self.length) < np.array([[self.length], [last]])[: 1 + padded]).astype(np.uint8)
+        of, kind = np.zeros(n, np.int32), self.schema.types[1]
+        of[-1] = padded
+        sequences = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(ids, self.dtype)), type=self.schema.types[0])
+        dictionary = pa.FixedSizeListArray.from_arrays(pa.array(masks.ravel()), type=kind.value_type)
+        arrays = [sequences, pa.DictionaryArray.from_arrays(pa.array(of), dictionary)]
         self.stream.write_batch(pa.RecordBatch.from_arrays(arrays, schema=self.schema))
 
     def close(self) -> None:
@@ -232,7 +235,9 @@ class Sequences:
         self.batches = list(pa.ipc.open_stream(source))
         self.rows = self.batches[0].num_rows if self.batches else 1
         self.length = self.batches[0].schema.types[0].list_size if self.batches else 1
-        self.flat = [tuple(b.column(i).flatten().to_numpy() for i in range(2)) for b in self.batches]
+        self.ids = [b.column(0).flatten().to_numpy() for b in self.batches]
+        self.masks = [b.column(1).dictionary.flatten().to_numpy().reshape(-1, self.length) for b in self.batches]
+        self.of = [b.column(1).indices.to_numpy() for b in self.batches]
 
     def __len__(self) -> int:
         return sum(b.num_rows for b in self.batches)
@@ -240,12 +245,12 @@ class Sequences:
     def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         if not 0 <= i < len(self):
             raise IndexError(i)
-        at = i % self.rows * self.length
-        return tuple(x[at : at + self.length] for x in self.flat[i // self.rows])
+        k, at = divmod(i, self.rows)
+        return self.ids[k][at * self.length : (at + 1) * self.length], self.masks[k][self.of[k][at]]
 
     def n_tokens(self) -> int:
         """Ids that aren't padding, by the masks."""
-        return sum(int(mask.sum(dtype=np.int64)) for _, mask in self.flat)
+        return sum(int(masks.sum(axis=1, dtype=np.int64)[of].sum()) for masks, of in zip(self.masks, self.of, strict=True))
 
     def tokens(self, start: int, stop: int) -> Iterator[np.ndarray]:
         """Ids ``start`` to ``stop`` of the file in views, one for each batch they touch."""
@@ -253,7 +258,7 @@ class Sequences:
         while start < stop:
             k, at = divmod(start, block)
             to = min(at + stop - start, block)
-            yield self.flat[k][0][at:to]
+            yield self.ids[k][at:to]
             start += to - at
 
 
@@ -311,7 +316,7 @@ def write_tokens(
     ``docs`` is dealt out by range of id, so file n holds the ids after those of
     file n-1, and each task writes one file: an Arrow stream of batches of
     ``rows`` sequences, two fixed-size-list columns of ``length`` items each,
-    ``input_ids`` and ``mask``, plus a small index file with each document's
+    ``input_ids`` and ``mask`` (by a dictionary of the masks), plus a small index file with each document's
     id and length. Files are written under a task's own name and then renamed,
     so a retried task leaves one whole file. A file is made of about
     ``PER_FILE`` bytes of text, so that the manifest (path, n_docs, n_tokens,
