@@ -25,8 +25,8 @@ OFFSETS = (-2, -1, 1, 2)
 WIDTH, RATE, SEED, ROUNDS = 24, 0.15, 3, 2
 #: Running words in a training step, and in a step of scoring.
 STEP, BATCH = 2048, 8192
-#: Distinct words a task counts before it hands them on (or keeps the ids of), and parameters that one row carries.
-COUNTED, CHUNK = 250_000, 4096
+#: Distinct words a task counts before it hands them on, or keeps the codes of, and parameters that one row carries.
+COUNTED, MET, CHUNK = 500_000, 250_000, 4096
 #: Words beyond the vocabulary whose parts are broadcast (under 50 bytes each); the others meet theirs in a join.
 FREQUENT = 1 << 18
 #: Tasks' parameters are averaged in so many lanes first.
@@ -61,7 +61,7 @@ class Encoder(dict):
     """Codes of words: the given words in order, then VOCAB + 1 and on for others as they are met.
 
     ``buckets`` and ``rare`` hold the id and the word of each such other word;
-    ``fresh`` forgets them when they are over COUNTED.
+    ``fresh`` forgets them when they are over MET.
     """
 
     def __init__(self, words: list[str]):
@@ -75,7 +75,7 @@ class Encoder(dict):
         return code
 
     def fresh(self) -> bool:
-        if len(self.rare) > COUNTED:
+        if len(self.rare) > MET:
             self.clear()
             self.__init__(self.words)
             return True
@@ -268,12 +268,13 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model(NamedTuple):
-    """Vocabulary, network parameters, parts of frequent words beyond the vocabulary, and the table of the other words' parts."""
+    """Vocabulary, network parameters, parts of frequent words beyond the vocabulary, the table of the other words' parts, and the part of a word met once by bucket."""
 
     words: list[str]
     flat: np.ndarray
     frequent: dict[str, float]
     shares: DataFrame
+    once: list[float]
 
 
 def train(docs: DataFrame, counts: DataFrame) -> Model:
@@ -304,17 +305,21 @@ def train(docs: DataFrame, counts: DataFrame) -> Model:
     return Model(words, flat, *_shares(counts, top))
 
 
-def _shares(counts: DataFrame, top: list) -> tuple[dict[str, float], DataFrame]:
+def _shares(counts: DataFrame, top: list) -> tuple[dict[str, float], DataFrame, list[float]]:
     """The log of a word's part of its bucket's running words, for words after ``top``: at most FREQUENT of them, and a table of the rest.
 
+    A word that the corpus holds once follows from its bucket's sum alone, so
+    the table, which is sorted for the join, does without those words.
+
     Words are frequent from a level on (a quarter of a power of two of their
     count) that leaves no more than FREQUENT.
     """
     least, last = (top[-1].n, top[-1].word) if top else (0, "")
     rare = counts.where((F.col("n") < least) | ((F.col("n") == least) & (F.col("word") > last)))
     rare = rare.withColumns({"bucket": F.pmod(F.xxhash64("word"), F.lit(BUCKETS)), "level": F.floor(4 * F.log2("n")).cast("int")})
-    sums = rare.groupBy("bucket").agg(F.sum("n").alias("all"))  # BUCKETS rows
-    shares = rare.join(F.broadcast(sums), "bucket").select("word", F.log(F.col("n") / F.col("all")).alias("share"), "level")
+    sums = {r.bucket: r.all for r in rare.groupBy("bucket").agg(F.sum("n").alias("all")).collect()}  # BUCKETS rows
+    every = F.array(*[F.lit(sums.get(k, 1)).cast("long") for k in range(BUCKETS)])
+    shares = rare.select("word", F.log(F.col("n") / F.get(every, F.col("bucket").cast("int"))).alias("share"), "level", "n")
     level, total = 1 << 30, 0
     for r in sorted(rare.groupBy("level").agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True):
         total += r.words
@@ -322,7 +327,8 @@ def _shares(counts: DataFrame, top: list) -> tuple[dict[str, float], DataFrame]:
             break
         level = r.level
     frequent = {r.word: r.share for r in shares.where(F.col("level") >= level).collect()}
-    return frequent, shares.where(F.col("level") < level).select("word", "share")
+    once = [float(-np.log(sums.get(k, 1))) for k in range(BUCKETS)]
+    return frequent, shares.where((F.col("level") < level) & (F.col("n") > 1)).select("word", "share"), once
 
 
 def _score(network, words, frequent):
@@ -399,8 +405,9 @@ def score(kept: DataFrame, model: Model) -> DataFrame:
     run = _score(*map(spark.sparkContext.broadcast, (model.flat, model.words, model.frequent)))
     scored = materialize(kept.mapInArrow(lean(run), "key long, doc_id long, n_words long, known double, rare array<string>, often array<long>"), "scored")
     pairs = scored.select("key", F.inline(F.arrays_zip(F.col("rare").alias("word"), F.col("often").alias("n"))))
-    part = F.round(F.col("n") * F.col("share") / UNIT).cast("long")
-    parts = pairs.join(model.shares, "word").groupBy("key").agg(F.sum(part).alias("part"))
+    once = F.get(F.array(*map(F.lit, model.once)), F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int"))
+    part = F.round(F.col("n") * F.coalesce("share", once) / UNIT).cast("long")
+    parts = pairs.join(model.shares, "word", "left").groupBy("key").agg(F.sum(part).alias("part"))
     none = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("n_words", "long"), ("known", "double"))]
     both = scored.select("key", "doc_id", "n_words", "known", F.lit(None).cast("long").alias("part")).unionByName(parts.select("key", *none, "part"))
     sums = both.groupBy("key").agg(*[F.max(c).alias(c) for c in ("doc_id", "n_words", "known", "part")])
