@@ -1,7 +1,7 @@
 """The same results in DuckDB SQL, where SQL can express them.
 
 Not here: fingerprints need XXH64 with a seed (2), fitted scores (4, 9), the
-tokenizer (5) and the pseudorandom draw of blocks (7). The tests hold those
+tokenizer (5, 13), the pseudorandom draw of blocks (7) and eigenvectors (11). The tests hold those
 against brute force, a round trip or held-out labels.
 """
 
@@ -72,10 +72,21 @@ n AS (SELECT item_id, count(*) AS n FROM t GROUP BY item_id),
 m AS (SELECT doc_id, item_id, count(*) AS shared FROM d JOIN t USING (s) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n.n::INT AS n_shingles, shared::INT AS n_shared FROM m JOIN n USING (item_id) WHERE 1000 * shared >= 800 * n.n"""
 
+OP12 = f"""WITH h AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS h FROM documents),
+u AS (SELECT doc_id, text, regexp_extract_all(text, '[\\x20\\x09-\\x0D]*{ANY_WORD}+|{BLANKS}') AS u,
+  ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2, ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM h),
+c AS (SELECT *, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+  CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, len(u)::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p"""
+
 ORACLES = {
     "op1_line_dedup": OP1,
     "op3_quality_rules": OP3,
     "op6_substring_dedup": OP6,
     "op8_chat_format": OP8,
     "op10_decontaminate": OP10,
+    "op12_fill_in_middle": OP12,
 }

@@ -100,6 +100,33 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import by_component, whiten
+
+    return by_component(whiten(_table(spark, sf_dir, "embeddings"))).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_in_middle import fill_in_middle, restore
+
+    out = fill_in_middle(_table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import decode, encode
+
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    out = decode(encode(_table(spark, sf_dir, "documents"), tokenizer), tokenizer)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -113,6 +140,9 @@ QUERIES = {
         op8_chat_format,
         op9_lm_scoring,
         op10_decontaminate,
+        op11_whitening,
+        op12_fill_in_middle,
+        op13_bpe,
     )
 }
 __all__ = ["ORACLES", "QUERIES"]
