@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WS = "[ \\t\\n\\r\\f\\x0B]+"
 
@@ -13,6 +17,23 @@ def strip_display_tags(text: Column) -> Column:
     return F.regexp_replace(text, "(?i)</?mark\\s*>", "")
 
 
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+
+
+def nfkc(text: Column) -> Column:
+    """Unicode's compatible composed form: full-width signs, ligatures and the like as plain ones. Spark has no function for it."""
+    return F.pandas_udf(_nfkc, StringType())(text)
+
+
+def letters_only(text: Column) -> Column:
+    """Letters and digits alone, without HTML tags, by which versions of a text are compared."""
+    plain = F.regexp_replace(text, "<[^>]+>", " ")
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
+        plain = F.replace(plain, F.lit(entity), F.lit(sign))
+    return F.regexp_replace(nfkc(plain), "[^\\p{L}\\p{N}]+", "")
+
+
 def words(text: Column) -> Column:
     return F.array_remove(F.split(text, WS), "")
 

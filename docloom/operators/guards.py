@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.language import particle_check
 from ..functions.numbers import ratio
-from ..functions.text import char_ngrams, evidence_form, question_key, sentences, word_ngrams, words
+from ..functions.text import char_ngrams, evidence_form, nfkc, question_key, sentences, word_ngrams, words
 
 # Sentence endings by class, and the rules of each tone.
 ENDINGS = [("hapnida", "(?:습니다|합니다|십니다|입니다)$"), ("haeyo", "요$"), ("gaejosik", "[함임됨음짐옴]$"), ("da", "다$")]
@@ -21,15 +21,15 @@ FORCED = {"debt_reason": "objective", "reviewer_opinion": "objective"}
 
 
 def match_text(text: Column, expected: Column, mode: str) -> Column:
-    """Whether ``text`` fits: ``exact`` and ``contains`` after case and blanks are evened out, ``regex`` as it is."""
-    even = lambda c: F.trim(F.regexp_replace(F.lower(c), "\\s+", " "))
+    """Whether ``text`` fits: ``exact`` and ``contains`` after case, blanks and compatible forms (NFKC) are evened out, ``regex`` as it is."""
+    even = lambda c: F.trim(F.regexp_replace(F.lower(nfkc(c)), "\\s+", " "))
     tests = {"exact": lambda: even(text) == even(expected), "contains": lambda: F.contains(even(text), even(expected)), "regex": lambda: F.regexp_like(text, expected)}
     return tests[mode]()
 
 
 def value_verdict(predicted: Column, gold: Column) -> Column:
-    """``exact``, ``partial`` if one holds the other, else ``wrong``; punctuation, case and blanks don't count."""
-    a, b = (F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "[^\\p{L}\\p{N}\\s]", " "), "\\s+", " ")) for c in (predicted, gold))
+    """``exact``, ``partial`` if one holds the other, else ``wrong``; punctuation, case, blanks and compatible forms (NFKC) don't count. A null is wrong."""
+    a, b = (F.trim(F.regexp_replace(F.regexp_replace(F.lower(nfkc(c)), "[^\\p{L}\\p{N}\\s]", " "), "\\s+", " ")) for c in (predicted, gold))
     return F.when(a == b, "exact").when((a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a)), "partial").otherwise("wrong")
 
 
