@@ -78,17 +78,25 @@ def merge_rows(boxes: DataFrame, page: list[str]) -> DataFrame:
 
 
 def reading_order(lines: DataFrame, page: list[str], gutter: str) -> DataFrame:
-    """``lines`` with ``band``, ``column`` and ``place``: lines across the gutter part a page into bands, a band reads column by column.
+    """``lines`` with ``band``, ``column`` and ``place``: lines across a gutter part a page into bands, a band reads column by column.
 
-    ``gutter`` is the x of the gap between two columns; null: one column.
+    ``gutter`` is the x of the gap between two columns, or an array of them as
+    ``columns.page_gutters`` gives it; null: one column.
     """
-    across = F.coalesce((F.col("x0") < F.col(gutter)) & (F.col("x1") > F.col(gutter)), F.lit(False))
-    rows = lines.withColumns({"_across": across, "column": F.when(across, -1).when(F.coalesce(F.col("x0") >= F.col(gutter), F.lit(False)), 1).otherwise(0)})
+    from .columns import column_of
+
+    if dict(lines.dtypes)[gutter].startswith("array"):
+        column = column_of(F.col("x0"), F.col("x1"), F.col(gutter))
+    else:
+        across = F.coalesce((F.col("x0") < F.col(gutter)) & (F.col("x1") > F.col(gutter)), F.lit(False))
+        column = F.when(across, -1).when(F.coalesce(F.col("x0") >= F.col(gutter), F.lit(False)), 1).otherwise(0)
+    rows = lines.withColumn("column", column)
+    across = (F.col("column") == -1).cast("int")
     down = Window.partitionBy(*page).orderBy("y0", "x0", "x1", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # a line across is a band of its own: odd numbers for those, even ones for what stands between
-    rows = rows.withColumn("band", 2 * F.sum(F.col("_across").cast("int")).over(down) - F.col("_across").cast("int"))
+    rows = rows.withColumn("band", 2 * F.sum(across).over(down) - across)
     order = Window.partitionBy(*page).orderBy("band", "column", "y0", "x0", "x1", "text")
-    return rows.withColumn("place", F.row_number().over(order)).drop("_across")
+    return rows.withColumn("place", F.row_number().over(order))
 
 
 def paragraphs(lines: DataFrame, page: list[str]) -> DataFrame:

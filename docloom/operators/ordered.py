@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -94,6 +95,22 @@ def first_of_equal(rows: DataFrame, key: str, same: str) -> DataFrame:
     return rows.select(key, mark.alias("_h")).join(groups, "_h").select(key, "first", "n_same")
 
 
+def cut_lineage(rows: DataFrame) -> DataFrame:
+    """``rows``, worked out and written to the checkpoint folder, so that what follows doesn't repeat it and a lost executor doesn't either.
+
+    The folder is ``spark.checkpoint.dir``'s; a session on one machine without it takes a folder of its own.
+    """
+    sc = rows.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="docloom-")
+        sc.setCheckpointDir(folder)
+    return rows.checkpoint()
+
+
 def scan(rows: DataFrame, keys: list[str], order: list[str | Column], out: str, kind: str, start: Callable, step: Callable, used: list[str]) -> DataFrame:
     """``rows`` with ``out``: what ``step`` gives along each key's rows in order.
 
