@@ -54,7 +54,8 @@ def _messages(turns: Column) -> Column:
         n = F.size(given)
         before = F.concat(F.array(F.lit(None).cast("string")), F.transform(F.slice(given, 1, n - 1), lambda t: t["role"]))
         fresh = F.zip_with(given, before, lambda t, last: ~t["role"].eqNullSafe(last))
-        return let(F.filter(F.sequence(F.lit(1), n), lambda i: F.get(fresh, i - 1)), lambda firsts: cut(given, n, firsts))
+        starts = let(fresh, lambda f: F.filter(F.sequence(F.lit(1), n), lambda i: F.get(f, i - 1)))
+        return let(starts, lambda firsts: cut(given, n, firsts))
 
     def cut(given, n, firsts):
         ends = F.concat(F.slice(firsts, 2, F.size(firsts)), F.array(n + 1))
@@ -124,5 +125,16 @@ def read_turns(formatted: Column) -> Column:
 
 
 def read_loss(formatted: Column, spans: Column) -> Column:
-    """The texts under the loss mask, unescaped, as an array."""
-    return F.transform(spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
+    """The texts under the loss mask, unescaped, as an array.
+
+    A place in a string is found by walking to it, so the string is first cut
+    into the stretches that ``FOLD`` spans lie in.
+    """
+
+    def stretch(run: Column) -> Column:
+        first, last = F.get(run, F.lit(0))["start"], F.get(run, F.size(run) - 1)["end"]
+        piece = lambda text, a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))
+        return let(piece(formatted, first, last), lambda text: F.transform(run, lambda s: unescape(piece(text, s["start"] - first, s["end"] - first))))
+
+    firsts = F.sequence(F.lit(1), F.greatest(F.size(spans), F.lit(1)), F.lit(FOLD))
+    return F.flatten(F.transform(firsts, lambda i: let(F.slice(spans, i, FOLD), stretch)))
