@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -17,8 +18,8 @@ from .shared import lean, materialize, scratch_path, slices
 SEQUENCE, ROWS, END_ID = 2048, 256, 2
 #: Bytes of text that one file is meant to hold.
 PER_FILE = 32 << 20
-#: Words whose ids a task keeps (about 35 bytes each), and characters of a text that are cut into words at once.
-KEPT, PIECE = 3 << 18, 1 << 18
+#: Words whose ids a worker keeps (about 35 bytes each), and characters of a text that are cut into words at once.
+KEPT, PIECE = 3 << 19, 1 << 18
 
 #: Unicode White_Space, which is what \s means to the tokenizer (Python's \s also takes 1C to 1F).
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -65,8 +66,8 @@ class Encoder:
     non-spaces with the one space before it), so the ids of a text are those of
     its words and space runs in order, and a word met before need not be
     encoded again. Texts that hold an added token's string, and tokenizers of
-    another kind, are encoded whole. An encoder belongs to one task and keeps
-    at most ``KEPT`` words.
+    another kind, are encoded whole. An encoder belongs to one Python worker, which
+    hands it from task to task, and keeps at most ``KEPT`` words.
     """
 
     def __init__(self, path: str):
@@ -161,6 +162,12 @@ class Encoder:
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The worker's encoder: words that one task met are known to those that the worker runs later."""
+    return Encoder(path)
+
+
 def _pieces(text: str) -> Iterator[str]:
     """A long text in pieces that end before a single space between two words."""
     at = 0
@@ -269,7 +276,7 @@ def _write(folder: str, path: str, end_id: int, length: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, context = Encoder(path), TaskContext.get()
+        encode, context = encoder(path), TaskContext.get()
         part, end = context.partitionId(), np.array([end_id], encode.dtype)
         filesystem, base = _file(folder)
         filesystem.create_dir(base, recursive=True)
@@ -313,8 +320,8 @@ def write_tokens(
 ) -> DataFrame:
     """Encode texts and write them in ascending id order; returns the manifest, a row per file.
 
-    ``docs`` is dealt out by range of id, so file n holds the ids after those of
-    file n-1, and each task writes one file: an Arrow stream of batches of
+    ``docs`` is dealt out by range of (id, hash of the text), so file n holds
+    what follows file n-1 and many rows of one id are several files. Each task writes one file: an Arrow stream of batches of
     ``rows`` sequences, two fixed-size-list columns of ``length`` items each,
     ``input_ids`` and ``mask`` (by a dictionary of the masks), plus a small index file with each document's
     id and length. Files are written under a task's own name and then renamed,
@@ -324,12 +331,14 @@ def write_tokens(
     over it the running sum is taken, in one task.
 
     Null and empty texts are the end id alone. Null ids come first. Rows with
-    the same id are all written, in no fixed order. An empty table gives an
+    the same id are all written, in the order of a hash of their texts. An empty table gives an
     empty manifest.
     """
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     chars = kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    dealt = kept.repartitionByRange(chars // PER_FILE + 1, "doc_id").sortWithinPartitions("doc_id")
+    # by text too, so that rows of one id, or of none, make more than one file
+    kept = kept.withColumn("_by", F.xxhash64("text"))
+    dealt = kept.repartitionByRange(chars // PER_FILE + 1, "doc_id", "_by").sortWithinPartitions("doc_id", "_by")
     written = dealt.mapInArrow(
         lean(_write(folder, tokenizer, end_id, length, rows)), "part long, path string, n_docs long, n_tokens long"
     )
