@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import json
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
@@ -18,8 +20,8 @@ from .token_output import _WS, Encoder, _gather, _Known
 
 #: How a byte-level tokenizer splits text before it merges (fixed value); \s is Unicode's White_Space.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
-#: Words that are merged under one queue.
-TOGETHER = 2000
+#: Pieces of words that are merged under one queue, and how many a worker keeps with their ids.
+TOGETHER, PIECES = 300, 1 << 17
 
 
 def byte_letters() -> list[str]:
@@ -46,8 +48,9 @@ class Vocabulary:
         self.of_byte = np.array([ids.get(c, 0) for c in letters], np.int64)
         self.left, self.right = ([ids[p[k]] for p in pairs] for k in (0, 1))
         self.made = [ids[a + b] for a, b in pairs]
+        self.bits = max(ids.values()).bit_length()
         # a pair that stands twice has its last rank
-        self.rank = {a << 32 | b: r for r, (a, b) in enumerate(zip(self.left, self.right, strict=True))}
+        self.rank = {a << self.bits | b: r for r, (a, b) in enumerate(zip(self.left, self.right, strict=True))}
         self.added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         self.size = max([*ids.values(), *self.added.values()]) + 1
         back = {c: b for b, c in enumerate(letters)}
@@ -66,10 +69,18 @@ class Vocabulary:
                 first[at[self.left[r]], at[self.right[r]]] = r
         self.byte_rank = first.ravel()
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The vocabulary strings of ids, one after the other; an id that isn't in the vocabulary has none."""
-        ids = ids[ids < self.size]
-        return _gather(self.bytes, self.starts[ids], self.lengths[ids]).tobytes()
+    def decode(self, ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        """The texts of runs of ids, ``sizes`` long: their vocabulary strings one after the other; an id beyond the vocabulary has none."""
+        known = ids < self.size
+        ids = np.where(known, ids, 0)
+        lengths = self.lengths[ids] * known
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(sizes)])]
+        data = _gather(self.bytes, self.starts[ids], lengths)
+        texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
+        try:
+            return texts.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:  # some bytes are no UTF-8
+            return pa.array([t.decode(errors="replace") for t in texts.to_pylist()], pa.string())
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Sizes and ids of words, none of which is empty.
@@ -77,8 +88,8 @@ class Vocabulary:
         All symbols of all words stand in one doubly linked list, in which a
         border stands after each word: it pairs with nothing. The queue holds a rank
         and a place; the smallest rank goes first, of equal ones the leftmost.
-        An entry is stale, and skipped, if its place no longer holds the pair
-        of its rank.
+        An entry is stale, and skipped, if another pair starts at its place by
+        now, or none.
         """
         lengths = np.array([len(w) for w in words], np.int64)
         data = np.frombuffer(b"\0".join([*words, b""]), np.uint8)
@@ -86,36 +97,41 @@ class Vocabulary:
         border[np.cumsum(lengths + 1) - 1] = True
         symbols = np.where(border, -1, self.of_byte[data])
         ranks = self.byte_rank[data[:-1].astype(np.int64) * 256 + data[1:]]
-        places = np.flatnonzero((ranks >= 0) & ~border[:-1] & ~border[1:])
-        queue = (ranks[places] << 32 | places).tolist()
+        ranks = np.concatenate([np.where(border[:-1] | border[1:], -1, ranks), [-1]])
+        places = np.flatnonzero(ranks >= 0)
+        shift = len(data).bit_length()  # as few bits as will do: Python is fastest with integers of up to 30
+        queue = (ranks[places] << shift | places).tolist()
         heapify(queue)
-        symbol, after, before = symbols.tolist(), list(range(1, len(data) + 1)), list(range(-1, len(data) - 1))
-        left, right, made, rank = self.left, self.right, self.made, self.rank.get
+        pair, symbol = ranks.tolist(), symbols.tolist()  # the rank of the pair that starts at a place, and its first symbol
+        after, before = list(range(1, len(data) + 1)), list(range(-1, len(data) - 1))
+        made, rank, bits, mask = self.made, self.rank.get, self.bits, (1 << shift) - 1
         while queue:
             entry = heappop(queue)
-            r, i = entry >> 32, entry & 0xFFFFFFFF
-            if symbol[i] != left[r]:
+            i = entry & mask
+            r = entry >> shift
+            if pair[i] != r:
                 continue
             j = after[i]
-            if symbol[j] != right[r]:
-                continue
             new = symbol[i] = made[r]
-            symbol[j] = -2  # gone
+            symbol[j] = pair[j] = -2  # gone
             j = after[i] = after[j]
             before[j] = i
             then = symbol[j]
-            if then >= 0 and (q := rank(new << 32 | then)) is not None:
-                heappush(queue, q << 32 | i)
+            q = pair[i] = rank(new << bits | then, -1) if then >= 0 else -1
+            if q >= 0:
+                heappush(queue, q << shift | i)
             j = before[i]
-            if j >= 0 and (then := symbol[j]) >= 0 and (q := rank(then << 32 | new)) is not None:
-                heappush(queue, q << 32 | j)
+            if j >= 0 and (then := symbol[j]) >= 0:
+                q = pair[j] = rank(then << bits | new, -1)
+                if q >= 0:
+                    heappush(queue, q << shift | j)
         out = np.array(symbol, np.int64)
         ends = np.cumsum(out >= 0)[border]
         return np.diff(np.concatenate([[0], ends])), out[out >= 0]
 
 
 class HeapEncoder(Encoder):
-    """The word-by-word encoder of the token files with merges of its own; words that a task met before come from its bounded table."""
+    """The word-by-word encoder of the token files with merges of its own; words that a worker met before come from its bounded table."""
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
@@ -123,18 +139,33 @@ class HeapEncoder(Encoder):
         self.dtype = np.dtype("<u2" if self.vocabulary.size <= 1 << 16 else "<u4")
         self.known = _Known(self.dtype)
         self.pattern = regex.compile(PATTERN)
+        self._forget()
         self.marks = regex.compile("|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True))) if self.added else None
 
     def _unseen(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        sizes, every = [np.zeros(0, np.int64)], [np.zeros(0, self.dtype)]
-        for at in range(0, len(words), TOGETHER):
-            pieces = [self.pattern.findall(w) for w in words[at : at + TOGETHER]]
-            n, ids = self.vocabulary.merge([p.encode() for some in pieces for p in some])
-            ends = np.concatenate([[0], np.cumsum(n)])
-            owners = np.cumsum([0, *map(len, pieces)])
-            sizes.append(np.diff(ends[owners]))
-            every.append(ids.astype(self.dtype))
-        return np.concatenate(sizes), np.concatenate(every)
+        """Sizes and ids of words: the pieces that merges stay within are merged once, however many words hold them."""
+        split = self.pattern.findall
+        pieces = [[w] if (w[1:] if w[:1] == " " else w).isalpha() and w.isascii() else split(w) for w in words]
+        every = list(itertools.chain.from_iterable(pieces))
+        if len(self.place) > PIECES:
+            self._forget()
+        new = [x for x in dict.fromkeys(every) if x not in self.place]
+        for at in range(0, len(new), TOGETHER):
+            some = new[at : at + TOGETHER]
+            n, ids = self.vocabulary.merge([x.encode() for x in some])
+            self.place.update(zip(some, range(len(self.place), len(self.place) + len(some)), strict=True))
+            self.sizes.append(n)
+            self.parts.append(ids.astype(self.dtype))
+        self.sizes, self.parts = [np.concatenate(self.sizes)], [np.concatenate(self.parts)]
+        sizes, ids = self.sizes[0], self.parts[0]
+        places = np.fromiter(map(self.place.__getitem__, every), np.int64, len(every))
+        found = sizes[places]
+        ends, owners = np.concatenate([[0], np.cumsum(found)]), np.cumsum([0, *map(len, pieces)])
+        return np.diff(ends[owners]), _gather(ids, (np.cumsum(sizes) - sizes)[places], found)
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.sizes, self.parts = [np.zeros(0, np.int64)], [np.zeros(0, self.dtype)]
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         """Texts that the word table doesn't serve: runs of space, and texts that hold an added token's string."""
@@ -150,6 +181,12 @@ class HeapEncoder(Encoder):
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def heap_encoder(path: str) -> HeapEncoder:
+    """The worker's encoder, kept from task to task."""
+    return HeapEncoder(path)
+
+
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids): each text's ids, packed as little-endian unsigned 32-bit integers.
 
@@ -163,7 +200,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = HeapEncoder(tokenizer)
+        encoder = heap_encoder(tokenizer)
         for b in batches:
             for part in slices(b, 1):
                 found = encoder.encode_batch([x or "" for x in part.column(1).to_pylist()])
@@ -189,8 +226,10 @@ def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids") -> DataFram
         vocabulary = Vocabulary(tokenizer)
         for b in batches:
             for part in slices(b, at):
-                texts = [vocabulary.decode(np.frombuffer(x or b"", "<u4")).decode(errors="replace") for x in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
+                packed = [x or b"" for x in part.column(at).to_pylist()]
+                sizes = np.array([len(x) // 4 for x in packed], np.int64)
+                texts = vocabulary.decode(np.frombuffer(b"".join(packed), "<u4"), sizes)
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, "decoded"])
 
     return rows.mapInArrow(lean(run), StructType([*rows.schema.fields, StructField("decoded", StringType())]))
 

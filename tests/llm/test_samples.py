@@ -174,3 +174,34 @@ def test_a_tokenizer_of_another_kind_is_refused():
 
     with pytest.raises(ValueError, match="byte-level"):
         Vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_rows_of_one_id_make_several_files(spark, tokenizer, tmp_path, monkeypatch):
+    from docloom.llm import token_output
+
+    monkeypatch.setattr(token_output, "PER_FILE", 4000)
+    rows = [(7, f"text {i} " * 20) for i in range(200)] + [(None, f"no id {i} " * 20) for i in range(200)] + [(i, "a b c") for i in range(200)]
+    manifest = token_output.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer, f"file://{tmp_path}/t", length=64, rows=8)
+    files = manifest.collect()
+    assert len(files) > 10 and max(f.n_docs for f in files) < 250
+    got = sorted(token_output.read_tokens(manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda x: (x is not None, x or 0))
+
+
+def test_a_long_text_goes_through_the_encoders_in_pieces(spark, tokenizer):
+    from docloom.llm.token_output import Encoder
+
+    text = " ".join(f"wörd{i % 9973}, x" for i in range(120_000))
+    whole = Encoder(tokenizer)._whole([text])[0].tolist()
+    assert len(text) > 3 << 18 and Encoder(tokenizer).encode(text).tolist() == whole == HeapEncoder(tokenizer).encode(text).tolist()
+
+
+def test_chats_of_many_turns(spark):
+    from docloom.llm.chat_format import format_chats, read_loss, read_turns
+
+    n = 20_000
+    role = F.when(F.col("id") % 3 == 0, "user").otherwise("assistant")
+    turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.concat(F.lit("é<|"), "id").alias("text"))
+    got = format_chats(turns).select(read_turns(F.col("formatted")).alias("turns"), read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    said = [("user" if i % 3 == 0 else "assistant", f"é<|{i}") for i in range(n)]
+    assert [tuple(t) for t in got.turns] == said and got.loss == [t for r, t in said if r == "assistant"]
