@@ -95,12 +95,6 @@ def tokens(text: Column) -> Column:
     return F.transform(raw_tokens(text), plain)
 
 
-def same_word(found: Column, term: Column, after_digit: Column) -> Column:
-    """Whether a text's token is the term's: equal, or equal without particle, verb ending or inflection."""
-    bare = F.when(after_digit, strip_particle(found, 1)).otherwise(strip_particle(found))
-    return (found == term) | (bare == term) | (strip_ending(found) == term) | F.array_contains(verb_stems(found), term)
-
-
 def final_consonant(word: Column) -> Column:
     """Number of the last syllable's final consonant (0: none, 8: ㄹ); null if it isn't a Hangul syllable."""
     code = F.conv(F.hex(F.encode(F.right(word, F.lit(1)), "UTF-16BE")), 16, 10).cast("int")

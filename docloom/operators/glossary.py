@@ -1,43 +1,87 @@
-"""Dictionary terms in texts: an equi-join on the first word, then the longest match from the left."""
+"""Dictionary terms in texts: word forms are matched once for each distinct word, terms by an automaton over the words of a text."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.language import is_mark, plain, raw_tokens, same_word, strip_ending, strip_particle, tokens, verb_stems
+from ..functions.language import MARKS, SAME_MARKS, TOKEN, is_mark, plain, raw_tokens, strip_ending, strip_particle, tokens, verb_stems
 from ..functions.text import let
-from .ordered import scan
+from .ordered import cut_lineage, scan
 
-WORDS = 6  # longer terms are left out
-REACH = 4 * WORDS  # tokens of a text that a term with its marks may cover
+#: Parts of terms, and words that fit them, that one automaton is made of (some 200 bytes each); with more the terms are dealt to several.
+LIMIT = 250_000
 
 
 def index_terms(terms: DataFrame, term: str = "term") -> DataFrame:
-    """``terms`` with ``_parts`` (tokens, each with whether a number stands before it) and ``_first``, the key of the join.
-
-    Terms without words and those of over six words are left out.
-    """
+    """``terms`` with ``_parts``: a term's words and marks, each with whether a number stands before it. Terms without words are left out."""
     def parts(t: Column) -> Column:
-        return F.transform(t, lambda x, i: F.struct(x.alias("t"), F.coalesce((i > 0) & F.get(t, i - 1).rlike("^[0-9]+$"), F.lit(False)).alias("d")))
+        return F.transform(t, lambda x, i: F.struct(x.alias("t"), F.coalesce((i > 0) & F.get(t, i - 1).rlike("^[0-9]+$"), F.lit(False)).alias("d"), is_mark(x).alias("mark")))
+
+    return terms.withColumn("_parts", let(tokens(F.col(term)), parts)).where(F.exists("_parts", lambda p: ~p["mark"]))
+
+
+def _forms(word: Column) -> Column:
+    """What a word of a text may stand for in a term, each with whether that holds only after a number (true), only elsewhere (false), or anywhere (null)."""
+    form = lambda x, only: F.struct(x.alias("form"), F.lit(only).cast("boolean").alias("only"))
+    simple = F.array(form(word, None), form(strip_ending(word), None), form(strip_particle(word), False), form(strip_particle(word, 1), True))
+    return F.array_distinct(F.concat(simple, F.transform(verb_stems(word), lambda x: form(x, None))))
+
 
-    rows = terms.withColumn("_parts", let(tokens(F.col(term)), parts))
-    said = F.filter("_parts", lambda p: ~is_mark(p["t"]))
-    return rows.withColumn("_first", F.get(said, F.lit(0))["t"]).where(F.size(said).between(1, WORDS) & (F.size("_parts") <= REACH))
+def fitting_words(texts: DataFrame, text: str, index: DataFrame) -> DataFrame:
+    """(word, t, d): the distinct words of the texts that fit a part of a term; tasks sum words up before the shuffle."""
+    parts = index.select(F.explode("_parts").alias("p")).where("NOT p.mark").select("p.t", "p.d").distinct()
+    words = texts.select(F.explode(raw_tokens(F.col(text))).alias("word")).distinct()
+    met = words.withColumn("f", F.explode(_forms(plain(F.col("word")))))
+    fits = (F.col("f.form") == F.col("t")) & (F.col("f.only").isNull() | (F.col("f.only") == F.col("d")))
+    return met.join(parts, fits).select("word", "t", "d").distinct()
 
 
-def _length(window: Column, parts: Column) -> Column:
-    """Tokens of a text's ``window`` that the term covers, or -1.
+_SAME = str.maketrans(MARKS, SAME_MARKS[: len(MARKS)])
+
+
+class Automaton:
+    """Terms as a tree of parts, walked from each word of a text that begins one.
 
     A mark in the text ends a term; one in the term may be there or not.
     """
-    def step(at: Column, p: Column) -> Column:
-        found = F.get(window, at)
-        fits = F.coalesce(~is_mark(found) & same_word(found, p["t"], p["d"]), F.lit(False))
-        mark = F.when(F.coalesce(found == p["t"], F.lit(False)), at + 1).otherwise(at)
-        return F.when(at < 0, at).when(is_mark(p["t"]), mark).when(fits, at + 1).otherwise(-1)
 
-    return F.aggregate(parts, F.lit(0), step)
+    def __init__(self, terms: list[tuple[str, list[tuple[str, bool, bool]]]], words: list[tuple[str, str, bool]]):
+        self.fits: dict[str, list] = {}
+        for word, t, d in words:
+            self.fits.setdefault(word, []).append((t, d))
+        self.root: tuple = ({}, {}, [])  # by part, by mark, terms that end here
+        for term, parts in terms:
+            node = self.root
+            for t, d, mark in parts:
+                node = node[1].setdefault(t, ({}, {}, [])) if mark else node[0].setdefault((t, d), ({}, {}, []))
+            node[2].append(term)
+        # a term may begin with marks, which no text needs to have
+        self.starts: dict[tuple, list] = {}
+        open_ = [self.root]
+        while open_:
+            by_part, by_mark, _ = open_.pop()
+            for part, node in by_part.items():
+                self.starts.setdefault(part, []).append(node)
+            open_ += by_mark.values()
+
+    def matches(self, said: list[str]) -> Iterator[tuple[int, int, str]]:
+        """(start, n, term) of each term at each place, by token."""
+        for start, word in enumerate(said):
+            open_ = [(node, start + 1) for part in self.fits.get(word, ()) for node in self.starts.get(part, ())]
+            while open_:
+                (by_part, by_mark, ends), at = open_.pop()
+                for term in ends:
+                    yield start, at - start, term
+                token = said[at] if at < len(said) else ""
+                for mark, node in by_mark.items():
+                    open_.append((node, at + (token.translate(_SAME) == mark)))
+                if by_part:
+                    open_ += [(by_part[part], at + 1) for part in self.fits.get(token, ()) if part in by_part]
 
 
 def _longest(state: tuple, start: int, n: int) -> tuple:
@@ -48,51 +92,68 @@ def _longest(state: tuple, start: int, n: int) -> tuple:
     return state, (start, n) == best
 
 
-#: Forms of first words that are looked for by value inside each text; with more of them every word is joined.
-HEADS = 10_000
+def _matching(terms: list, words: list, alone: bool):
+    token = re.compile(TOKEN)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = Automaton(terms.value, words.value)
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                keys, found = [], []
+                for i, text in enumerate(part.column(1).to_pylist()):
+                    state = (-1, None)
+                    for x in sorted(set(automaton.matches(token.findall(text or ""))), key=lambda m: (m[0], -m[1], m[2])):
+                        state, stands = _longest(state, x[0], x[1]) if alone else (state, True)
+                        if stands:
+                            keys.append(i)
+                            found.append(x)
+                start, n, term = zip(*found, strict=True) if found else ((), (), ())
+                key = part.column(0).take(pa.array(keys, pa.int64()))
+                yield pa.RecordBatch.from_arrays([key, pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(term, pa.string())], ["key", "start", "n", "term"])
 
-def _first_forms(head: Column) -> Column:
-    """The keys under which a word may begin a term."""
-    return F.array_distinct(F.concat(F.array(head, strip_particle(head), strip_ending(head)), verb_stems(head)))
+    return run
 
 
-def _heads(texts: DataFrame, text: str, index: DataFrame) -> list[str] | None:
-    """Words of the texts that may begin a term, or None if they are more than HEADS.
-
-    The texts' distinct words, summed before the shuffle, meet the terms' first
-    words; only those that match reach the driver.
-    """
-    words = texts.select(F.explode(raw_tokens(F.col(text))).alias("w")).select(plain(F.col("w")).alias("head")).distinct()
-    keyed = words.withColumn("_first", F.explode(_first_forms(F.col("head"))))
-    met = keyed.join(index.select("_first").distinct(), "_first", "left_semi").select("head").distinct()
-    rows = met.limit(HEADS + 1).collect()
-    return None if len(rows) > HEADS else [r.head for r in rows]
-
-
-def match_terms(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str = "term") -> DataFrame:
+def match_terms(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str = "term", limit: int = LIMIT) -> DataFrame:
     """(key, start, n, term): terms in each text by token place, longest first, none inside another.
 
-    Terms that match the same tokens are all given. Places whose word begins no
-    term are left out before anything is carried along with a place; only
-    matches of one text come together in a task. Null texts and null terms have no matches; equal
-    terms count once.
+    Which words of the texts fit which part of a term is worked out over the
+    distinct words. The words that fit, and the terms, make an automaton, which
+    each task builds once and runs over whole texts, so no places are joined
+    or shuffled. Its size is counted before it is broadcast; beyond ``limit`` the terms are
+    dealt to several automata by hash, whose matches meet by row.
+
+    Terms that match the same tokens are all given. Null texts, null terms and terms without words
+    have no matches; equal terms count once. Keys needn't be unique or there:
+    each row of ``texts`` is matched by itself and gives its own rows. Empty tables give empty ones.
     """
-    index = index_terms(terms.select(F.col(term).alias("term")).distinct(), "term")
-    heads = _heads(texts, text, index)
-
-    def windows(t: Column) -> Column:
-        at = F.when(F.size(t) > 0, F.sequence(F.lit(0), F.size(t) - 1))
-        begins = lambda i: ~is_mark(F.get(t, i)) if heads is None else plain(F.get(t, i)).isin(heads) & ~is_mark(F.get(t, i))
-        return F.transform(F.filter(at, begins), lambda i: F.struct(i.alias("start"), F.slice(t, i + 1, F.lit(REACH)).alias("w")))
-
-    rows = texts.select(F.col(key), F.inline(let(raw_tokens(F.col(text)), windows))).withColumn("_head", plain(F.get("w", F.lit(0))))
-    keys = _first_forms(F.col("_head"))
-    near = F.transform(F.slice("w", F.lit(1), F.size("_parts")), plain)  # only where the first word fits
-    met = rows.withColumn("_first", F.explode(keys)).join(index, "_first").select(key, "start", "term", let(near, lambda w: _length(w, F.col("_parts"))).alias("n"))
-    found = met.where("n > 0").distinct().select(key, "start", "n", "term")
-    out = scan(found, [key], ["start", F.desc("n"), "term"], "_kept", "boolean", lambda: (-1, None), _longest, ["start", "n"])
-    return out.where("_kept").drop("_kept")
+    index = cut_lineage(index_terms(terms.select(F.col(term).alias("term")).distinct(), "term"))
+    words = cut_lineage(fitting_words(texts, text, index))
+    parts = index.agg(F.sum(F.size("_parts"))).first()[0] or 0
+    groups = max(parts, words.count()) // limit + 1
+    kind = texts.schema[key].dataType.simpleString()
+    schema = "start int, n int, term string"
+    spark = texts.sparkSession
+
+    def automaton(g: int) -> list:
+        mine = index.where(F.pmod(F.xxhash64("term"), F.lit(groups)) == g)
+        held = mine.select(F.explode("_parts").alias("p")).select("p.t", "p.d").distinct()
+        rows = words.join(held, ["t", "d"], "left_semi") if groups > 1 else words
+        given = [(r.term, [tuple(p) for p in r["_parts"]]) for r in mine.collect()]
+        return [spark.sparkContext.broadcast(given), spark.sparkContext.broadcast([(r.word, r.t, r.d) for r in rows.collect()])]
+
+    if groups == 1:
+        found = texts.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(_matching(*automaton(0), True), f"key {kind}, {schema}")
+        return found.withColumnsRenamed({"key": key})
+    rows = cut_lineage(texts.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key")).alias("key"), F.col(text).cast("string").alias("text")))
+    every = None
+    for g in range(groups):
+        some = rows.mapInArrow(_matching(*automaton(g), False), f"key struct<row:bigint,key:{kind}>, {schema}")
+        every = some if every is None else every.unionByName(some)
+    flat = every.select(F.col("key.row").alias("_row"), F.col("key.key").alias(key), "start", "n", "term")
+    out = scan(flat, ["_row"], ["start", F.desc("n"), "term"], "_kept", "boolean", lambda: (-1, None), _longest, ["start", "n"])
+    return out.where("_kept").drop("_kept", "_row")
 
 
 def both_ways(items: DataFrame, source: str, target: str) -> DataFrame:

@@ -60,7 +60,7 @@ def test_terms(spark):
     assert found(spark, "가맹점을 제3자에게", ["가맹점", "제3자"]) == [(0, 1, "가맹점"), (1, 3, "제3자")]
     assert found(spark, "refinanced", ["Refinance", "refinance"]) == [(0, 1, "Refinance"), (0, 1, "refinance")]
     assert found(spark, None, ["x", None]) == []
-    assert found(spark, "one two three four five six seven", ["one two three four five six seven"]) == []
+    assert found(spark, "one two three four five six seven", ["one two three four five six seven"]) == [(0, 7, "one two three four five six seven")]
 
 
 def test_terms_equal_plain_search(spark):
@@ -78,6 +78,14 @@ def test_terms_equal_plain_search(spark):
             at += size or 1
     got = glossary.match_terms(spark.createDataFrame(rows, "id int, t string"), "id", "t", spark.createDataFrame([(t,) for t in terms], "term string")).collect()
     assert sorted((r.id, r.start, r.n, r.term) for r in got) == sorted(want)
+    # rows of one key or of none are matched each, by one automaton or by several
+    again = spark.createDataFrame([(None if i % 3 == 0 else 7, t, "clash") for i, t in rows], "id int, t string, row string")
+    keyed = sorted(str((None if i % 3 == 0 else 7, a, n, x)) for i, a, n, x in want)
+    for limit in (glossary.LIMIT, 3):
+        got = glossary.match_terms(again.repartition(3), "id", "t", spark.createDataFrame([(t,) for t in terms], "term string"), limit=limit).collect()
+        assert sorted(str(tuple(r)) for r in got) == keyed
+    assert glossary.match_terms(again.limit(0), "id", "t", spark.createDataFrame([("ab",)], "term string")).count() == 0
+    assert glossary.match_terms(again, "id", "t", spark.createDataFrame([], "term string")).count() == 0
 
 
 TEXT = "# A\none two\n\n```\ncode | x\n\nmore\n```\n| a | b |\n| - | - |\n<table>\n<tr><td>x\n</td></tr></table>\nlast line here  \n\n"
