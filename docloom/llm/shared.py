@@ -61,6 +61,18 @@ def materialize(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame
     return out
 
 
+@contextlib.contextmanager
+def shuffles(spark: SparkSession, least: int):
+    """Within it, shuffles have ``least`` partitions or the session's own number, if that is more; Spark still splits skewed ones."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(max(int(before), least)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete what ``materialize`` wrote, once nothing reads it any more."""
     for df in tables:

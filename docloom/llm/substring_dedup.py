@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop, lean, materialize, mix64, slices, text_bytes
+from .shared import drop, lean, materialize, mix64, shuffles, slices, text_bytes
 
 WINDOW = 13
 #: A difference cover modulo 7: any two positions are both in the cover after one of 7 common shifts.
@@ -94,7 +94,8 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, l
 
 
 def _dealt(df: DataFrame, tasks: int) -> DataFrame:
-    return df.repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    # each task gets equally many buckets, which a hash of their numbers wouldn't give
+    return df.repartitionById(tasks, F.pmod(F.col("bucket"), F.lit(tasks)).cast("int")).sortWithinPartitions("bucket")
 
 
 def _exchange(texts: DataFrame, gather: Callable, flush: Callable, settle: Callable, tasks: int, groups: int) -> DataFrame:
@@ -294,12 +295,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = max(4 * tasks, least)
     found = materialize(shared_anchors(texts.select("row", "text"), window, buckets, tasks, tasks), "shared-anchors")
     joined = texts.join(found.withColumnRenamed("row", "_row"), F.col("row") == F.col("_row"), "left").select("row", "text", "doc_id", "spots")
-    first = materialize(joined.mapInArrow(lean(_first_cut), FIRST), "candidates")
+    with shuffles(spark, tasks):
+        first = materialize(joined.mapInArrow(lean(_first_cut), FIRST), "candidates")
     drop(found)
     again = first.where("spots is not null").select("row", "text", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("order"), "spots")
     repeated = materialize(extended(again, window, buckets, tasks, tasks), "repeated-windows")
     second = first.where("spots is not null").select("row", "text", "doc_id").join(repeated.withColumnRenamed("row", "_row"), F.col("row") == F.col("_row"), "left")
-    second = second.select("doc_id", "text", repeated.spots).mapInArrow(lean(_last_cut(window)), LAST)
+    with shuffles(spark, tasks):
+        second = materialize(second.select("doc_id", "text", repeated.spots).mapInArrow(lean(_last_cut(window)), LAST), "cut")
+    drop(repeated)
     done = first.where("spots is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("text").alias("kept_text"))
     return done.unionByName(second)
 
