@@ -10,7 +10,7 @@ from .registry import query, table
 
 
 
-@query("""WITH d AS (SELECT doc_id, trim(regexp_replace(lower(text), '[\\s\\x0B]+', ' ', 'g')) AS x FROM documents WHERE text IS NOT NULL),
+@query("""WITH d AS (SELECT doc_id, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[\\s\\x0B]+', ' ', 'g')) AS x FROM documents WHERE text IS NOT NULL),
 t AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS term FROM benchmark), w AS (SELECT term FROM t WHERE regexp_matches(term, '^[a-z]{5,}$') AND NOT regexp_matches(term, 's$')),
 p AS (SELECT doc_id, unnest(regexp_extract_all(x, '[a-z0-9]+')) AS said FROM d),
 f AS (SELECT said, arg_max(w.term, length(w.term)) AS term FROM (SELECT DISTINCT said FROM p) s JOIN w ON said = w.term OR said = w.term || 's' OR said = w.term || 'es' GROUP BY said)
