@@ -1,8 +1,7 @@
-"""Outlines of numbered documents: levels, labels, the ladder in use, addenda and the dates they bring into force."""
+"""Outlines of numbered documents: levels, labels, the ladder in use, and titles."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,28 +112,3 @@ def title_tables(blocks: DataFrame, key: str, order: str, kind: str = "kind", te
     before = F.lag(text).over(w)
     fits = (F.lag(kind).over(w) == "paragraph") & F.length(before).between(1, limit) & ~before.contains("\n")
     return blocks.withColumn("table_title", F.when((F.col(kind) == "table") & fits, before))
-
-
-def pair_addenda(addenda: DataFrame, revisions: DataFrame, key: str) -> DataFrame:
-    """(key, i, revision, effective): each addendum with the revision it brings into force.
-
-    ``addenda`` has (key, i, date, effective), ``revisions`` (key, date). An
-    addendum without a date takes the latest revision up to its effective
-    date that is later than the one before it took and not taken yet.
-    """
-
-    def pair(k: tuple, a: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        dates, taken, last, out = sorted(set(r["date"].dropna())), set(), None, []
-        for i, date, effective in a.sort_values("i")[["i", "date", "effective"]].itertuples(index=False):
-            date, effective = (None if pd.isna(x) else x for x in (date, effective))
-            if date is None and effective is not None:
-                date = max((d for d in dates if d <= effective and d not in taken and (last is None or d > last)), default=None)
-            if date is not None:
-                taken.add(date)
-                last = date
-            out.append((*k, i, date, effective))
-        return pd.DataFrame(out, columns=[key, "i", "revision", "effective"])
-
-    kind = dict(addenda.dtypes)
-    left = addenda.select(key, "i", "date", "effective").groupBy(key)
-    return left.cogroup(revisions.select(key, "date").groupBy(key)).applyInPandas(pair, f"`{key}` {kind[key]}, i {kind['i']}, revision {kind['date']}, effective {kind['effective']}")

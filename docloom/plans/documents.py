@@ -129,7 +129,7 @@ def table_titles(spark, sf_dir):
 
 @query()
 def addenda_pairs(spark, sf_dir):
-    from ..operators.outline import pair_addenda
+    from ..operators.revisions import pair_addenda
 
     t = table(spark, sf_dir, "events")
     us = F.unix_micros(F.col("ts").cast("timestamp"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import collections as C
 from docloom.functions import language as L
-from docloom.operators import chunking, glossary, guards, layout, outline
+from docloom.operators import chunking, glossary, guards, layout, outline, revisions
 from docloom.operators.ordered import scan
 
 
@@ -170,7 +170,7 @@ def test_office_outline(spark):
 def test_addenda(spark):
     a = spark.createDataFrame([(1, 0, None, "2020-02-01"), (1, 1, None, "2022-03-01"), (1, 2, None, "2022-04-01"), (2, 0, None, "2020-01-01")], "k int, i int, date string, effective string")
     r = spark.createDataFrame([(1, "2020-01-01"), (1, "2022-01-01")], "k int, date string")
-    got = sorted((x.k, x.i, x.revision) for x in outline.pair_addenda(a, r, "k").collect())
+    got = sorted((x.k, x.i, x.revision) for x in revisions.pair_addenda(a, r, "k").collect())
     assert got == [(1, 0, "2020-01-01"), (1, 1, "2022-01-01"), (1, 2, None), (2, 0, None)]
 
 
