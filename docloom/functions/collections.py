@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def merge_values(state: Column, accepted: Column, clears: Column) -> Column:
     """``state`` with ``accepted`` put over it and the names of ``clears`` taken out."""
@@ -56,3 +60,30 @@ def upgrade(version: Column, hashes: Column, old_hash: Column, most: int = 20) -
     every = F.when(F.coalesce(version, F.lit(1)) < 2, F.array_compact(F.array(old_hash))).otherwise(F.coalesce(hashes, F.array().cast("array<string>")))
     every = F.array_distinct(every)
     return F.slice(every, F.greatest(F.size(every) - most, F.lit(0)) + 1, F.lit(most))
+
+
+#: Items that one fold of ``prefix`` goes through: it copies what it has so far at each.
+RUN = 256
+
+
+def prefix(values: Column, zero: Column, both: Callable[[Column, Column], Column]) -> Column:
+    """For each item of an array what ``both`` makes of ``zero`` and all items before it, as of sums or greatest values.
+
+    A fold that builds an array copies it at each step, so an array is folded
+    in runs, and then over what the runs come to. ``both`` must not depend on how items are grouped.
+    """
+
+    def fold(some: Column, start: Column) -> Column:
+        first = F.struct(start.alias("x"), F.slice(F.array(start), 1, 0).alias("out"))
+        step = lambda acc, v: F.struct(both(acc["x"], v).alias("x"), F.concat(acc["out"], F.array(acc["x"])).alias("out"))
+        return F.aggregate(some, first, step, lambda acc: acc["out"])
+
+    def whole(given: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(given), F.lit(1)), F.lit(RUN))
+        return let(F.transform(firsts, lambda i: F.slice(given, i, RUN)), of_runs)
+
+    def of_runs(runs: Column) -> Column:
+        totals = F.transform(runs, lambda r: F.aggregate(r, zero, both))
+        return F.flatten(F.zip_with(runs, fold(totals, zero), lambda r, start: fold(r, start)))
+
+    return let(values, whole)

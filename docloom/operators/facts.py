@@ -43,26 +43,50 @@ def facts(text: Column, given: list[str] = ()) -> Column:
     return F.coalesce(every, F.array().cast("array<struct<kind:string,item:string>>"))
 
 
+def _by_row(pairs: DataFrame, key: str, source: str, result: str, given: list[str]) -> DataFrame:
+    """(_row, key, kind, item, dropped, added): for each row the facts of which its texts hold different numbers, and one row without a fact where there are none.
+
+    A row of pairs is a group of its own, whatever its key, and nothing is
+    joined: both texts' facts leave the row together and are summed before the shuffle.
+    """
+    def side(text: str, n: int) -> Column:
+        return F.transform(facts(F.col(text), given), lambda f: F.struct(f["kind"].alias("kind"), f["item"].alias("item"), F.lit(n).alias("n")))
+
+    sides = F.concat(side(source, 1), side(result, -1))
+    rows = pairs.select(F.monotonically_increasing_id().alias("_row"), F.col(key), sides.alias("f"))  # numbered before they are spread
+    rows = rows.select("_row", key, F.explode_outer("f").alias("f"))
+    off = rows.groupBy("_row", key, "f.kind", "f.item").agg(F.coalesce(F.sum("f.n"), F.lit(0)).alias("off"))
+    return off.select("_row", key, "kind", "item", F.greatest("off", F.lit(0)).alias("dropped"), F.greatest(-F.col("off"), F.lit(0)).alias("added"))
+
+
 def fact_differences(pairs: DataFrame, key: str, source: str, result: str, given: list[str] = ()) -> DataFrame:
-    """(key, kind, item, dropped, added): facts of which source and result hold different numbers; counts sum before the shuffle."""
-    side = lambda c, a, b: pairs.select(key, F.inline(facts(F.col(c), given)), F.lit(a).alias("a"), F.lit(b).alias("b"))
-    both = side(source, 1, 0).unionByName(side(result, 0, 1)).groupBy(key, "kind", "item").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    return both.select(key, "kind", "item", F.greatest(F.col("a") - F.col("b"), F.lit(0)).alias("dropped"), F.greatest(F.col("b") - F.col("a"), F.lit(0)).alias("added")).where("dropped + added > 0")
+    """(key, kind, item, dropped, added): facts of which source and result hold different numbers; counts sum before the shuffle.
+
+    Each row of pairs is compared by itself: rows that share a key, or have none, give their own. Null texts have no facts.
+    """
+    return _by_row(pairs, key, source, result, given).where("dropped + added > 0").drop("_row")
 
 
 def cross_check(pairs: DataFrame, key: str, source: str, result: str, given: list[str] = ()) -> DataFrame:
-    """(key, numbers, dates, units, entities, passed): how many facts of each kind were dropped or added; one row a key of ``pairs``."""
-    off = fact_differences(pairs, key, source, result, given)
-    sums = off.groupBy(key).agg(*[F.sum(F.when(F.col("kind") == k, F.col("dropped") + F.col("added")).otherwise(0)).alias(k) for k in KINDS])
-    out = pairs.select(key).join(sums, key, "left").na.fill(0, list(KINDS))
-    return out.withColumn("passed", F.col(KINDS[0]) + F.col(KINDS[1]) + F.col(KINDS[2]) + F.col(KINDS[3]) == 0)
+    """(key, numbers, dates, units, entities, passed): how many facts of each kind were dropped or added; one row a row of ``pairs``.
+
+    Rows that share a key, or have none, are checked each by their own texts.
+    Null texts have no facts, so two of them pass.
+    """
+    n = F.col("dropped") + F.col("added")
+    out = _by_row(pairs, key, source, result, given).groupBy("_row", key).agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, n)), F.lit(0)).alias(k) for k in KINDS])
+    return out.drop("_row").withColumn("passed", F.col(KINDS[0]) + F.col(KINDS[1]) + F.col(KINDS[2]) + F.col(KINDS[3]) == 0)
 
 
 def issue_texts(pairs: DataFrame, key: str, source: str, result: str, most: int = 5) -> DataFrame:
-    """(key, kind, n_issues, first): how many items of a kind differ, and the first ``most`` of them in order, as text."""
-    off = fact_differences(pairs, key, source, result).where("kind IN ('numbers', 'dates')")
+    """(key, kind, n_issues, first): how many items of a kind differ, and the first ``most`` of them in order, as text.
+
+    Rows that share a key, or have none, give their own. Rows whose numbers and dates agree give none.
+    """
+    off = _by_row(pairs, key, source, result, []).where("kind IN ('numbers', 'dates') AND dropped + added > 0")
     sign = F.concat(F.when(F.col("dropped") > 0, "-").otherwise("+"), F.col("item"))
-    return off.groupBy(key, "kind").agg(F.sum(F.col("dropped") + F.col("added")).alias("n_issues"), F.array_join(F.slice(F.sort_array(F.collect_list(sign)), 1, most), ", ").alias("first"))
+    out = off.groupBy("_row", key, "kind").agg(F.sum(F.col("dropped") + F.col("added")).alias("n_issues"), F.array_join(F.slice(F.sort_array(F.collect_list(sign)), 1, most), ", ").alias("first"))
+    return out.drop("_row")
 
 
 def fact_pass_rate(checked: DataFrame) -> DataFrame:

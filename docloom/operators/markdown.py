@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.collections import prefix
 from ..functions.text import let
 
 # The line forms of Markdown, and tables and tags of HTML in it.
@@ -72,70 +73,83 @@ def _table_segments(table: Column) -> Column:
 
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, region, line, text, is_table, code): HTML tables whole, and the lines around them.
+    """(row, key, region, line, text, is_table, code): HTML tables whole, and the lines around them.
 
-    ``code`` tells fences and what they hold; each region starts outside code.
+    ``row`` numbers the rows of ``docs``, so that texts which share a key, or have
+    none, stay apart. ``code`` tells fences and what they hold; each region starts outside code. A
+    null text is one empty line, as an empty one is.
     """
-    tables, between = F.regexp_extract_all(F.col(text), F.lit(TABLE), F.lit(0)), F.split(text, TABLE, -1)
+    x = F.coalesce(F.col(text), F.lit(""))
+    tables, between = F.regexp_extract_all(x, F.lit(TABLE), F.lit(0)), F.split(x, TABLE, -1)
     part = lambda x, c, whole: F.struct(F.lit(whole).alias("is_table"), x[c].alias("s"))
     regions = F.flatten(F.transform(F.arrays_zip(between.alias("b"), tables.alias("t")), lambda x: F.array(part(x, "b", False), part(x, "t", True))))
-    rows = docs.select(key, F.posexplode(regions).alias("region", "x")).where("x.s is not null")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), key, regions.alias("x"))  # numbered before they are spread
+    rows = rows.select("row", key, F.posexplode("x").alias("region", "x")).where("x.s is not null")
     cut = F.when(F.col("x.is_table"), F.array("x.s")).otherwise(F.split("x.s", "\n", -1))
-    rows = rows.select(key, "region", "x.is_table", F.posexplode(cut).alias("line", "text"))
+    rows = rows.select("row", key, "region", "x.is_table", F.posexplode(cut).alias("line", "text"))
     fence = ~F.col("is_table") & F.col("text").rlike(FENCE)
-    so_far = F.count_if(fence).over(Window.partitionBy(key, "region").orderBy("line"))
+    so_far = F.count_if(fence).over(Window.partitionBy("row", "region").orderBy("line"))
     return rows.withColumn("code", fence | (so_far % 2 == 1))
 
 
 def split_units(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, region, line, seg, kind, type, text, unit, context): a text's literals and units in order.
+    """(row, key, region, line, seg, kind, type, text, unit, context): a text's literals and units in order.
 
     Joined in order the segments are the text, but for entities of units in
     HTML tables, which ``rebuild`` writes again. ``unit`` numbers the units of
     a text from 0; ``context`` is the last heading before a unit's line.
-    Null texts have none.
+    ``row`` numbers the rows of ``docs``: each is cut by itself, whether keys repeat
+    or are null. A null or empty text is one empty literal.
     """
     x = F.col("text")
     made = F.when(F.col("is_table"), _table_segments(x)).when(F.col("code"), F.array(_lit(x))).otherwise(_line_segments(x))
     rows = lines(docs, key, text)
     heading = ~F.col("is_table") & ~F.col("code") & x.rlike(HEADING)
     rows = rows.withColumn("_head", F.when(heading, F.trim(F.regexp_extract(x, HEADING, 2))))
-    before = Window.partitionBy(key).orderBy("region", "line")
+    before = Window.partitionBy("row").orderBy("region", "line")
     rows = rows.withColumn("context", F.coalesce(F.last("_head", ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit("")))
     feed = F.when(~F.col("is_table") & (F.col("line") > 0), F.array(_lit(F.lit("\n")))).otherwise(F.array().cast(SEGMENT))
-    rows = rows.select(key, "region", "line", "context", F.posexplode(F.filter(F.concat(feed, made), lambda s: s["text"] != "")).alias("seg", "s"))
-    rows = rows.select(key, "region", "line", "seg", "s.*", "context")
+    some = F.filter(F.concat(feed, made), lambda s: s["text"] != "")
+    # a text's first line stays, even if it is empty, so that no text is lost
+    some = F.when((F.size(some) == 0) & (F.col("region") == 0) & (F.col("line") == 0), F.array(_lit(F.lit("")))).otherwise(some)
+    rows = rows.select("row", key, "region", "line", "context", F.posexplode(some).alias("seg", "s"))
+    rows = rows.select("row", key, "region", "line", "seg", "s.*", "context")
     is_unit = F.col("kind") == "unit"
-    number = F.count_if(is_unit).over(Window.partitionBy(key).orderBy("region", "line", "seg")) - 1
+    number = F.count_if(is_unit).over(Window.partitionBy("row").orderBy("region", "line", "seg")) - 1
     context = F.when(is_unit, F.when(F.col("type") == "heading", "").otherwise(F.col("context")))
     return rows.withColumns({"unit": F.when(is_unit, number), "context": context})
 
 
 def rebuild(segments: DataFrame, translations: DataFrame, key: str) -> DataFrame:
-    """(key, text): segments in order, units by their ``translated`` of (key, unit, translated), or as they were.
+    """(key, text): segments in order, units by their ``translated`` of (key, unit, translated), or as they were; one row a row that was split.
 
     Line feeds of a translation become blanks; bars of a table cell and signs
-    of HTML are escaped, so that the structure stays.
+    of HTML are escaped, so that the structure stays. Null keys are a key like any other;
+    texts that share a key share its translations; of several translations of a unit the smallest counts.
     """
-    met = segments.join(translations.select(key, "unit", "translated"), [key, "unit"], "left")
+    said = translations.select(F.col(key).alias("_key"), F.col("unit").alias("_unit"), "translated").groupBy("_key", "_unit").agg(F.min("translated").alias("translated"))
+    met = segments.join(said, segments[key].eqNullSafe(said["_key"]) & (F.col("unit") == F.col("_unit")), "left")
     said = F.regexp_replace(F.coalesce("translated", "text"), "\r?\n", " ")
     html = F.replace(F.replace(F.regexp_replace(said, "&(?!#?\\w+;)", "&amp;"), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     said = F.when(F.col("type") == "html_table_text", html).when(F.col("type") == "table_cell", F.regexp_replace(said, BAR, "\\\\|")).otherwise(said)
     piece = F.struct("region", "line", "seg", F.when(F.col("kind") == "unit", said).otherwise(F.col("text")).alias("x"))
     pieces = F.sort_array(F.collect_list(piece))
-    return met.groupBy(key).agg(F.array_join(F.transform(pieces, lambda p: p["x"]), "").alias("text"))
+    return met.groupBy("row", key).agg(F.array_join(F.transform(pieces, lambda p: p["x"]), "").alias("text")).drop("row")
 
 
-def structure(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, headings, table_rows, separator_rows, fences, html_tables): levels and columns in order, and counts."""
-    rows, x = lines(docs, key, text), F.col("text")
+PARTS = ("headings", "table_rows", "separator_rows", "fences", "html_tables")
+
+
+def _structure(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The structure of ``lines``, summed by row and key."""
+    x = F.col("text")
     count = lambda shape: F.regexp_count(x, F.lit(shape))
     body, row = ~F.col("is_table") & ~F.col("code"), x.rlike("^\\s*\\|")
     level = F.when(body & F.trim(x).rlike("^#{1,6}\\s"), F.length(F.regexp_extract(F.trim(x), "^(#+)", 1)))
     apart = body & row & x.rlike(SEPARATOR)
     in_order = lambda v: F.transform(F.sort_array(F.collect_list(F.when(v.isNotNull(), F.struct("region", "line", v.alias("v"))))), lambda p: p["v"])
     sizes = F.when(F.col("is_table"), F.concat_ws("x", count("(?i)<tr\\b"), count("(?i)<t[dh]\\b")))
-    return rows.groupBy(key).agg(
+    return rows.groupBy(*by).agg(
         in_order(level).alias("headings"),
         in_order(F.when(body & row & ~x.rlike(SEPARATOR), count(BAR) - 1)).alias("table_rows"),
         F.count_if(apart).alias("separator_rows"),
@@ -144,28 +158,47 @@ def structure(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
+def structure(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, headings, table_rows, separator_rows, fences, html_tables): levels and columns in order, and counts; one row a row of ``docs``.
+
+    Null and empty texts have no structure. Rows that share a key, or have none, stay apart.
+    """
+    return _structure(lines(docs, key, text), ["row", key]).drop("row")
+
+
 def structure_issues(pairs: DataFrame, key: str, before: str, after: str) -> DataFrame:
-    """(key, issues, passed): parts of the structure that differ between two texts."""
-    a, b = (structure(pairs.select(key, F.coalesce(c, F.lit("")).alias(c)), key, c) for c in (before, after))
-    names = ["headings", "table_rows", "separator_rows", "fences", "html_tables"]
-    b = b.select(key, *[F.col(n).alias(f"_{n}") for n in names])
-    off = {n: F.col(n) != F.col(f"_{n}") for n in names}
+    """(key, issues, passed): parts of the structure that differ between two texts; one row a row of ``pairs``.
+
+    Null texts are empty. Rows that share a key, or have none, are compared each by their own texts: both leave
+    their row together, so nothing is joined.
+    """
+    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.coalesce(F.col(c), F.lit("")).alias("t")) for i, c in enumerate((before, after))]))
+    rows = pairs.select(F.monotonically_increasing_id().alias("pair"), F.col(key).alias("given"), before, after).select("pair", "given", sides.alias("x"))
+    rows = rows.select(F.struct("pair", "given", "x.side").alias("of"), F.col("x.t").alias("t"))
+    both = _structure(lines(rows, "of", "t"), ["of"])
+    part = lambda side: F.max(F.when(F.col("of.side") == side, F.struct(*PARTS)))
+    met = both.groupBy("of.pair", "of.given").agg(part(0).alias("a"), part(1).alias("b"))
+    off = {n: F.col(f"a.{n}") != F.col(f"b.{n}") for n in PARTS}
     issues = F.array_compact(F.array(
         F.when(off["table_rows"] | off["separator_rows"], "markdown_table"), F.when(off["html_tables"], "html_table"),
         F.when(off["headings"], "heading"), F.when(off["fences"], "code_fence"),
     ))
-    return a.join(b, key).select(key, issues.alias("issues"), (F.size(issues) == 0).alias("passed"))
+    return met.select(F.col("given").alias(key), issues.alias("issues"), (F.size(issues) == 0).alias("passed"))
 
 
 def merge_spans(spans: Column) -> Column:
     """Sorted half-open (start, end) spans; those that overlap or touch are one."""
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
-        return F.when((F.size(acc) > 0) & (x["start"] <= last["end"]), joined).otherwise(F.concat(acc, F.array(x)))
+    def of(given: Column) -> Column:
+        # how far the spans before each one reach, and with one more at the end how far all reach
+        reach = prefix(F.transform(given, lambda s: s["end"]), F.lit(-1), lambda a, b: F.greatest(a, b))
+        last = F.coalesce(F.array_max(F.transform(given, lambda s: s["end"])), F.lit(-1))
+        return let(F.concat(reach, F.array(last)), lambda far: let(F.filter(F.sequence(F.lit(0), F.size(given)), lambda i: (i == F.size(given)) | (F.get(given, i)["start"] > F.get(far, i))), lambda firsts: cut(given, far, firsts)))
+
+    def cut(given: Column, far: Column, firsts: Column) -> Column:
+        return F.zip_with(F.slice(firsts, F.lit(1), F.size(firsts) - 1), F.slice(firsts, F.lit(2), F.size(firsts) - 1), lambda a, b: F.struct(F.get(given, a)["start"].alias("start"), F.get(far, b).alias("end")))
 
-    return F.aggregate(F.sort_array(spans), F.array().cast("array<struct<start:int,end:int>>"), step)
+    return let(F.sort_array(spans), of)
 
 
 def protected(text: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.collections import prefix
 from ..functions.numbers import valid_business, valid_card, valid_resident
 from ..functions.text import let, strip_display_tags
 
@@ -58,22 +59,26 @@ CHECKS: dict[str, Callable[[Column], Column]] = {"rrn": valid_resident, "biz": v
 def places(text: Column, shape: str) -> Column:
     """Array of (start, end, token) of a pattern's matches, in code points from 0.
 
-    What stands between the matches, and the matches, give the offsets.
+    What stands between the matches, and the matches, give the offsets, by running sums.
     """
     both = F.struct(F.split(text, shape, -1).alias("between"), F.regexp_extract_all(text, F.lit(shape), F.lit(0)).alias("tokens"))
     none = F.array().cast("array<struct<start:int,end:int,token:string>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["between"])
-        end = start + F.length(x["tokens"])
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(F.struct(start.alias("start"), end.alias("end"), x["tokens"].alias("token")))).alias("found"))
-
-    def fold(b: Column) -> Column:
+    def offsets(b: Column) -> Column:
         pairs = F.filter(F.arrays_zip(b["between"], b["tokens"]), lambda x: x["tokens"].isNotNull())
-        return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda acc: acc["found"])
+        return let(pairs, lambda p: F.zip_with(p, prefix(F.transform(p, lambda x: F.length(x["between"]) + F.length(x["tokens"])), F.lit(0), lambda a, n: a + n), placed))
+
+    def placed(x: Column, at: Column) -> Column:
+        start = at + F.length(x["between"])
+        return F.struct(start.alias("start"), (start + F.length(x["tokens"])).alias("end"), x["tokens"].alias("token"))
 
     # most texts have none: one search tells
-    return F.when(text.rlike(shape), let(both, fold)).otherwise(none)
+    return F.when(text.rlike(shape), let(both, offsets)).otherwise(none)
+
+
+#: What a text must hold for a kind of identifier to be in it: cheap to look for, once for several kinds.
+DIGITS, MAIL, LONG, SYLLABLE, MASKS = "[0-9]{2}[0-9]*\\s?-|[0-9]{4} [0-9]{4}", "@", "[0-9]{8}", "[가-힣]", "[*●#✻]{2}"
+NEEDS = {"rrn": DIGITS, "biz": DIGITS, "card": DIGITS, "phone": DIGITS, "driver_license": DIGITS, "email": MAIL, "passport": LONG, "name": SYLLABLE}
 
 
 def _finds(body: Column, kind: str) -> Column:
@@ -91,17 +96,23 @@ def personal_data(text: Column) -> Column:
     ``SHAPES`` stands. Values are never given out. A null text has none.
     """
     none = F.array().cast("array<struct<category:string,start:int,end:int>>")
+    needs = list(dict.fromkeys(NEEDS.values()))
 
     def of(body: Column) -> Column:
+        held = F.struct(*[(F.contains(body, F.lit(n)) if n == MAIL else body.rlike(n)).alias(f"n{i}") for i, n in enumerate(needs)], body.rlike(MASKS).alias("masks"))
+        return let(held, lambda has: finds(body, has))
+
+    def finds(body: Column, has: Column) -> Column:
         taken = none
         for kind in SHAPES:
-            taken = let(F.struct(taken.alias("old"), _finds(body, kind).alias("new")), lambda s: F.concat(
+            new = F.when(has[f"n{needs.index(NEEDS[kind])}"], _finds(body, kind)).otherwise(none)
+            taken = let(F.struct(taken.alias("old"), new.alias("new")), lambda s: F.concat(
                 s["old"], F.filter(s["new"], lambda x: ~F.exists(s["old"], lambda o: (x["start"] < o["end"]) & (o["start"] < x["end"])))
             ))
         by_place = F.transform(F.array_sort(F.transform(taken, lambda x: F.struct(x["start"], x["end"], x["category"]))), lambda x: F.struct(
             x["category"].alias("category"), x["start"].alias("start"), x["end"].alias("end")
         ))
-        return F.struct(by_place.alias("found"), F.regexp_count(body, F.lit(MASKED)).alias("masked"))
+        return F.struct(by_place.alias("found"), F.when(has["masks"], F.regexp_count(body, F.lit(MASKED))).otherwise(0).alias("masked"))
 
     return let(strip_display_tags(F.coalesce(text, F.lit(""))), of)
 

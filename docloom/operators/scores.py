@@ -32,44 +32,52 @@ def extraction_scores(predicted: DataFrame, gold: DataFrame, key: list[str], by:
 
 
 def _gram_counts(pairs: DataFrame, key: str, a: str, b: str, sizes: range, keep_spaces: bool = False) -> DataFrame:
-    """(key, n, gram, na, nb): how often each character n-gram stands on each side, of the sizes both sides reach (or of a single size).
+    """(_row, key, n, gram, na, nb): how often each character n-gram stands on each side, of the sizes both sides reach (or of a single size).
 
-    Pairs are dealt by key once, before they turn into grams; the counts and
-    whatever is summed over a key afterwards stay where they are.
+    A row of pairs is a group of its own, whatever its key; one without grams
+    has a row without a gram. Pairs are dealt by row once, before they turn into grams; the counts and
+    whatever is summed over a row afterwards stay where they are.
     """
-    clean = pairs.select(key, *[(F.col(c) if keep_spaces else F.regexp_replace(c, WS, "")).alias(c) for c in (a, b)]).repartition(key)
+    clean = pairs.select(F.monotonically_increasing_id().alias("_row"), F.col(key), *[F.coalesce(F.col(c) if keep_spaces else F.regexp_replace(c, WS, ""), F.lit("")).alias(f"_{i}") for i, c in enumerate((a, b))])
 
     def grams(c: str, side: int) -> Column:
         def of(n: int) -> Column:
             found = F.transform(char_ngrams(F.col(c), n, True), lambda g: F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), g.alias("gram")))
-            return found if len(sizes) == 1 else F.when((F.length(a) >= n) & (F.length(b) >= n), found)
+            return found if len(sizes) == 1 else F.when((F.length("_0") >= n) & (F.length("_1") >= n), found)
 
         return F.flatten(F.array_compact(F.array(*map(of, sizes))))
 
-    both = clean.select(key, F.inline(F.concat(grams(a, 0), grams(b, 1))))
-    return both.groupBy(key, "n", "gram").agg(F.count_if(F.col("side") == 0).alias("na"), F.count_if(F.col("side") == 1).alias("nb"))
+    both = clean.repartition("_row").select("_row", key, F.inline_outer(F.concat(grams("_0", 0), grams("_1", 1))))
+    return both.groupBy("_row", key, "n", "gram").agg(F.count_if(F.col("side") == 0).alias("na"), F.count_if(F.col("side") == 1).alias("nb"))
 
 
 def pair_similarity(pairs: DataFrame, key: str, a: str, b: str, size: int = 3) -> DataFrame:
-    """(key, similarity): multiset Jaccard of character n-grams; 1 if both are empty."""
-    sums = _gram_counts(pairs, key, a, b, range(size, size + 1)).groupBy(key).agg(F.sum(F.least("na", "nb")).alias("i"), F.sum(F.greatest("na", "nb")).alias("u"))
-    out = pairs.select(key).join(sums, key, "left")
-    return out.select(key, F.coalesce(F.round(F.col("i") / F.col("u"), 4), F.lit(1.0)).alias("similarity"))
+    """(key, similarity): multiset Jaccard of character n-grams, one row a row of ``pairs``; 1 if both are empty.
+
+    Null texts are empty. Rows that share a key, or have none, are compared each by their own texts.
+    """
+    sums = _gram_counts(pairs, key, a, b, range(size, size + 1)).groupBy("_row", key).agg(F.sum(F.least("na", "nb")).alias("i"), F.sum(F.greatest("na", "nb")).alias("u"))
+    return sums.select(key, F.coalesce(F.round(F.col("i") / F.nullif("u", F.lit(0)), 4), F.lit(1.0)).alias("similarity"))
 
 
 def chrf(pairs: DataFrame, key: str, candidate: str, reference: str, max_n: int = 6, beta: float = 2.0) -> DataFrame:
-    """(key, chrf): character n-gram F-score, orders 1 to ``max_n`` that both sides have, precision and recall averaged."""
-    counts = _gram_counts(pairs, key, candidate, reference, range(1, max_n + 1)).groupBy(key, "n")
-    sums = counts.agg(F.sum(F.least("na", "nb")).alias("m"), F.sum("na").alias("a"), F.sum("nb").alias("b"))
-    means = sums.groupBy(key).agg(F.avg(F.col("m") / F.col("a")).alias("p"), F.avg(F.col("m") / F.col("b")).alias("r"))
+    """(key, chrf): character n-gram F-score, orders 1 to ``max_n`` that both sides have, precision and recall averaged; one row a row of ``pairs``.
+
+    0 if a side is empty, and null texts are. Rows that share a key, or have none, are scored each by their own texts.
+    """
+    counts = _gram_counts(pairs, key, candidate, reference, range(1, max_n + 1)).groupBy("_row", key, "n")
+    sums = counts.agg(F.sum(F.least("na", "nb")).alias("m"), F.nullif(F.sum("na"), F.lit(0)).alias("a"), F.nullif(F.sum("nb"), F.lit(0)).alias("b"))
+    means = sums.groupBy("_row", key).agg(F.avg(F.col("m") / F.col("a")).alias("p"), F.avg(F.col("m") / F.col("b")).alias("r"))
     b2 = beta * beta
     f = F.when(F.col("p") + F.col("r") == 0, 0.0).otherwise((1 + b2) * F.col("p") * F.col("r") / (b2 * F.col("p") + F.col("r")))
-    out = pairs.select(key).join(means, key, "left")
-    return out.select(key, F.coalesce(F.round(f, 4), F.lit(0.0)).alias("chrf"))
+    return means.select(key, F.coalesce(F.round(f, 4), F.lit(0.0)).alias("chrf"))
 
 
 def multiset_diff(left: DataFrame, right: DataFrame, key: str, item: str) -> DataFrame:
-    """(key, item, missing, added): how often more an item stands left, or right; equal counts go."""
+    """(key, item, missing, added): how often more an item stands left, or right; equal counts go.
+
+    A key's items are one multiset a side, in however many rows they come; null keys are one, and null items are alike.
+    """
     both = left.select(key, item, F.lit(1).alias("d")).unionByName(right.select(key, item, F.lit(-1).alias("d")))
     n = both.groupBy(key, item).agg(F.sum("d").alias("d")).where("d <> 0")
     return n.select(key, item, F.greatest("d", F.lit(0)).alias("missing"), F.greatest(-F.col("d"), F.lit(0)).alias("added"))

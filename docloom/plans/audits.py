@@ -1,8 +1,4 @@
-"""Queries of personal data, facts, directions, Markdown, changes and suites.
-
-Queries named ``..._examples`` run over rows written here, which hold what the
-driver's tables lack (Korean text, tables, code); their SQL states the results.
-"""
+"""Queries of personal data, facts, directions, Markdown, changes and suites."""
 
 from __future__ import annotations
 
@@ -28,33 +24,6 @@ def values(rows: list[tuple], names: str) -> str:
     return "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_value, r)) + ")" for r in rows) + f") v({names}))"
 
 
-PRIVATE = [
-    ("rrn", "주민번호 900101-1234568 입니다"), ("bad rrn", "900101-1234567"), ("biz", "사업자 123-45-67891"), ("bad biz", "123-45-67890"),
-    ("card", "카드 4111 1111 1111 1111."), ("bad card", "4111 1111 1111 1112"), ("phone", "전화 010-1234-5678, 02-123-4567"),
-    ("tags", "010-<mark>1234</mark>-5678"), ("mail", "a.b@c-d.co.kr 와 x@y"), ("licence", "11-22-333333-44"), ("passport", "M12345678 AM12345678"),
-    ("name", "김민준 대리와 남궁민수 씨"), ("no title", "김민준이 왔다"), ("title", "선생님 이사님 박사님"), ("masked", "010-****-5678 ******-*******"),
-    ("in a run", "1900101-1234568 0123-45-678910"), ("none", ""), ("null", None),
-]
-
-
-@query("SELECT name, category, s::INT AS start, e::INT AS \"end\" FROM " + values([
-    ("rrn", "rrn", 5, 19), ("biz", "biz", 4, 16), ("card", "card", 3, 22), ("phone", "phone", 3, 16), ("phone", "phone", 18, 29), ("tags", "phone", 0, 13),
-    ("mail", "email", 0, 13), ("licence", "driver_license", 0, 15), ("passport", "passport", 0, 9), ("name", "name", 0, 3), ("name", "name", 8, 12),
-], "name, category, s, e"))
-def personal_data_examples(spark, sf_dir):
-    from ..operators.pii import audit
-
-    return audit(spark.createDataFrame(PRIVATE, "name string, text string"), "name", "text")
-
-
-@query("SELECT * FROM " + values([("masked", 2)], "name, masked"))
-def masked_examples(spark, sf_dir):
-    from ..operators.pii import personal_data
-
-    rows = spark.createDataFrame(PRIVATE, "name string, text string")
-    return rows.select("name", personal_data(F.col("text"))["masked"].alias("masked")).where("masked > 0")
-
-
 @query()
 def personal_data_places(spark, sf_dir):
     from ..operators.pii import audit
@@ -112,28 +81,6 @@ def turn_answer_lengths(spark, sf_dir):
     return mean_of(turn_pairs(spark, sf_dir), F.nullif(F.length("b"), F.lit(0)))
 
 
-FACTS = [
-    ("same date", "2026년 3월 12일 기준 1,250명", "2026-03-12 기준 1250명"), ("number", "3.5% 증가, 10개", "3.6% 증가, 10개"), ("unit", "5 kg", "5 km"),
-    ("name", "GenX 와 Beta Corp", "GenX"), ("month", "3월 5일과 2026년 4월", "2026년 4월, 3월 5일"), ("empty", "", "7건"),
-]
-
-
-@query("SELECT name, numbers::BIGINT AS numbers, dates::BIGINT AS dates, units::BIGINT AS units, entities::BIGINT AS entities, passed FROM " + values([
-    ("same date", 0, 0, 0, 0, True), ("number", 2, 0, 0, 0, False), ("unit", 0, 0, 2, 0, False), ("name", 0, 0, 0, 2, False), ("month", 0, 0, 0, 0, True), ("empty", 1, 0, 1, 0, False),
-], "name, numbers, dates, units, entities, passed"))
-def fact_examples(spark, sf_dir):
-    from ..operators.facts import cross_check
-
-    return cross_check(spark.createDataFrame(FACTS, "name string, a string, b string"), "name", "a", "b")
-
-
-@query("SELECT name, kind, n_issues::BIGINT AS n_issues, first FROM " + values([("number", "numbers", 2, "+3.6, -3.5"), ("empty", "numbers", 1, "+7")], "name, kind, n_issues, first"))
-def fact_issue_examples(spark, sf_dir):
-    from ..operators.facts import issue_texts
-
-    return issue_texts(spark.createDataFrame(FACTS, "name string, a string, b string"), "name", "a", "b")
-
-
 def _share(text, code):
     from ..functions.language import LETTERS
 
@@ -145,27 +92,6 @@ def _share(text, code):
     return F.coalesce(own / F.nullif(every, F.lit(0)), F.lit(0.0))
 
 
-DIRECTIONS = [
-    ("declared Korean, English text", "ru", "ko", "An English text only"), ("Korean with Latin terms", "RU", "Korean", "본 사업 KPI 는 ROI TCO SLA 로 관리한다"),
-    ("target Korean", "ko-KR", "th", "한국어 문서"), ("same", "ko", "국문", "한국어"), ("no Korean", "en", "ru", "привет"), ("nothing known", "en", "", "123 456"),
-    ("nothing known to Korean", "한국어", None, "123"), ("detected", "en", None, "한국어 문서이다"), ("unknown", "fr", "ko", "한국어"),
-]
-
-
-@query("SELECT * FROM " + values([
-    ("declared Korean, English text", "ko", "ru", "en", True, "other_language", False), ("Korean with Latin terms", "ko", "ru", "en", True, "ok", False),
-    ("target Korean", "th", "ko", "ko", True, "ok", False), ("same", "ko", "ko", "ko", False, "same_language", True), ("no Korean", "ru", "en", "ru", False, "no_korean", False),
-    ("nothing known", None, "en", None, False, "source_needed", True), ("nothing known to Korean", None, "ko", None, False, "ok", True), ("detected", "ko", "en", "ko", False, "ok", True),
-    ("unknown", "ko", None, "ko", False, "unknown_language", False),
-], "name, source, target, detected, mismatch, verdict, glossary"))
-def direction_examples(spark, sf_dir):
-    from ..operators.directions import glossary_applies, resolve_direction
-
-    rows = spark.createDataFrame(DIRECTIONS, "name string, target string, source string, text string")
-    out = rows.select("name", resolve_direction(F.col("target"), F.col("source"), F.col("text"), _share).alias("d")).select("name", "d.*")
-    return out.withColumn("glossary", glossary_applies(F.col("source"), F.col("target")))
-
-
 @query("""SELECT doc_id, CASE WHEN nullif(trim(coalesce(lang, '')), '') IS NOT NULL AND lang NOT IN ('ko', 'en', 'zh', 'th', 'vi', 'ru') THEN 'unknown_language'
   WHEN lang = 'ko' OR (nullif(trim(coalesce(lang, '')), '') IS NULL AND length(regexp_replace(text, '[^가-힣]', '', 'g')) > length(regexp_replace(text, '[^\\p{Latin}]', '', 'g'))) THEN 'same_language' ELSE 'ok' END AS verdict FROM documents""")
 def document_directions(spark, sf_dir):
@@ -175,35 +101,7 @@ def document_directions(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", found["verdict"].alias("verdict"))
 
 
-MARKDOWN = [
-    ("doc", "# Title one\n\nSome *text* here.  \n- item A\n  2) item b\n> quoted\n| h1 | 2 |\n|---|---|\n| x\\|y |  |\n```\ncode # no\n```\n<!-- PB -->\n## 42\ntail"),
-    ("table", "Head, <table><tr><td>A &amp; B</td>\n<td>12</td></tr></table>after"), ("plain", "12.5 %\n"), ("open", "~~~\nx\n# y"), ("empty", ""), ("null", None),
-]
-
-
-@query("SELECT name, unit::BIGINT AS unit, type, text, context FROM " + values([
-    ("doc", 0, "heading", "Title one", ""), ("doc", 1, "paragraph", "Some *text* here.", "Title one"), ("doc", 2, "list_item", "item A", "Title one"),
-    ("doc", 3, "list_item", "item b", "Title one"), ("doc", 4, "blockquote", "quoted", "Title one"), ("doc", 5, "table_cell", "h1", "Title one"),
-    ("doc", 6, "table_cell", "x\\|y", "Title one"), ("doc", 7, "paragraph", "tail", "42"),
-    ("table", 0, "paragraph", "Head,", ""), ("table", 1, "html_table_text", "A & B", ""), ("table", 2, "paragraph", "after", ""),
-], "name, unit, type, text, context"))
-def markdown_unit_examples(spark, sf_dir):
-    from ..operators.markdown import split_units
-
-    return split_units(spark.createDataFrame(MARKDOWN, "name string, text string"), "name", "text").where("kind = 'unit'").select("name", "unit", "type", "text", "context")
-
-
-@query("SELECT * FROM " + values([
-    ("doc", MARKDOWN[0][1].replace("quoted", "q q").replace("| h1 |", "| a\\|b |")), ("table", MARKDOWN[1][1].replace("A &amp; B", "x &lt; &amp; y")), ("plain", "12.5 %\n"), ("open", "~~~\nx\n# y"),
-], "name, text"))
-def markdown_rebuild_examples(spark, sf_dir):
-    from ..operators.markdown import rebuild, split_units
-
-    done = spark.createDataFrame([("doc", 4, "q\nq"), ("doc", 5, "a|b"), ("table", 1, "x < & y")], "name string, unit long, translated string")
-    return rebuild(split_units(spark.createDataFrame(MARKDOWN, "name string, text string"), "name", "text"), done, "name")
-
-
-@query("SELECT doc_id, md5(text) AS form FROM documents WHERE text <> ''")
+@query("SELECT doc_id, md5(coalesce(text, '')) AS form FROM documents")
 def markdown_round_trip(spark, sf_dir):
     from ..operators.markdown import rebuild, split_units
 
@@ -212,7 +110,7 @@ def markdown_round_trip(spark, sf_dir):
     return rebuild(cut, none, "doc_id").select("doc_id", F.md5("text").alias("form"))
 
 
-@query("SELECT page_id, md5(html) AS form FROM pages WHERE html <> ''")
+@query("SELECT page_id, md5(coalesce(html, '')) AS form FROM pages")
 def markdown_page_round_trip(spark, sf_dir):
     from ..operators.markdown import rebuild, split_units
 
@@ -221,16 +119,6 @@ def markdown_page_round_trip(spark, sf_dir):
     return rebuild(cut, none, "page_id").select("page_id", F.md5("text").alias("form"))
 
 
-@query("SELECT name, headings, table_rows, separator_rows::BIGINT AS separator_rows, fences::BIGINT AS fences, html_tables FROM " + values([
-    ("doc", "1,2", "2,2", 1, 2, ""), ("table", "", "", 0, 0, "1x2"), ("plain", "", "", 0, 0, ""), ("open", "", "", 0, 1, ""), ("empty", "", "", 0, 0, ""),
-], "name, headings, table_rows, separator_rows, fences, html_tables"))
-def markdown_structure_examples(spark, sf_dir):
-    from ..operators.markdown import structure
-
-    out = structure(spark.createDataFrame(MARKDOWN, "name string, text string"), "name", "text")
-    return out.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("headings", "table_rows", "html_tables")})
-
-
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
   c AS (SELECT *, regexp_matches(x, '^\\s*(?:```|~~~)') AS f, sum(regexp_matches(x, '^\\s*(?:```|~~~)')::INT) OVER (PARTITION BY doc_id ORDER BY i) % 2 = 1 AS o FROM l),
   b AS (SELECT *, NOT f AND NOT o AS body FROM c)
@@ -242,25 +130,6 @@ def markdown_structure(spark, sf_dir):
     return out.select("doc_id", F.size("headings").cast("long").alias("n_headings"), (F.size("table_rows") + F.col("separator_rows")).alias("n_rows"), "fences")
 
 
-EDITS = [
-    ("same", "One two. Three four!", "One two. Three four!"), ("word", "The cat sat on the mat. It slept.", "The dog sat on the mat. It slept."),
-    ("gone", "Keep this. Drop the second sentence here.", "Keep this."), ("new", "", "All new."), ("code", "a b\n```\nx = 1\n```\nc d e f g h", "a b\n```\nx = 2\n```\nc d e f g i"),
-    ("tag", "see <b>x</b> now please do", "see <i>x</i> now please do"), ("structure", "# A\n| a | b |", "# A\n\n| a |"),
-]
-
-
-@query("SELECT name, n_changes::INT AS n_changes, source, target FROM " + values([
-    ("same", 0, EDITS[0][1], EDITS[0][2]), ("word", 1, "The <mark>cat</mark> sat on the mat. It slept.", "The <mark>dog</mark> sat on the mat. It slept."),
-    ("gone", 1, "Keep this. <mark>Drop the second sentence here.</mark>", "Keep this."), ("new", 1, "", "<mark>All new.</mark>"),
-    ("code", 2, "a b\n```\nx = 1\n```\nc d e f g <mark>h</mark>", "a b\n```\nx = 2\n```\nc d e f g <mark>i</mark>"), ("tag", 2, EDITS[5][1], EDITS[5][2]),
-    ("structure", 1, "# A\n| a | <mark>b |</mark>", "# A\n\n| a |"),
-], "name, n_changes, source, target"))
-def change_examples(spark, sf_dir):
-    from ..operators.changes import highlighted
-
-    return highlighted(spark.createDataFrame(EDITS, "name string, a string, b string"), "name", "a", "b")
-
-
 @query()
 def turn_changes(spark, sf_dir):
     from ..operators.changes import change_list
@@ -268,29 +137,6 @@ def turn_changes(spark, sf_dir):
     return change_list(turn_pairs(spark, sf_dir), "pair", "a", "b").select("pair", F.size("changes").alias("n_changes"))
 
 
-@query("SELECT name, issues, passed FROM " + values([(n, "markdown_table" if n == "structure" else "", n != "structure") for n, *_ in EDITS if n != "code"] + [("code", "", True)], "name, issues, passed"))
-def structure_issue_examples(spark, sf_dir):
-    from ..operators.markdown import structure_issues
-
-    rows = spark.createDataFrame([r for r in EDITS if r[0] != "new"] + [("new", "", "")], "name string, a string, b string")
-    return structure_issues(rows, "name", "a", "b").select("name", F.array_join("issues", ",").alias("issues"), "passed")
-
-
-@query("SELECT * FROM " + values(METRICS, "feature, metric, tag, needs, role"))
-def metric_catalog(spark, sf_dir):
-    from ..operators.suites import metric_catalog as catalog
-
-    return catalog(spark)
-
-
-@query(f"""WITH m AS {values(METRICS, 'feature, metric, tag, needs, role')}, t AS {values(TARGETS, 'feature, path, operator, value')}
-  SELECT feature, count(*) AS n_metrics, count(*) FILTER (role = 'operational') AS n_operational, (SELECT count(*) FROM t WHERE t.feature = m.feature) AS n_targets FROM m GROUP BY feature""")
-def suite_catalog(spark, sf_dir):
-    from ..operators.suites import suites
-
-    return suites(spark)
-
-
 _MEASURED = """WITH d AS (SELECT source, avg((n_chars > 100)::INT) AS long, avg((text LIKE '%***%')::INT) AS odd, count(DISTINCT lang) AS n FROM documents GROUP BY source),
   m AS (SELECT source AS run, 'faq' AS feature, 'faq_generation_health.yield_rate' AS path, long AS actual FROM d UNION ALL SELECT source, 'faq', 'faq_generation_health.rejection_rates.schema', odd FROM d
     UNION ALL SELECT source, 'faq', 'pii_leak_count.leak_count', CASE WHEN n > 3 THEN 0 END FROM d)"""
@@ -327,14 +173,6 @@ def suite_reports(spark, sf_dir):
     return verdicts(check_targets(_measured(spark, sf_dir), targets(spark)))
 
 
-@query("SELECT * FROM " + values([("a", "faq", "grounding_overlap", "items"), ("b", "translation", "glossary_compliance", "glossary"), ("b", "translation", "chrf_score", "pairs.reference"), ("b", "translation", "translation_structure_health", "records")], "run, feature, metric, missing"))
-def skipped_metric_examples(spark, sf_dir):
-    from ..operators.suites import metric_catalog, skipped
-
-    given = spark.createDataFrame([("a", "faq", ["generation", "answers"]), ("b", "translation", ["pairs", "answers"])], "run string, feature string, inputs array<string>")
-    return skipped(given, metric_catalog(spark))
-
-
 @query("""WITH g AS (SELECT doc_id, n_chars >= 200 AS ok, CASE WHEN doc_id % 3 > 0 THEN (doc_id % 10) / 10 END AS sim FROM documents),
   r AS (SELECT doc_id, CASE WHEN NOT coalesce(ok, false) THEN 'deterministic_failed' WHEN sim IS NULL THEN 'deterministic_passed' WHEN sim >= 0.8 THEN 'embedding_passed' ELSE 'low_similarity' END AS reason FROM g)
   SELECT doc_id, CASE WHEN reason IN ('deterministic_failed', 'low_similarity') THEN 'candidate' ELSE 'screened_out' END AS outcome, reason,

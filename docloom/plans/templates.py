@@ -5,68 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import templates
-from .audits import values
 from .registry import query, table
 
-SLOTS = [
-    (1, "{'제목'} 과 {“성명”, 굵게}"), (2, "{‘짝\"} {''} {'  '}"), (3, "{{'token'}} {'a'}"), (4, ""), (5, None), (6, "{ 'b' ,  크게, 12 }{'b'}"),
-    (7, "{”no”} {'a' 16pt}{‘c'/ 굵게}"), (8, "{{'x'\n}} {{}}"),
-]
-
-
-@query("SELECT id, pos::INT AS pos, name, args FROM " + values([(1, 0, "제목", ""), (1, 1, "성명", "굵게"), (3, 0, "a", ""), (6, 0, "b", "크게, 12"), (6, 1, "b", ""), (7, 0, "a", "16pt"), (7, 1, "c", "굵게"), (8, 0, "x", "")], "id, pos, name, args"))
-def slot_examples(spark, sf_dir):
-    rows = spark.createDataFrame(SLOTS, "id int, text string").select("id", F.posexplode(templates.slots(F.col("text"))).alias("pos", "s"))
-    return rows.select("id", "pos", "s.name", "s.args")
-
-
-ECHOES = [(1, "제목", "제목: 실적"), (2, "제목", " 제목： 보고 "), (3, "제목", "제목 실적"), (4, "a", ""), (5, "a", None)]
-
-
-@query("SELECT * FROM " + values([(1, "실적"), (2, "보고"), (3, "제목 실적"), (4, ""), (5, None)], "id, value"))
-def echoed_name_examples(spark, sf_dir):
-    rows = spark.createDataFrame(ECHOES, "id int, name string, value string")
-    return rows.select("id", templates.strip_echoed_name(F.col("name"), F.col("value")).alias("value"))
-
-
-PLACES = [
-    ("d", 0, "a", "", "SLOT", "", False), ("d", 1, "b", None, "SLOT", " x ", True), ("d", 2, "a", "how", "CLICK_HERE", "y", True),
-    ("d", 3, "b", "g", "SLOT", "z", True), ("e", 0, "a", "", "SLOT", None, None),
-]
-
-
-@query("SELECT doc, name, pos::INT AS pos, guide, field_type, occurrences::BIGINT AS occurrences, filled, current_value, source FROM " + values([
-    ("d", "a", 0, "how", "CLICK_HERE", 2, False, "y", "field"), ("d", "b", 1, "g", "SLOT", 2, True, "x", "slot"), ("e", "a", 0, "", "SLOT", 1, False, "", "slot"),
-], "doc, name, pos, guide, field_type, occurrences, filled, current_value, source"))
-def field_examples(spark, sf_dir):
-    names = "doc string, pos int, name string, guide string, field_type string, value string, filled boolean"
-    return templates.merge_fields(spark.createDataFrame(PLACES, names), "doc")
-
-
-COPIES = [
-    ("d", "주제1", "x"), ("d", "주제3", "y"), ("d", "내용1-2", "z"), ("d", "내용2-4", " "), ("d", "주제9", "over"), ("d", "내용1-7", "over"),
-    ("e", "기타", "x"), ("f", "내용2-3", "x"), ("f", "주제2", None),
-]
-
-
-@query("SELECT doc, k, n_inner FROM " + values([("d", 1, 2), ("d", 2, 1), ("d", 3, 1), ("e", 1, 1), ("f", 1, 1), ("f", 2, 3)], "doc, k, n_inner"))
-def group_count_examples(spark, sf_dir):
-    rows = spark.createDataFrame(COPIES, "doc string, name string, value string")
-    return templates.group_counts(rows, "doc", r"^주제(\d+)$", r"^내용(\d+)-(\d+)$", 5, 5)
-
-
-NUMBERS = [
-    (1, "HANGUL_SYLLABLE", "가"), (15, "HANGUL_SYLLABLE", "가가"), (0, "HANGUL_JAMO", ""), (3, "HANGUL_JAMO", "ㄷ"), (20, "CIRCLED_DIGIT", "⑳"), (21, "CIRCLED_DIGIT", "21"),
-    (2, "CIRCLED_HANGUL_SYLLABLE", "㉯"), (15, "CIRCLED_HANGUL_JAMO", "ㄱㄱ"), (28, "LATIN_CAPITAL", "BB"), (53, "LATIN_SMALL", "aaa"), (26, "LATIN_SMALL", "z"),
-    (1994, "ROMAN_CAPITAL", "MCMXCIV"), (48, "ROMAN_SMALL", "xlviii"), (0, "ROMAN_SMALL", ""), (7, "OTHER", "7"), (7, None, "7"), (None, "LATIN_SMALL", None), (None, "ROMAN_SMALL", None),
-]
-
-
-@query("SELECT * FROM " + values(NUMBERS, "number, form, text"))
-def number_form_examples(spark, sf_dir):
-    rows = spark.createDataFrame([x[:2] for x in NUMBERS], "number int, form string")
-    return rows.withColumn("text", templates.format_number(F.col("number"), F.col("form")))
-
 
 @query("""
 WITH a AS (SELECT l_orderkey, l_linenumber, l_suppkey, (l_suppkey % 3 + 1)::INT AS level FROM lineitem),
@@ -80,12 +20,3 @@ def order_line_numbers(spark, sf_dir):
     # lines that tie have one supplier, so one level: which of them comes first doesn't show
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", (F.col("l_suppkey") % 3 + 1).cast("int").alias("level"))
     return templates.level_numbers(lines, "l_orderkey", ["l_linenumber", "l_suppkey"], "level").drop("l_suppkey")
-
-
-ASKED = [(1, "5"), (2, "99"), (3, "-1"), (4, "x"), (5, None), (6, "30")]
-
-
-@query("SELECT * FROM " + values([(1, 5, False), (2, 30, True), (3, 0, False), (4, 10, False), (5, 10, False), (6, 30, False)], "id, count, clamped"))
-def count_examples(spark, sf_dir):
-    rows = spark.createDataFrame(ASKED, "id int, requested string")
-    return rows.select("id", templates.resolve_count(F.col("requested"), 30, 10).alias("c")).select("id", "c.*")

@@ -19,7 +19,7 @@ def value(spark, column, **row):
 
 @pytest.mark.parametrize(
     ("text", "code"),
-    [("본 사업 KPI 는 ROI, TCO, SLA 로 관리하며 보고합니다", "ko"), ("plain words", "en"), ("xin chào bạn", "vi"), ("привет", "ru"), ("你好", "zh"), ("สวัสดี", "th"), ("12 34", ""), ("ab 가나", "en"), ("가나 ab", "ko")],
+    [("이번 달 ARR, NPS, CRM 수치를 모아 위원회에 알렸습니다", "ko"), ("plain words", "en"), ("xin chào bạn", "vi"), ("привет", "ru"), ("你好", "zh"), ("สวัสดี", "th"), ("12 34", ""), ("ab 가나", "en"), ("가나 ab", "ko")],
 )
 def test_detect(spark, text, code):
     assert value(spark, L.detect(F.col("x")), x=text).code == code
