@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .queries import PAIRS, W, _pairs
-from .registry import ORACLES, query, table
+from .registry import BASES, query, table
 
 VI = "[ăâđêôơưĂÂĐÊÔƠƯáàảãạắằẳẵặấầẩẫậéèẻẽẹếềểễệíìỉĩịóòỏõọốồổỗộớờởỡợúùủũụứừửữựýỳỷỹỵ]"
 SENTENCES = "list_filter(list_transform(string_split(regexp_replace(regexp_replace({0}, '([.!?])[ \\t\\r\\f\\x0B]+', '\\1' || chr(10), 'g'), '([다요]\\.)', '\\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '')"
@@ -18,33 +18,23 @@ def _lines(spark, sf_dir) -> DataFrame:
     return t.withColumns({"section": F.floor(F.col("pos") / 10).cast("int"), "kind": F.when(F.contains("text", F.lit("|")), "table").otherwise("paragraph")})
 
 
-@query(f"""WITH n AS (SELECT doc_id, len(regexp_extract_all(substr(text, 1, 4000), '{VI}')) AS v, len(regexp_extract_all(substr(text, 1, 4000), '\\p{{Latin}}')) AS l,
+BASES["detect_language"] = f"""WITH n AS (SELECT doc_id, len(regexp_extract_all(substr(text, 1, 4000), '{VI}')) AS v, len(regexp_extract_all(substr(text, 1, 4000), '\\p{{Latin}}')) AS l,
     len(regexp_extract_all(substr(text, 1, 4000), '[가-힣ᄀ-ᇿ㄰-㆏]')) AS k, len(regexp_extract_all(substr(text, 1, 4000), '[Ѐ-ԯ]')) AS r, len(regexp_extract_all(substr(text, 1, 4000), '[一-鿿㐀-䶿豈-﫿]')) AS z,
     len(regexp_extract_all(substr(text, 1, 4000), '[฀-๿]')) AS t FROM documents), m AS (SELECT *, l + k + r + z + t AS total, greatest(l, k, r, z, t) AS top FROM n)
   SELECT doc_id, CASE WHEN coalesce(total, 0) = 0 THEN '' WHEN l = top THEN CASE WHEN v > 0 THEN 'vi' ELSE 'en' END WHEN k = top THEN 'ko' WHEN r = top THEN 'ru' WHEN z = top THEN 'zh' ELSE 'th' END AS code,
-  CASE WHEN coalesce(total, 0) = 0 THEN 0.0 ELSE round(top / total, 4) END::DOUBLE AS share FROM m""")
-def detect_language(spark, sf_dir):
-    from ..functions.language import detect
-
-    return table(spark, sf_dir, "documents").select("doc_id", detect(F.col("text"), 4000).alias("d")).select("doc_id", "d.*")
+  CASE WHEN coalesce(total, 0) = 0 THEN 0.0 ELSE round(top / total, 4) END::DOUBLE AS share FROM m"""
 
 
-@query(ORACLES["detect_language"].replace("substr(text, 1, 4000)", "text"))
+@query(BASES["detect_language"].replace("substr(text, 1, 4000)", "text"))
 def detect_language_whole(spark, sf_dir):
     from ..functions.language import detect
 
     return table(spark, sf_dir, "documents").select("doc_id", detect(F.col("text")).alias("d")).select("doc_id", "d.*")
 
 
-@query("""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark UNION SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) FROM documents WHERE lang = 'en'),
+BASES["verb_stems"] = """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark UNION SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) FROM documents WHERE lang = 'en'),
   s AS (SELECT word, regexp_extract(word, '^([a-z]{2,})ied$', 1) AS i, regexp_extract(word, '^([a-z]{3,})(?:ed|ing)$', 1) AS s FROM w)
-  SELECT word, CASE WHEN i <> '' THEN i || 'y' WHEN s = '' THEN '' WHEN s[-1] = s[-2] AND s[-1] NOT IN ('a', 'e', 'i', 'o', 'u') THEN s || ' ' || s || 'e ' || s[:-2] ELSE s || ' ' || s || 'e' END AS stems FROM s""")
-def verb_stems(spark, sf_dir):
-    from ..functions.language import verb_stems as stems
-
-    words = lambda t: t.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
-    w = words(table(spark, sf_dir, "benchmark")).unionByName(words(table(spark, sf_dir, "documents").where("lang = 'en'"))).distinct()
-    return w.select("word", F.array_join(stems(F.col("word")), " ").alias("stems"))
+  SELECT word, CASE WHEN i <> '' THEN i || 'y' WHEN s = '' THEN '' WHEN s[-1] = s[-2] AND s[-1] NOT IN ('a', 'e', 'i', 'o', 'u') THEN s || ' ' || s || 'e ' || s[:-2] ELSE s || ' ' || s || 'e' END AS stems FROM s"""
 
 
 def _terms(spark, sf_dir) -> DataFrame:
@@ -195,12 +185,8 @@ _FORM = "lower(trim(regexp_replace(regexp_replace(regexp_replace({0}, '<[^>]*>',
 _GRAMS = "list_distinct(list_transform(range(1, greatest(length({0}) - 2, 1) + 1), lambda i: substr({0}, i, 3)))"
 
 
-@query(f"""WITH {PAIRS}, f AS (SELECT conv_id, {_FORM.format('b')} AS e, {_FORM.format('a')} AS d FROM pairs)
-  SELECT conv_id, CASE WHEN e = '' THEN 0.0 WHEN contains(d, e) THEN 1.0 WHEN d = '' THEN 0.0 ELSE round(len(list_intersect({_GRAMS.format('e')}, {_GRAMS.format('d')})) / len({_GRAMS.format('e')}), 4) END::DOUBLE AS ratio FROM f""")
-def evidence_ratio(spark, sf_dir):
-    from ..operators.guards import evidence_ratio as ratio
-
-    return _pairs(spark, sf_dir).select("conv_id", ratio(F.col("b"), F.col("a")).alias("ratio"))
+BASES["evidence_ratio"] = f"""WITH {PAIRS}, f AS (SELECT conv_id, {_FORM.format('b')} AS e, {_FORM.format('a')} AS d FROM pairs)
+  SELECT conv_id, CASE WHEN e = '' THEN 0.0 WHEN contains(d, e) THEN 1.0 WHEN d = '' THEN 0.0 ELSE round(len(list_intersect({_GRAMS.format('e')}, {_GRAMS.format('d')})) / len({_GRAMS.format('e')}), 4) END::DOUBLE AS ratio FROM f"""
 
 
 def _word_grams(x: str) -> str:
@@ -208,36 +194,18 @@ def _word_grams(x: str) -> str:
     return f"list_distinct(list_transform(range(1, CASE WHEN len({w}) = 0 THEN 1 ELSE greatest(len({w}) - 2, 1) + 1 END), lambda i: array_to_string({w}[i:i + 2], ' ')))"
 
 
-@query(f"""WITH {PAIRS}, a0 AS (SELECT conv_id, {SENTENCES.format('a')} AS l, {SENTENCES.format('b')} AS m FROM pairs),
+BASES["grounding"] = f"""WITH {PAIRS}, a0 AS (SELECT conv_id, {SENTENCES.format('a')} AS l, {SENTENCES.format('b')} AS m FROM pairs),
   a AS (SELECT conv_id, unnest(range(0, len(m))) AS i, unnest(m) AS x FROM a0), b AS (SELECT conv_id, unnest(range(0, len(l))) AS j, unnest(l) AS x FROM a0),
   ga AS (SELECT conv_id, i, g AS s, len(g) AS n FROM (SELECT conv_id, i, {_word_grams('x')} AS g FROM a) WHERE len(g) > 0), gb AS (SELECT conv_id, j, g AS s, len(g) AS n FROM (SELECT conv_id, j, {_word_grams('x')} AS g FROM b) WHERE len(g) > 0),
   u AS (SELECT conv_id, list_distinct(flatten(list(s))) AS s FROM gb GROUP BY conv_id),
   o AS (SELECT conv_id, i, round(len(list_intersect(ga.s, coalesce(u.s, []))) / n, 4) AS o FROM ga LEFT JOIN u USING (conv_id)),
   j AS (SELECT conv_id, i, round(coalesce(max(len(list_intersect(ga.s, gb.s)) / (ga.n + gb.n - len(list_intersect(ga.s, gb.s)))), 0), 4) AS b FROM ga LEFT JOIN gb USING (conv_id) GROUP BY conv_id, i)
-  SELECT conv_id, count(*) AS n, round(avg(o), 4) AS mean_overlap, min(o) AS min_overlap, round(avg(b), 4) AS best_mean FROM o JOIN j USING (conv_id, i) GROUP BY conv_id""")
-def grounding(spark, sf_dir):
-    from ..operators.guards import grounding as score
-
-    return score(_pairs(spark, sf_dir), "conv_id", "b", "a")
+  SELECT conv_id, count(*) AS n, round(avg(o), 4) AS mean_overlap, min(o) AS min_overlap, round(avg(b), 4) AS best_mean FROM o JOIN j USING (conv_id, i) GROUP BY conv_id"""
 
 
-@query(f"""WITH {PAIRS}, t AS (SELECT conv_id, {_FORM.format('a')} AS x, {_FORM.format('b')} AS y FROM pairs), n AS (SELECT conv_id, trim(regexp_replace(regexp_replace(lower(a), '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS a,
+BASES["value_verdicts"] = f"""WITH {PAIRS}, t AS (SELECT conv_id, {_FORM.format('a')} AS x, {_FORM.format('b')} AS y FROM pairs), n AS (SELECT conv_id, trim(regexp_replace(regexp_replace(lower(a), '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS a,
   trim(regexp_replace(regexp_replace(lower(b), '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS b FROM pairs)
-  SELECT conv_id, CASE WHEN a = b THEN 'exact' WHEN a <> '' AND b <> '' AND (contains(a, b) OR contains(b, a)) THEN 'partial' ELSE 'wrong' END AS verdict FROM n""")
-def value_verdicts(spark, sf_dir):
-    from ..operators.guards import value_verdict
-
-    return _pairs(spark, sf_dir).select("conv_id", value_verdict(F.col("a"), F.col("b")).alias("verdict"))
-
-
-@query("""WITH t AS (SELECT doc_id, source, text, coalesce(length(text) % 3 > 0, false) AS ok, regexp_replace(lower(substr(text, 1, 12)), '[^\\p{L}\\p{N}]+', '', 'g') AS q FROM documents),
-  f AS (SELECT *, min(doc_id) FILTER (ok AND q <> '' AND text <> '') OVER (PARTITION BY source, q) AS first FROM t)
-  SELECT doc_id, CASE WHEN coalesce(trim(text), '') = '' OR trim(substr(text, 1, 12)) = '' THEN 'schema' WHEN q = '' OR doc_id > first THEN 'duplicate' WHEN NOT ok THEN 'ungrounded' END AS reason FROM f""")
-def adopted_items(spark, sf_dir):
-    from ..operators.guards import adopt
-
-    t = table(spark, sf_dir, "documents").select("doc_id", "source", F.substring("text", 1, 12).alias("question"), F.col("text").alias("answer"), F.col("text").alias("evidence"))
-    return adopt(t.withColumn("ok", F.coalesce(F.length("answer") % 3 > 0, F.lit(False))), "source", "doc_id", "ok").select("doc_id", "reason")
+  SELECT conv_id, CASE WHEN a = b THEN 'exact' WHEN a <> '' AND b <> '' AND (contains(a, b) OR contains(b, a)) THEN 'partial' ELSE 'wrong' END AS verdict FROM n"""
 
 
 @query("""WITH c AS (SELECT source, count(*) FILTER (n_chars > 500) AS made, count(*) FILTER (n_chars < 100) AS "schema", count(*) FILTER (n_chars BETWEEN 100 AND 500) AS duplicate FROM documents GROUP BY source)
@@ -251,12 +219,7 @@ def generation_health(spark, sf_dir):
     return health(c.withColumn("asked", F.lit(100)), "asked", "made", ["schema", "duplicate"]).select("source", "yield_rate", "overproduced", "schema_rate", "duplicate_rate")
 
 
-@query(f"""WITH {PAIRS} SELECT count(*) AS n, round(avg((b = '')::INT), 4) AS fallback_rate, round(avg((len(string_split(a, chr(10))) <> len(string_split(b, chr(10))))::INT), 4) AS mismatch_rate FROM pairs""")
-def fallback_rate(spark, sf_dir):
-    from ..operators.guards import fallback_rate as rate
-
-    lines = lambda c: F.size(F.split(c, "\n"))
-    return rate(_pairs(spark, sf_dir).select(lines("a").alias("i"), lines("b").alias("o"), (F.col("b") == "").alias("f")), "i", "o", "f")
+BASES["fallback_rate"] = f"""WITH {PAIRS} SELECT count(*) AS n, round(avg((b = '')::INT), 4) AS fallback_rate, round(avg((len(string_split(a, chr(10))) <> len(string_split(b, chr(10))))::INT), 4) AS mismatch_rate FROM pairs"""
 
 
 @query()

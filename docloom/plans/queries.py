@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .registry import query, table
+from .registry import BASES, query, table
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,15 +132,11 @@ def threshold_bands(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", band.alias("band"))
 
 
-@query(f"""WITH {PAIRS}, ga AS (SELECT conv_id, unnest(list_transform(range(1, greatest(length(a) - 2, 1) + 1), lambda i: substr(a, i, 3))) AS g FROM (SELECT conv_id, regexp_replace(a, '{W}', '', 'g') AS a FROM pairs) WHERE a <> ''),
+BASES["pair_similarity"] = f"""WITH {PAIRS}, ga AS (SELECT conv_id, unnest(list_transform(range(1, greatest(length(a) - 2, 1) + 1), lambda i: substr(a, i, 3))) AS g FROM (SELECT conv_id, regexp_replace(a, '{W}', '', 'g') AS a FROM pairs) WHERE a <> ''),
   gb AS (SELECT conv_id, unnest(list_transform(range(1, greatest(length(b) - 2, 1) + 1), lambda i: substr(b, i, 3))) AS g FROM (SELECT conv_id, regexp_replace(b, '{W}', '', 'g') AS b FROM pairs) WHERE b <> ''),
   ca AS (SELECT conv_id, g, count(*) AS n FROM ga GROUP BY ALL), cb AS (SELECT conv_id, g, count(*) AS n FROM gb GROUP BY ALL),
   j AS (SELECT conv_id, sum(least(coalesce(ca.n, 0), coalesce(cb.n, 0))) AS i, sum(greatest(coalesce(ca.n, 0), coalesce(cb.n, 0))) AS u FROM ca FULL JOIN cb USING (conv_id, g) GROUP BY conv_id)
-  SELECT conv_id, coalesce(round(i / u, 4), 1.0)::DOUBLE AS similarity FROM pairs LEFT JOIN j USING (conv_id)""")
-def pair_similarity(spark, sf_dir):
-    from ..operators.scores import pair_similarity as similarity
-
-    return similarity(_pairs(spark, sf_dir), "conv_id", "a", "b")
+  SELECT conv_id, coalesce(round(i / u, 4), 1.0)::DOUBLE AS similarity FROM pairs LEFT JOIN j USING (conv_id)"""
 
 
 def _chrf_sql() -> str:
@@ -154,21 +150,11 @@ def _chrf_sql() -> str:
       SELECT conv_id, coalesce(round(CASE WHEN m.p + m.r = 0 THEN 0.0 ELSE 5 * m.p * m.r / (4 * m.p + m.r) END, 4), 0.0)::DOUBLE AS chrf FROM pairs LEFT JOIN m USING (conv_id)"""
 
 
-@query(_chrf_sql())
-def chrf(spark, sf_dir):
-    from ..operators.scores import chrf as score
-
-    return score(_pairs(spark, sf_dir), "conv_id", "a", "b")
-
+BASES["chrf"] = _chrf_sql()
 
-@query(f"""WITH {PAIRS}, w AS (SELECT conv_id, unnest(string_split(a, ' ')) AS w, 1 AS d FROM pairs UNION ALL SELECT conv_id, unnest(string_split(b, ' ')), -1 FROM pairs),
-  s AS (SELECT conv_id, w AS word, sum(d)::INT AS d FROM w GROUP BY ALL HAVING sum(d) <> 0) SELECT conv_id, word, greatest(d, 0)::BIGINT AS missing, greatest(-d, 0)::BIGINT AS added FROM s""")
-def multiset_diff(spark, sf_dir):
-    from ..operators.scores import multiset_diff as diff
 
-    p = _pairs(spark, sf_dir)
-    side = lambda c: p.select("conv_id", F.explode(F.split(c, " ")).alias("word"))
-    return diff(side("a"), side("b"), "conv_id", "word")
+BASES["multiset_diff"] = f"""WITH {PAIRS}, w AS (SELECT conv_id, unnest(string_split(a, ' ')) AS w, 1 AS d FROM pairs UNION ALL SELECT conv_id, unnest(string_split(b, ' ')), -1 FROM pairs),
+  s AS (SELECT conv_id, w AS word, sum(d)::INT AS d FROM w GROUP BY ALL HAVING sum(d) <> 0) SELECT conv_id, word, greatest(d, 0)::BIGINT AS missing, greatest(-d, 0)::BIGINT AS added FROM s"""
 
 
 @query("""WITH p AS (SELECT doc_id, source, CASE WHEN text LIKE '%***%' THEN 0 ELSE 1 END AS v FROM documents), m AS (SELECT source, v = quality AS hit, v, quality FROM p LEFT JOIN labels USING (doc_id)),
@@ -305,13 +291,8 @@ def pii_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.inline(found)).where("n > 0")
 
 
-@query("""WITH t AS (SELECT DISTINCT p_brand AS term, p_size FROM part), w AS (SELECT DISTINCT item_id, lower(unnest(string_split(text, ' '))) AS w FROM benchmark), g AS (SELECT DISTINCT lower(unnest(string_split(text, ' '))) AS w FROM documents WHERE lang = 'en')
-  SELECT item_id, count(*) AS n_terms, count(g.w) AS applied, coalesce(round(count(g.w) / nullif(count(*), 0), 4), 1.0)::DOUBLE AS compliance FROM w LEFT JOIN g USING (w) GROUP BY item_id""")
-def glossary_compliance(spark, sf_dir):
-    w = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.split(F.lower("text"), " ")).alias("w")).distinct()
-    g = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(F.split(F.lower("text"), " ")).alias("w")).distinct().withColumn("hit", F.lit(1))
-    n, hit = F.count(F.lit(1)), F.count("hit")
-    return w.join(g, "w", "left").groupBy("item_id").agg(n.alias("n_terms"), hit.alias("applied"), F.coalesce(F.round(hit / F.nullif(n, F.lit(0)), 4), F.lit(1.0)).alias("compliance"))
+BASES["glossary_compliance"] = """WITH t AS (SELECT DISTINCT p_brand AS term, p_size FROM part), w AS (SELECT DISTINCT item_id, lower(unnest(string_split(text, ' '))) AS w FROM benchmark), g AS (SELECT DISTINCT lower(unnest(string_split(text, ' '))) AS w FROM documents WHERE lang = 'en')
+  SELECT item_id, count(*) AS n_terms, count(g.w) AS applied, coalesce(round(count(g.w) / nullif(count(*), 0), 4), 1.0)::DOUBLE AS compliance FROM w LEFT JOIN g USING (w) GROUP BY item_id"""
 
 
 @query("""WITH m AS (SELECT source, avg((n_chars > 1000)::INT) AS a, avg((text LIKE '%***%')::INT) AS b FROM documents GROUP BY source), u AS (SELECT source, 'long' AS metric, a AS v, 0.3 AS target, true AS up FROM m UNION ALL SELECT source, 'symbols', b, 0.1, false FROM m)

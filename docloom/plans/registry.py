@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: SQL over part of the rows or texts, from which that of a query over all of them is made.
+BASES: dict[str, str] = {}
 
 
 def query(sql: str | None = None):

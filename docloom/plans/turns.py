@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import documents  # noqa: F401  registers the SQL of its pair queries
 from .queries import PAIRS
-from .registry import ORACLES, query, table
+from .registry import BASES, query, table
 
 
 def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ TURN_PAIRS = """turned AS (SELECT conv_id, turn, role, coalesce(text, '') AS tex
 
 def _over_turns(name: str) -> str:
     """The SQL of a query over first pairs, over all pairs."""
-    before, after = ORACLES[name].split(PAIRS)
+    before, after = BASES[name].split(PAIRS)
     return (before + "\0" + after).replace("conv_id", "pair").replace("\0", TURN_PAIRS)
 
 
@@ -99,7 +99,7 @@ def turn_adopted_items(spark, sf_dir):
     return adopt(t.withColumn("ok", F.length("answer") % 3 > 0), "conv", "turn", "ok").select("pair", "reason")
 
 
-@query(ORACLES["verb_stems"].replace(" WHERE lang = 'en'", ""))
+@query(BASES["verb_stems"].replace(" WHERE lang = 'en'", ""))
 def verb_stems_all(spark, sf_dir):
     """``verb_stems`` over documents of any language or none."""
     from ..functions.language import verb_stems
@@ -108,7 +108,7 @@ def verb_stems_all(spark, sf_dir):
     return words("benchmark").unionByName(words("documents")).distinct().select("word", F.array_join(verb_stems(F.col("word")), " ").alias("stems"))
 
 
-@query(ORACLES["glossary_compliance"].replace(" WHERE lang = 'en'", ""))
+@query(BASES["glossary_compliance"].replace(" WHERE lang = 'en'", ""))
 def glossary_compliance_all(spark, sf_dir):
     """``glossary_compliance`` against documents of any language or none."""
     words = lambda t, *key: table(spark, sf_dir, t).select(*key, F.explode(F.split(F.lower("text"), " ")).alias("w")).distinct()

@@ -235,7 +235,7 @@ def test_tail_keeps_what_has_no_sentence_end():
 def test_text_beside_a_table_stays():
     import xml.etree.ElementTree as ET
 
-    from docloom.sources.documents import _paragraphs
+    from docloom.sources.documents import _block_text, _pieces
 
     root = ET.fromstring("<s><p><t>before</t><r><tbl><tr><tc><p><t>a</t></p></tc><tc><p><t>b</t></p></tc></tr></tbl></r><r><t>af</t><t>ter</t></r></p><p><t>next</t></p></s>")
-    assert list(_paragraphs(root, 0)) == [(0, "paragraph", "before"), (0, "table", "a | b"), (0, "paragraph", "after"), (0, "paragraph", "next")]
+    assert [_block_text(*x) for x in _pieces(root)] == [("paragraph", "before"), ("table", "a | b"), ("paragraph", "after"), ("paragraph", "next")]
