@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import itertools
 import json
 from collections.abc import Iterator
@@ -15,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .shared import lean, slices
+from .shared import kept, lean, slices
 from .token_output import _WS, Encoder, _gather, _Known
 
 #: How a byte-level tokenizer splits text before it merges (fixed value); \s is Unicode's White_Space.
@@ -181,12 +180,6 @@ class HeapEncoder(Encoder):
         return out
 
 
-@functools.lru_cache(maxsize=1)
-def heap_encoder(path: str) -> HeapEncoder:
-    """The worker's encoder, kept from task to task."""
-    return HeapEncoder(path)
-
-
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids): each text's ids, packed as little-endian unsigned 32-bit integers.
 
@@ -200,7 +193,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = heap_encoder(tokenizer)
+        encoder = kept(f"heap {tokenizer}", lambda: HeapEncoder(tokenizer))
         for b in batches:
             for part in slices(b, 1):
                 found = encoder.encode_batch([x or "" for x in part.column(1).to_pylist()])
@@ -209,7 +202,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(lean(run), f"doc_id {kind}, n_tokens long, ids binary")
+    return rows.mapInArrow(lean(run, keep=f"heap {tokenizer}"), f"doc_id {kind}, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids") -> DataFrame:
@@ -231,7 +224,7 @@ def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids") -> DataFram
                 texts = vocabulary.decode(np.frombuffer(b"".join(packed), "<u4"), sizes)
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, "decoded"])
 
-    return rows.mapInArrow(lean(run), StructType([*rows.schema.fields, StructField("decoded", StringType())]))
+    return rows.mapInArrow(lean(run, keep=f"heap {tokenizer}"), StructType([*rows.schema.fields, StructField("decoded", StringType())]))
 
 
 def unpack(ids: Column) -> Column:

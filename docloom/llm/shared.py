@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: What separates words: space and the ASCII controls 9 to 13. ``bytes.split()`` splits on the same six.
 SPACES = "[\\x20\\x09-\\x0D]+"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows and bytes of text that reach Python at once where memory is short: a batch is held by the JVM and by the worker.
+SMALL = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,29 +50,34 @@ def materialize(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    before = spark.conf.get(CLEANUP, None)
-    with contextlib.suppress(Exception):  # a Spark without the setting keeps the files longer
-        spark.conf.set(CLEANUP, "true")
-    try:
+    with settings(spark, {CLEANUP: "true"}):
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(*by) if by else writer).parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
 
 
 @contextlib.contextmanager
-def shuffles(spark: SparkSession, least: int):
-    """Within it, shuffles have ``least`` partitions or the session's own number, if that is more; Spark still splits skewed ones."""
-    name = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(max(int(before), least)))
+def settings(spark: SparkSession, wanted: dict[str, str]):
+    """The session with other settings within it; a Spark that doesn't know one does without it."""
+    before = {}
+    for name, value in wanted.items():
+        with contextlib.suppress(Exception):
+            before[name] = spark.conf.get(name, None)
+            spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            with contextlib.suppress(Exception):
+                spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def shuffles(spark: SparkSession, least: int):
+    """Within it, shuffles have ``least`` partitions or the session's own number, if that is more; Spark still splits skewed ones."""
+    name = "spark.sql.shuffle.partitions"
+    return settings(spark, {name: str(max(int(spark.conf.get(name)), least))})
 
 
 def drop(*tables: DataFrame) -> None:
@@ -153,10 +160,30 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def lean(run: Callable) -> Callable:
-    """A mapInArrow function that gives back its memory once a task is through."""
+_kept: dict = {}
+
+
+def kept(name: str, make: Callable):
+    """What a Python worker keeps from task to task under ``name``, made at first use. Tasks of other names clear it."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def forget(but: str | None = None) -> None:
+    """Give up what earlier tasks of this worker kept under other names."""
+    gone = [name for name in _kept if name != but]
+    for name in gone:
+        del _kept[name]
+    if gone:
+        release()
+
+
+def lean(run: Callable, keep: str | None = None) -> Callable:
+    """A mapInArrow function that gives back its memory once a task is through, but for what is ``kept`` under the name ``keep``."""
 
     def lean_run(batches: Iterator) -> Iterator:
+        forget(keep)
         yield from run(batches)
         release()
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -13,13 +12,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import lean, materialize, scratch_path, slices
+from .shared import SMALL, kept, lean, materialize, scratch_path, settings, slices
 
 SEQUENCE, ROWS, END_ID = 2048, 256, 2
 #: Bytes of text that one file is meant to hold.
 PER_FILE = 32 << 20
 #: Words whose ids a worker keeps (about 35 bytes each), and characters of a text that are cut into words at once.
-KEPT, PIECE = 3 << 19, 1 << 18
+KEPT, PIECE = 3 << 18, 1 << 18
 
 #: Unicode White_Space, which is what \s means to the tokenizer (Python's \s also takes 1C to 1F).
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -66,7 +65,7 @@ class Encoder:
     non-spaces with the one space before it), so the ids of a text are those of
     its words and space runs in order, and a word met before need not be
     encoded again. Texts that hold an added token's string, and tokenizers of
-    another kind, are encoded whole. An encoder belongs to one Python worker, which
+another kind, are encoded whole. An encoder belongs to one Python worker, which
     hands it from task to task, and keeps at most ``KEPT`` words.
     """
 
@@ -162,12 +161,6 @@ class Encoder:
         return out
 
 
-@functools.lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
-    """The worker's encoder: words that one task met are known to those that the worker runs later."""
-    return Encoder(path)
-
-
 def _pieces(text: str) -> Iterator[str]:
     """A long text in pieces that end before a single space between two words."""
     at = 0
@@ -276,7 +269,7 @@ def _write(folder: str, path: str, end_id: int, length: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, context = encoder(path), TaskContext.get()
+        encode, context = kept(path, lambda: Encoder(path)), TaskContext.get()
         part, end = context.partitionId(), np.array([end_id], encode.dtype)
         filesystem, base = _file(folder)
         filesystem.create_dir(base, recursive=True)
@@ -340,9 +333,10 @@ def write_tokens(
     kept = kept.withColumn("_by", F.xxhash64("text"))
     dealt = kept.repartitionByRange(chars // PER_FILE + 1, "doc_id", "_by").sortWithinPartitions("doc_id", "_by")
     written = dealt.mapInArrow(
-        lean(_write(folder, tokenizer, end_id, length, rows)), "part long, path string, n_docs long, n_tokens long"
+        lean(_write(folder, tokenizer, end_id, length, rows), keep=tokenizer), "part long, path string, n_docs long, n_tokens long"
     )
-    manifest = materialize(written, "manifest")
+    with settings(docs.sparkSession, SMALL):
+        manifest = materialize(written, "manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
