@@ -101,11 +101,20 @@ def unit_batches(spark, sf_dir):
     return pack_batches(_lines(spark, sf_dir), "doc_id", "pos", "text", 4000, 10)
 
 
-@query()
+#: Headings that are woven in before a document's lines, with their levels; the last stands in every fourth document, alone of its kind, so it is none.
+HEADS = (("1. 개요", 2), ("가. 배경", 3), ("이 문장은 제목이 아니다.", 0), ("나. 목적", 3), ("2. 결론", 2), ("1) 하나", 0))
+
+
+@query("SELECT doc_id, pos, level, label FROM documents, (VALUES " + ", ".join(f"({i - len(HEADS)}, {level}, '{text}')" for i, (text, level) in enumerate(HEADS) if level) + ") h(pos, level, label)")
 def office_outline(spark, sf_dir):
+    """Headings of every document's report: those woven in before its lines."""
     from ..operators.outline import office_outline as outline
 
-    return outline(_lines(spark, sf_dir), "doc_id", "pos").where("level > 0").select("doc_id", "pos", "level", "label")
+    lines = _lines(spark, sf_dir).select("doc_id", "pos", "text")
+    heads = F.array(*[F.struct(F.lit(i - len(HEADS)).alias("pos"), F.lit(text).alias("text")) for i, (text, _) in enumerate(HEADS)])
+    some = F.filter(heads, lambda h: (h["pos"] < -1) | (F.col("doc_id") % 4 == 0))
+    woven = table(spark, sf_dir, "documents").select("doc_id", F.inline(some))
+    return outline(lines.unionByName(woven), "doc_id", "pos").where("level > 0 AND pos < 0").select("doc_id", "pos", "level", "label")
 
 
 @query("""SELECT doc_id, pos, CASE WHEN kind = 'table' AND pk = 'paragraph' AND length(pt) BETWEEN 1 AND 60 THEN pt END AS table_title FROM (SELECT *, lag(kind) OVER w AS pk, lag(text) OVER w AS pt FROM (
@@ -222,19 +231,37 @@ def generation_health(spark, sf_dir):
 BASES["fallback_rate"] = f"""WITH {PAIRS} SELECT count(*) AS n, round(avg((b = '')::INT), 4) AS fallback_rate, round(avg((len(string_split(a, chr(10))) <> len(string_split(b, chr(10))))::INT), 4) AS mismatch_rate FROM pairs"""
 
 
-@query()
+#: Korean sentences that are woven in behind the texts, as the driver's tables hold none: one of each class of endings.
+ENDED = ("보고합니다. ", "보내요. ", "검토함. ", "받았다. ")
+_CLASSES = "['hapnida', 'haeyo', 'gaejosik', 'da']"
+
+
+def _ended(spark, sf_dir) -> DataFrame:
+    """Documents with three sentences of one class behind them and three of another."""
+    kinds = F.array(*map(F.lit, ENDED))
+    pick = lambda n: F.repeat(F.element_at(kinds, (n % 4 + 1).cast("int")), 3)
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), pick(F.col("doc_id")), pick(F.floor(F.col("doc_id") / 4)))
+    return table(spark, sf_dir, "documents").withColumn("text", text)
+
+
+@query(f"""SELECT doc_id, 6::BIGINT AS n, {_CLASSES}[doc_id % 4 + 1] AS front, {_CLASSES}[doc_id // 4 % 4 + 1] AS back, doc_id % 4 = doc_id // 4 % 4 AS consistent FROM documents""")
 def ending_consistency(spark, sf_dir):
     from ..operators.guards import ending_consistency as endings
 
-    return endings(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return endings(_ended(spark, sf_dir), "doc_id", "text")
 
 
-@query()
+_ENDED_SQL = "coalesce(text, '') || chr(10) || repeat(['" + "', '".join(ENDED) + "'][doc_id % 4 + 1], 3) || repeat(['" + "', '".join(ENDED) + "'][doc_id // 4 % 4 + 1], 3) || CASE WHEN doc_id % 3 = 0 THEN '매우 ' ELSE '' END"
+
+
+@query(f"""WITH t AS (SELECT doc_id, lang, {_ENDED_SQL} AS x FROM documents), s AS (SELECT doc_id, lang, {SENTENCES.format('x')} AS s FROM t)
+SELECT doc_id, CASE WHEN lang = 'en' THEN 'objective' ELSE 'clear' END AS applied, coalesce(lang = 'en', false) AS forced, len(s)::INT AS n,
+  round(len(list_filter(s, lambda y: regexp_matches(regexp_replace(y, '[ .!?…]+$', ''), '(?:습니다|합니다|입니다|됩니다)$'))) / len(s), 4)::DOUBLE AS ending_rate, (doc_id % 3 = 0)::INT AS forbidden FROM s""")
 def tone_check(spark, sf_dir):
     from ..operators.guards import tone_check as check
 
-    t = table(spark, sf_dir, "documents").withColumns({"tone": F.lit("clear"), "kind": F.when(F.col("lang") == "en", "debt_reason")})
-    return check(t, "doc_id", "text", "tone", "kind")
+    t = _ended(spark, sf_dir).withColumns({"tone": F.lit("clear"), "kind": F.when(F.col("lang") == "en", "debt_reason")})
+    return check(t.withColumn("text", F.concat("text", F.when(F.col("doc_id") % 3 == 0, "매우 ").otherwise(""))), "doc_id", "text", "tone", "kind")
 
 
 @query("""SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN NULL ELSE c_name END AS name, 'NEW' AS segment, CASE WHEN c_nationkey % 2 = 0 THEN 'name' ELSE '' END AS cleared FROM customer""")
