@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import scan
@@ -122,53 +122,67 @@ def tail(text: str, size: int) -> str:
     return text[-size:][cut.end() if cut else 0 :]
 
 
-def pack_blocks(blocks: pd.DataFrame, limit: int = 1000, overlap: int = 100, least: int = 40) -> list[tuple]:
-    """(section, kind, text) of one document's blocks in order.
+def _chunk(limit: int, overlap: int, least: int) -> Callable:
+    """A step over a document's blocks in order: chunks that are done with this block, as (section, kind, text).
 
-    A table is a chunk of its own. A new section starts a new chunk. A chunk
-    begins with the end of the one before it in the section, and one shorter
-    than ``least`` joins the one before.
+    The state is the last chunk, which a very short one after it may still
+    join, the text that the next one has so far, and its section.
     """
-    out, held, at = [], "", None
-
-    def flush():
-        nonlocal held
-        if held.strip():
-            prior = out[-1] if out else None
-            if prior and prior[0] == at and prior[1] == "paragraph" and len(held) < least and len(prior[2]) + 1 + len(held) <= limit:
-                out[-1] = (at, "paragraph", f"{prior[2]}\n{held}")
-            else:
-                out.append((at, "paragraph", held))
-        held = ""
-
-    for section, kind, text in zip(blocks["section"], blocks["kind"], blocks["text"], strict=True):
-        if section != at or kind == "table":
+
+    def step(state: tuple, end: bool, section: str | None, kind: str | None, text: str | None) -> tuple:
+        last, held, at = state
+        done = []
+
+        def give(chunk: tuple) -> None:
+            nonlocal last
+            if last:
+                done.append(last)
+            last = chunk
+
+        def flush() -> None:
+            nonlocal last, held
+            if held.strip():
+                if last and last[:2] == (at, "paragraph") and len(held) < least and len(last[2]) + 1 + len(held) <= limit:
+                    last = (at, "paragraph", f"{last[2]}\n{held}")
+                else:
+                    give((at, "paragraph", held))
+            held = ""
+
+        if end or section != at or kind == "table":
             flush()
             at = section
+        if end:
+            return (None, "", None), [*done, last] if last else done
         if kind == "table":
-            out.append((section, "table", text))
-            continue
+            give((section, "table", text))
+            return (last, held, at), done
         for part in long_text(text or "", limit, overlap):
             if held and len(held) + 1 + len(part) > limit:
                 carried = tail(held, overlap)
                 flush()
                 held = carried if len(carried) + 1 + len(part) <= limit else ""
             held = f"{held}\n{part}" if held else part
-    flush()
-    return out
+        return (last, held, at), done
 
+    return step
 
-def chunk_blocks(blocks: DataFrame, key: str, order: str, limit: int = 1000, overlap: int = 100, least: int = 40) -> DataFrame:
-    """(key, i, section, kind, text) of ``blocks`` (key, order, section, kind, text). One document is one task's work."""
 
-    def run(k: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        rows = pack_blocks(frame.sort_values("o"), limit, overlap, least)
-        return pd.DataFrame([(k[0], i, *r) for i, r in enumerate(rows)], columns=["k", "i", "section", "kind", "text"])
+def chunk_blocks(blocks: DataFrame, key: str, order: str, limit: int = 1000, overlap: int = 100, least: int = 40) -> DataFrame:
+    """(key, i, section, kind, text) of ``blocks`` (key, order, section, kind, text).
 
+    A table is a chunk of its own. A new section starts a new chunk. A chunk
+    begins with the end of the one before it in the section, and one shorter
+    than ``least`` joins the one before. A document's blocks are streamed in order, so a
+    document of any length needs two chunks in memory. Null texts are empty, null keys are a document; ties in
+    ``order`` go by the text.
+    """
     kinds = dict(blocks.dtypes)
-    rows = blocks.select(F.col(key).alias("k"), F.col(order).alias("o"), "section", "kind", "text")
-    out = rows.groupBy("k").applyInPandas(run, f"k {kinds[key]}, i int, section {kinds['section']}, kind string, text string")
-    return out.withColumnRenamed("k", key)
+    rows = blocks.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col("section").cast("string").alias("s"), "kind", "text", F.lit(False).alias("end"))
+    ends = rows.select("k").distinct().select("k", F.lit(None).cast(kinds[order]).alias("o"), *[F.lit(None).cast("string").alias(c) for c in ("s", "kind", "text")], F.lit(True).alias("end"))
+    out = scan(rows.unionByName(ends), ["k"], ["end", "o", "text"], "done", "array<struct<section:string,kind:string,text:string>>", lambda: (None, "", None), _chunk(limit, overlap, least), ["end", "s", "kind", "text"])
+    chunks = out.select("k", "end", "o", F.col("text").alias("_t"), F.posexplode("done").alias("p", "c"))
+    number = F.row_number().over(Window.partitionBy("k").orderBy("end", "o", "_t", "p")) - 1
+    return chunks.select(F.col("k").alias(key), number.alias("i"), F.col("c.section").cast(kinds["section"]).alias("section"), "c.kind", "c.text")
 
 
 def pack_batches(units: DataFrame, key: str, order: str, text: str, chars: int = 4000, items: int = 10) -> DataFrame:
