@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 #: Units less alike than this are no pair; so large a part of pairs may be none; a unit with a larger part of changed words changed as a whole.
 UNLIKE, STRAY, REWRITTEN = 0.2, 0.2, 0.6
+# A word, which a tag parts from what stands beside it, and where a sentence ends.
 _WORD = re.compile(r"<[^<>\n]{0,300}>|[^\s<]+|<")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[다요]\.)")
+_SENTENCE = re.compile(r"(?<=[.!?。])\s+")
+#: Pairs that a task compares before it hands on what it found.
+TOGETHER = 200
 CHANGE = pa.struct([("before", pa.string()), ("after", pa.string()), *[(c, pa.int32()) for c in ("source_start", "source_end", "target_start", "target_end")]])
 CHANGE_DDL = "array<struct<before:string,after:string,source_start:int,source_end:int,target_start:int,target_end:int>>"
 
@@ -35,8 +38,8 @@ def units(text: str) -> list[tuple[int, int]]:
 
 
 def _alike(a: str, b: str) -> float:
-    grams = lambda x: Counter(x[i : i + 3] for i in range(max(len(x) - 2, 1))) if (x := re.sub(r"\s+", "", x)) else Counter()
-    left, right = grams(a), grams(b)
+    """Multiset Jaccard of 3-grams, or of single characters in a text of less than three."""
+    left, right = (Counter(x[i : i + 3] for i in range(len(x) - 2)) if len(x) > 2 else Counter(x) for x in ("".join(a.split()), "".join(b.split())))
     union = (left | right).total()
     return (left & right).total() / union if union else 1.0
 
@@ -81,7 +84,7 @@ def change_list(pairs: DataFrame, key: str, before: str, after: str) -> DataFram
     kept = pairs.select(key, *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in (before, after)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (batch.slice(at, TOGETHER) for batch in batches for at in range(0, batch.num_rows, TOGETHER)):
             found = [changes(x, y) for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(CHANGE))], [key, before, after, "changes"])
 

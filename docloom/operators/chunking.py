@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Callable, Iterator
 
@@ -21,9 +22,9 @@ def pieces(texts: DataFrame, key: str, text: str, cut: Callable[[str], list], sc
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in schema.split(", ")]
         for frame in frames:
-            for k, t in zip(frame["k"], frame["t"], strict=True):
-                rows = [(k, i, *(x if isinstance(x, tuple) else (x,))) for i, x in enumerate(cut(t))]
-                yield pd.DataFrame(rows, columns=["k", "i", *names])
+            every = ((k, i, *(x if isinstance(x, tuple) else (x,))) for k, t in zip(frame["k"], frame["t"], strict=True) for i, x in enumerate(cut(t)))
+            while some := list(itertools.islice(every, 5000)):
+                yield pd.DataFrame(some, columns=["k", "i", *names])
 
     kind = dict(texts.dtypes)[key]
     rows = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))

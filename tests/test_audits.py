@@ -119,3 +119,9 @@ def test_suite_verdicts(spark):
     rows += [("r0", "faq", "pii_leak_count.leak_count", 0.0), ("r1", "faq", "pii_leak_count.leak_count", 2.0), ("r3", "faq", "pii_leak_count.leak_count", None)]
     checks = suites.check_targets(spark.createDataFrame(rows, "run string, feature string, path string, actual double"), wanted)
     assert {r.run: r.verdict for r in suites.verdicts(checks).collect()} == {"r0": "pass", "r1": "fail", "r2": "pass_but_incomplete", "r3": "not_measured"}
+
+
+def test_units_and_likeness_of_changes():
+    cut = lambda t: [t[a:b] for a, b in changes.units(t)]
+    assert cut("一。 二. 갔다.왔다. 해요.그래 끝") == ["一。", "二.", "갔다.왔다.", "해요.그래 끝"]
+    assert changes._alike("ab", "ba") == 1.0 and changes._alike("", " ") == 1.0 and changes._alike("ab", "") == 0 and changes._alike("abcd", "abce") == 1 / 3
