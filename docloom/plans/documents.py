@@ -136,13 +136,17 @@ def addenda_pairs(spark, sf_dir):
     return pair_addenda(a, t.where("event_type = 'purchase'").select("user_id", us.alias("date")), "user_id")
 
 
-@query("""WITH l AS (SELECT source, doc_id, regexp_replace(unnest(string_split(text, chr(10))), '[0-9 \\t\\n\\r\\f\\x0B]+', '', 'g') AS k FROM documents),
-  n AS (SELECT source, greatest(3, ceil(count(DISTINCT doc_id) * 0.25)) AS need FROM documents WHERE text IS NOT NULL GROUP BY source)
-  SELECT source, k AS running, count(DISTINCT doc_id) AS pages FROM l JOIN n USING (source) WHERE length(k) >= 2 GROUP BY source, k, need HAVING count(DISTINCT doc_id) >= need""")
+@query("""WITH d AS (SELECT doc_id // 40 AS report, doc_id, list_concat(list_concat(['Quarterly report ' || doc_id // 40 || ' on ' || coalesce(source, '') || ' - ' || ['draft', 'second draft', 'revised', 'final'][doc_id % 4 + 1]],
+    string_split(coalesce(text, ''), chr(10))), ['Office of papers, room ' || doc_id || CASE WHEN doc_id % 3 = 0 THEN ' (annex)' ELSE '' END, doc_id::VARCHAR]) AS l FROM documents),
+  x AS (SELECT report, doc_id, regexp_replace(unnest(l), '[0-9 \\t\\n\\r\\f\\x0B]+', '', 'g') AS k FROM d),
+  n AS (SELECT report, greatest(3, ceil(count(DISTINCT doc_id) * 0.25)) AS need FROM d GROUP BY report)
+  SELECT report, k AS running, count(DISTINCT doc_id) AS pages FROM x JOIN n USING (report) WHERE length(k) >= 2 GROUP BY report, k, need HAVING count(DISTINCT doc_id) >= need""")
 def running_lines(spark, sf_dir):
+    """Lines that stand, but for digits and blanks, on a quarter of a report's pages."""
     from ..operators.layout import running_keys
+    from .headers import _lines as report_lines
 
-    return running_keys(_lines(spark, sf_dir).where("source IS NOT NULL"), "source", "doc_id", "text")
+    return running_keys(report_lines(spark, sf_dir), "report", "page", "text")
 
 
 @query("SELECT conv_id, turn::INT AS page, md5(trim(text)) AS form FROM conversations WHERE trim(text) <> ''")
