@@ -16,7 +16,7 @@ RUNNING_PAGES, RUNNING_SHARE = 3, 0.25
 # What ends a sentence, breaks a word, numbers a page and begins an item.
 SENTENCE_END = "[.!?。:;][\"'”’」』)\\]]*$"
 HYPHEN = "[A-Za-z]-$"
-PAGE_NUMBER = "^[-–—\\s]*\\d{1,4}\\s*(?:/\\s*\\d{1,4})?[-–—\\s]*$"
+PAGE_NUMBER = "^[-–—\\s]*\\d+\\s*(?:/\\s*\\d+)?[-–—\\s]*$"
 ITEM = (
     "^(?:제\\s*\\d+\\s*[편장절관조]|부\\s*칙|[①-⑳]|[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ][.．]|\\d{1,2}[.．)）](?=\\s|[가-힣A-Za-z])"
     "|[가나다라마바사아자차카타파하][.．)）](?=\\s|[가-힣A-Za-z])|[(（]\\d{1,2}[)）]|[•·∙◦○●□■▪▫◆◇▶►※*\\-–—]\\s)"

@@ -8,6 +8,7 @@ import re
 import pytest
 
 from docloom.operators import headers as H
+from docloom.operators.layout import body_lines
 
 SCHEMA = "doc string, page int, text string, key int, n int, letters string"
 
@@ -68,3 +69,10 @@ def test_forms_and_body(spark):
     assert set(forms) == {"Report#-draft", "Report#-drafts"} and len(set(forms.values())) == 1
     left = sorted(r.text for r in H.without_headers(table, "doc", "page", "text").collect())
     assert left == sorted(["Report 1 - draft"] * 5 + ["only here", "Report 7 - draft"])
+
+
+def test_page_numbers_of_any_length(spark):
+    rows = [("d", p, 980.0, 990.0, 1000.0, said) for p, said in enumerate(["- 7 -", "10000", "123456 / 2000000"])] + [("d", 1, 500.0, 510.0, 1000.0, "10000")]
+    table = spark.createDataFrame(rows, "doc string, page int, y0 double, y1 double, height double, text string")
+    assert [(r.y0, r.text) for r in H.without_headers(table, "doc", "page", "text").collect()] == [(500.0, "10000")]
+    assert [(r.y0, r.text) for r in body_lines(table, "doc", "page", "text").collect()] == [(500.0, "10000")]
