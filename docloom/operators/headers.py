@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from .layout import PAGE_NUMBER, RUNNING_PAGES, RUNNING_SHARE, in_margin
-from .ordered import scan
+from .ordered import cut_lineage, scan
 from .tables import _beside
 
 # How alike two keys are, and the letters that a key has at least.
@@ -85,9 +85,9 @@ def running_headers(lines: DataFrame, doc: str, page: str, text: str) -> DataFra
     Enough: three, and a quarter of the pages rounded up. ``lines`` holds the
     margins' lines, or all of them. Pages are counted from the pairs, summed
     by (document, key). Documents of under three pages have none, nor have null texts; null documents are one,
-    and lines without a page count as one page.
+    and lines without a page count as one page. The lines' keys are worked out once and checkpointed, as several steps go over them.
     """
-    rows = lines.select(F.col(doc).alias("doc"), F.coalesce(F.col(page).cast("string"), F.lit("")).alias("page"), header_key(F.col(text)).alias("key"))
+    rows = cut_lineage(lines.select(F.col(doc).alias("doc"), F.coalesce(F.col(page).cast("string"), F.lit("")).alias("page"), header_key(F.col(text)).alias("key")))
     need = rows.groupBy("doc").agg(F.count_distinct("page").alias("n")).select("doc", "n", F.greatest(F.lit(RUNNING_PAGES), F.ceil(F.col("n") * RUNNING_SHARE)).alias("need"))
     keys = rows.where(F.length("key") >= LEAST_KEY).distinct()
     pairs = similar_pairs(keys, "doc", "key").select(F.col("doc").alias("d"), F.col("key").alias("mine"), "other")
@@ -113,7 +113,7 @@ def without_headers(lines: DataFrame, doc: str, page: str, text: str) -> DataFra
     """``lines`` (y0, y1, height) without page numbers and running headers in the margins, whatever form those take on a page."""
     margin = F.coalesce(in_margin(F.col("y0"), F.col("y1"), F.col("height")), F.lit(False))
     found = running_headers(lines.where(margin), doc, page, text).select(doc, F.col("key").alias("_key"), F.lit(True).alias("_running"))
-    rows = lines.withColumns({"_key": header_key(F.col(text)), "_margin": margin})
-    rows = _beside(rows, found, [doc, "_key"])
-    drop = F.col("_margin") & (F.col(text).rlike(PAGE_NUMBER) | F.coalesce("_running", F.lit(False)))
-    return rows.where(~F.coalesce(drop, F.lit(False))).select(*lines.columns)
+    # the body stays where it is: only the margins' lines meet the headers
+    rows = _beside(lines.where(margin).withColumn("_key", header_key(F.col(text))), found, [doc, "_key"])
+    drop = F.col(text).rlike(PAGE_NUMBER) | F.coalesce("_running", F.lit(False))
+    return rows.where(~F.coalesce(drop, F.lit(False))).select(*lines.columns).unionByName(lines.where(~margin))

@@ -17,7 +17,9 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.concat(F.lit("Quarterly report "), report.cast("string"), F.lit(" on "), F.coalesce("source", F.lit("")), F.lit(" - "), kind)
     foot = F.concat(F.lit("Office of papers, room "), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, " (annex)").otherwise(""))
     said = F.concat(F.array(head), F.split(F.coalesce("text", F.lit("")), "\n"), F.array(foot, F.col("doc_id").cast("string")))
-    rows = docs.select(report.alias("report"), F.col("doc_id").alias("page"), F.size(said).alias("n"), F.posexplode(said).alias("at", "text"))
+    # the lines are counted before they part: beside the generator the text would be split anew for each line
+    whole = docs.select(report.alias("report"), F.col("doc_id").alias("page"), said.alias("said")).withColumn("n", F.size("said"))
+    rows = whole.select("report", "page", "n", F.posexplode_outer("said").alias("at", "text"))
     # ten points a line, the first and the last two in the margins
     top = F.when(F.col("at") == 0, 0.0).when(F.col("at") >= F.col("n") - 2, 950.0).otherwise(500.0)
     return rows.select("report", "page", "at", top.alias("y0"), (top + 10).alias("y1"), F.lit(1000.0).alias("height"), "text")

@@ -76,3 +76,10 @@ def test_page_numbers_of_any_length(spark):
     table = spark.createDataFrame(rows, "doc string, page int, y0 double, y1 double, height double, text string")
     assert [(r.y0, r.text) for r in H.without_headers(table, "doc", "page", "text").collect()] == [(500.0, "10000")]
     assert [(r.y0, r.text) for r in body_lines(table, "doc", "page", "text").collect()] == [(500.0, "10000")]
+
+
+def test_texts_are_split_once(spark):
+    from docloom.plans.headers import _lines
+
+    plan = _lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
