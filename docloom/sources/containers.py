@@ -7,16 +7,17 @@ import io
 import re
 import uuid
 import zipfile
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-from ..operators.scores import multiset_diff
 from ..operators.templates import _SLOT, FIELD, QUOTES
 from .documents import _tag
 
@@ -63,7 +64,7 @@ def _found(nodes: list) -> list[tuple]:
     taken = {id(t) for f in out for t in f[3]}
     texts = [x for x in nodes if _tag(x) == "t" and id(x) not in taken]
     text = "".join(t.text or "" for t in texts)
-    for m in _SLOTS.finditer(_BRACES.sub(lambda b: " " * len(b[0]), text)):
+    for m in () if "{" not in text else _SLOTS.finditer(_BRACES.sub(lambda b: " " * len(b[0]), text)):
         if m[3] in QUOTES[m[1]] and m[2].strip():
             out.append(("SLOT", m[2].strip(), re.sub(r"^[\s,/·|]+|\s+$", "", m[4]), texts, m.start(), m.end()))
     return out
@@ -201,23 +202,27 @@ def fill_files(files: DataFrame) -> DataFrame:
     A file that can't be read comes back as it was, with its problem.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, content, values, copies, blocks in zip(*(frame[c] for c in ("path", "content", "values", "copies", "blocks")), strict=True):
-                given = {k: v for k, v in dict(values if values is not None else {}).items() if v is not None}
-                try:
-                    made, done = fill(content or b"", given, dict(copies if copies is not None else {}), list(blocks if blocks is not None else ()))
-                    row = (path, made, len(done), sorted(set(given) - set(done)), None)
-                except _BROKEN as e:
-                    row = (path, content, 0, sorted(given), type(e).__name__)
-                yield pd.DataFrame([row], columns=[c.split()[0] for c in FILLED.split(", ")])
+    kinds = pa.schema([("path", pa.string()), ("content", pa.binary()), ("n_filled", pa.int32()), ("missing", pa.list_(pa.string())), ("problem", pa.string())])
 
-    kinds = {"copies": "map<string,int>", "blocks": "array<string>"}
-    rows = files.select("path", "content", "values", *[F.col(c) if c in files.columns else F.lit(None).cast(k).alias(c) for c, k in kinds.items()])
-    return rows.mapInPandas(run, FILLED)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                rows = []
+                for path, content, values, copies, blocks in zip(*(c.to_pylist() for c in b.slice(at, 500).columns), strict=True):
+                    given = {k: v for k, v in dict(values or ()).items() if v is not None}
+                    try:
+                        made, done = fill(content or b"", given, dict(copies or ()), blocks or [])
+                        rows.append((path, made, len(done), sorted(set(given) - set(done)), None))
+                    except _BROKEN as e:
+                        rows.append((path, content, 0, sorted(given), type(e).__name__))
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds)
 
+    optional = {"copies": "map<string,int>", "blocks": "array<string>"}
+    rows = files.select("path", "content", "values", *[F.col(c) if c in files.columns else F.lit(None).cast(k).alias(c) for c, k in optional.items()])
+    return rows.mapInArrow(run, FILLED)
 
-SKELETON = "path string, place string"
+
+SKELETON = "path string, place string, n bigint"
 
 
 def _places(content: bytes) -> Iterator[str]:
@@ -235,33 +240,46 @@ def _places(content: bytes) -> Iterator[str]:
 
 
 def skeleton(files: DataFrame) -> DataFrame:
-    """(path, place): members and elements of each container; of one that can't be read only the place ``broken``."""
+    """(path, place, n): members and elements of each container, each place with how many there are; of one that can't be read only the place ``broken``.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                try:
-                    places = list(_places(content or b""))
-                except _BROKEN:
-                    places = ["broken"]
-                yield pd.DataFrame({"path": [path] * len(places), "place": places})
+    A row without a place stands for the file itself.
+    """
 
-    return files.select("path", "content").mapInPandas(run, SKELETON)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, places = None, []
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part, keys, rows = b.slice(at, 500), [], []
+                for i, content in enumerate(part.column(1).to_pylist()):
+                    if known != (content or b""):  # copies of one file follow each other
+                        known = content or b""
+                        try:
+                            places = [*Counter(_places(known)).items(), (None, 1)]
+                        except _BROKEN:
+                            places = [("broken", 1), (None, 1)]
+                    keys += [i] * len(places)
+                    rows += places
+                place, n = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keys, pa.int64())), pa.array(place, pa.string()), pa.array(n, pa.int64())], ["path", "place", "n"])
+
+    return files.select(F.col("path").cast("string"), "content").mapInArrow(run, SKELETON)
 
 
 def integrity(before: DataFrame, after: DataFrame) -> DataFrame:
     """(path, missing, added, passed): how many members and elements of a container are gone, or new; a row for each path on either side.
 
-    Both skeletons are multisets of places, compared by sums before the
-    shuffle, so nothing large comes together. What was appended on purpose counts as added: it passes if nothing is missing.
+    Both skeletons are multisets of places, counted where a file is read and dealt by path once, so each side is
+    worked out once and nothing large comes together. What was appended on purpose counts as added: it passes if nothing is missing.
     A file that is on one side only, or broken, fails.
     """
-    off = multiset_diff(skeleton(before), skeleton(after), "path", "place")
-    sums = off.groupBy("path").agg(F.sum("missing").alias("missing"), F.sum("added").alias("added"), F.max((F.col("place") == "broken") & (F.col("added") > 0)).alias("_broken"))
-    sides = before.select("path", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(after.select("path", F.lit(0).alias("a"), F.lit(1).alias("b")))
-    both = sides.groupBy("path").agg((F.min(F.lit(1)) * F.max("a") * F.max("b") == 1).alias("_both"))
-    out = both.join(sums.withColumnRenamed("path", "_path"), F.col("path").eqNullSafe(F.col("_path")), "left").na.fill(0, ["missing", "added"])
-    return out.select("path", "missing", "added", (F.col("_both") & (F.col("missing") == 0) & ~F.coalesce("_broken", F.lit(False))).alias("passed"))
+    side = lambda files, a, b: skeleton(files).select("path", "place", (F.col("n") * a).alias("a"), (F.col("n") * b).alias("b"))
+    both = side(before, 1, 0).unionByName(side(after, 0, 1)).repartition("path")
+    off = both.groupBy("path", "place").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    over = lambda a, b: F.coalesce(F.sum(F.when(F.col("place").isNotNull(), F.greatest(F.col(a) - F.col(b), F.lit(0)))), F.lit(0))
+    whole = F.max(F.col("place").isNull() & (F.col("a") > 0) & (F.col("b") > 0))
+    broken = F.max(F.coalesce(F.col("place") == "broken", F.lit(False)) & (F.col("b") > F.col("a")))
+    out = off.groupBy("path").agg(over("a", "b").alias("missing"), over("b", "a").alias("added"), (whole & ~broken).alias("passed"))
+    return out.withColumn("passed", F.col("passed") & (F.col("missing") == 0))
 
 
 @dataclass

@@ -151,10 +151,10 @@ def _parsed(files: DataFrame, parse, schema: str) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                rows = parse(path, content)
-                while some := list(itertools.islice(rows, 5000)):
-                    yield pd.DataFrame(some, columns=names).astype(object)
+            # small files share a batch
+            rows = (row for path, content in zip(frame["path"], frame["content"], strict=True) for row in parse(path, content))
+            while some := list(itertools.islice(rows, 5000)):
+                yield pd.DataFrame(some, columns=names).astype(object)
 
     return files.where(engine_of(F.col("path"), F.col("content")).isin("docx", "hwpx")).select("path", "content").mapInPandas(run, schema)
 

@@ -85,3 +85,10 @@ def test_a_failed_task_leaves_no_file(spark, tmp_path):
     with pytest.raises(Exception, match="not a file name"):
         C.write_files(rows, f"file://{tmp_path}")
     assert list(tmp_path.iterdir()) == []
+
+
+def test_letters_are_filled_once(spark):
+    from docloom.plans import QUERIES
+
+    plan = QUERIES["letter_integrity"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapIn") == 3  # filled, and read on either side
