@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from bisect import bisect_left, bisect_right
 
 import numpy as np
@@ -14,6 +15,8 @@ from .ordered import scan
 # Characters of a probe, probes of a piece, how far back of the piece before the search begins, and the share of pieces that must be found.
 PROBE, PROBES, BACK, FOUND = 16, 24, 2000, 0.5
 SHORTEST = 4
+# Fixed value: so many characters are searched through without an index.
+PLAIN = 8000
 
 
 def probes(text: Column, size: int = PROBE, limit: int = PROBES) -> Column:
@@ -27,35 +30,57 @@ def probes(text: Column, size: int = PROBE, limit: int = PROBES) -> Column:
     return F.when(text.isNull() | (n <= size), short).otherwise(spread)
 
 
+def probes_of(text: str, size: int = PROBE, limit: int = PROBES) -> list[str]:
+    """What ``probes`` gives, of a text that a task holds."""
+    if len(text) <= size:
+        return [text] if len(text) >= SHORTEST else []
+    count = max(1, min(limit, len(text) // size))
+    step = (len(text) - size) / max(count - 1, 1)
+    return [text[a : a + size] for a in (round(i * step) for i in range(count))]
+
+
 class Seeds:
-    """All places of a text's n-grams: hashes of every place, sorted, so that a probe is looked up and not searched for."""
+    """All places of a text's n-grams, so that a probe is looked up: in short texts and near the start by a plain search, else by sorted hashes of every place."""
 
     def __init__(self, text: str, size: int):
-        self.text, self.size = text, size
-        letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        self.hashes = self._hash(letters)
-        self.order = np.argsort(self.hashes, kind="stable")
-        self.sorted = self.hashes[self.order]
+        self.text, self.size, self.order = text, size, None
 
     def _hash(self, letters: np.ndarray) -> np.ndarray:
-        n = max(len(letters) - self.size + 1, 0)
-        out = np.zeros(n, np.uint64)
+        n = max(letters.shape[-1] - self.size + 1, 0)
+        out = np.zeros((*letters.shape[:-1], n), np.uint64)
         for i in range(self.size):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + letters[i : i + n]
+            out = out * np.uint64(0x9E3779B97F4A7C15) + letters[..., i : i + n]
         return out
 
+    def _letters(self, text: str) -> np.ndarray:
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
     def find(self, probe: str, start: int) -> int:
         """The first place at or after ``start``, else the first at all; -1 if there is none."""
-        if len(probe) != self.size:
-            at = self.text.find(probe, start)
-            return at if at >= 0 or not start else self.text.find(probe)
-        wanted = self._hash(np.frombuffer(probe.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64))[0]
-        places = self.order[np.searchsorted(self.sorted, wanted) : np.searchsorted(self.sorted, wanted, "right")]
-        after = np.searchsorted(places, start)
-        for at in (*places[after:].tolist(), *places[:after].tolist()):
-            if self.text.startswith(probe, at):
-                return at
-        return -1
+        return self.find_all([probe], start)[0]
+
+    def find_all(self, probes: list[str], start: int) -> list[int]:
+        """The same for each of some probes, which are looked up together."""
+        whole = len(self.text) <= PLAIN
+        out = [self.text.find(p, start, len(self.text) if whole or len(p) != self.size else start + PLAIN) for p in probes]
+        rest = [i for i, at in enumerate(out) if at < 0]
+        if rest and start:
+            for i in rest:
+                if whole or len(probes[i]) != self.size:
+                    out[i] = self.text.find(probes[i])
+        rest = [] if whole else [i for i in rest if len(probes[i]) == self.size]
+        if rest:
+            if self.order is None:
+                hashes = self._hash(self._letters(self.text))
+                self.order = np.argsort(hashes, kind="stable")
+                self.sorted = hashes[self.order]
+            wanted = self._hash(self._letters("".join(probes[i] for i in rest)).reshape(len(rest), self.size))[:, 0]
+            first, last = np.searchsorted(self.sorted, wanted), np.searchsorted(self.sorted, wanted, "right")
+            for i, a, z in zip(rest, first.tolist(), last.tolist(), strict=True):
+                places = self.order[a:z]
+                after = int(np.searchsorted(places, start))
+                out[i] = next((at for at in itertools.chain(map(int, places[after:]), map(int, places[:after])) if self.text.startswith(probes[i], at)), -1)
+        return out
 
 
 def chain(starts: list[int]) -> list[int]:
@@ -90,7 +115,7 @@ def chain(starts: list[int]) -> list[int]:
 
 def span_of(seeds: Seeds, wanted: list[str], length: int, cursor: int) -> tuple[int, int] | None:
     """(start, end) of a piece from the places of its probes: those near their median, and of those the longest chain in order."""
-    found = [(at, at + len(p)) for p in wanted if (at := seeds.find(p, max(0, cursor - BACK))) >= 0]
+    found = [(at, at + len(p)) for p, at in zip(wanted, seeds.find_all(wanted, max(0, cursor - BACK)), strict=True) if at >= 0]
     if not found:
         return None
     middle = sorted(at for at, _ in found)[len(found) // 2]
@@ -99,11 +124,11 @@ def span_of(seeds: Seeds, wanted: list[str], length: int, cursor: int) -> tuple[
     return kept[0][0], max(end for _, end in kept)
 
 
-def _step(state: tuple, text: str | None, wanted, length: int) -> tuple:
+def _step(state: tuple, side: int, text: str | None) -> tuple:
     seeds, cursor = state
-    if text is not None:
+    if side == 0:
         return (Seeds(text, PROBE), 0), None
-    span = None if seeds is None or wanted is None else span_of(seeds, list(wanted), length, cursor)
+    span = None if seeds is None or not text else span_of(seeds, probes_of(text), len(text), cursor)
     return (seeds, cursor if span is None else span[0]), span
 
 
@@ -115,18 +140,16 @@ def locate(pieces: DataFrame, texts: DataFrame, doc: str, order: str, piece: str
     Probes far from their median go, and of the rest those out of order, so a sentence that
     the text repeats elsewhere doesn't pull a piece away. A document's text and then
     its pieces in order are streamed through one task, which holds that one text and
-    its index (some 30 bytes a character), never its pieces.
+    its index if it is a long one (some 30 bytes a character), never its pieces.
 
     Null where none of its probes is found, as of null and very short pieces, and where the
     document has no text. Of several texts of one document each piece meets
     the last in order; null documents are one. Repeated pieces each get a row; ties in ``order`` go by the piece. Empty tables give empty ones.
     """
-    norm = letters_only(F.col(piece))
-    rows = pieces.withColumns({"_side": F.lit(1), "_text": F.lit(None).cast("string"), "_norm": norm})
-    rows = rows.withColumns({"_probes": probes(F.col("_norm")), "_length": F.coalesce(F.length("_norm"), F.lit(0)), "_at": F.col(order)}).drop("_norm")
-    whole = texts.select(F.col(doc), F.lit(0).alias("_side"), F.coalesce(letters_only(F.col(text)), F.lit("")).alias("_text"), F.lit(0).alias("_length"))
+    rows = pieces.withColumns({"_side": F.lit(1), "_text": letters_only(F.col(piece)), "_at": F.col(order)})
+    whole = texts.select(F.col(doc), F.lit(0).alias("_side"), F.coalesce(letters_only(F.col(text)), F.lit("")).alias("_text"))
     both = rows.unionByName(whole, allowMissingColumns=True)
-    found = scan(both, [doc], ["_side", "_at", piece, "_text"], "_span", "struct<start:int,end:int>", lambda: (None, 0), _step, ["_text", "_probes", "_length"])
+    found = scan(both, [doc], ["_side", "_at", piece, "_text"], "_span", "struct<start:int,end:int>", lambda: (None, 0), _step, ["_side", "_text"])
     return found.where("_side = 1").select(*pieces.columns, F.col("_span.start").alias("start"), F.col("_span.end").alias("end"))
 
 

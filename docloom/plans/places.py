@@ -14,9 +14,8 @@ PIECE, PAGE = 400, 1500
 
 def _pieces(docs: DataFrame) -> DataFrame:
     """(doc_id, piece, text): texts in pieces of ``PIECE`` characters, a text without any as one empty piece."""
-    n = F.greatest(F.ceil(F.length("text") / PIECE), F.lit(1)).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("text"), i * PIECE + 1, F.lit(PIECE)))
-    return docs.select("doc_id", F.posexplode(cut).alias("piece", "text"))
+    cut = F.when(F.col("text") == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))
+    return docs.select("doc_id", F.posexplode_outer(cut).alias("piece", "text"))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
