@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import ratio
-from ..functions.text import WS, char_ngrams
+from ..functions.text import WS
 
 
 def prf(tp: Column, fp: Column, fn: Column) -> list[Column]:
@@ -31,24 +34,27 @@ def extraction_scores(predicted: DataFrame, gold: DataFrame, key: list[str], by:
     return out.select(by, "tp", "fp", "fn", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
-def _gram_counts(pairs: DataFrame, key: str, a: str, b: str, sizes: range, keep_spaces: bool = False) -> DataFrame:
-    """(_row, key, n, gram, na, nb): how often each character n-gram stands on each side, of the sizes both sides reach (or of a single size).
+def _overlaps(sizes: range):
+    def of(a: str, b: str, n: int) -> list[int]:
+        # a text shorter than a gram is its own gram
+        x, y = (Counter(t[i : i + n] for i in range(max(len(t) - n + 1, min(len(t), 1)))) for t in (a, b))
+        small, large = sorted((x, y), key=len)
+        return [sum(min(c, large[g]) for g, c in small.items() if g in large), x.total(), y.total()]
 
-    A row of pairs is a group of its own, whatever its key; one without grams
-    has a row without a gram. Pairs are dealt by row once, before they turn into grams; the counts and
-    whatever is summed over a row afterwards stay where they are.
-    """
-    clean = pairs.select(F.monotonically_increasing_id().alias("_row"), F.col(key), *[F.coalesce(F.col(c) if keep_spaces else F.regexp_replace(c, WS, ""), F.lit("")).alias(f"_{i}") for i, c in enumerate((a, b))])
+    def run(left: pd.Series, right: pd.Series) -> pd.Series:
+        reach = lambda a, b: sizes if len(sizes) == 1 else [n for n in sizes if min(len(a), len(b)) >= n]
+        return pd.Series([[of(a, b, n) for n in reach(a, b)] for a, b in zip(left, right, strict=True)], dtype=object)
 
-    def grams(c: str, side: int) -> Column:
-        def of(n: int) -> Column:
-            found = F.transform(char_ngrams(F.col(c), n, True), lambda g: F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), g.alias("gram")))
-            return found if len(sizes) == 1 else F.when((F.length("_0") >= n) & (F.length("_1") >= n), found)
+    return F.pandas_udf(run, "array<array<bigint>>")
 
-        return F.flatten(F.array_compact(F.array(*map(of, sizes))))
 
-    both = clean.repartition("_row").select("_row", key, F.inline_outer(F.concat(grams("_0", 0), grams("_1", 1))))
-    return both.groupBy("_row", key, "n", "gram").agg(F.count_if(F.col("side") == 0).alias("na"), F.count_if(F.col("side") == 1).alias("nb"))
+def _gram_overlaps(pairs: DataFrame, key: str, a: str, b: str, sizes: range) -> DataFrame:
+    """(key, orders): for each order of character n-grams that both sides reach (or a single one) how many both have, and how many each has.
+
+    Each row of pairs is compared by itself in the task that holds it, whatever its key; grams are neither shuffled nor spilled.
+    """
+    clean = [F.coalesce(F.regexp_replace(c, WS, ""), F.lit("")) for c in (a, b)]
+    return pairs.select(key, _overlaps(sizes)(*clean).alias("orders"))
 
 
 def pair_similarity(pairs: DataFrame, key: str, a: str, b: str, size: int = 3) -> DataFrame:
@@ -56,8 +62,9 @@ def pair_similarity(pairs: DataFrame, key: str, a: str, b: str, size: int = 3) -
 
     Null texts are empty. Rows that share a key, or have none, are compared each by their own texts.
     """
-    sums = _gram_counts(pairs, key, a, b, range(size, size + 1)).groupBy("_row", key).agg(F.sum(F.least("na", "nb")).alias("i"), F.sum(F.greatest("na", "nb")).alias("u"))
-    return sums.select(key, F.coalesce(F.round(F.col("i") / F.nullif("u", F.lit(0)), 4), F.lit(1.0)).alias("similarity"))
+    one = F.get("orders", F.lit(0))
+    share = one[0] / F.nullif(one[1] + one[2] - one[0], F.lit(0))
+    return _gram_overlaps(pairs, key, a, b, range(size, size + 1)).select(key, F.coalesce(F.round(share, 4), F.lit(1.0)).alias("similarity"))
 
 
 def chrf(pairs: DataFrame, key: str, candidate: str, reference: str, max_n: int = 6, beta: float = 2.0) -> DataFrame:
@@ -65,9 +72,8 @@ def chrf(pairs: DataFrame, key: str, candidate: str, reference: str, max_n: int
 
     0 if a side is empty, and null texts are. Rows that share a key, or have none, are scored each by their own texts.
     """
-    counts = _gram_counts(pairs, key, candidate, reference, range(1, max_n + 1)).groupBy("_row", key, "n")
-    sums = counts.agg(F.sum(F.least("na", "nb")).alias("m"), F.nullif(F.sum("na"), F.lit(0)).alias("a"), F.nullif(F.sum("nb"), F.lit(0)).alias("b"))
-    means = sums.groupBy("_row", key).agg(F.avg(F.col("m") / F.col("a")).alias("p"), F.avg(F.col("m") / F.col("b")).alias("r"))
+    mean = lambda side: F.aggregate("orders", F.lit(0.0), lambda acc, x: acc + x[0] / x[side]) / F.nullif(F.size("orders"), F.lit(0))
+    means = _gram_overlaps(pairs, key, candidate, reference, range(1, max_n + 1)).select(key, mean(1).alias("p"), mean(2).alias("r"))
     b2 = beta * beta
     f = F.when(F.col("p") + F.col("r") == 0, 0.0).otherwise((1 + b2) * F.col("p") * F.col("r") / (b2 * F.col("p") + F.col("r")))
     return means.select(key, F.coalesce(F.round(f, 4), F.lit(0.0)).alias("chrf"))

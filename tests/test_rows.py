@@ -99,3 +99,14 @@ def test_spans_and_places_by_the_thousand(spark):
     text = "é a@b.co 1234 " * 6000
     found = spark.createDataFrame([(text,)], "t string").select(pii.personal_data(F.col("t"))["found"].alias("f")).first().f
     assert [(x.category, x.start, x.end) for x in found] == [("email", 14 * i + 2, 14 * i + 8) for i in range(6000)]
+
+
+def test_grams_are_compared_within_rows(spark):
+    from docloom.operators import scores
+
+    pairs = spark.createDataFrame([(1, "abcabc", "abcab"), (1, "ab", "ab"), (None, None, "x"), (2, "a b", ""), (3, "", None), (4, "𝒳𝒴𝒳𝒴", "𝒳𝒴")], "k int, a string, b string")
+    got = scores.pair_similarity(pairs, "k", "a", "b")
+    assert sorted((r.k or 0, r.similarity) for r in got.collect()) == [(0, 0.0), (1, 0.75), (1, 1.0), (2, 0.0), (3, 1.0), (4, 0.0)]
+    for out in (got, scores.chrf(pairs, "k", "a", "b")):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Aggregate" not in plan
