@@ -111,13 +111,30 @@ def cut_lineage(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
-def scan(rows: DataFrame, keys: list[str], order: list[str | Column], out: str, kind: str, start: Callable, step: Callable, used: list[str]) -> DataFrame:
+#: Rows of a table that one partition of it gets, where tasks hold a partition's sort in memory.
+EACH = 100_000
+
+
+def parts_for(rows: DataFrame, each: int = EACH) -> int:
+    """So many partitions that each has about ``each`` rows; a table of Parquet files is counted from its footers.
+
+    With a fixed number the partitions, and the memory of a task, would grow with the table.
+    """
+    return max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // each + 1)
+
+
+def dealt(rows: DataFrame, keys: list[str], parts: int | None) -> DataFrame:
+    """``rows`` with each key's in one of ``parts`` partitions, or of the session's number."""
+    return rows.repartition(parts, *keys) if parts else rows.repartition(*keys)
+
+
+def scan(rows: DataFrame, keys: list[str], order: list[str | Column], out: str, kind: str, start: Callable, step: Callable, used: list[str], parts: int | None = None) -> DataFrame:
     """``rows`` with ``out``: what ``step`` gives along each key's rows in order.
 
     ``step(state, *values of used)`` returns (new state, value); ``start()``
     is the state at a key's first row. For rules that no window frame can
     say. Rows are sorted and streamed, and only one state is held, so the
-    size of a key doesn't matter for memory.
+    size of a key doesn't matter for memory. ``parts`` is the number of partitions, if not the session's.
     """
     schema = StructType([*rows.schema.fields, *StructType.fromDDL(f"`{out}` {kind}").fields])
 
@@ -133,4 +150,4 @@ def scan(rows: DataFrame, keys: list[str], order: list[str | Column], out: str,
                 values.append(value)
             yield frame.assign(**{out: values})
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return dealt(rows, keys, parts).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

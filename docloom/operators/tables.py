@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import scan
+from .ordered import dealt, scan
 
 
 def _place(state: tuple, row: int, at_row: int, at_col: int, row_span: int, col_span: int) -> tuple:
@@ -26,7 +26,7 @@ def _place(state: tuple, row: int, at_row: int, at_col: int, row_span: int, col_
     return (now, c + col_span, [*rects, rect]), (r, c)
 
 
-def place_cells(cells: DataFrame, keys: list[str], row: str = "row", cell: str = "cell", row_span: str = "row_span", col_span: str = "col_span", at_row: str | None = None, at_col: str | None = None) -> DataFrame:
+def place_cells(cells: DataFrame, keys: list[str], row: str = "row", cell: str = "cell", row_span: str = "row_span", col_span: str = "col_span", at_row: str | None = None, at_col: str | None = None, parts: int | None = None) -> DataFrame:
     """``cells`` with ``top``, ``left``, ``height`` and ``width``: the rectangle that each cell covers in its table.
 
     ``keys`` name a table, ``row`` and ``cell`` give the order in it. A cell
@@ -42,7 +42,7 @@ def place_cells(cells: DataFrame, keys: list[str], row: str = "row", cell: str =
     span = lambda c: F.greatest(F.coalesce(F.col(c).cast("int"), F.lit(1)), F.lit(1))
     address = lambda c: F.lit(-1) if c is None else F.coalesce(F.col(c).cast("int"), F.lit(-1))
     rows = cells.withColumns({"height": span(row_span), "width": span(col_span), "_r": F.coalesce(F.col(row).cast("int"), F.lit(0)), "_ar": address(at_row), "_ac": address(at_col)})
-    placed = scan(rows, keys, ["_r", cell, "height", "width"], "_at", "struct<r:int,c:int>", lambda: (-1, 0, []), _place, ["_r", "_ar", "_ac", "height", "width"])
+    placed = scan(rows, keys, ["_r", cell, "height", "width"], "_at", "struct<r:int,c:int>", lambda: (-1, 0, []), _place, ["_r", "_ar", "_ac", "height", "width"], parts)
     return placed.withColumns({"top": F.col("_at.r"), "left": F.col("_at.c")}).drop("_at", "_r", "_ar", "_ac")
 
 
@@ -65,7 +65,7 @@ def merge_down(cells: DataFrame, keys: list[str], row: str = "row", cell: str =
     return rows.where(F.col("_m") != "continue").drop("_m", "_run")
 
 
-def grid(placed: DataFrame, keys: list[str], cell: str = "cell") -> DataFrame:
+def grid(placed: DataFrame, keys: list[str], cell: str = "cell", parts: int | None = None) -> DataFrame:
     """(keys, row, col, is_anchor, cell): each place that a cell covers, once; ``cell`` is the anchor's, null where a place is only covered.
 
     Of cells with the same address the last in order counts.
@@ -74,6 +74,7 @@ def grid(placed: DataFrame, keys: list[str], cell: str = "cell") -> DataFrame:
     down = F.explode(F.sequence(F.col("top"), F.col("top") + F.col("height") - 1))
     spread = placed.select(*keys, "top", "left", F.col(cell).alias("_c"), "width", down.alias("row")).select("*", across.alias("col"))
     anchor = (F.col("row") == F.col("top")) & (F.col("col") == F.col("left"))
+    spread = spread.repartition(parts, *keys) if parts else spread
     return spread.groupBy(*keys, "row", "col").agg(F.max(anchor).alias("is_anchor"), F.max(F.when(anchor, F.col("_c"))).alias("cell"))
 
 
@@ -91,33 +92,44 @@ def _tag(body: Column) -> Column:
     return F.concat(F.lit("<"), name, span("rowspan", "height"), span("colspan", "width"), F.lit(">"), body, F.lit("</"), name, F.lit(">"))
 
 
-def table_html(placed: DataFrame, keys: list[str], text: str = "text", cell: str = "cell", fill: bool = True) -> DataFrame:
+def table_html(placed: DataFrame, keys: list[str], text: str = "text", cell: str = "cell", fill: bool = True, parts: int | None = None) -> DataFrame:
     """(keys, n_rows, n_cols, html): each table on one line, its first row as heads.
 
     Cells stand at their places, and places that no cell covers are empty
     cells (``fill``; without it such places are left out, and rows without
-    cells too). Only sums a row and a table meet: the cells of one table
-    come together as its text does.
+    cells too). Cells are dealt by table once and worked out once; sums by place and row come before
+    a table's rows meet, as its text does. ``parts`` is the number of partitions, if not the session's.
     """
-    cells = placed.withColumn("_html", _tag(escaped(F.col(text))))
-    last = cells.groupBy(*keys, "top", "left").agg(F.max_by("_html", cell).alias("_html"))
-    size = cells.groupBy(*keys).agg(F.max(F.col("top") + F.col("height")).alias("n_rows"), F.max(F.col("left") + F.col("width")).alias("n_cols"))
-    shown = last.groupBy(*keys, F.col("top").alias("row")).agg(F.collect_list(F.struct("left", "_html")).alias("_shown"))
+    body = F.struct(_tag(escaped(F.col(text))).alias("x"))
+    reach = F.explode(F.sequence(F.col("top"), F.col("top") + F.col("height") - 1)) if fill else F.col("top")
+    ends = [(F.col("top") + F.col("height")).alias("_bottom"), (F.col("left") + F.col("width")).alias("_right")]
+    cells = placed.select(*keys, "left", "width", "top", F.col(cell).alias("_cell"), body.alias("_body"), *ends)
+    cells = dealt(cells.withColumn("height", F.col("_bottom") - F.col("top")), keys, parts).select(*keys, "left", "width", "top", "_cell", "_body", "_bottom", "_right", reach.alias("row"))
+    own = F.col("row") == F.col("top")
+    places = cells.groupBy(*keys, "row", "left").agg(
+        F.max("width").alias("width"), F.max_by(F.when(own, F.col("_body")), F.when(own, F.col("_cell"))).alias("_body"), F.max("_bottom").alias("_bottom"), F.max("_right").alias("_right")
+    )
+    place = F.struct("left", "width", F.col("_body.x").alias("_html"))
+    rows = places.groupBy(*keys, "row").agg(F.collect_list(place).alias("_places"), F.max("_bottom").alias("_bottom"), F.max("_right").alias("_right"))
+    every = rows.groupBy(*keys).agg(F.max("_bottom").alias("n_rows"), F.max("_right").alias("n_cols"), F.collect_list(F.struct("row", "_places")).alias("_rows"))
+
+    def line(row: Column, shown: Column) -> Column:
+        said = F.filter(shown, lambda c: c["_html"].isNotNull())
+        said = F.transform(said, lambda c: F.struct(c["left"].alias("left"), c["_html"].alias("_html")))
+        if fill:
+            taken = F.flatten(F.transform(shown, lambda c: F.sequence(c["left"], c["left"] + c["width"] - 1)))
+            blank = F.when(row == 0, "<th></th>").otherwise("<td></td>")
+            free = F.array_except(F.sequence(F.lit(0), F.col("n_cols") - 1), taken)
+            said = F.concat(said, F.transform(free, lambda c: F.struct(c.alias("left"), blank.alias("_html"))))
+        return F.concat(F.lit("<tr>"), F.array_join(F.transform(F.array_sort(said), lambda c: c["_html"]), ""), F.lit("</tr>"))
+
+    shown = F.transform("_rows", lambda r: F.struct(r["row"].alias("row"), line(r["row"], r["_places"]).alias("_row")))
     if fill:
-        lines = size.select(*keys, "n_cols", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)).alias("row"))
-        across = F.sequence(F.col("left"), F.col("left") + F.col("width") - 1)
-        spread = cells.select(*keys, F.explode(F.sequence(F.col("top"), F.col("top") + F.col("height") - 1)).alias("row"), across.alias("_cols"))
-        taken = spread.groupBy(*keys, "row").agg(F.flatten(F.collect_list("_cols")).alias("_taken"))
-        shown = _beside(_beside(lines, shown, [*keys, "row"]), taken, [*keys, "row"])
-        free = F.array_except(F.sequence(F.lit(0), F.col("n_cols") - 1), F.coalesce("_taken", F.array().cast("array<int>")))
-        blank = F.when(F.col("row") == 0, "<th></th>").otherwise("<td></td>")
-        blanks = F.transform(free, lambda c: F.struct(c.alias("left"), blank.alias("_html")))
-        shown = shown.withColumn("_shown", F.concat(F.coalesce("_shown", F.array().cast("array<struct<left:int,_html:string>>")), blanks))
-    row = F.concat(F.lit("<tr>"), F.array_join(F.transform(F.array_sort("_shown"), lambda c: c["_html"]), ""), F.lit("</tr>"))
-    rows = shown.select(*keys, "row", row.alias("_row")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("row", "_row"))).alias("_rows"))
-    body = F.array_join(F.transform("_rows", lambda r: r["_row"]), "")
-    html = F.concat(F.lit("<table><tbody>"), body, F.lit("</tbody></table>"))
-    return _beside(size, rows, keys).select(*keys, "n_rows", "n_cols", html.alias("html"))
+        bare = F.array_except(F.sequence(F.lit(0), F.col("n_rows") - 1), F.transform("_rows", lambda r: r["row"]))
+        none = F.array().cast("array<struct<left:int,width:int,_html:string>>")
+        shown = F.concat(shown, F.transform(bare, lambda r: F.struct(r.alias("row"), line(r, none).alias("_row"))))
+    html = F.concat(F.lit("<table><tbody>"), F.array_join(F.transform(F.array_sort(shown), lambda r: r["_row"]), ""), F.lit("</tbody></table>"))
+    return every.select(*keys, "n_rows", "n_cols", html.alias("html"))
 
 
 def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

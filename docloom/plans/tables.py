@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import tables
+from ..operators.ordered import dealt, parts_for
 from .registry import query, table
 
 
+def _parts(spark: SparkSession, sf_dir: str) -> int:
+    return parts_for(table(spark, sf_dir, "lineitem"))
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines with the number of their run of equal flags."""
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_returnflag", "l_linestatus", F.col("l_quantity").cast("int").alias("n"))
+    """Order lines with the number of their run of equal flags, dealt by order."""
+    rows = dealt(table(spark, sf_dir, "lineitem"), ["l_orderkey"], _parts(spark, sf_dir)).select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_returnflag", "l_linestatus", F.col("l_quantity").cast("int").alias("n"))
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")
     rows = rows.withColumn("row", (F.row_number().over(w) - 1).cast("int"))
     fresh = ~F.col("l_returnflag").eqNullSafe(F.lag("l_returnflag").over(w)) | (F.col("row") == 0)
@@ -46,7 +51,8 @@ SELECT l_orderkey, ("top" + i.i)::INT AS "row", ("left" + j.j)::INT AS col, i.i
 FROM p, LATERAL (SELECT unnest(generate_series(0, height - 1)) AS i) i, LATERAL (SELECT unnest(generate_series(0, width - 1)) AS j) j""")
 def table_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every place of every order's table, with the cell that stands or reaches there."""
-    return tables.grid(tables.place_cells(_cells(spark, sf_dir), ["l_orderkey"]), ["l_orderkey"])
+    parts = _parts(spark, sf_dir)
+    return tables.grid(tables.place_cells(_cells(spark, sf_dir), ["l_orderkey"], parts=parts), ["l_orderkey"], parts=parts)
 
 
 @query(BASE + f""", {HTML}
@@ -56,7 +62,8 @@ w AS (SELECT l_orderkey, top, '<tr>' || string_agg(x, '' ORDER BY "left") || '</
 SELECT l_orderkey, n_rows, n_cols, '<table><tbody>' || string_agg(x, '' ORDER BY top) || '</tbody></table>' AS html FROM w JOIN z USING (l_orderkey) GROUP BY ALL""")
 def merged_table_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order's table as HTML, with the places that no cell covers as empty cells."""
-    return tables.table_html(tables.place_cells(_cells(spark, sf_dir), ["l_orderkey"]), ["l_orderkey"])
+    parts = _parts(spark, sf_dir)
+    return tables.table_html(tables.place_cells(_cells(spark, sf_dir), ["l_orderkey"], parts=parts), ["l_orderkey"], parts=parts)
 
 
 @query(BASE + f""", {HTML}
@@ -71,4 +78,4 @@ def continued_table_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     merge = F.when(F.col("fresh"), "restart").otherwise("continue")
     cells = F.array(cell(0, F.lit(1), merge, F.col("l_returnflag")), cell(1, wide, F.lit(None), F.col("l_linestatus")), cell(2, F.lit(1), F.lit(None), F.col("n")))
     placed = tables.merge_down(rows.select("l_orderkey", "row", F.inline(cells)), ["l_orderkey"])
-    return tables.table_html(placed, ["l_orderkey"], fill=False)
+    return tables.table_html(placed, ["l_orderkey"], fill=False, parts=_parts(spark, sf_dir))

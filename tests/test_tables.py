@@ -150,3 +150,12 @@ def test_merged_cells_of_files(spark, tmp_path):
         ("box", "NOTICE"),
     ]
     assert of("b.docx") == [("table", '<table><tbody><tr><th colspan="2">h</th><th>k</th></tr><tr><td rowspan="2">v</td><td>1</td><td>2</td></tr><tr><td>3</td><td>4</td></tr></tbody></table>')]
+
+
+def test_cells_are_worked_out_once_and_partitions_grow(spark):
+    from docloom.operators.ordered import parts_for
+    from docloom.plans import QUERIES
+
+    plan = QUERIES["merged_table_html"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "Join" not in plan
+    assert parts_for(spark.range(1000), 10) == 101
