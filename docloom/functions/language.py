@@ -44,8 +44,10 @@ def detect(text: Column, sample: int | None = None) -> Column:
     none = F.struct(F.lit("").alias("code"), F.lit(0.0).alias("share"))
 
     def count(head: Column) -> Column:
-        n = {k: F.length(F.regexp_replace(head, f"[^{c.strip('[]')}]+", "")) for k, c in LETTERS.items()}
-        return F.struct(head.alias("head"), *[c.alias(k) for k, c in n.items()])
+        # a class of many single letters is slow, so it meets only what two ranges leave over; and none but Latin has letters in ASCII
+        wide = F.struct(F.regexp_replace(head, "[\\x00-\\x7F]+", "").alias("wide"), F.regexp_replace(head, "[^\\u00C0-\\u024F\\u1E00-\\u1EFF]+", "").alias("vi"))
+        of = lambda w, k: head if k == "en" else w["vi"] if k == "vi" else w["wide"]
+        return let(wide, lambda w: F.struct(head.alias("head"), *[F.length(F.regexp_replace(of(w, k), f"[^{c.strip('[]')}]+", "")).alias(k) for k, c in LETTERS.items()]))
 
     def pick(c: Column) -> Column:
         marked = c["vi"] > 0

@@ -73,6 +73,16 @@ def char_ngrams(text: Column, size: int = 3, keep_spaces: bool = False) -> Colum
     return F.coalesce(let(F.filter(F.split(whole, ""), lambda c: c != ""), grams), F.array().cast("array<string>"))
 
 
+def char_ngram_sizes(text: Column, size: int = 3) -> Column:
+    """Struct (n_grams, n_distinct): how many grams ``char_ngrams`` gives, and how many different ones, counted without an array of them."""
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = [(n := max(len(t) - size + 1, min(len(t), 1)), len({t[i : i + size] for i in range(n)})) for t in texts]
+        return pd.DataFrame(rows, columns=["n_grams", "n_distinct"])
+
+    return F.pandas_udf(run, "n_grams int, n_distinct int")(F.coalesce(F.regexp_replace(text, WS, ""), F.lit("")))
+
+
 def word_ngrams(text: Column, size: int = 2) -> Column:
     """Contiguous n-grams of lower-case words without punctuation; shorter texts are one gram."""
 
