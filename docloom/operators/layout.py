@@ -58,10 +58,10 @@ def _row_of(state: tuple, y0: float, y1: float) -> tuple:
     return (count + 1, [*last, (count, y0, y1)][-3:]), count
 
 
-def box_rows(boxes: DataFrame, page: list[str]) -> DataFrame:
-    """``boxes`` (page, x0, y0, x1, y1, text) with ``row``: boxes of a page that overlap in height share one."""
+def box_rows(boxes: DataFrame, page: list[str], parts: int | None = None) -> DataFrame:
+    """``boxes`` (page, x0, y0, x1, y1, text) with ``row``: boxes of a page that overlap in height share one. ``parts`` is the number of partitions, if not the session's."""
     rows = boxes.select(*page, *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")], "text")
-    return scan(rows, page, [(F.col("y0") + F.col("y1")) / 2, "x0", "text"], "row", "int", lambda: (0, []), _row_of, ["y0", "y1"])
+    return scan(rows, page, [(F.col("y0") + F.col("y1")) / 2, "x0", "text"], "row", "int", lambda: (0, []), _row_of, ["y0", "y1"], parts)
 
 
 def merge_rows(boxes: DataFrame, page: list[str]) -> DataFrame:

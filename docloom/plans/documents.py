@@ -187,10 +187,13 @@ def page_geometry(spark, sf_dir):
 def page_paragraphs(spark, sf_dir):
     """Line items as boxes of an order's page: rows, joined boxes, reading order, paragraphs."""
     from ..operators.layout import box_rows, merge_rows, paragraphs, reading_order
+    from ..operators.ordered import dealt, parts_for
 
     y, x = F.col("l_linenumber") * 12.0, F.col("l_discount") * 1000
     boxes = table(spark, sf_dir, "lineitem").select("l_orderkey", x.alias("x0"), y.alias("y0"), (x + F.col("l_quantity") * 10).alias("x1"), (y + 10.0).alias("y1"), F.col("l_shipdate").cast("string").alias("text"))
-    lines = merge_rows(box_rows(boxes, ["l_orderkey"]), ["l_orderkey"]).withColumn("gutter", F.lit(None).cast("double"))
+    parts = parts_for(table(spark, sf_dir, "lineitem"))
+    # dealt once: what follows keeps together what a page keeps together
+    lines = merge_rows(dealt(box_rows(boxes, ["l_orderkey"], parts), ["l_orderkey"], parts), ["l_orderkey"]).withColumn("gutter", F.lit(None).cast("double"))
     return paragraphs(reading_order(lines, ["l_orderkey"], "gutter"), ["l_orderkey"])
 
 

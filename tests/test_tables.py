@@ -159,3 +159,12 @@ def test_cells_are_worked_out_once_and_partitions_grow(spark):
     plan = QUERIES["merged_table_html"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInPandas") == 1 and "Join" not in plan
     assert parts_for(spark.range(1000), 10) == 101
+
+
+def test_page_lines_are_dealt_by_their_number(spark, monkeypatch):
+    from docloom.operators import ordered
+    from docloom.plans import QUERIES
+
+    monkeypatch.setattr(ordered, "parts_for", lambda rows: 37)
+    plan = QUERIES["page_paragraphs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [l_orderkey") == 2 and plan.count(", 37") == 2
