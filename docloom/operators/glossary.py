@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,10 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions.language import MARKS, SAME_MARKS, TOKEN, is_mark, plain, raw_tokens, strip_ending, strip_particle, tokens, verb_stems
 from ..functions.text import let
-from .ordered import cut_lineage, scan
+from .ordered import cut_lineage
 
-#: Parts of terms, and words that fit them, that one automaton is made of (some 200 bytes each); with more the terms are dealt to several.
-LIMIT = 250_000
+#: Parts of terms, or words that fit them, up to which every task gets all of them (some 200 bytes each); with more a block of texts gets those of its words.
+LIMIT = 25_000
+#: Rows of a block, as a power of two.
+BLOCK = 10
 
 
 def index_terms(terms: DataFrame, term: str = "term") -> DataFrame:
@@ -69,60 +72,141 @@ class Automaton:
                 self.starts.setdefault(part, []).append(node)
             open_ += by_mark.values()
 
-    def matches(self, said: list[str]) -> Iterator[tuple[int, int, str]]:
-        """(start, n, term) of each term at each place, by token."""
-        for start, word in enumerate(said):
-            open_ = [(node, start + 1) for part in self.fits.get(word, ()) for node in self.starts.get(part, ())]
-            while open_:
-                (by_part, by_mark, ends), at = open_.pop()
-                for term in ends:
-                    yield start, at - start, term
-                token = said[at] if at < len(said) else ""
-                for mark, node in by_mark.items():
-                    open_.append((node, at + (token.translate(_SAME) == mark)))
-                if by_part:
-                    open_ += [(by_part[part], at + 1) for part in self.fits.get(token, ()) if part in by_part]
+        self.known: dict[tuple, tuple] = {}
 
+    def longest(self, said: list[str], start: int) -> tuple[int, list[str]]:
+        """(n, terms): the most tokens that terms match from a place on, and which do; 0 without any."""
+        pair = (said[start], said[start + 1] if start + 1 < len(said) else "")
+        if (known := self.known.get(pair)) is not None:
+            return known
+        best, terms, seen = 0, set(), start
+        open_ = [(node, start + 1) for part in self.fits.get(said[start], ()) for node in self.starts.get(part, ())]
+        while open_:
+            (by_part, by_mark, ends), at = open_.pop()
+            if ends and at - start >= best:
+                terms = {*terms, *ends} if at - start == best else {*ends}
+                best = at - start
+            if not (by_part or by_mark):
+                continue
+            seen = max(seen, at)
+            token = said[at] if at < len(said) else ""
+            for mark, node in by_mark.items():
+                open_.append((node, at + (token.translate(_SAME) == mark)))
+            if by_part:
+                open_ += [(by_part[part], at + 1) for part in self.fits.get(token, ()) if part in by_part]
+        out = (best, sorted(terms))
+        if seen <= start + 1:  # no later token was looked at, so the same two always give the same
+            self.known[pair] = out
+        return out
+
+    def matches(self, said: list[str]) -> Iterator[tuple[int, int, list[str]]]:
+        """(start, n, terms) by token, read from the left: the longest at each place, none inside another."""
+        start = 0
+        while start < len(said):
+            n, terms = self.longest(said, start)
+            if n:
+                yield start, n, terms
+            start += n or 1
+
+
+def _matching(terms: list, words: list, once: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = Automaton(terms.value, words.value)
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                yield _found(part.column(0), ((i, automaton, text) for i, text in enumerate(part.column(1).to_pylist())), once)
+
+    return run
+
+
+_TOKEN = re.compile(TOKEN)
 
-def _longest(state: tuple, start: int, n: int) -> tuple:
-    """Whether a match stands when a text is read from the left and the longest is taken at each place; equally long ones do."""
-    end, best = state
-    if start >= end:
-        return (start + n, (start, n)), True
-    return state, (start, n) == best
 
+def _found(key: pa.Array, texts: Iterable[tuple[int, Automaton, str | None]], once: bool) -> pa.RecordBatch:
+    """(key, start, n, term) of the matches in texts, or (key, term) with each term once a text; a text comes with its place in ``key`` and its automaton."""
+    keys, starts, ns, terms = [], [], [], []
+    for i, automaton, text in texts:
+        before, here = len(terms), set()
+        for start, n, some in automaton.matches(_TOKEN.findall(text or "")):
+            if once:
+                here.update(some)
+            else:
+                starts += [start] * len(some)
+                ns += [n] * len(some)
+                terms += some
+        terms += here
+        keys += [i] * (len(terms) - before)
+    out = {"key": key.take(pa.array(keys, pa.int64()))} | ({} if once else {"start": pa.array(starts, pa.int32()), "n": pa.array(ns, pa.int32())}) | {"term": pa.array(terms, pa.string())}
+    return pa.RecordBatch.from_arrays([*out.values()], [*out])
 
-def _matching(terms: list, words: list, alone: bool):
-    token = re.compile(TOKEN)
+
+def _parts(lists: pa.ListArray) -> Iterator[list[tuple]]:
+    """The structs of each list as tuples."""
+    every = zip(*[c.to_pylist() for c in lists.flatten().flatten()], strict=True)
+    return (list(islice(every, n or 0)) for n in lists.value_lengths().to_pylist())
+
+
+def _matching_blocks(once: bool):
+    """Rows (block, kind, said, parts, key) sorted by block and kind: words that fit parts, then terms, then texts. One block's automaton is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(terms.value, words.value)
+        at, words, terms, automaton = None, [], [], None
+
+        def texts(part: pa.RecordBatch) -> Iterator[tuple[int, Automaton, str | None]]:
+            nonlocal at, words, terms, automaton
+            for i, (block, kind, said, parts) in enumerate(zip(*[part.column(c).to_pylist() for c in range(3)], _parts(part.column(3)), strict=True)):
+                if block != at:
+                    at, words, terms, automaton = block, [], [], None
+                if kind == 0:
+                    words += [(said, t, d) for t, d, _ in parts]
+                elif kind == 1:
+                    terms.append((said, parts))
+                else:
+                    if automaton is None:
+                        automaton, words, terms = Automaton(terms, words), [], []
+                    yield i, automaton, said
+
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                keys, found = [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    state = (-1, None)
-                    for x in sorted(set(automaton.matches(token.findall(text or ""))), key=lambda m: (m[0], -m[1], m[2])):
-                        state, stands = _longest(state, x[0], x[1]) if alone else (state, True)
-                        if stands:
-                            keys.append(i)
-                            found.append(x)
-                start, n, term = zip(*found, strict=True) if found else ((), (), ())
-                key = part.column(0).take(pa.array(keys, pa.int64()))
-                yield pa.RecordBatch.from_arrays([key, pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(term, pa.string())], ["key", "start", "n", "term"])
+            for start in range(0, b.num_rows, 1000):
+                part = b.slice(start, 1000)
+                yield _found(part.column(4), texts(part), once)
 
     return run
 
 
-def match_terms(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str = "term", limit: int = LIMIT) -> DataFrame:
-    """(key, start, n, term): terms in each text by token place, longest first, none inside another.
+def _match_by_blocks(texts: DataFrame, key: str, text: str, index: DataFrame, words: DataFrame, once: bool) -> DataFrame:
+    """The matches where terms are many: a block of rows meets the words it holds, and the terms whose rarest part it holds.
+
+    Nothing is broadcast, and a text is read once however many terms there are.
+    """
+    rows = texts.select(F.shiftright(F.monotonically_increasing_id(), BLOCK).alias("block"), F.col(key).alias("key"), F.col(text).cast("string").alias("said"))
+    rows = cut_lineage(rows)
+    said = rows.select("block", F.explode(raw_tokens(F.col("said"))).alias("word")).distinct()
+    fits = cut_lineage(said.join(words, "word"))
+    held = fits.select("block", "t", "d").distinct()
+    spread = held.groupBy("t", "d").agg(F.count(F.lit(1)).alias("n"))
+    parts = index.select("term", F.col("_parts").alias("parts"), F.explode(F.filter("_parts", lambda p: ~p["mark"])).alias("p")).select("term", "parts", "p.t", "p.d")
+    rarest = parts.join(spread, ["t", "d"]).groupBy("term").agg(F.first("parts").alias("parts"), F.min(F.struct("n", "t", "d")).alias("r")).select("term", "parts", "r.t", "r.d")
+    here = held.join(rarest, ["t", "d"])
+    none = F.lit(None).cast(texts.schema[key].dataType)
+    kind = "array<struct<t:string,d:boolean,mark:boolean>>"
+    part = F.struct("t", "d", F.lit(False).alias("mark"))
+    every = fits.groupBy("block", "word").agg(F.collect_list(part).cast(kind).alias("parts")).select("block", F.lit(0).alias("kind"), F.col("word").alias("said"), "parts", none.alias("key"))
+    every = every.unionByName(here.select("block", F.lit(1).alias("kind"), F.col("term").alias("said"), F.col("parts").cast(kind).alias("parts"), none.alias("key")))
+    every = every.unionByName(rows.select("block", F.lit(2).alias("kind"), "said", F.array().cast(kind).alias("parts"), "key"))
+    every = every.repartition("block").sortWithinPartitions("block", "kind").select("block", "kind", "said", "parts", "key")
+    found = every.mapInArrow(_matching_blocks(once), f"key {texts.schema[key].dataType.simpleString()}, {'' if once else 'start int, n int, '}term string")
+    return found.withColumnsRenamed({"key": key})
+
+
+def match_terms(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str = "term", limit: int = LIMIT, once: bool = False) -> DataFrame:
+    """(key, start, n, term): terms in each text by token place, longest first, none inside another; with ``once`` (key, term), each once a text.
 
     Which words of the texts fit which part of a term is worked out over the
-    distinct words. The words that fit, and the terms, make an automaton, which
-    each task builds once and runs over whole texts, so no places are joined
-    or shuffled. Its size is counted before it is broadcast; beyond ``limit`` the terms are
-    dealt to several automata by hash, whose matches meet by row.
+    distinct words. The words that fit, and the terms, make an automaton that runs
+    over whole texts, so no places are joined or shuffled. Up to ``limit`` it
+    is broadcast; beyond, every block of rows gets one of the terms it may hold.
 
     Terms that match the same tokens are all given. Null texts, null terms and terms without words
     have no matches; equal terms count once. Keys needn't be unique or there:
@@ -131,29 +215,14 @@ def match_terms(texts: DataFrame, key: str, text: str, terms: DataFrame, term: s
     index = cut_lineage(index_terms(terms.select(F.col(term).alias("term")).distinct(), "term"))
     words = cut_lineage(fitting_words(texts, text, index))
     parts = index.agg(F.sum(F.size("_parts"))).first()[0] or 0
-    groups = max(parts, words.count()) // limit + 1
+    if max(parts, words.count()) > limit:
+        return _match_by_blocks(texts, key, text, index, words, once)
+    given = [(r.term, [tuple(p) for p in r["_parts"]]) for r in index.collect()]
+    sc = texts.sparkSession.sparkContext
+    run = _matching(sc.broadcast(given), sc.broadcast([(r.word, r.t, r.d) for r in words.collect()]), once)
     kind = texts.schema[key].dataType.simpleString()
-    schema = "start int, n int, term string"
-    spark = texts.sparkSession
-
-    def automaton(g: int) -> list:
-        mine = index.where(F.pmod(F.xxhash64("term"), F.lit(groups)) == g)
-        held = mine.select(F.explode("_parts").alias("p")).select("p.t", "p.d").distinct()
-        rows = words.join(held, ["t", "d"], "left_semi") if groups > 1 else words
-        given = [(r.term, [tuple(p) for p in r["_parts"]]) for r in mine.collect()]
-        return [spark.sparkContext.broadcast(given), spark.sparkContext.broadcast([(r.word, r.t, r.d) for r in rows.collect()])]
-
-    if groups == 1:
-        found = texts.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(_matching(*automaton(0), True), f"key {kind}, {schema}")
-        return found.withColumnsRenamed({"key": key})
-    rows = cut_lineage(texts.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key")).alias("key"), F.col(text).cast("string").alias("text")))
-    every = None
-    for g in range(groups):
-        some = rows.mapInArrow(_matching(*automaton(g), False), f"key struct<row:bigint,key:{kind}>, {schema}")
-        every = some if every is None else every.unionByName(some)
-    flat = every.select(F.col("key.row").alias("_row"), F.col("key.key").alias(key), "start", "n", "term")
-    out = scan(flat, ["_row"], ["start", F.desc("n"), "term"], "_kept", "boolean", lambda: (-1, None), _longest, ["start", "n"])
-    return out.where("_kept").drop("_kept", "_row")
+    found = texts.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, {'' if once else 'start int, n int, '}term string")
+    return found.withColumnsRenamed({"key": key})
 
 
 def both_ways(items: DataFrame, source: str, target: str) -> DataFrame:
@@ -173,8 +242,9 @@ def usage(matches: DataFrame, key: str, answers: DataFrame, translations: DataFr
     A translation holds an answer if it holds the words in a row, found as by
     ``match_terms``. Without matched terms compliance is 1.
     """
-    wanted = matches.select(key, "term").distinct().join(answers, "term")
-    said = match_terms(translations, key, text, wanted.select(F.col("answer").alias("term"))).select(key, F.col("term").alias("answer")).distinct()
+    # what matching found is kept: the answers to look for come from it as well as the sums
+    wanted = cut_lineage(matches.select(key, "term").distinct().join(answers, "term"))
+    said = match_terms(translations, key, text, wanted.select(F.col("answer").alias("term")), once=True).select(key, F.col("term").alias("answer")).distinct()
     hit = wanted.join(said.withColumn("_hit", F.lit(1)), [key, "answer"], "left").groupBy(key, "term").agg(F.max("_hit").alias("_hit"))
     sums = hit.groupBy(key).agg(F.count(F.lit(1)).alias("n_terms"), F.count("_hit").alias("applied"))
     out = translations.select(key).join(sums, key, "left").na.fill(0, ["n_terms", "applied"])

@@ -53,11 +53,12 @@ def dictionary_matches(spark, sf_dir):
 @query()
 def dictionary_usage(spark, sf_dir):
     from ..operators.glossary import match_terms, usage
+    from ..operators.ordered import cut_lineage
     from .turns import turn_pairs
 
-    p = turn_pairs(spark, sf_dir)
+    p = cut_lineage(turn_pairs(spark, sf_dir))
     terms = p.select(F.explode(F.split("a", " ")).alias("term")).distinct()
-    return usage(match_terms(p, "pair", "a", terms), "pair", terms.select("term", F.col("term").alias("answer")), p, "b")
+    return usage(match_terms(p, "pair", "a", terms, once=True), "pair", terms.select("term", F.col("term").alias("answer")), p, "b")
 
 
 @query("""WITH p AS (SELECT n_name AS a, r_name AS b FROM nation JOIN region ON n_regionkey = r_regionkey), r AS (SELECT a AS term, b AS answer FROM p UNION ALL SELECT b, a FROM p),

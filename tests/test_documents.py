@@ -88,6 +88,19 @@ def test_terms_equal_plain_search(spark):
     assert glossary.match_terms(again, "id", "t", spark.createDataFrame([], "term string")).count() == 0
 
 
+def test_texts_are_read_once_however_many_terms(spark):
+    """Beyond the limit a block of texts meets its own terms; the texts are not read again for each part of the dictionary."""
+    rows = [(1, "ab cd ab"), (2, "cd. ef"), (2, None), (None, "Abs gh")]
+    texts = spark.createDataFrame(rows, "id int, t string")
+    terms = spark.createDataFrame([(t,) for t in ("ab", "cd", "ab cd", "ef", "zz", "zz ab", "cd ef", "AB")], "term string")
+    many, few = glossary.match_terms(texts, "id", "t", terms, limit=1), glossary.match_terms(texts, "id", "t", terms)
+    assert many._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
+    for limit in (1, glossary.LIMIT):
+        once = glossary.match_terms(texts, "id", "t", terms, limit=limit, once=True).collect()
+        assert sorted(map(str, once)) == sorted({str(r) for r in few.select("id", "term").collect()})
+
+
 TEXT = "# A\none two\n\n```\ncode | x\n\nmore\n```\n| a | b |\n| - | - |\n<table>\n<tr><td>x\n</td></tr></table>\nlast line here  \n\n"
 
 
