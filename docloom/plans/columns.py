@@ -51,7 +51,5 @@ def document_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def column_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line's column and place in reading order, by gaps that the pages or their documents tell."""
-    lines = _lines(spark, sf_dir)
-    gaps = columns.page_gutters(lines, "doc", "page")
-    rows = layout.reading_order(lines.join(gaps, ["doc", "page"]), ["doc", "page"], "gutters")
+    rows = layout.reading_order(columns.with_gutters(_lines(spark, sf_dir), "doc", "page"), columns.KEY, "gutters")
     return rows.select("doc", "page", "text", "x0", "y0", "band", "column", "place", "borrowed")

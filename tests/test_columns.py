@@ -95,3 +95,20 @@ def test_pages_borrow_the_document_s_gaps(spark):
     boxes = [(1, 10.0, 0.0, 400.0, 9.0, "head"), (1, 300.0, 10.0, 400.0, 19.0, "r1"), (1, 10.0, 11.0, 200.0, 20.0, "l1"), (1, 10.0, 30.0, 200.0, 39.0, "l2"), (1, 300.0, 30.0, 400.0, 39.0, "r2")]
     table = spark.createDataFrame(boxes, "page int, x0 double, y0 double, x1 double, y1 double, text string").selectExpr("*", "array(250.0D) AS gutters")
     assert [r.text for r in reading_order(table, ["page"], "gutters").orderBy("place").collect()] == ["head", "l1", "l2", "r1", "r2"]
+
+
+def test_lines_meet_their_gaps_where_they_are(spark, pages):
+    """Every line comes out once, with or without keys or a place, and lines are dealt by page once only."""
+    rows = [(d, p, float(a), float(b), "x") for (d, p), lines in pages.items() for a, b in lines] + [("d", 102, None, 3.0, "x"), (None, None, 1.0, 2.0, "x")]
+    table = spark.createDataFrame(rows, "doc string, page int, x0 double, x1 double, text string").repartition(5)
+    told = C.with_gutters(table, "doc", "page")
+    own = {(r.doc, r.page): r.gutters for r in C.gutters(table, ["doc", "page"]).collect()}
+    out = told.collect()
+    assert sorted(map(str, [(r.doc, r.page, r.x0, r.x1) for r in out])) == sorted(map(str, [r[:4] for r in rows]))
+    assert all(r.gutters == own[r.doc, r.page] and not r.borrowed for r in out if (r.doc, r.page) in own)
+    assert all((r.gutters is not None) == r.borrowed for r in out if (r.doc, r.page) not in own)
+    pages_told = {(r.doc, r.page): (r.gutters, r.borrowed) for r in C.page_gutters(table, "doc", "page").collect()}
+    assert all(pages_told[r.doc, r.page] == (r.gutters, r.borrowed) for r in out if r.x0 is not None)
+    # lines are dealt once, and their pages' gaps to them
+    plan = reading_order(told.selectExpr("*", "x0 AS y0"), C.KEY, "gutters")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 2
