@@ -41,7 +41,9 @@ def _any(words: list[str]) -> str:
     return "|".join(sorted(words, key=len, reverse=True))
 
 
-SHAPES["name"] = f"(?<![가-힣])(?:{_any([*FAMILY_2, *FAMILY_1])})[가-힣]{{1,2}}(?= ?(?:{_any(TITLES)}))"
+# A range is one test, a class of single letters one for each: so the range comes first, at all places of a text, and the names only where a Hangul word begins.
+_SECOND = "|".join(f"(?<={name[0]}){name[1]}" for name in FAMILY_2)
+SHAPES["name"] = f"[가-힣](?<![가-힣].)(?:{_SECOND}|(?<=[{''.join(FAMILY_1)}]))[가-힣]{{1,2}}(?= ?(?:{_any(TITLES)}))"
 
 
 def valid_name(token: Column) -> Column:

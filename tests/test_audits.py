@@ -125,3 +125,14 @@ def test_units_and_likeness_of_changes():
     cut = lambda t: [t[a:b] for a, b in changes.units(t)]
     assert cut("一。 二. 갔다.왔다. 해요.그래 끝") == ["一。", "二.", "갔다.왔다.", "해요.그래 끝"]
     assert changes._alike("ab", "ba") == 1.0 and changes._alike("", " ") == 1.0 and changes._alike("ab", "") == 0 and changes._alike("abcd", "abce") == 1 / 3
+
+
+def test_names_are_looked_for_where_words_begin():
+    """The shape finds what a plain list of names finds, and tests one range where no Hangul word begins."""
+    plain = f"(?<![가-힣])(?:{'|'.join([*pii.FAMILY_2, *pii.FAMILY_1])})[가-힣]{{1,2}}(?= ?(?:{'|'.join(pii.TITLES)}))"
+    rng = random.Random(5)
+    parts = [*pii.FAMILY_2, *pii.FAMILY_1, *pii.TITLES, " ", " ", " ", "\n", "a", "민준", "독", "궁", "1"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(4000)] + ["독고민준 님", "독민준 님", "남궁 씨", "남궁민씨", "황보김님", "사공명수 대리"]
+    places = lambda shape: [[m.span() for m in re.finditer(shape, t)] for t in texts]
+    assert places(pii.SHAPES["name"]) == places(plain) and sum(map(len, places(plain))) > 500
+    assert pii.SHAPES["name"].startswith("[가-힣]")
