@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import chain
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,29 +68,39 @@ def health(runs: DataFrame, requested: str, produced: str, reasons: list[str]) -
     return runs.withColumns({"yield_rate": ratio(F.col(produced), F.col(requested), None), "overproduced": F.col(produced) > F.col(requested), **rates})
 
 
+def _overlaps(mine: pd.Series, theirs: pd.Series) -> pd.DataFrame:
+    """Of each of my sentences, given as distinct n-grams: how many it has, how many any of theirs has, and the best Jaccard with one of theirs."""
+    rows = []
+    for my, their in zip(mine, theirs, strict=True):
+        held: dict[str, list[int]] = {}
+        for j, grams in enumerate(their):
+            for g in grams:
+                held.setdefault(g, []).append(j)
+        met = [[held[g] for g in grams if g in held] for grams in my]
+        shared = [Counter(chain.from_iterable(m)) for m in met]
+        best = [max((k / (len(grams) + len(their[j]) - k) for j, k in c.items()), default=0.0) for grams, c in zip(my, shared, strict=True)]
+        rows.append(([len(grams) for grams in my], [len(m) for m in met], best))
+    return pd.DataFrame(rows, columns=["n", "hit", "best"])
+
+
 def grounding(pairs: DataFrame, key: str, answer: str, source: str, size: int = 3) -> DataFrame:
     """(key, n, mean_overlap, min_overlap, best_mean) over an answer's sentences.
 
     Overlap: share of a sentence's distinct word n-grams that the source has
     in any sentence. ``best_mean``: mean of each sentence's best Jaccard with
-    one source sentence. Both come from an equi-join on (key, n-gram).
+    one source sentence. Both texts are at hand in a row, so nothing is shuffled:
+    the source's n-grams are looked up there. Each row is measured by itself,
+    whatever its key; answers without sentences, or null, have no row.
     """
-    def side(text: str, i: str) -> DataFrame:
-        s = pairs.select(key, F.posexplode(sentences(F.col(text))).alias(i, "x"))
-        grams = F.array_distinct(word_ngrams(F.col("x"), size))
-        return s.select(key, i, F.size(grams).alias(f"n_{i}"), F.explode(grams).alias("g"))
-
-    a, b = side(answer, "i"), side(source, "j")
-    met = a.join(b, [key, "g"])
-    hits = met.groupBy(key, "i").agg(F.count_distinct("g").alias("hit"))
-    best = met.groupBy(key, "i", "j").agg((F.count(F.lit(1)) / (F.first("n_i") + F.first("n_j") - F.count(F.lit(1)))).alias("jac"))
-    best = best.groupBy(key, "i").agg(F.max("jac").alias("best"))
-    rows = a.groupBy(key, "i").agg(F.first("n_i").alias("n")).join(hits, [key, "i"], "left").join(best, [key, "i"], "left")
-    share = F.round(F.coalesce("hit", F.lit(0)) / F.col("n"), 4)
-    return rows.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg(share), 4).alias("mean_overlap"), F.min(share).alias("min_overlap"),
-        F.round(F.avg(F.round(F.coalesce("best", F.lit(0.0)), 4)), 4).alias("best_mean"),
-    )
+    def side(text: str) -> Column:
+        grams = F.transform(sentences(F.coalesce(F.col(text), F.lit(""))), lambda x: F.array_distinct(word_ngrams(x, size)))
+        return F.filter(grams, lambda g: F.size(g) > 0)
+
+    run = F.pandas_udf(_overlaps, "n array<int>, hit array<int>, best array<double>")
+    rows = pairs.select(key, run(side(answer), side(source)).alias("o")).where(F.size("o.n") > 0)
+    mean = lambda x: F.round(F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x), 4)
+    rows = rows.select(key, F.zip_with("o.hit", "o.n", lambda hit, n: F.round(hit / n, 4)).alias("share"), F.transform("o.best", lambda x: F.round(x, 4)).alias("best"))
+    return rows.select(key, F.size("share").cast("long").alias("n"), mean(F.col("share")).alias("mean_overlap"), F.array_min("share").alias("min_overlap"), mean(F.col("best")).alias("best_mean"))
 
 
 def ending_class(sentence: Column) -> Column:
