@@ -97,7 +97,8 @@ def grounding(pairs: DataFrame, key: str, answer: str, source: str, size: int =
         return F.filter(grams, lambda g: F.size(g) > 0)
 
     run = F.pandas_udf(_overlaps, "n array<int>, hit array<int>, best array<double>")
-    rows = pairs.select(key, run(side(answer), side(source)).alias("o")).where(F.size("o.n") > 0)
+    # a text has a sentence with words if it has a letter, digit or underscore
+    rows = pairs.where(F.col(answer).rlike("[\\p{L}\\p{N}_]")).select(key, run(side(answer), side(source)).alias("o"))
     mean = lambda x: F.round(F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x), 4)
     rows = rows.select(key, F.zip_with("o.hit", "o.n", lambda hit, n: F.round(hit / n, 4)).alias("share"), F.transform("o.best", lambda x: F.round(x, 4)).alias("best"))
     return rows.select(key, F.size("share").cast("long").alias("n"), mean(F.col("share")).alias("mean_overlap"), F.array_min("share").alias("min_overlap"), mean(F.col("best")).alias("best_mean"))
