@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop, lean, materialize, slices, text_bytes
+from .shared import drop, lean, materialize, slices
 
 #: Ids are pairs of digits of DIGIT each: frequent words first, then BUCKETS ids that rarer words share by hash.
 #: A rarer word then has its own part of its bucket, so no two words share a probability but by their counts.
@@ -24,9 +24,9 @@ EDGE = VOCAB
 OFFSETS = (-2, -1, 1, 2)
 WIDTH, RATE, SEED, ROUNDS = 24, 0.15, 3, 2
 #: Running words in a training step, and in a step of scoring.
-STEP, BATCH = 2048, 8192
-#: Distinct words a task counts before it hands them on, or keeps the codes of, and parameters that one row carries.
-COUNTED, MET, CHUNK = 500_000, 250_000, 4096
+STEP, BATCH = 2048, 2048
+#: Bytes of text whose words a task tells apart at once, words it then hashes at once, and parameters that one row carries.
+GROUP, HASHED, CHUNK = 1 << 24, 1 << 16, 4096
 #: Words beyond the vocabulary whose parts are broadcast (under 50 bytes each); the others meet theirs in a join.
 FREQUENT = 1 << 18
 #: Tasks' parameters are averaged in so many lanes first.
@@ -39,56 +39,47 @@ def count_words(docs: DataFrame) -> DataFrame:
     """(word, n) over all texts of (doc_id, text), words lower-cased in A-Z; tasks sum before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> pa.RecordBatch:
-            arrays = [pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())]
-            return pa.RecordBatch.from_arrays(arrays, ["word", "n"])
-
-        counts: Counter = Counter()
         for batch in batches:
-            for b in slices(batch, 1):
-                for text in text_bytes(b.column(1)):
-                    counts.update(text.lower().split())
-                    if len(counts) > COUNTED:
-                        yield out()
-                        counts.clear()
-        if counts:
-            yield out()
+            for b in slices(batch, 1, GROUP):
+                met = Words.of(b.column(1))
+                n = np.bincount(met.codes, minlength=len(met.distinct))
+                yield pa.RecordBatch.from_arrays([met.distinct.filter(pa.array(n > 0)), pa.array(n[n > 0])], ["word", "n"])
 
     return docs.mapInArrow(lean(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Encoder(dict):
-    """Codes of words: the given words in order, then VOCAB + 1 and on for others as they are met.
+class Words(NamedTuple):
+    """Running words of texts: the distinct ones, each running word's place among them, and how many each text has."""
 
-    ``buckets`` and ``rare`` hold the id and the word of each such other word;
-    ``fresh`` forgets them when they are over MET.
-    """
+    distinct: pa.Array
+    codes: np.ndarray
+    sizes: np.ndarray
 
-    def __init__(self, words: list[str]):
-        super().__init__((w.encode(), i) for i, w in enumerate(words))
-        self.words, self.rare, self.buckets = words, [], []
+    @classmethod
+    def of(cls, texts: pa.Array) -> Words:
+        """Words lower-cased in A-Z, split at the six spaces of ASCII; null texts have none."""
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+        coded = split.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy()
+        real = codes != pc.index(coded.dictionary, "").as_py()  # what stands before a space at the start, or after one at the end
+        ends = np.r_[0, np.cumsum(real)][np.r_[0, np.cumsum(split.value_lengths().to_numpy())]]
+        return cls(coded.dictionary, codes[real], np.diff(ends))
 
-    def __missing__(self, word: bytes) -> int:
-        self.rare.append(word)
-        self.buckets.append(VOCAB - BUCKETS + xxhash.xxh64_intdigest(word, HASH_SEED) % BUCKETS)
-        self[word] = code = VOCAB + len(self.rare)
-        return code
 
-    def fresh(self) -> bool:
-        if len(self.rare) > MET:
-            self.clear()
-            self.__init__(self.words)
-            return True
-        return False
+def _places(words: pa.Array, among: pa.Array) -> np.ndarray:
+    """Each word's place among others, or -1."""
+    return pc.fill_null(pc.index_in(words, value_set=among), -1).to_numpy()
 
-    def codes(self, text: bytes) -> np.ndarray:
-        words = text.lower().split()
-        return np.fromiter(map(self.__getitem__, words), np.int32, count=len(words))
 
-    def ids(self, codes: np.ndarray) -> np.ndarray:
-        """What the network knows the words by: other words share ids by hash."""
-        table = np.r_[np.arange(VOCAB + 1), self.buckets].astype(np.int32)
-        return table[codes]
+def _ids(distinct: pa.Array, vocabulary: pa.Array) -> np.ndarray:
+    """What the network knows words by: the vocabulary's by their place, others share ids by hash."""
+    ids = _places(distinct, vocabulary).astype(np.int32)
+    others = np.flatnonzero(ids < 0)
+    for at in range(0, len(others), HASHED):
+        some = others[at : at + HASHED]
+        hashes = (xxhash.xxh64_intdigest(w, HASH_SEED) % BUCKETS for w in distinct.take(pa.array(some)).cast(pa.binary()).to_pylist())
+        ids[some] = VOCAB - BUCKETS + np.fromiter(hashes, np.int32, count=len(some))
+    return ids
 
 
 SHAPES = {
@@ -113,139 +104,154 @@ class Network:
             start = np.zeros(shape) if "bias" in name else rng.normal(0, 0.1, shape)
             self.p[name] = (start if flat is None else flat[at : at + size].reshape(shape)).astype(np.float32)
             at += size
-        # a word's four vectors side by side: running text then looks each word up once
-        self.p["words"] = np.ascontiguousarray(self.p["words"].transpose(1, 0, 2)).reshape(VOCAB + 1, -1)
         self.seen = {k: np.full(v.shape, 1e-2, np.float32) for k, v in self.p.items()}
 
     def flat(self) -> np.ndarray:
-        words = self.p["words"].reshape(VOCAB + 1, len(OFFSETS), WIDTH).transpose(1, 0, 2)
-        return np.concatenate([(words if k == "words" else self.p[k]).ravel() for k in SHAPES])
+        return np.concatenate([self.p[k].ravel() for k in SHAPES])
 
     def forward(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """The log-probability of each target between its neighbours."""
-        h = self.p["bias"] + sum(self.p["words"][context[:, k], _block(k)] for k in range(len(OFFSETS)))
-        return self._predict(np.tanh(h), target)[0]
+        return self._predict(self._hidden(context.T), target)
 
     def train(self, context: np.ndarray, target: np.ndarray) -> None:
         """One Adagrad step on a batch."""
-        h = self.p["bias"] + sum(self.p["words"][context[:, k], _block(k)] for k in range(len(OFFSETS)))
-        self._learn(np.tanh(h), target, len(target), lambda d: np.hstack([_sum_by(context[:, k], d, VOCAB + 1) for k in range(len(OFFSETS))]))
+        n = len(target)
+        ids, at = context.T.ravel(), np.arange(n)
+        # a neighbour in place k gets the gradient of its word in that place's vectors only
+        self._learn(self._hidden(context.T), target, n, ids, [np.r_[np.full(k * n, n), at, np.full((len(OFFSETS) - 1 - k) * n, n)] for k in range(len(OFFSETS))])
 
     def along(self, ids: np.ndarray) -> np.ndarray:
         """Log-probabilities of the words of running text but its two first and last; those of EDGE are left out."""
         target = ids[2:-2]
         real = target != EDGE
-        return self._predict(self._between(ids), np.where(real, target, 0))[0][real]
+        return self._predict(self._between(ids), np.where(real, target, 0))[real]
 
     def train_along(self, ids: np.ndarray) -> int:
         """One Adagrad step on running text; its two first and last words are neighbours only. Returns the words learned."""
         target = ids[2:-2]
         real = target != EDGE
         n = int(real.sum())
-
-        def spread(d: np.ndarray) -> np.ndarray:
-            every = np.zeros((len(ids), len(OFFSETS) * WIDTH), np.float32)
-            for k, o in enumerate(OFFSETS):
-                every[2 + o : 2 + o + len(d), _block(k)] = d
-            return _sum_by(ids, every, VOCAB + 1)
-
         if n:
-            self._learn(self._between(ids), np.where(real, target, 0), n, spread, real)
+            at = np.arange(len(ids))
+            owners = [np.where((at >= 2 + o) & (at < 2 + o + len(target)), at - 2 - o, len(target)) for o in OFFSETS]
+            self._learn(self._between(ids), np.where(real, target, 0), n, ids, owners, real)
         return n
 
     def _between(self, ids: np.ndarray) -> np.ndarray:
         """Hidden layer of each word of running text but the two first and last."""
-        every, n = self.p["words"][ids], len(ids) - 4
-        h = every[:n, _block(0)] + self.p["bias"]
-        for k, o in enumerate(OFFSETS[1:], 1):
-            h += every[2 + o : 2 + o + n, _block(k)]
+        n = len(ids) - 4
+        return self._hidden([ids[2 + o : 2 + o + n] for o in OFFSETS])
+
+    def _hidden(self, near) -> np.ndarray:
+        """Hidden layer of words whose neighbours in each place are given."""
+        h = self.p["words"][0].take(near[0], axis=0)
+        for table, ids in zip(self.p["words"][1:], near[1:], strict=True):
+            h += table.take(ids, axis=0)
+        h += self.p["bias"]
         return np.tanh(h, out=h)
 
-    def _predict(self, h: np.ndarray, target: np.ndarray) -> tuple:
-        p, rows = self.p, np.arange(len(target))
-        first, second = target // DIGIT, target % DIGIT
-        h2 = h + p["digit"][first]
-        a, da = _softmax(h @ p["high"] + p["high_bias"], rows, first)
-        b, db = _softmax(h2 @ p["low"] + p["low_bias"], rows, second)
-        return a + b, (h2, da, db, first, second)
-
-    def _learn(self, h: np.ndarray, target: np.ndarray, n: int, words, real: np.ndarray | None = None) -> None:
-        """``words`` turns the gradient at the hidden layer into that of the word vectors; rows that aren't ``real`` count for nothing."""
-        p, rows = self.p, np.arange(len(target))
-        _, (h2, da, db, first, second) = self._predict(h, target)
-        da[rows, first] -= 1
-        db[rows, second] -= 1
+    def _powers(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the softmaxes of both digits raise e to, side by side, and the weights of both; the first digit adds to the second's."""
+        p = self.p
+        weights = np.hstack([p["high"], p["low"]])
+        x = h @ weights
+        x += np.r_[p["high_bias"], p["low_bias"]]
+        x[:, DIGIT:] += (p["digit"] @ p["low"]).take(first, axis=0)
+        return np.clip(x, -60, 60, out=x), weights  # far beyond what weights of this size give; keeps the powers finite and above zero
+
+    def _predict(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
+        first, second = np.divmod(target, DIGIT)
+        x, _ = self._powers(h, first)
+        picked = np.add(*(x.take(at) for at in _picked(first, second)))
+        total = np.exp(x, out=x).reshape(-1, DIGIT) @ _ONES
+        return picked - np.log(total).reshape(-1, 2).sum(1)
+
+    def _learn(self, h: np.ndarray, target: np.ndarray, n: int, ids: np.ndarray, owners: list, real: np.ndarray | None = None) -> None:
+        """One Adagrad step; rows that aren't ``real`` count for nothing.
+
+        ``ids`` are the neighbours, and ``owners`` says for each place whose
+        neighbour there each of them is, ``len(target)`` for nobody's.
+        """
+        p, (first, second) = self.p, np.divmod(target, DIGIT)
+        x, weights = self._powers(h, first)
+        x = np.exp(x, out=x).reshape(-1, DIGIT)
+        x /= (x @ _ONES)[:, None]
+        x = x.reshape(len(target), -1)
+        for at in _picked(first, second):
+            x.reshape(-1)[at] -= 1
         if real is not None:
-            da[~real] = 0
-            db[~real] = 0
-        da /= np.float32(n)
-        db /= np.float32(n)
-        dh2 = db @ p["low"].T
-        dpre = (da @ p["high"].T + dh2) * (1 - h * h)
+            x[~real] = 0
+        part = np.float32(1 / n)
+        inner = np.zeros((len(target) + 1, WIDTH), np.float32)
+        np.multiply(x @ (weights.T * part), 1 - h * h, out=inner[:-1])
+        both, biases = h.T @ x * part, np.ones(len(x), np.float32) @ x * part
+        digits, by_digit = _sums(first, [np.ascontiguousarray(x[:, DIGIT:])])
+        low = np.zeros((DIGIT, DIGIT), np.float32)
+        low[digits] = by_digit[0] * part
         grads = {
-            "high": h.T @ da, "high_bias": da.sum(0), "low": h2.T @ db, "low_bias": db.sum(0),
-            "bias": dpre.sum(0), "digit": _sum_by(first, dh2, DIGIT), "words": words(dpre),
+            "high": both[:, :DIGIT], "high_bias": biases[:DIGIT], "low": both[:, DIGIT:] + p["digit"].T @ low, "low_bias": biases[DIGIT:],
+            "bias": np.ones(len(inner), np.float32) @ inner, "digit": low @ p["low"].T,
         }
+        met, sums = _sums(ids, [inner] * len(OFFSETS), owners)
         for k, g in grads.items():
-            root = g * g
-            self.seen[k] += root
-            np.sqrt(self.seen[k], out=root)
-            g *= np.float32(RATE)
-            g /= root
-            p[k] -= g
+            p[k] -= _step(g, self.seen[k], slice(None))
+        for table, seen, g in zip(p["words"], self.seen["words"], sums, strict=True):
+            table[met] -= _step(g, seen, met)  # the others have no gradient
 
 
-def _block(k: int) -> slice:
-    return slice(k * WIDTH, (k + 1) * WIDTH)
+_ONES = np.ones(DIGIT, np.float32)
 
 
-_ONES = np.ones(DIGIT, np.float32)
+def _picked(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each row's first and second digit stand in a table that has both digits' values side by side."""
+    rows = np.arange(0, 2 * DIGIT * len(first), 2 * DIGIT)
+    return rows + first, rows + DIGIT + second
 
 
-def _softmax(x: np.ndarray, rows: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The log-probability of each row's target, and all probabilities."""
-    np.clip(x, -60, 60, out=x)  # far beyond what weights of this size give; keeps the powers finite and above zero
-    picked = x[rows, target]
-    np.exp(x, out=x)
-    total = x @ _ONES
-    x /= total[:, None]
-    return picked - np.log(total), x
+def _step(g: np.ndarray, seen: np.ndarray, rows) -> np.ndarray:
+    """Adagrad's step for a gradient of some rows; their squares are added to ``seen``."""
+    root = g * g
+    root += seen[rows]
+    seen[rows] = root
+    np.sqrt(root, out=root)
+    return np.float32(RATE) * g / root
 
 
-def _sum_by(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+def _sums(index: np.ndarray, values: list[np.ndarray], owners: list | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct indices, and for each array the sums of its rows by index, or of the rows that ``owners`` names."""
     order = np.argsort(index.astype(np.uint16), kind="stable")  # 16 bits sort by radix
     ordered = index[order]
-    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(index) else np.zeros(0, np.int64)
-    out = np.zeros((size, values.shape[1]), np.float32)
-    if len(index):
-        out[ordered[starts]] = np.add.reduceat(values[order], starts, axis=0)
-    return out
+    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    out = []
+    for k, v in enumerate(values):
+        rows = v.take(order if owners is None else owners[k][order], axis=0)
+        out.append(np.add.reduceat(rows.view(np.complex64), starts, axis=0).view(np.float32))  # two columns at once
+    return ordered[starts], out
 
 
-def _running(ids: list[np.ndarray], step: int) -> Iterator[np.ndarray]:
+def _running(ids: np.ndarray, sizes: np.ndarray, step: int) -> Iterator[np.ndarray]:
     """Texts one after the other, two EDGE around each, in pieces of ``step`` words with two more on both sides."""
-    edge = np.full(2, EDGE, np.int32)
-    every = np.concatenate([x for i in ids for x in (edge, i)] + [edge])
+    every = np.full(len(ids) + 2 * len(sizes) + 2, EDGE, np.int32)
+    every[np.arange(len(ids)) + np.repeat(np.arange(2, 2 * len(sizes) + 2, 2), sizes)] = ids
     for at in range(0, len(every) - 4, step):
         yield every[at : at + step + 4]
 
 
 def _train_round(network, words):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, encode, seen = Network(network.value), Encoder(words.value), 0
+        net, vocabulary, seen = Network(network.value), pa.array(words.value, pa.string()), 0
         for batch in batches:
-            for b in slices(batch, 1):
-                encode.fresh()
-                codes = [encode.codes(text) for text in text_bytes(b.column(1))]
-                seen += step(net, np.split(encode.ids(np.concatenate(codes)), np.cumsum([len(x) for x in codes])[:-1]))
+            for b in slices(batch, 1, GROUP):
+                met = Words.of(b.column(1))
+                seen += step(net, _ids(met.distinct, vocabulary).take(met.codes), met.sizes)
         if seen:
             flat, lane = net.flat(), TaskContext.get().partitionId() % LANES
             for k in range(0, len(flat), CHUNK):
                 row = [pa.array([lane], pa.int32()), pa.array([k // CHUNK], pa.int32()), pa.array([flat[k : k + CHUNK].tobytes()], pa.binary()), pa.array([float(seen)])]
                 yield pa.RecordBatch.from_arrays(row, PARTS)
 
-    def step(net: Network, held: list) -> int:
-        return sum(net.train_along(x) for x in _running(held, STEP))
+    def step(net: Network, ids: np.ndarray, sizes: np.ndarray) -> int:
+        return sum(net.train_along(x) for x in _running(ids, sizes, STEP))
 
     return run
 
@@ -272,7 +278,7 @@ class Model(NamedTuple):
 
     words: list[str]
     flat: np.ndarray
-    frequent: dict[str, float]
+    frequent: pa.Table
     shares: DataFrame
     once: list[float]
 
@@ -305,7 +311,7 @@ def train(docs: DataFrame, counts: DataFrame) -> Model:
     return Model(words, flat, *_shares(counts, top))
 
 
-def _shares(counts: DataFrame, top: list) -> tuple[dict[str, float], DataFrame, list[float]]:
+def _shares(counts: DataFrame, top: list) -> tuple[pa.Table, DataFrame, list[float]]:
     """The log of a word's part of its bucket's running words, for words after ``top``: at most FREQUENT of them, and a table of the rest.
 
     A word that the corpus holds once follows from its bucket's sum alone, so
@@ -326,7 +332,7 @@ def _shares(counts: DataFrame, top: list) -> tuple[dict[str, float], DataFrame,
         if total > FREQUENT:
             break
         level = r.level
-    frequent = {r.word: r.share for r in shares.where(F.col("level") >= level).collect()}
+    frequent = shares.where(F.col("level") >= level).select("word", "share").toArrow()
     once = [float(-np.log(sums.get(k, 1))) for k in range(BUCKETS)]
     return frequent, shares.where((F.col("level") < level) & (F.col("n") > 1)).select("word", "share"), once
 
@@ -335,38 +341,34 @@ def _score(network, words, frequent):
     """Each row's words, the sum over them of the log-probabilities, and the counts of words whose part is still to come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, encode, key = Network(network.value), Encoder(words.value), TaskContext.get().partitionId() << 40
-        shares = {w.encode(): s for w, s in frequent.value.items()}
-        parts = np.zeros(0)  # of the encoder's other words; not a number where it is still to come
+        net, vocabulary, key = Network(network.value), pa.array(words.value, pa.string()), TaskContext.get().partitionId() << 40
+        common = frequent.value.column("word").cast(pa.string()).combine_chunks()
+        shares = np.r_[frequent.value.column("share").to_numpy(), np.nan]  # not a number where it is still to come
         for batch in batches:
-            for b in slices(batch, 1):
-                if encode.fresh():
-                    parts = np.zeros(0)
-                codes = [encode.codes(x) for x in text_bytes(b.column(1))]
-                parts = np.r_[parts, [shares.get(w, np.nan) for w in encode.rare[len(parts) :]]]
-                yield score(net, encode, parts, codes, b, key)
+            for b in slices(batch, 1, GROUP):
+                met = Words.of(b.column(1))
+                yield score(net, met, _ids(met.distinct, vocabulary), shares[_places(met.distinct, common)], b, key)
                 key += b.num_rows
 
-    def score(net: Network, encode: Encoder, parts: np.ndarray, texts: list, b: pa.RecordBatch, key: int) -> pa.RecordBatch:
-        codes, sizes = np.concatenate(texts), np.array([len(x) for x in texts], np.int64)
-        ends, n_texts = np.cumsum(sizes), len(texts)
-        # each text's other words, once, with how often they stand in it
-        other, owner = codes - VOCAB - 1, np.repeat(np.arange(n_texts), sizes)
-        both = owner[other >= 0] * (len(parts) + 1) + other[other >= 0]
-        pairs, often = np.unique(both, return_counts=True)
-        owner, other = np.divmod(pairs, len(parts) + 1)
-        part = parts[other]
+    def score(net: Network, met: Words, ids: np.ndarray, parts: np.ndarray, b: pa.RecordBatch, key: int) -> pa.RecordBatch:
+        sizes, n_texts = met.sizes, len(met.sizes)
+        ends, owner = np.cumsum(sizes), np.repeat(np.arange(n_texts), sizes)
+        parts = np.where(ids < VOCAB - BUCKETS, 0.0, parts)
+        part = parts[met.codes]
         open_ = np.isnan(part)
-        known = np.bincount(owner[~open_], weights=(often * part)[~open_], minlength=n_texts)
-        rare = pa.array([encode.rare[i] for i in other[open_].tolist()], pa.binary()).cast(pa.string())
-        at = pa.array(np.r_[0, np.cumsum(np.bincount(owner[open_], minlength=n_texts))], pa.int32())
-        logs = [net.along(x) for x in _running(np.split(encode.ids(codes), ends[:-1]), BATCH)]
+        known = np.bincount(owner[~open_], weights=part[~open_], minlength=n_texts)
+        # each text's words whose part is still to come, once, with how often they stand in it
+        pairs, often = np.unique(owner[open_] * len(parts) + met.codes[open_], return_counts=True)
+        owner, other = np.divmod(pairs, max(len(parts), 1))
+        rare = met.distinct.take(pa.array(other))
+        at = pa.array(np.r_[0, np.cumsum(np.bincount(owner, minlength=n_texts))], pa.int32())
+        logs = [net.along(x) for x in _running(ids.take(met.codes), sizes, BATCH)]
         totals = np.r_[0.0, np.cumsum(np.concatenate([*logs, np.zeros(0)]), dtype=np.float64)]
         sums = totals[ends] - totals[ends - sizes] + known
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(range(key, key + n_texts), pa.int64()), b.column(0), pa.array(sizes), pa.array(sums),
-                pa.ListArray.from_arrays(at, rare), pa.ListArray.from_arrays(at, pa.array(often[open_].astype(np.int64))),
+                pa.ListArray.from_arrays(at, rare), pa.ListArray.from_arrays(at, pa.array(often.astype(np.int64))),
             ],
             ["key", "doc_id", "n_words", "known", "rare", "often"],
         )

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -260,6 +261,77 @@ def test_network_gradient_and_normalisation():
     assert net.forward(context, target).mean() > before + 1
 
 
+def test_training_step_follows_the_gradient():
+    """Running text with edges in it: each parameter's step against the slope of the mean log-probability."""
+    import docloom.llm.lm_scoring as lm
+
+    rng, edge = np.random.default_rng(5), lm.EDGE
+    ids = np.r_[edge, edge, rng.integers(0, 40, 9), edge, edge, rng.integers(0, VOCAB, 30), edge, edge].astype(np.int32)
+    words = [i for i in range(len(ids)) if ids[i] != edge]
+    flat = rng.normal(0, 0.3, len(Network().flat())).astype(np.float32)
+
+    def mean(flat):
+        p, at = {}, 0
+        for name, shape in lm.SHAPES.items():
+            p[name] = flat[at : at + int(np.prod(shape))].reshape(shape)
+            at += int(np.prod(shape))
+        total = 0.0
+        for i in words:
+            h = np.tanh(p["bias"] + sum(p["words"][k][ids[i + o]] for k, o in enumerate(OFFSETS)))
+            first, second = divmod(int(ids[i]), lm.DIGIT)
+            for x, digit in ((h @ p["high"] + p["high_bias"], first), ((h + p["digit"][first]) @ p["low"] + p["low_bias"], second)):
+                total += x[digit] - np.log(np.exp(x).sum())
+        return total / len(words)
+
+    net = Network(flat)
+    assert net.train_along(ids) == len(words)
+    moved, start, at = net.flat().astype(float) - flat, flat.astype(float), 0
+    assert net.flat().shape == flat.shape and np.count_nonzero(moved) > 1000
+    for name, shape in lm.SHAPES.items():
+        size = int(np.prod(shape))
+        some = at + np.flatnonzero(moved[at : at + size])
+        for i in [*rng.choice(some, 12), *rng.integers(at, at + size, 3)]:
+            step = np.zeros(len(flat))
+            step[i] = 1e-4
+            slope = (mean(start + step) - mean(start - step)) / 2e-4
+            assert moved[i] == pytest.approx(lm.RATE * slope / np.sqrt(0.01 + slope * slope), abs=2e-5), name
+        at += size
+
+
+def test_words_equal_splitting_each_text():
+    from docloom.llm.lm_scoring import Words
+
+    texts = ["skipped", None, "", " \t\n\x0b\x0c\r", "  Ab cD\x0bab ", "x\x1cy\x85z\xa0É é\u3000日本", "one", None, "\x00 \x00"]
+    for given in (texts, texts[:3], ["a b"], []):
+        met = Words.of(pa.array(given, pa.string()).slice(1 if len(given) > 1 else 0))
+        want = [(x or "").encode().lower().split() for x in given[1 if len(given) > 1 else 0 :]]
+        assert met.sizes.tolist() == [len(x) for x in want]
+        assert met.distinct.cast(pa.binary()).take(pa.array(met.codes)).to_pylist() == [w for x in want for w in x]
+
+
+def test_running_words_are_no_python_objects(monkeypatch):
+    """Training takes less memory a running word than one Python object each would."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import docloom.llm.lm_scoring as lm
+
+    n = 240_000
+    monkeypatch.setattr(lm, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    run = lm._train_round(SimpleNamespace(value=Network().flat()), SimpleNamespace(value=["abc"]))
+    batches = lambda n: iter([pa.record_batch({"doc_id": [1], "text": ["abc xyz " * (n // 2)]})])
+
+    def peak(n):
+        tracemalloc.start()
+        assert list(run(batches(n)))[0].column("weight").to_pylist() == [n]
+        out = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out
+
+    peak(10)  # imports
+    assert (peak(n) - peak(4096)) / n < 30, (peak(n), peak(4096))
+
+
 def test_language_model_prefers_seen_order(spark, none):
     import random
 
