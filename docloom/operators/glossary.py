@@ -18,6 +18,10 @@ from .ordered import cut_lineage
 LIMIT = 25_000
 #: Rows of a block, as a power of two.
 BLOCK = 10
+#: Pairs of words whose longest matches an automaton keeps; later pairs are walked each time. Some 300 bytes each.
+KNOWN = 50_000
+#: Matches that go on as one Arrow batch, however many one text or some texts have.
+FOUND = 50_000
 
 
 def index_terms(terms: DataFrame, term: str = "term") -> DataFrame:
@@ -64,23 +68,31 @@ class Automaton:
                 node = node[1].setdefault(t, ({}, {}, [])) if mark else node[0].setdefault((t, d), ({}, {}, []))
             node[2].append(term)
         # a term may begin with marks, which no text needs to have
-        self.starts: dict[tuple, list] = {}
+        starts: dict[tuple, list] = {}
         open_ = [self.root]
         while open_:
             by_part, by_mark, _ = open_.pop()
             for part, node in by_part.items():
-                self.starts.setdefault(part, []).append(node)
+                starts.setdefault(part, []).append(node)
             open_ += by_mark.values()
-
+        # the words that begin a term, and what may go on in one: all other words of a text are passed by
+        begins = {word: [node for part in parts for node in starts.get(part, ())] for word, parts in self.fits.items()}
+        self.begins = {word: nodes for word, nodes in begins.items() if nodes}
+        marks = {t for _, parts in terms for t, _, mark in parts if mark}
+        self.goes_on = {*self.fits, *marks, *(m for m in MARKS if m.translate(_SAME) in marks)}
         self.known: dict[tuple, tuple] = {}
 
     def longest(self, said: list[str], start: int) -> tuple[int, list[str]]:
         """(n, terms): the most tokens that terms match from a place on, and which do; 0 without any."""
-        pair = (said[start], said[start + 1] if start + 1 < len(said) else "")
+        nodes = self.begins.get(said[start])
+        if nodes is None:
+            return 0, []
+        after = said[start + 1] if start + 1 < len(said) else ""
+        pair = (said[start], after if after in self.goes_on else "")
         if (known := self.known.get(pair)) is not None:
             return known
         best, terms, seen = 0, set(), start
-        open_ = [(node, start + 1) for part in self.fits.get(said[start], ()) for node in self.starts.get(part, ())]
+        open_ = [(node, start + 1) for node in nodes]
         while open_:
             (by_part, by_mark, ends), at = open_.pop()
             if ends and at - start >= best:
@@ -95,27 +107,26 @@ class Automaton:
             if by_part:
                 open_ += [(by_part[part], at + 1) for part in self.fits.get(token, ()) if part in by_part]
         out = (best, sorted(terms))
-        if seen <= start + 1:  # no later token was looked at, so the same two always give the same
+        if seen <= start + 1 and len(self.known) < KNOWN:  # no later token was looked at, so the same two always give the same
             self.known[pair] = out
         return out
 
     def matches(self, said: list[str]) -> Iterator[tuple[int, int, list[str]]]:
         """(start, n, terms) by token, read from the left: the longest at each place, none inside another."""
-        start = 0
-        while start < len(said):
-            n, terms = self.longest(said, start)
-            if n:
-                yield start, n, terms
-            start += n or 1
+        free = 0
+        for start in [i for i, word in enumerate(said) if word in self.begins]:
+            if start >= free:
+                n, terms = self.longest(said, start)
+                if n:
+                    yield start, n, terms
+                    free = start + n
 
 
 def _matching(terms: list, words: list, once: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(terms.value, words.value)
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                yield _found(part.column(0), ((i, automaton, text) for i, text in enumerate(part.column(1).to_pylist())), once)
+            yield from _found(b.column(0), ((i, automaton, text.as_py()) for i, text in enumerate(b.column(1))), once)
 
     return run
 
@@ -123,22 +134,34 @@ def _matching(terms: list, words: list, once: bool):
 _TOKEN = re.compile(TOKEN)
 
 
-def _found(key: pa.Array, texts: Iterable[tuple[int, Automaton, str | None]], once: bool) -> pa.RecordBatch:
-    """(key, start, n, term) of the matches in texts, or (key, term) with each term once a text; a text comes with its place in ``key`` and its automaton."""
-    keys, starts, ns, terms = [], [], [], []
+def _found(key: pa.Array, texts: Iterable[tuple[int, Automaton, str | None]], once: bool) -> Iterator[pa.RecordBatch]:
+    """(key, start, n, term) of the matches in texts, or (key, term) with each term once a text; a text comes with its place in ``key`` and its automaton.
+
+    Texts are read one by one, and matches go on as soon as they are ``FOUND``.
+    """
+    kinds = {"key": None, "start": pa.int32(), "n": pa.int32(), "term": pa.string()}
+    names = ["key", "term"] if once else [*kinds]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = dict(zip(names, zip(*rows, strict=True), strict=True)) if rows else dict.fromkeys(names, ())
+        keys = key.take(pa.array(columns.pop("key"), pa.int64()))
+        return pa.RecordBatch.from_arrays([keys, *(pa.array(x, kinds[c]) for c, x in columns.items())], names)
+
+    rows: list[tuple] = []
     for i, automaton, text in texts:
-        before, here = len(terms), set()
-        for start, n, some in automaton.matches(_TOKEN.findall(text or "")):
-            if once:
-                here.update(some)
-            else:
-                starts += [start] * len(some)
-                ns += [n] * len(some)
-                terms += some
-        terms += here
-        keys += [i] * (len(terms) - before)
-    out = {"key": key.take(pa.array(keys, pa.int64()))} | ({} if once else {"start": pa.array(starts, pa.int32()), "n": pa.array(ns, pa.int32())}) | {"term": pa.array(terms, pa.string())}
-    return pa.RecordBatch.from_arrays([*out.values()], [*out])
+        matches = automaton.matches(_TOKEN.findall(text or ""))
+        if once:
+            rows += [(i, term) for term in {term for _, _, some in matches for term in some}]
+        else:
+            for start, n, some in matches:
+                rows += [(i, start, n, term) for term in some]
+                if len(rows) >= FOUND:
+                    yield batch(rows)
+                    rows = []
+        if len(rows) >= FOUND:
+            yield batch(rows)
+            rows = []
+    yield batch(rows)
 
 
 def _parts(lists: pa.ListArray) -> Iterator[list[tuple]]:
@@ -155,7 +178,8 @@ def _matching_blocks(once: bool):
 
         def texts(part: pa.RecordBatch) -> Iterator[tuple[int, Automaton, str | None]]:
             nonlocal at, words, terms, automaton
-            for i, (block, kind, said, parts) in enumerate(zip(*[part.column(c).to_pylist() for c in range(3)], _parts(part.column(3)), strict=True)):
+            said_here = (x.as_py() for x in part.column(2))
+            for i, (block, kind, said, parts) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), said_here, _parts(part.column(3)), strict=True)):
                 if block != at:
                     at, words, terms, automaton = block, [], [], None
                 if kind == 0:
@@ -170,7 +194,7 @@ def _matching_blocks(once: bool):
         for b in batches:
             for start in range(0, b.num_rows, 1000):
                 part = b.slice(start, 1000)
-                yield _found(part.column(4), texts(part), once)
+                yield from _found(part.column(4), texts(part), once)
 
     return run
 

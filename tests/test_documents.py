@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -101,6 +102,27 @@ def test_texts_are_read_once_however_many_terms(spark):
         assert sorted(map(str, once)) == sorted({str(r) for r in few.select("id", "term").collect()})
 
 
+def test_matching_holds_no_more_for_more_text(monkeypatch):
+    """What an automaton keeps is bounded by its dictionary and by ``KNOWN``, not by the words of the texts; matches go on before a text is through."""
+    terms = [("ab", [("ab", False, False)]), ("ab, cd", [("ab", False, False), (",", False, True), ("cd", False, False)])]
+    words = [(w, w, False) for w in ("ab", "cd")]
+    other = ["".join(chr(ord("q") + int(d)) for d in str(i)) for i in range(3000)]
+    text = [w for x in other for w in ("ab", x, "ab", "，", "cd", "cd", x)]
+    want = [x for i in range(3000) for x in ((7 * i, 1, ["ab"]), (7 * i + 2, 3, ["ab, cd"]))]
+    automaton = glossary.Automaton(terms, words)
+    assert list(automaton.matches(text)) == want
+    assert len(automaton.known) <= 5
+    monkeypatch.setattr(glossary, "KNOWN", 1)
+    automaton = glossary.Automaton(terms, words)
+    assert list(automaton.matches(text)) == want
+    assert len(automaton.known) == 1
+    monkeypatch.setattr(glossary, "FOUND", 100)
+    batches = list(glossary._found(pa.array([5, None]), [(0, automaton, " ".join(text)), (1, automaton, "ab"), (1, automaton, None)], False))
+    assert max(b.num_rows for b in batches) <= 101
+    got = [tuple(r.values()) for b in batches for r in b.to_pylist()]
+    assert got == [(5, start, n, term) for start, n, (term,) in want] + [(None, 0, 1, "ab")]
+
+
 TEXT = "# A\none two\n\n```\ncode | x\n\nmore\n```\n| a | b |\n| - | - |\n<table>\n<tr><td>x\n</td></tr></table>\nlast line here  \n\n"
 
 
