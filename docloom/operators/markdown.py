@@ -15,6 +15,8 @@ SEPARATOR = "^\\s*\\|?(?:\\s*:?-+:?\\s*\\|)+\\s*:?-*:?\\s*\\|?\\s*$"
 TAG_LINE = "^\\s*(?:</?[A-Za-z][^>]*/?>|<!--.*?-->)+\\s*$"
 HEADING, QUOTE, ITEM = "(?s)^(#{1,6}\\s+)(.*)\\z", "(?s)^(\\s*(?:>\\s?)+)(.*)\\z", "(?s)^(\\s*(?:[-*+]|\\d{1,3}[.)])\\s+)(.*)\\z"
 BAR = "(?<!\\\\)\\|"
+#: What a regular expression's blank is by Unicode.
+BLANKS = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SEGMENT = "array<struct<kind:string,type:string,text:string>>"
 
 
@@ -27,10 +29,13 @@ def _piece(text: Column, kind: Column | str, unit=lambda x: x) -> Column:
     name = F.lit(kind) if isinstance(kind, str) else kind
 
     def cut(t: Column) -> Column:
-        lead, trail = F.regexp_extract(t, "(?U)^(\\s*)", 1), F.regexp_extract(t, "(?U)(?<!\\s)(\\s*)\\z", 1)
-        body = F.substring(t, F.length(lead) + 1, F.length(t) - F.length(lead) - F.length(trail))
-        parts = F.array(_lit(lead), F.struct(F.lit("unit").alias("kind"), name.alias("type"), unit(body).alias("text")), _lit(trail))
-        return F.when(t.rlike("\\p{L}"), F.filter(parts, lambda s: s["text"] != "")).otherwise(F.array(_lit(t)))
+        # a text with letters isn't blank, so what is trimmed on one side is not on the other
+        left, right = F.ltrim(t, F.lit(BLANKS)), F.rtrim(t, F.lit(BLANKS))
+        lead, trail = F.length(t) - F.length(left), F.length(t) - F.length(right)
+        body = lambda: F.struct(F.lit("unit").alias("kind"), name.alias("type"), unit(F.btrim(t, F.lit(BLANKS))).alias("text"))
+        around = F.array(_lit(F.substring(t, F.lit(1), lead)), body(), _lit(F.right(t, trail)))
+        parts = F.when((lead == 0) & (trail == 0), F.array(body())).otherwise(F.filter(around, lambda s: s["text"] != ""))
+        return F.when(t.rlike("\\p{L}"), parts).otherwise(F.array(_lit(t)))
 
     return let(text, cut)
 
@@ -53,7 +58,7 @@ def _line_segments(line: Column) -> Column:
         return F.concat(F.array(_lit(F.regexp_extract(line, shape, 1))), _piece(F.regexp_extract(line, shape, 2), kind))
 
     cells = _joined(F.split(line, BAR, -1), "|", lambda c: _piece(c, "table_cell"))
-    plain = (F.trim(F.regexp_replace(line, "\\s+", " ")) == "") | line.rlike(TAG_LINE)
+    plain = ~line.rlike("\\S") | line.rlike(TAG_LINE)
     return (
         F.when(plain, F.array(_lit(line)))
         .when(line.rlike("^\\s*\\|"), F.when(line.rlike(SEPARATOR), F.array(_lit(line))).otherwise(cells))
@@ -72,52 +77,77 @@ def _table_segments(table: Column) -> Column:
     return F.flatten(F.transform(both, lambda x: F.concat(text(x["b"]), F.when(x["t"].isNotNull(), F.array(_lit(x["t"]))).otherwise(F.array().cast(SEGMENT)))))
 
 
+def _lines_of(text: Column) -> Column:
+    """Array of (region, line, text, is_table, code): HTML tables whole, and the lines around them, each region from outside code."""
+
+    def region(given: Column, at: Column, is_table: bool) -> Column:
+        line = lambda x, i, code: F.struct(at.alias("region"), i.alias("line"), x.alias("text"), F.lit(is_table).alias("is_table"), code.alias("code"))
+        if is_table:
+            return F.array(line(given, F.lit(0), F.lit(False)))
+        # a region without fences, as most are, needs no running count
+        open_ = lambda fences: F.when(F.exists(fences, lambda f: f), prefix(fences, F.lit(False), lambda a, b: a != b))
+        of = lambda some, fences, before: F.transform(some, lambda x, i: line(x, i, F.get(fences, i) | F.coalesce(F.get(before, i), F.lit(False))))
+        return let(F.split(given, "\n", -1), lambda some: let(F.transform(some, lambda x: x.rlike(FENCE)), lambda fences: let(open_(fences), lambda before: of(some, fences, before))))
+
+    def cut(x: Column) -> Column:
+        tables, between = F.regexp_extract_all(x, F.lit(TABLE), F.lit(0)), F.split(x, TABLE, -1)
+        none = F.array().cast("array<struct<region:int,line:int,text:string,is_table:boolean,code:boolean>>")
+        some = lambda r, i, c, n, whole: F.when(r[c].isNotNull(), region(r[c], 2 * i + n, whole)).otherwise(none)
+        return F.flatten(F.transform(F.arrays_zip(between.alias("b"), tables.alias("t")), lambda r, i: F.concat(some(r, i, "b", 0, False), some(r, i, "t", 1, True))))
+
+    return let(F.coalesce(text, F.lit("")), cut)
+
+
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(row, key, region, line, text, is_table, code): HTML tables whole, and the lines around them.
+    """(row, key, region, line, is_table, text, code): HTML tables whole, and the lines around them.
 
     ``row`` numbers the rows of ``docs``, so that texts which share a key, or have
     none, stay apart. ``code`` tells fences and what they hold; each region starts outside code. A
-    null text is one empty line, as an empty one is.
+    null text is one empty line, as an empty one is. A text is cut where it is, and nothing is shuffled.
     """
-    x = F.coalesce(F.col(text), F.lit(""))
-    tables, between = F.regexp_extract_all(x, F.lit(TABLE), F.lit(0)), F.split(x, TABLE, -1)
-    part = lambda x, c, whole: F.struct(F.lit(whole).alias("is_table"), x[c].alias("s"))
-    regions = F.flatten(F.transform(F.arrays_zip(between.alias("b"), tables.alias("t")), lambda x: F.array(part(x, "b", False), part(x, "t", True))))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), key, regions.alias("x"))  # numbered before they are spread
-    rows = rows.select("row", key, F.posexplode("x").alias("region", "x")).where("x.s is not null")
-    cut = F.when(F.col("x.is_table"), F.array("x.s")).otherwise(F.split("x.s", "\n", -1))
-    rows = rows.select("row", key, "region", "x.is_table", F.posexplode(cut).alias("line", "text"))
-    fence = ~F.col("is_table") & F.col("text").rlike(FENCE)
-    so_far = F.count_if(fence).over(Window.partitionBy("row", "region").orderBy("line"))
-    return rows.withColumn("code", fence | (so_far % 2 == 1))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), key, _lines_of(F.col(text)).alias("x"))  # numbered before they are spread
+    return rows.select("row", key, F.explode_outer("x").alias("x")).select("row", key, "x.region", "x.is_table", "x.line", "x.text", "x.code")
+
+
+def _segments_of(text: Column) -> Column:
+    """Array of (region, line, seg, kind, type, text, context, unit): a text's literals, and its units in order."""
+    heading = lambda x: ~x["is_table"] & ~x["code"] & x["text"].rlike(HEADING)
+
+    def of_line(x: Column, context: Column) -> Column:
+        made = let(x["text"], lambda t: F.when(x["is_table"], _table_segments(t)).when(x["code"], F.array(_lit(t))).otherwise(_line_segments(t)))
+        feed = F.when(~x["is_table"] & (x["line"] > 0), F.array(_lit(F.lit("\n")))).otherwise(F.array().cast(SEGMENT))
+        # a text's first line stays, even if it is empty, so that no text is lost
+        first = lambda s: F.when((F.size(s) == 0) & (x["region"] == 0) & (x["line"] == 0), F.array(_lit(F.lit("")))).otherwise(s)
+        after = lambda s: F.when(s["kind"] == "unit", F.when(s["type"] == "heading", "").otherwise(F.coalesce(context, F.lit(""))))
+        whole = lambda s, i: F.struct(x["region"].alias("region"), x["line"].alias("line"), i.alias("seg"), s["kind"].alias("kind"), s["type"].alias("type"), s["text"].alias("text"), after(s).alias("context"))
+        return F.transform(let(F.filter(F.concat(feed, made), lambda s: s["text"] != ""), first), whole)
+
+    def numbered(segments: Column) -> Column:
+        names = ("region", "line", "seg", "kind", "type", "text", "context")
+        of = lambda s, i: F.struct(*[s[n].alias(n) for n in names], i.cast("long").alias("unit"))
+        units = F.transform(F.filter(segments, lambda s: s["kind"] == "unit"), of)
+        return F.concat(units, F.transform(F.filter(segments, lambda s: s["kind"] != "unit"), lambda s: of(s, F.lit(None))))
+
+    def cut(every: Column) -> Column:
+        heads = F.transform(every, lambda x: F.when(heading(x), F.trim(F.regexp_extract(x["text"], HEADING, 2))))
+        contexts = let(heads, lambda h: F.when(F.exists(h, lambda x: x.isNotNull()), prefix(h, F.lit(None).cast("string"), lambda a, b: F.coalesce(b, a))))
+        return let(contexts, lambda c: let(F.flatten(F.transform(every, lambda x, i: of_line(x, F.get(c, i)))), numbered))
+
+    return let(_lines_of(text), cut)
 
 
 def split_units(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(row, key, region, line, seg, kind, type, text, unit, context): a text's literals and units in order.
+    """(row, key, region, line, seg, kind, type, text, context, unit): a text's literals and units, in order by region, line and seg.
 
     Joined in order the segments are the text, but for entities of units in
     HTML tables, which ``rebuild`` writes again. ``unit`` numbers the units of
     a text from 0; ``context`` is the last heading before a unit's line.
-    ``row`` numbers the rows of ``docs``: each is cut by itself, whether keys repeat
-    or are null. A null or empty text is one empty literal.
+    ``row`` numbers the rows of ``docs``: each is cut by itself, where it is, whether keys repeat
+    or are null; nothing is shuffled. A null or empty text is one empty literal.
     """
-    x = F.col("text")
-    made = F.when(F.col("is_table"), _table_segments(x)).when(F.col("code"), F.array(_lit(x))).otherwise(_line_segments(x))
-    rows = lines(docs, key, text)
-    heading = ~F.col("is_table") & ~F.col("code") & x.rlike(HEADING)
-    rows = rows.withColumn("_head", F.when(heading, F.trim(F.regexp_extract(x, HEADING, 2))))
-    before = Window.partitionBy("row").orderBy("region", "line")
-    rows = rows.withColumn("context", F.coalesce(F.last("_head", ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit("")))
-    feed = F.when(~F.col("is_table") & (F.col("line") > 0), F.array(_lit(F.lit("\n")))).otherwise(F.array().cast(SEGMENT))
-    some = F.filter(F.concat(feed, made), lambda s: s["text"] != "")
-    # a text's first line stays, even if it is empty, so that no text is lost
-    some = F.when((F.size(some) == 0) & (F.col("region") == 0) & (F.col("line") == 0), F.array(_lit(F.lit("")))).otherwise(some)
-    rows = rows.select("row", key, "region", "line", "context", F.posexplode(some).alias("seg", "s"))
-    rows = rows.select("row", key, "region", "line", "seg", "s.*", "context")
-    is_unit = F.col("kind") == "unit"
-    number = F.count_if(is_unit).over(Window.partitionBy("row").orderBy("region", "line", "seg")) - 1
-    context = F.when(is_unit, F.when(F.col("type") == "heading", "").otherwise(F.col("context")))
-    return rows.withColumns({"unit": F.when(is_unit, number), "context": context})
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), key, _segments_of(F.col(text)).alias("x"))
+    # no text is without segments; a plain explode would first cut each text once more, to filter those that are
+    return rows.select("row", key, F.explode_outer("x").alias("x")).select("row", key, "x.*")
 
 
 def rebuild(segments: DataFrame, translations: DataFrame, key: str) -> DataFrame:
@@ -126,13 +156,21 @@ def rebuild(segments: DataFrame, translations: DataFrame, key: str) -> DataFrame
     Line feeds of a translation become blanks; bars of a table cell and signs
     of HTML are escaped, so that the structure stays. Null keys are a key like any other;
     texts that share a key share its translations; of several translations of a unit the smallest counts.
+    Segments and translations of a key meet in one partition, with no more than what the text is made of. Where the documents were
+    dealt by key before they were cut, and the translations come from them, they are there already, and nothing is shuffled.
     """
-    said = translations.select(F.col(key).alias("_key"), F.col("unit").alias("_unit"), "translated").groupBy("_key", "_unit").agg(F.min("translated").alias("translated"))
-    met = segments.join(said, segments[key].eqNullSafe(said["_key"]) & (F.col("unit") == F.col("_unit")), "left")
+    mark = F.when(F.col("type").isin("html_table_text", "table_cell"), F.col("type"))
+    parts = segments.select(key, F.when(F.col("kind") == "unit", F.col("unit")).alias("unit"), "row", "region", "line", "seg", mark.alias("type"), "text")
+    said = translations.where("translated IS NOT NULL AND unit IS NOT NULL").select(key, "unit", F.col("translated").alias("text"))
+    both = parts.unionByName(said, allowMissingColumns=True)
+    # a unit's translations have no row, so they come before its segments, the smallest of them last
+    so_far = Window.partitionBy(key).orderBy("unit", F.asc_nulls_first("row"), F.desc("text")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last(F.when(F.col("row").isNull(), F.struct("unit", "text")), ignorenulls=True).over(so_far)
+    met = both.withColumn("last", last).where("row IS NOT NULL").withColumn("translated", F.when(F.col("last.unit") == F.col("unit"), F.col("last.text")))
     said = F.regexp_replace(F.coalesce("translated", "text"), "\r?\n", " ")
     html = F.replace(F.replace(F.regexp_replace(said, "&(?!#?\\w+;)", "&amp;"), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     said = F.when(F.col("type") == "html_table_text", html).when(F.col("type") == "table_cell", F.regexp_replace(said, BAR, "\\\\|")).otherwise(said)
-    piece = F.struct("region", "line", "seg", F.when(F.col("kind") == "unit", said).otherwise(F.col("text")).alias("x"))
+    piece = F.struct("region", "line", "seg", F.when(F.col("unit").isNotNull(), said).otherwise(F.col("text")).alias("x"))
     pieces = F.sort_array(F.collect_list(piece))
     return met.groupBy("row", key).agg(F.array_join(F.transform(pieces, lambda p: p["x"]), "").alias("text")).drop("row")
 

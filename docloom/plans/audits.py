@@ -105,7 +105,7 @@ def document_directions(spark, sf_dir):
 def markdown_round_trip(spark, sf_dir):
     from ..operators.markdown import rebuild, split_units
 
-    cut = split_units(table(spark, sf_dir, "documents"), "doc_id", "text")
+    cut = split_units(table(spark, sf_dir, "documents").repartition("doc_id"), "doc_id", "text")
     none = cut.select("doc_id", "unit", F.lit(None).cast("string").alias("translated")).where("false")
     return rebuild(cut, none, "doc_id").select("doc_id", F.md5("text").alias("form"))
 
@@ -114,7 +114,7 @@ def markdown_round_trip(spark, sf_dir):
 def markdown_page_round_trip(spark, sf_dir):
     from ..operators.markdown import rebuild, split_units
 
-    cut = split_units(table(spark, sf_dir, "pages"), "page_id", "html")
+    cut = split_units(table(spark, sf_dir, "pages").repartition("page_id"), "page_id", "html")
     none = cut.select("page_id", "unit", F.lit(None).cast("string").alias("translated")).where("false")
     return rebuild(cut, none, "page_id").select("page_id", F.md5("text").alias("form"))
 

@@ -149,7 +149,7 @@ _TRANSLATED = f"{_sql_text(DONE_HEAD)} || 'code aeou' || chr(10) || '```' || chr
 @query(f"SELECT doc_id, md5({_TRANSLATED}) AS form FROM documents")
 def markdown_translated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, with Markdown before it, put together again from its units with some letters changed; code and marks stay."""
-    docs = _marked(spark, sf_dir)
+    docs = _marked(spark, sf_dir).repartition("doc_id")  # dealt before they are cut, so that units and translations stay where they are
     cut = markdown.split_units(docs, "doc_id", "text")
     said = cut.where("kind = 'unit'").select("doc_id", "unit", F.translate("text", "aeou", "4301").alias("translated"))
     return markdown.rebuild(cut, said, "doc_id").select("doc_id", F.md5("text").alias("form"))

@@ -74,6 +74,29 @@ def test_markdown_of_each_row(spark):
     assert got == Counter([(1, (), True), (1, ("heading",), False), (None, ("markdown_table",), False), (None, (), True), (None, ("code_fence",), False)])
 
 
+def test_markdown_is_cut_where_it_is_and_shuffled_once(spark):
+    """Cutting moves nothing; of documents dealt by key neither segments nor translations move again, however partitions are put together."""
+    rows = [(None if i % 50 == 0 else i // 2, f"# head {i}\ntext {i}\n" * (1 + i % 7)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "k int, t string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert "Exchange" not in plan(markdown.split_units(docs, "k", "t")) and "Exchange" not in plan(markdown.lines(docs, "k", "t"))
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize")}
+    try:
+        for parts, size in (("64", "2000"), ("64", "64m"), ("4", "64m")):
+            for c, v in zip(before, (parts, size, "1"), strict=True):
+                spark.conf.set(c, v)
+            cut = markdown.split_units(docs.repartition("k"), "k", "t")
+            said = cut.where("kind = 'unit' AND unit % 3 = 1 AND k % 5 = 0").select("k", "unit", F.lit("new").alias("translated"))
+            out = markdown.rebuild(cut, said, "k")
+            assert plan(out).count("Exchange hashpartitioning") == 2 and "Exchange" not in plan(out).split("Union")[0]
+            got = Counter(map(tuple, out.collect()))
+            new = lambda k, t: "\n".join("# new" if x and i % 3 == 1 and i % 2 == 0 else "new" if x and i % 3 == 1 else x for i, x in enumerate(t.split("\n"))) if k is not None and k % 5 == 0 else t
+            assert got == Counter((k, new(k, t)) for k, t in rows)
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+
+
 @pytest.mark.parametrize("n", [0, 1, 256, 257, 5000])
 def test_prefixes(spark, n):
     rng = random.Random(n)
